@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filters
+from . import bpe, quality_rules, url_filters
 from ._common import table
 
 
@@ -14,6 +14,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +28,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op4_bpe, op10_quality_rules)}
 
 #: Equivalent DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {}

@@ -66,7 +66,7 @@ HOST_RULES = [host_rule("allow", "org/"), host_rule("block", "example.org/es/"),
 #: Tokens of unwanted sites; each stands as a whole label, or label part, of a host or path.
 UNWANTED = ["adult", "ads", "adserver", "banner", "bet", "betting", "casino", "click", "clickbait", "doorway", "gambling", "lottery", "malware", "payday", "phishing", "pills", "poker", "popup", "porn", "replica", "sex", "spam", "torrent", "tracker", "viagra", "warez", "xxx"]
 
-PATTERN_RULES = [pattern_rule(f"unwanted:{w}", rf"^[^/]*(?<![a-z0-9]){w}(?![a-z0-9])|/{w}(?:[/?#._-]|$)", w) for w in UNWANTED] + [pattern_rule("link-farm", r"^[^/]*(?<![a-z0-9])farm(?![a-z0-9])", "farm")]
+PATTERN_RULES = [pattern_rule(f"unwanted:{w}", rf"^(?:[^/]*[^a-z0-9/])?{w}(?:[^a-z0-9]|$)|/{w}(?:[/._-]|$)", w) for w in UNWANTED] + [pattern_rule("link-farm", r"^(?:[^/]*[^a-z0-9/])?farm(?:[^a-z0-9]|$)", "farm")]
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
