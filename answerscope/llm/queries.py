@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_rules, toxicity, url_filters
+from . import bpe, language_id, near_dedup, packing, quality_rules, toxicity, url_filters
 from ._common import in_fold, table
 
 
@@ -21,6 +21,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The rank file holds the vocabulary of byte_bpe_50k.json; tests compare the ids of both.
+    found = packing.pieces(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, 2048)
+    return packing.pack(found, 2048)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -35,6 +44,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, words=3, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -42,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op4_bpe, op5_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op7_near_dedup, op10_quality_rules)}
 
 #: Equivalent DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {}
