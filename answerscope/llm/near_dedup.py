@@ -150,16 +150,6 @@ class _Forest:
         self.size = np.ones(n, np.int64)
         self.edges: list[tuple[int, int]] = []
 
-    def connect(self, x: int, others: np.ndarray) -> None:
-        for o in others.tolist():
-            a, b = self.label[x], self.label[o]
-            if a != b:
-                if self.size[a] < self.size[b]:
-                    a, b = b, a
-                self.label[self.label == b] = a
-                self.size[a] += self.size[b]
-                self.edges.append((x, o))
-
     def connect_all(self, agrees, allowed=None) -> list[tuple[int, int]]:
         """``agrees(x)``: which of all agree with x.  Those outside the largest part are compared with all; links into it are found from their other end."""
         n = len(self.label)
