@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, packing, quality_rules, toxicity, url_filters
+from . import bpe, fingerprints, language_id, near_dedup, packing, quality_rules, toxicity, url_filters
 from ._common import in_fold, table
 
 
@@ -49,6 +49,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, words=3, percent=85)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op7_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op7_near_dedup, op9_fingerprints, op10_quality_rules)}
 
 #: Equivalent DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {}
