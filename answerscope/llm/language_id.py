@@ -176,6 +176,30 @@ def fit(docs: DataFrame, learn_from: Column, max_labelled: int = 3000) -> Model
     return Model(list(langs), counts)
 
 
+def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.34) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and its proportion at least ``min_score``.  No shuffle.
+
+    Without a model nothing is known of any language, and every row stays.
+    """
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession, 256)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        words = Words(shared.value)
+        for b in batches:
+            x, n = words.rows([words_of(t) for t in b.column(at).to_pylist()])
+            has = n > 0
+            good = np.zeros(len(n), bool)
+            if has.any():
+                good[has] = infer(words.table[x], n[has])[0].max(1) >= min_score
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score, n_langs`` (languages in the selected set) of each row.  No shuffle."""
     if model is None:

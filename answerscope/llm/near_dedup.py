@@ -290,3 +290,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", mine.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each group of near duplicates stays: that of the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id all stay.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
