@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, near_dedup, packing, quality_rules, toxicity, url_filters
-from ._common import in_fold, table
+from . import bpe, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, toxicity, url_filters
+from ._common import in_fold, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +46,29 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as read back from the compacted store, with the version that wrote each one's shard."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target=64 << 20)
+    for arrival in shards.arrivals(docs, 3):
+        store.append(arrival)
+    store.compact()
+    store.vacuum()
+    born = F.regexp_extract(F.input_file_name(), r"/data/(\d+)-", 1).cast("int")
+    return store.read().select("doc_id", "n_chars", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), born.alias("born"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, words=3, percent=85)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = license_scan.scan(license_scan.files_of_documents(spark, docs))
+    return out.select(F.col("file").alias("doc_id"), "directory", "license", "cosine", "inherited_from")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +80,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op7_near_dedup, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules)}
+
+
+def _url_oracle() -> str:
+    names = ", ".join(f"'{w}'" for w in [*url_filters.UNWANTED, "farm"])
+    fits = "(h = '{0}' or ends_with(h, '.{0}')) and starts_with(p, '{1}')"
+    rules = [(r.name, r.verdict, fits.format(*r.name.split("/", 1)[:1], "/" + r.name.split("/", 1)[1])) for r in url_filters.HOST_RULES]
+    rules.sort(key=lambda r: -len(r[0]))
+    case = lambda k: "case " + " ".join(f"when {r[2]} then '{r[k]}'" for r in rules)
+    hit = f"""list_max(list_filter([{names}], lambda w: regexp_matches(h || p, '^(?:[^/]*[^a-z0-9/])?' || w || '(?:[^a-z0-9]|$)') or (w <> 'farm' and regexp_matches(h || p, '/' || w || '(?:[/._-]|$)'))))"""
+    return f"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end t from pages),
+ parts as (select page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), '{url_filters._UPPER}', '{url_filters._LOWER}') h, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) p from cut),
+ judged as (select *, {case(0)} end r, {case(1)} end v, {hit} w from parts)
+select page_id, h as host, p as path, r as rule, coalesce(v, case when w is not null then 'block' else 'allow' end) as verdict,
+ case when r is null and w is not null then case when w = 'farm' then 'link-farm' else 'unwanted:' || w end end as pattern
+from judged"""
+
 
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle()}
