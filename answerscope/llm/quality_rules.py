@@ -70,6 +70,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+def _once(col: Column) -> Column:
+    """``col``, kept from being copied into what uses it.
+
+    The optimizer moves filters below projections and repeats their expressions
+    there; inside a lambda an array would then be made again for each element.
+    A column that counts as nondeterministic stays where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the counts ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the features ``_q_*``.
 
@@ -80,18 +90,19 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_q_t", t)
-    df = df.withColumn("_q_w", F.filter(F.split("_q_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    df = df.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    df = df.withColumn("_q_w", _once(F.filter(F.split("_q_t", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    df = df.withColumn("_q_l", _once(F.filter(F.split("_q_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)))
     df = df.withColumn("n_words", F.size("_q_w").cast("long"))
     windows = F.when(F.col("n_words") >= 3, F.transform(F.slice("_q_w", 1, F.size("_q_w") - 2), lambda w, i: F.xxhash64(w, F.get("_q_w", i + 1), F.get("_q_w", i + 2))))
-    df = df.withColumn("_q_h", F.coalesce(windows, F.array().cast("array<bigint>")))
-    df = df.withColumn("_q_rep", F.size(F.array_distinct("_q_h")) < F.size("_q_h"))
-    df = df.withColumn("_q_s", F.when(F.col("_q_rep"), F.array_sort(F.transform("_q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_q_h", _once(F.coalesce(windows, F.array().cast("array<bigint>"))))
+    df = df.withColumn("_q_rep", _once(F.size(F.array_distinct("_q_h")) < F.size("_q_h")))
+    df = df.withColumn("_q_s", _once(F.when(F.col("_q_rep"), F.array_sort(F.transform("_q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     # Places of windows that have an equal neighbour, in order; each adds the words that the one before did not cover.
-    same = lambda x, i: (F.get("_q_s", i - 1)["h"] == x["h"]) | (F.get("_q_s", i + 1)["h"] == x["h"])
-    df = df.withColumn("_q_p", F.array_sort(F.transform(F.filter("_q_s", lambda x, i: F.coalesce(same(x, i), F.coalesce(F.get("_q_s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_q_s", i + 1)["h"] == x["h"], F.lit(False)))), lambda x: x["i"])))
+    equal = lambda x, at: F.coalesce(F.get("_q_s", at)["h"] == x["h"], F.lit(False))
+    repeated = F.transform(F.filter("_q_s", lambda x, i: equal(x, i - 1) | equal(x, i + 1)), lambda x: x["i"])
+    df = df.withColumn("_q_p", _once(F.array_sort(repeated)))
     covered = F.aggregate("_q_p", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["at"])).alias("n"), p.alias("at")), lambda a: a["n"])
-    df = df.withColumn("n_repeat_words", F.when(F.col("_q_rep"), covered).otherwise(0).cast("long"))
+    df = df.withColumn("n_repeat_words", _once(F.when(F.col("_q_rep"), covered).otherwise(0).cast("long")))
     df = df.withColumn("n_dup_lines", (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long"))
     df = df.withColumn("word_chars", _without(F.col("_q_t"), SPACES).cast("long"))
     n = F.length("_q_t")
