@@ -12,7 +12,7 @@ SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 #: An ASCII word boundary; Java's own is Unicode-aware.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Labels that registries put between a name and the country code.
-SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gen", "ind")
+SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gob", "gc")
 
 
 def norm_name(c: Column) -> Column:
@@ -78,8 +78,8 @@ def brand_from_domain(c: Column) -> Column:
     labels = F.filter(F.split(F.regexp_replace(F.lower(c), r"^www\.", ""), r"\."), lambda x: x != "")
     n = F.size(labels)
     second = F.element_at(labels, F.when(n >= 2, -2).otherwise(-1))
-    label = F.when(n < 2, F.get(labels, F.lit(0))).when((n >= 3) & second.isin(*SECOND_LEVEL), F.element_at(labels, F.when(n >= 3, -3).otherwise(-1))).otherwise(second)
-    return F.when((F.length(label) >= 3) & ~label.rlike("^[0-9]+$"), F.concat(F.upper(F.substring(label, 1, 1)), label.substr(F.lit(2), F.length(label))))
+    label = F.when((n >= 3) & second.isin(*SECOND_LEVEL), F.element_at(labels, F.when(n >= 3, -3).otherwise(-1))).otherwise(second)
+    return F.when((n >= 2) & (F.length(label) >= 3) & ~label.rlike("^[0-9]+$"), F.concat(F.upper(F.substring(label, 1, 1)), label.substr(F.lit(2), F.length(label))))
 
 
 def bounded(name: str) -> str:
