@@ -64,7 +64,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Every neighbour moves to the smallest node around; (a > b) afterwards.
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        # Cut, so that the join below shuffles both sides and AQE can split the rows of a hot centre.
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
