@@ -99,5 +99,17 @@ select page_id, h as host, p as path, r as rule, coalesce(v, case when w is not
 from judged"""
 
 
+#: All pairs that share a shingle, compared on their full sets, and what each document reaches over the links.
+_NEAR_ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') a from documents),
+ s as (select doc_id, unnest(case when len(a) >= 3 then list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) when len(a) > 0 then [array_to_string(a, ' ')] else [] end) g from w),
+ n as (select doc_id, count(*) n from s group by 1),
+ p as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+ e as (select a, b from p join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 85 * (u.n + v.n - c)),
+ both_ways as (select a, b from e union all select b, a from e),
+ reach(node, comp) as (select doc_id, doc_id from n union select both_ways.b, reach.comp from reach join both_ways on reach.node = both_ways.a),
+ m as (select node, min(comp) comp from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.comp, d.doc_id) component_id, d.doc_id = coalesce(m.comp, d.doc_id) kept from documents d left join n on n.doc_id = d.doc_id left join m on m.node = d.doc_id"""
+
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle()}
+ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE}
