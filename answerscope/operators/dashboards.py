@@ -195,3 +195,29 @@ def debounced(events: DataFrame, key: str, ts: str, tie: str, millis: int = 2500
     step = lambda a, e: F.when(a["last"].isNull() | (e["t"] - a["last"] >= millis), F.struct(e["t"].alias("last"), F.concat(a["ids"], F.array(e["id"])).alias("ids"))).otherwise(a)
     df = events.groupBy(key).agg(at.alias("es")).select(key, F.aggregate("es", start, step)["ids"].alias("ids"))
     return df.select(key, F.explode("ids").alias(tie))
+
+
+def saved_clusters(records: DataFrame, newest: int = 100) -> DataFrame:
+    """The newest captures grouped by day and prompt, with the platforms that answered."""
+    df = records.orderBy(F.desc("captured_at"), F.desc("capture_id")).limit(newest)
+    key = frequency_key(F.col("user_prompt"))
+    return df.groupBy(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), key.alias("key")).agg(F.count("*").alias("captures"), F.array_join(F.array_sort(F.collect_set("platform")), ", ").alias("platforms"))
+
+
+def run_history(runs: DataFrame, newest: int = 10) -> DataFrame:
+    """The newest runs with what they captured and how long they took."""
+    return runs.orderBy(F.desc("started_at"), "id").limit(newest).withColumn("seconds", F.unix_seconds("finished_at") - F.unix_seconds("started_at"))
+
+
+def default_record(records: DataFrame, signal: Column) -> DataFrame:
+    """The newest record with a signal, else the newest."""
+    return records.withColumn("_s", signal).orderBy(F.desc("_s"), F.desc("captured_at"), F.desc("capture_id")).limit(1).drop("_s")
+
+
+def entities_by_category(rows: DataFrame) -> DataFrame:
+    """``rows(category, text)``: the distinct texts of each category in order."""
+    return rows.distinct().groupBy("category").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+
+
+def run_volume(prompts: DataFrame, engines: int, warn_above: int = 60) -> DataFrame:
+    return prompts.agg((F.count("*") * engines).alias("submissions")).withColumn("warn", F.col("submissions") > warn_above)

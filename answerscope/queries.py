@@ -450,3 +450,93 @@ def watchdog(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
     return read(spark, d, "events").select("user_id", "event_id", (gap > 3600).alias("timed_out")).where("timed_out is not null")
+
+
+# -- further dashboard and lifecycle queries ----------------------------------
+@query(f"with {_BASE}, n as (select * from resp order by ts desc, id desc limit 100) select strftime(ts, '%Y-%m-%d') as day, lower(prompt) as key, count(*) captures, string_agg(distinct platform, ', ' order by platform) platforms from n group by all")
+def saved_clusters(spark, d):
+    """QRY-17."""
+    return D.saved_clusters(responses(spark, d))
+
+
+@query("""select user_id id, count(*) captured, strftime(min(ts), '%Y-%m-%d') as day, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as "seconds" from events group by 1 order by min(ts) desc, 1 limit 10""")
+def run_history(spark, d):
+    """QRY-37, SRT-10, DAT-05."""
+    ts = F.col("ts").cast("timestamp")
+    runs = read(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("captured"), F.min(ts).alias("started_at"), F.max(ts).alias("finished_at"))
+    return D.run_history(runs).select("id", "captured", T.day_key(F.col("started_at")).alias("day"), "seconds")
+
+
+@query(f"with {_BASE} select id capture_id from resp order by exists (select 1 from lines where lines.id = resp.id) desc, ts desc, id desc limit 1")
+def default_record(spark, d):
+    """FLT-13."""
+    return D.default_record(responses(spark, d), F.size("sources") > 0).select("capture_id")
+
+
+@query("select p_type category, string_agg(distinct p_name, '; ' order by p_name) texts from part group by 1")
+def entities_by_category(spark, d):
+    """QRY-36, AGG-19."""
+    df = D.entities_by_category(read(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("text")))
+    return df.select("category", F.array_join("texts", "; ").alias("texts"))
+
+
+@query("select count(*) * 2 submissions, count(*) * 2 > 60 warn from customer")
+def run_volume(spark, d):
+    """QRY-40, JON-14, FLT-14."""
+    return D.run_volume(read(spark, d, "customer"), sum(M.ENGINES.values()))
+
+
+@query("select c_custkey, max(o_orderdate) is null or date_trunc('day', max(o_orderdate)) <> timestamp '2001-07-30' due from customer left join orders on o_custkey = c_custkey group by 1")
+def due_prompts(spark, d):
+    """DAT-02, JON-05: prompts without a run stay, and are due."""
+    last = read(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("last"))
+    df = read(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return df.select("c_custkey", T.run_due(F.col("last"), F.lit("2001-07-30").cast("timestamp")).alias("due"))
+
+
+@query("select event_type, cast(props ->> '$.k' as bigint) % 10 as kind, count(*) n from events group by all")
+def debug_counts(spark, d):
+    """AGG-29, JSN-04: a path of a JSON bag."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return read(spark, d, "events").groupBy("event_type", (k % 10).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("select user_id, arg_min(event_type, row(ts, event_id)) as first, arg_max(event_type, row(ts, event_id)) as last from events group by 1")
+def first_last_of(spark, d):
+    """AGG-34."""
+    at = F.struct("ts", "event_id")
+    return read(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first"), F.max_by("event_type", at).alias("last"))
+
+
+@query("select (select count(*) from orders) raw, (select count(distinct l_orderkey) from lineitem) derived")
+def store_stats(spark, d):
+    """AGG-30, SRC-13."""
+    a = read(spark, d, "orders").agg(F.count("*").alias("raw"))
+    return a.crossJoin(F.broadcast(read(spark, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("derived"))))  # one row each
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def unfootnoted(spark, d):
+    """SET-04: what is in one set only."""
+    return read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("select conv_id, turn, trim(regexp_replace(text[greatest(strpos(text, 'a') - 110, 1):strpos(text, 'a') + 109], '\\s+', ' ', 'g')) passage from conversations where strpos(text, 'a') > 0")
+def passages(spark, d):
+    """STR-13: 110 characters around a place, white space collapsed."""
+    df = read(spark, d, "conversations").withColumn("i", (F.instr("text", "a") - 1).cast("long")).where("i >= 0")
+    return df.select("conv_id", "turn", T.passage(F.col("text"), F.col("i")).alias("passage"))
+
+
+@query("select p_partkey, regexp_replace(p_brand || '.*', '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') escaped, list_aggregate(list_transform(string_split(p_type, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') title from part")
+def name_forms(spark, d):
+    """STR-06, STR-07."""
+    return read(spark, d, "part").select("p_partkey", T.regex_escape(F.concat("p_brand", F.lit(".*"))).alias("escaped"), T.title_case(F.col("p_type")).alias("title"))
+
+
+@query(f"""with {_BASE} select id capture_id, 'search' bucket, "domain" query from lines where outcome = 'cited' union all select id, 'shopping', "domain" from lines where outcome = 'fetched'""")
+def fanout_rows(spark, d):
+    """QRY-08, QRY-25, SET-03."""
+    of = lambda o: F.transform(F.filter("sources", lambda s: s["outcome"] == o), lambda s: F.struct(s["domain"].alias("query")))
+    none = F.filter(of("cited"), lambda x: F.lit(False))
+    return D.fanout_rows(responses(spark, d).withColumn("fanout", F.struct(of("cited").alias("search"), of("fetched").alias("shopping"), none.alias("image"))))
