@@ -59,12 +59,18 @@ def has_signal() -> Column:
     return (F.coalesce(F.length("user_prompt"), F.lit(0)) > 0) | size("fanout.search") | size("fanout.shopping") | size("fanout.image") | size("sources") | size("products") | size("places") | (F.coalesce(F.col("answer_chars"), F.lit(0)) > 0)
 
 
+def once(col: Column) -> Column:
+    """``col``, kept where it is computed: the optimizer would otherwise copy it into lambdas, per element, or below filters."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def presence(records: DataFrame, brands: list[Brand]) -> DataFrame:
     """``records`` with ``brands``: an array of one struct a tracked brand, in list order, with its rank in the response."""
     has_text = "answer_text" in records.columns
 
     def one(k: int, b: Brand) -> Column:
-        hit = F.get(F.filter("brand_mentions", lambda m: norm_name(m["brand"]) == norm_name(F.lit(b.name))), F.lit(0))
+        # The first mention of that name; position 0 (no such name) gets index -1, which is null.
+        hit = F.get("brand_mentions", (F.array_position("_names", norm_name(F.lit(b.name))) - 1).cast("int"))
         given = F.when(hit["first_index"] < NOT_LOCATED, hit["first_index"])
         at = F.coalesce(given, first_index(F.col("answer_text"), b.name)) if has_text else given
         own = lambda s: domain_matches(s["domain"], F.lit(b.domain))
@@ -74,10 +80,11 @@ def presence(records: DataFrame, brands: list[Brand]) -> DataFrame:
             F.coalesce(F.exists("sources", lambda s: own(s) & (s["outcome"] == "cited")), F.lit(False)).alias("cited"), F.coalesce(F.exists("sources", own), F.lit(False)).alias("any_source"),
         )
 
-    df = records.withColumn("brands", F.array(*[one(k, b) for k, b in enumerate(brands)]))
-    df = df.withColumn("_order", F.transform(F.array_sort(F.transform(F.filter("brands", lambda b: b["idx"].isNotNull()), lambda b: F.struct(b["idx"].alias("i"), b["brand_ord"].alias("o")))), lambda x: x["o"]))
+    df = records.withColumn("_names", once(F.coalesce(F.transform("brand_mentions", lambda m: norm_name(m["brand"])), F.array().cast("array<string>"))))
+    df = df.withColumn("brands", once(F.array(*[one(k, b) for k, b in enumerate(brands)])))
+    df = df.withColumn("_order", once(F.transform(F.array_sort(F.transform(F.filter("brands", lambda b: b["idx"].isNotNull()), lambda b: F.struct(b["idx"].alias("i"), b["brand_ord"].alias("o")))), lambda x: x["o"])))
     rank = lambda b: F.when(b["idx"].isNotNull(), F.array_position("_order", b["brand_ord"]))
-    return df.withColumn("brands", F.transform("brands", lambda b: b.withField("rank", rank(b)))).drop("_order")
+    return df.withColumn("brands", F.transform("brands", lambda b: b.withField("rank", rank(b)))).drop("_order", "_names")
 
 
 def brand_metrics(records: DataFrame, brands: list[Brand], by: dict[str, Column] | None = None) -> DataFrame:
