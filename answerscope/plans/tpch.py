@@ -31,7 +31,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     count = F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_quantity").cast("bigint"))
     line = F.struct(F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), F.col("s_name").alias("domain"), outcome(F.col("l_returnflag")).alias("outcome"), F.col("p_brand").alias("brand"), count.alias("count"))
-    nested = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    # Lists do not shrink by combining before the shuffle, so the lines are shuffled first and gathered once.
+    nested = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     df = read(spark, sf_dir, "orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     lines_ = F.coalesce(F.col("lines"), F.filter(F.array(F.lit(None).cast(nested.schema["lines"].dataType.elementType)), lambda x: F.lit(False)))
