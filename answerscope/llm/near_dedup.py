@@ -13,8 +13,8 @@
    Lists of one class are skipped.
 3. In each list, collisions over all coordinates are counted and classes with
    ``MATCHES`` or more are connected.  Only a spanning forest is made: the
-   classes outside the largest connected part are compared with all, so a large
-   group of near copies is gone through once, not in all pairs.  Lists of more
+   classes outside the part that is largest in the end are compared with all, so
+   a large group of near copies is gone through once, not in all pairs.  Lists of more
    than ``BLOCK`` classes are split into blocks that meet block by block.
 4. The connected candidates are confirmed on their full shingle sets, again
    component by component and in blocks, emitting a spanning forest of the
@@ -151,15 +151,22 @@ class _Forest:
         self.edges: list[tuple[int, int]] = []
 
     def connect_all(self, agrees, allowed=None) -> list[tuple[int, int]]:
-        """``agrees(x)``: which of all agree with x.  Those outside the largest part are compared with all; links into it are found from their other end."""
+        """``agrees(x)``: which of all agree with x.  Those outside the largest part are compared with all; links into it are found from their other end.
+
+        The largest part may be overtaken, so a row that was left out is looked at again until every row outside the last largest part has been compared.
+        """
         n = len(self.label)
-        if n:
-            first = np.flatnonzero(agrees(0) & (True if allowed is None else allowed(0)))
-            self._join(0, first)
-        for x in range(1, n):
-            if self.size[self.label[x]] == self.size.max() and self.label[x] == self.size.argmax():
-                continue
-            self._join(x, np.flatnonzero(agrees(x) & (True if allowed is None else allowed(x))))
+        left = np.arange(n)
+        while len(left):
+            skipped = []
+            for x in left.tolist():
+                if x and self.label[x] == self.size.argmax():
+                    skipped.append(x)
+                else:
+                    self._join(x, np.flatnonzero(agrees(x) & (True if allowed is None else allowed(x))))
+            left = np.array(skipped, np.int64)
+            if (self.label[left] == self.size.argmax()).all():
+                break
         return self.edges
 
     def _join(self, x: int, others: np.ndarray) -> None:

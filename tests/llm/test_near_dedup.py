@@ -1,6 +1,8 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from answerscope.llm import near_dedup
@@ -85,3 +87,24 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 201)} | {301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def parts_of(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        label = [label[a] if x == label[b] else x for x in label]
+    return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+
+@pytest.mark.parametrize("links", [[(0, 1), (1, 2), (2, 3), (3, 4)], [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)], [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5)], [(0, 1), (2, 3), (3, 4), (4, 5)]])
+@pytest.mark.parametrize("sides", [None, (0, 1, 0, 1, 0, 1)])
+def test_forest_finds_all_links_in_every_order(links, sides):
+    n = 1 + max(map(max, links))
+    links = [(a, b) for a, b in links if sides is None or sides[a] != sides[b]]
+    for order in itertools.permutations(range(n)):
+        near = np.eye(n, dtype=bool)
+        for a, b in links:
+            near[order[a], order[b]] = near[order[b], order[a]] = True
+        side = None if sides is None else np.array([sides[order.index(k)] for k in range(n)])
+        edges = near_dedup._Forest(n).connect_all(lambda x, near=near: near[x], None if side is None else lambda x, side=side: side != side[x])
+        assert all(near[e] for e in edges) and parts_of(n, edges) == parts_of(n, [(order[a], order[b]) for a, b in links]), order
