@@ -1,18 +1,18 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 1. Each text gets the set of its word shingles, a digest of the whole set and a
-   signature of ``COORDINATES`` MinHash values.  Texts with equal sets are one
+   signature of MinHash values (64; more below 13 %, see ``matching``).  Texts with equal sets are one
    class from here on, by a grouping on the digest that combines before the
    shuffle; a class of any number of copies is one row.
 2. Classes are posted under (coordinate, value) pairs.  A pair of classes at
-   the threshold agrees in ``MATCHES`` coordinates or more, except with a
-   probability under one in 5000, so it shares one of the ``COORDINATES -
-   MATCHES + 1`` first coordinates of either in any common order (prefix
-   filter).  The order is rarest first, by a fixed-size count sketch over all
+   the threshold agrees in ``matches`` coordinates or more, except with a
+   probability of at most ``MISS``, so it shares one of the ``coordinates -
+   matches + 1`` first coordinates of either in any common order (prefix
+   filter).  ``matching`` derives both numbers from the threshold.  The order is rarest first, by a fixed-size count sketch over all
    rows, so values that a large part of the corpus shares are not posted.
    Lists of one class are skipped.
 3. In each list, collisions over all coordinates are counted and classes with
-   ``MATCHES`` or more are connected.  Only a spanning forest is made: the
+   ``matches`` or more are connected.  Only a spanning forest is made: the
    classes outside the part that is largest in the end are compared with all, so
    a large group of near copies is gone through once, not in all pairs.  Lists of more
    than ``BLOCK`` classes are split into blocks that meet block by block.
@@ -33,6 +33,8 @@ smallest; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +45,12 @@ from pyspark.sql import functions as F
 from ._common import components, cut, small_batches
 from .pretokens import Cache
 
-COORDINATES, MATCHES = 64, 43
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 64
+#: Greatest probability that a pair exactly at the threshold is no candidate; pairs above it fail more rarely.
+MISS = 1 / 5000
 BLOCK = 4096
 SKETCH = 1 << 14
 
-_rng = np.random.Generator(np.random.PCG64(20240601))
-_MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
 
 
@@ -59,6 +59,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+@lru_cache(maxsize=8)
+def _hashes(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of the coordinates."""
+    rng = np.random.Generator(np.random.PCG64(20240601))
+    mul = rng.integers(1, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return mul, rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
+
+
+def miss(percent: int, coordinates: int, matches: int) -> float:
+    """Probability that a pair of similarity ``percent`` agrees in fewer than ``matches`` coordinates."""
+    p = percent / 100
+    return sum(comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k) for k in range(matches))
+
+
+@lru_cache(maxsize=128)
+def matching(percent: int) -> tuple[int, int]:
+    """Coordinates, and the most matches that can be asked for with a miss of at most ``MISS``."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    coordinates = COORDINATES
+    if miss(percent, coordinates, 1) > MISS:
+        coordinates = ceil(log(MISS) / log1p(-percent / 100))
+    matches = 1
+    while matches < coordinates and miss(percent, coordinates, matches + 1) <= MISS:
+        matches += 1
+    return coordinates, matches
+
+
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's word shingles; A-Z are lower-cased, words are split at ASCII white space."""
 
@@ -79,9 +107,10 @@ class Shingles:
         return np.unique(out)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, digest, sig`` (the coordinates as 32-bit integers; null without shingles).  No shuffle."""
     small_batches(docs.sparkSession, 256)
+    coordinates, _ = matching(percent)
 
     def run(batches):
         shingles = Shingles(words)
@@ -94,7 +123,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             if len(has):
                 x = np.concatenate([sets[k] for k in has])
                 starts = np.cumsum(n[has]) - n[has]
-                rows = np.stack([np.minimum.reduceat((x * m + a) >> np.uint64(32), starts) for m, a in zip(_MUL, _ADD, strict=True)], 1).astype("<u4")
+                rows = np.stack([np.minimum.reduceat((x * m + a) >> np.uint64(32), starts) for m, a in zip(*_hashes(coordinates), strict=True)], 1).astype("<u4")
                 for k, r in zip(has.tolist(), rows, strict=True):
                     sig[k] = r.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
@@ -104,8 +133,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 def _keys(batch_sigs) -> np.ndarray:
     """A 64-bit key of every coordinate and value: one row a signature."""
-    s = np.frombuffer(b"".join(batch_sigs), "<u4").reshape(-1, COORDINATES).astype(np.uint64)
-    return _mix((s << np.uint64(8)) + np.arange(COORDINATES, dtype=np.uint64))
+    s = np.frombuffer(b"".join(batch_sigs), "<u4").reshape(len(batch_sigs), -1).astype(np.uint64)
+    # The coordinate has 8 bits below the value, and its higher bits (more than 256 coordinates) lie above it.
+    k = np.arange(s.shape[1], dtype=np.uint64)
+    return _mix((s << np.uint64(8)) + (k & np.uint64(255)) + ((k >> np.uint64(8)) << np.uint64(40)))
 
 
 def _sketch(reps: DataFrame) -> np.ndarray:
@@ -125,8 +156,8 @@ def _sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """``key, rep``: each class under its PREFIX rarest keys."""
+def _postings(reps: DataFrame, sketch: np.ndarray, prefix: int) -> DataFrame:
+    """``key, rep``: each class under its ``prefix`` rarest keys."""
     shared = reps.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -135,8 +166,8 @@ def _postings(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
             if not b.num_rows:
                 continue
             keys = _keys(b.column(1).to_pylist())
-            order = np.lexsort((keys, count[(keys % np.uint64(SKETCH)).astype(np.int64)]), axis=1)[:, :PREFIX]
-            rep = np.repeat(b.column(0).to_numpy(), PREFIX)
+            order = np.lexsort((keys, count[(keys % np.uint64(SKETCH)).astype(np.int64)]), axis=1)[:, :prefix]
+            rep = np.repeat(b.column(0).to_numpy(), prefix)
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, 1).ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
@@ -219,8 +250,8 @@ def _allowed(t):
     return lambda x: side != side[x]
 
 
-def _candidates(multi: DataFrame) -> DataFrame:
-    """Spanning forests of the classes of each posting list that agree in MATCHES coordinates or more: ``a, b``."""
+def _candidates(multi: DataFrame, matches: int) -> DataFrame:
+    """Spanning forests of the classes of each posting list that agree in ``matches`` coordinates or more: ``a, b``."""
 
     def run(batches):
         for t in _groups(batches, 5):
@@ -229,8 +260,8 @@ def _candidates(multi: DataFrame) -> DataFrame:
                 continue
             rep = t.column("rep").to_numpy()
             # A coordinate's lowest byte stands for it: agreement is never missed, and chance adds a quarter of one match.
-            sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(n, COORDINATES)
-            edges = _Forest(n).connect_all(lambda x, sig=sig: (sig == sig[x]).sum(1) >= MATCHES, _allowed(t))
+            sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(n, -1)
+            edges = _Forest(n).connect_all(lambda x, sig=sig: (sig == sig[x]).sum(1) >= matches, _allowed(t))
             if edges:
                 e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], names=["a", "b"])
@@ -275,11 +306,12 @@ def links(docs: DataFrame, sigs: DataFrame, words: int, percent: int) -> tuple[D
     """Classes (``digest, rep, n_shingles, sig``) and a spanning forest of the confirmed links between them."""
     usable = sigs.where("doc_id is not null and n_shingles > 0")
     reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    posted = _postings(reps, _sketch(reps))
+    coordinates, matches = matching(percent)
+    posted = _postings(reps, _sketch(reps), coordinates - matches + 1)
     sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lowest = F.expr(f"aggregate(sequence(0, {COORDINATES - 1}), cast('' as binary), (x, k) -> x || substring(sig, 4 * k + 1, 1))")
+    lowest = F.expr(f"aggregate(sequence(0, {coordinates - 1}), cast('' as binary), (x, k) -> x || substring(sig, 4 * k + 1, 1))")
     multi = _in_blocks(posted, "key", "rep", sizes).join(reps.select("rep", lowest.alias("bytes")), "rep")
-    forest = components(_candidates(multi))
+    forest = components(_candidates(multi, matches))
     grouped = cut(forest.select("node", "component").union(forest.select("component", "component")).distinct().toDF("rep", "group"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(grouped, "rep")
@@ -289,7 +321,7 @@ def links(docs: DataFrame, sigs: DataFrame, words: int, percent: int) -> tuple[D
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``.  Links: 100 * intersection >= ``percent`` * union of the shingle sets."""
     docs = docs.select("doc_id", "text")
-    sigs = cut(signatures(docs, words))
+    sigs = cut(signatures(docs, words, percent))
     reps, edges = links(docs, sigs, words, percent)
     found = components(edges).toDF("rep", "component_id")
     of_class = reps.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))

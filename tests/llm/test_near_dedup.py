@@ -108,3 +108,25 @@ def test_forest_finds_all_links_in_every_order(links, sides):
         side = None if sides is None else np.array([sides[order.index(k)] for k in range(n)])
         edges = near_dedup._Forest(n).connect_all(lambda x, near=near: near[x], None if side is None else lambda x, side=side: side != side[x])
         assert all(near[e] for e in edges) and parts_of(n, edges) == parts_of(n, [(order[a], order[b]) for a, b in links]), order
+
+
+@pytest.mark.parametrize("percent", [1, 5, 12, 13, 30, 50, 70, 80, 85, 90, 99, 100])
+def test_matches_keep_the_miss_bound_at_every_threshold(percent):
+    coordinates, matches = near_dedup.matching(percent)
+    assert 1 <= matches <= coordinates
+    p = percent / 100
+    drawn = np.random.default_rng(3).binomial(coordinates, p, 400_000)
+    assert (drawn < matches).mean() <= 1 / 5000 + 4 * (1 / 5000 / 400_000) ** 0.5
+
+
+@pytest.mark.parametrize("percent", [8, 35, 80])
+def test_pairs_just_at_the_threshold_are_found(spark, percent):
+    """600 pairs of texts, each as little alike as the threshold allows."""
+    rows, shared = [], 400
+    rest = (shared * 100 // percent - shared) // 2
+    for k in range(600):
+        common = [f"c{k}x{j}" for j in range(shared)]
+        rows += [" ".join(common + [f"{side}{k}x{j}" for j in range(rest)]) for side in "ab"]
+    got = near(spark, list(enumerate(rows)), 1, percent)
+    missed = sum(got[2 * k + 1][1] != 2 * k for k in range(600))
+    assert missed <= 1, missed
