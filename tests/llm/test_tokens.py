@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -111,3 +112,32 @@ def test_search_exchanges_empty_a_bin():
     assert packing.local_search(Counter({(5, 3): 1, (4, 4): 1, (4,): 1}), 10).total() <= 3
     with pytest.raises(ValueError):
         packing.plan({11: 1}, 10)
+
+
+def helping(bins, capacity):
+    """A move, one-for-one or two-for-one exchange into the fuller of two bins that fits, by trying all."""
+    for a in bins:
+        for b in bins:
+            if sum(a) >= sum(b) and (a != b or bins[a] > 1):
+                out_b = [y for k in (1, 2) for y in itertools.combinations(b, k)]
+                for x in [(), *((x,) for x in a)]:
+                    for y in out_b:
+                        if 0 < sum(y) - sum(x) <= capacity - sum(a):
+                            return a, b, x, y
+    return None
+
+
+@pytest.mark.parametrize(("low", "high", "bins"), [(500, 1000, 600), (450, 700, 450), (400, 1200, 594)])
+def test_search_without_small_fillers_goes_through_all_bins(low, high, bins):
+    rng = random.Random(1)
+    histogram = Counter(rng.randint(low, high) for _ in range(1500))
+    best = packing.plan(dict(histogram), 2048)
+    assert Counter(x for c, n in best.items() for x in c * n) == histogram and max(map(sum, best)) <= 2048
+    assert best.total() <= bins and helping(best, 2048) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(3, 30), st.integers(1, 9), max_size=12))
+def test_search_ends_where_no_exchange_helps(histogram):
+    best = packing.plan(histogram, 30)
+    assert best.total() == -(-sum(x * n for x, n in histogram.items()) // 30) or helping(best, 30) is None
