@@ -82,6 +82,16 @@ def matrix(points: DataFrame, values: DataFrame, width: int) -> DataFrame:
     return df.select("prompt_key", "name", *cols).withColumn("delta", F.col(f"c{width}") - F.col("c1"))
 
 
+def matrix_rows(points: DataFrame, values: DataFrame) -> DataFrame:
+    """The matrix in long form, for any number of captures: a row for each name and capture of a prompt, absent as 0, with the change from first to last."""
+    at = points.select("prompt_key", "capture_id", "ordinal", "points")
+    of = values.select("capture_id", "name", "value")
+    names = at.select("prompt_key", "capture_id").join(of, "capture_id").select("prompt_key", "name").distinct()
+    moved = movement(points, values).select("prompt_key", "name", "delta")
+    df = names.join(at, "prompt_key").join(of, ["capture_id", "name"], "left").na.fill(0, ["value"])
+    return df.join(moved, ["prompt_key", "name"]).select("prompt_key", "name", "ordinal", "points", "value", "delta")
+
+
 def gained_lost(moved: DataFrame) -> DataFrame:
     return moved.where("(first = 0) <> (last = 0)").select("prompt_key", "name", F.when(F.col("first") == 0, "gained").otherwise("lost").alias("change"))
 

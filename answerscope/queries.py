@@ -217,6 +217,44 @@ def timeline_matrix(spark, d):
     return D.matrix(points.where("points = 3"), values, 3)
 
 
+# The four above look at prompts with a key under 200, and the matrix at those of three captures; these look at all.
+def _timeline_all(spark, d, values):
+    df = responses(spark, d)
+    return D.timelines(df), values(df)
+
+
+_POINTS_ALL = _POINTS.replace(" where prompt_id < 200", "")
+_BRAND_MOVE_ALL = _BRAND_MOVE.replace(" where prompt_id < 200", "")
+
+
+@query(f"with {_BRAND_MOVE_ALL} select *, last - first as delta from mv")
+def timeline_delta_all(spark, d):
+    """QRY-13, WIN-02, WIN-03, JON-12."""
+    return D.movement(*_timeline_all(spark, d, D.capture_brands))
+
+
+@query(f"with {_BRAND_MOVE_ALL} select prompt_key, name, case when first = 0 then 'gained' else 'lost' end change from mv where (first = 0) <> (last = 0)")
+def gained_lost_brands_all(spark, d):
+    """QRY-15, SET-01."""
+    return D.gained_lost(D.movement(*_timeline_all(spark, d, D.capture_brands)))
+
+
+@query(f"""with {_POINTS_ALL}, v as (select id, "domain" as name, count(*) v from lines group by all)
+select prompt_id prompt_key, name, cast(coalesce(sum(v) filter (k = 1), 0) as bigint) as first, cast(coalesce(sum(v) filter (k = n), 0) as bigint) as last,
+ cast(coalesce(sum(v) filter (k = n), 0) - coalesce(sum(v) filter (k = 1), 0) as bigint) as delta from pts join v using (id) where prompt_id is not null group by 1, 2""")
+def timeline_domains_all(spark, d):
+    """QRY-14, AGG-16."""
+    return D.movement(*_timeline_all(spark, d, D.capture_domains))
+
+
+@query(f"""with {_POINTS_ALL}, names as (select distinct prompt_id, brand from pts join ment using (id)),
+cells as (select p.prompt_id, x.brand, p.k, p.n, coalesce(m.cnt, 0) cnt from pts p join names x on p.prompt_id = x.prompt_id left join ment m on m.id = p.id and m.brand = x.brand)
+select prompt_id prompt_key, brand as name, k as ordinal, n as points, cast(cnt as bigint) as value, cast(sum(case when k = n then cnt else 0 end) over w - sum(case when k = 1 then cnt else 0 end) over w as bigint) as delta from cells window w as (partition by prompt_id, brand)""")
+def timeline_matrix_all(spark, d):
+    """QRY-13, SNK-11: the matrix in long form, for prompts of any number of captures."""
+    return D.matrix_rows(*_timeline_all(spark, d, D.capture_brands))
+
+
 @query("select o_custkey prompt_key, count(*) captures from orders group by 1 having count(*) > 1")
 def repeat_prompts(spark, d):
     """QRY-16, AGG-31."""

@@ -15,3 +15,12 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, sf_dir, con, name):
     oracle.compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
+
+
+def test_timelines_cover_all_prompts(spark, sf_dir, con):
+    """Prompts of any key and any number of captures."""
+    want = {r[0]: r[1] for r in con.execute("select o_custkey, count(distinct o_orderkey) from orders join lineitem on o_orderkey = l_orderkey where o_custkey in (select o_custkey from orders group by 1 having count(*) > 1) group by 1").fetchall()}
+    sizes = {r["prompt_key"]: r["points"] for r in QUERIES["timeline_matrix_all"](spark, sf_dir).select("prompt_key", "points").distinct().collect()}
+    assert set(sizes) == set(want) and len(set(sizes.values())) > 3
+    larger = QUERIES["timeline_delta_all"](spark, "/root/testdata/sf0.01").where("prompt_key >= 200").limit(1).collect()
+    assert larger
