@@ -386,6 +386,12 @@ def csv_escape(spark, d):
     return read(spark, d, "documents").where(F.length("text") < 400).select("doc_id", T.csv_cell(F.col("text")).alias("cell"))
 
 
+@query("""select doc_id, '"' || replace(case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else text end, '"', '""') || '"' cell from documents""")
+def csv_escape_all(spark, d):
+    """SNK-03: texts of any length."""
+    return read(spark, d, "documents").select("doc_id", T.csv_cell(F.col("text")).alias("cell"))
+
+
 @query("""with t as (select p_partkey, '| ' || p_name || ' | ' || p_brand || ' \\| ' || p_type || ' |' as line from part) select p_partkey, p_name as first_cell, 2 as n_cells from part""")
 def markdown_tables(spark, d):
     """TXT-04: an escaped pipe does not split a row."""
@@ -425,6 +431,16 @@ def bulk_add_dupes(spark, d):
     return bulk_add(part.where("p_partkey < 3"), part.where("p_partkey >= 100"), "p_partkey").select("p_partkey", "status")
 
 
+@query("""with x as (select p_partkey, lower(p_name) k from part where p_partkey % 2 = 1), old as (select distinct lower(p_name) k from part where p_partkey % 2 = 0)
+select p_partkey, case when k in (select k from old) or row_number() over (partition by k order by p_partkey) > 1 then 'duplicate' else 'added' end as status from x""")
+def bulk_add_dupes_all(spark, d):
+    """JON-07, DML-04: parts of even keys are the store, all others are new."""
+    from .store import bulk_add
+
+    part = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
+    return bulk_add(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), "p_partkey").select("p_partkey", "status")
+
+
 @query("select event_id from events order by ts desc, event_id desc limit 300")
 def retention_keep(spark, d):
     """STM-10, SRT-10."""

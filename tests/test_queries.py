@@ -24,3 +24,9 @@ def test_timelines_cover_all_prompts(spark, sf_dir, con):
     assert set(sizes) == set(want) and len(set(sizes.values())) > 3
     larger = QUERIES["timeline_delta_all"](spark, "/root/testdata/sf0.01").where("prompt_key >= 200").limit(1).collect()
     assert larger
+
+
+def test_cells_and_bulk_add_cover_all_rows(spark, sf_dir, con):
+    count = lambda sql: con.execute(sql).fetchone()[0]
+    assert QUERIES["csv_escape_all"](spark, sf_dir).count() == count("select count(*) from documents")
+    assert QUERIES["bulk_add_dupes_all"](spark, sf_dir).count() == count("select count(*) from part where p_partkey % 2 = 1")
