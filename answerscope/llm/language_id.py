@@ -179,6 +179,8 @@ def fit(docs: DataFrame, learn_from: Column, max_labelled: int = 3000) -> Model
 def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.34) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language: not ``und``, and its proportion at least ``min_score``.  No shuffle.
 
+    Proportions are shared out among the learned languages, so a text in a language that was not learned mostly stays, while one in
+    three or more learned languages of near equal parts goes; there is no likelihood floor.
     Without a model nothing is known of any language, and every row stays.
     """
     if model is None:
