@@ -18,30 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that very long texts do not add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what one Arrow batch holds, so that very long texts do not add up in a Python worker.
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows go to the shared checkpoint folder and survive a lost executor.
-
-    The session's ``spark.checkpoint.dir`` is used; a folder of our own is set
-    only where none is configured (single-machine tests).
+    The bound is only ever lowered, so a plan that runs later never gets larger batches than its operator asked for.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine serves a local session (as in tests); a cluster without one is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows go to the shared checkpoint folder and survive a lost executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def in_fold(col, modulus: int, remainder: int):
     """Fold of a row: crc32 of the id written as decimal text, modulo ``modulus``.  A null id is in no fold."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -58,7 +66,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     logarithmic number of rounds; each round is two shuffles of the edges and is
     cut into the shared checkpoint folder.  Nothing but one change counter comes
     to the driver.  Hot nodes only meet in ``min`` aggregates, which combine
-    before the shuffle, and in joins that AQE may split.
+    before the shuffle, and in joins that AQE may split.  Components that have
+    not settled after ``max_rounds`` are an error, never a partial result.
     """
     cur = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
@@ -77,5 +86,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         centre = nxt.join(nxt.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a").limit(1)
         cur = nxt
         if not chained.union(centre).head(1):
-            break
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"components have not settled in {max_rounds} rounds")

@@ -14,12 +14,20 @@
 3. In each list, collisions over all coordinates are counted and classes with
    ``matches`` or more are connected.  Only a spanning forest is made: the
    classes outside the part that is largest in the end are compared with all, so
-   a large group of near copies is gone through once, not in all pairs.  Lists of more
-   than ``BLOCK`` classes are split into blocks that meet block by block.
+   a large group of near copies is gone through once, not in all pairs.
 4. The connected candidates are confirmed on their full shingle sets, again
-   component by component and in blocks, emitting a spanning forest of the
-   links that hold.  Every pair of candidates is either confirmed, refuted, or
-   already connected.
+   component by component, emitting a spanning forest of the links that hold.
+   Every pair of candidates is either confirmed, refuted, or already connected.
+
+A group of steps 3 and 4 (a list, a component) that is larger than a block
+(``BLOCK`` rows or ``BLOCK_BYTES`` of texts) is not held in one task.  All its
+members are first compared with ``PIVOTS`` members, salted over as many tasks
+as the group has blocks.  Pivots that share a linked member are one part, and
+the members of the largest such part need no comparison with each other.  Only
+the rest is compared, block by block, with everything, so a group of near
+copies costs its size, and only members that no pivot of the main part is like
+cost more.
+
 5. Connected components of the confirmed links (iterative, checkpointed; no
    link comes to the driver).
 
@@ -48,7 +56,10 @@ from .pretokens import Cache
 COORDINATES = 64
 #: Greatest probability that a pair exactly at the threshold is no candidate; pairs above it fail more rarely.
 MISS = 1 / 5000
-BLOCK = 4096
+#: Rows, and bytes of text, that one side of a task holds.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Members of a large group that all others are compared with first.
+PIVOTS = 4
 SKETCH = 1 << 14
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
@@ -108,14 +119,15 @@ class Shingles:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig`` (the coordinates as 32-bit integers; null without shingles).  No shuffle."""
+    """``doc_id, n_shingles, n_bytes`` (about; of the text), ``digest, sig`` (the coordinates as 32-bit integers; null without shingles).  No shuffle."""
     small_batches(docs.sparkSession, 256)
     coordinates, _ = matching(percent)
 
     def run(batches):
         shingles = Shingles(words)
         for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            sets = [shingles(t) for t in texts]
             n = np.array([len(s) for s in sets], np.int64)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sig: list[bytes | None] = [None] * len(sets)
@@ -126,9 +138,10 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 rows = np.stack([np.minimum.reduceat((x * m + a) >> np.uint64(32), starts) for m, a in zip(*_hashes(coordinates), strict=True)], 1).astype("<u4")
                 for k, r in zip(has.tolist(), rows, strict=True):
                     sig[k] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+            size = pa.array([len(t or "") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), size, pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "n_bytes", "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, n_bytes long, digest binary, sig binary")
 
 
 def _keys(batch_sigs) -> np.ndarray:
@@ -157,7 +170,7 @@ def _sketch(reps: DataFrame) -> np.ndarray:
 
 
 def _postings(reps: DataFrame, sketch: np.ndarray, prefix: int) -> DataFrame:
-    """``key, rep``: each class under its ``prefix`` rarest keys."""
+    """``grp, rep``: each class under its ``prefix`` rarest keys."""
     shared = reps.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -168,18 +181,23 @@ def _postings(reps: DataFrame, sketch: np.ndarray, prefix: int) -> DataFrame:
             keys = _keys(b.column(1).to_pylist())
             order = np.lexsort((keys, count[(keys % np.uint64(SKETCH)).astype(np.int64)]), axis=1)[:, :prefix]
             rep = np.repeat(b.column(0).to_numpy(), prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, 1).ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, 1).ravel().view(np.int64)), pa.array(rep)], names=["grp", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(run, "grp long, rep long")
 
 
 class _Forest:
     """Union-find over 0..n-1 by labels; keeps the edges that connected something."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, joined: np.ndarray | None = None):
+        """joined: which rows are one part already."""
         self.label = np.arange(n)
         self.size = np.ones(n, np.int64)
         self.edges: list[tuple[int, int]] = []
+        if joined is not None and joined.any():
+            self.size[joined] = 0
+            self.label[joined] = joined.argmax()
+            self.size[joined.argmax()] = joined.sum()
 
     def connect_all(self, agrees, allowed=None) -> list[tuple[int, int]]:
         """``agrees(x)``: which of all agree with x.  Those outside the largest part are compared with all; links into it are found from their other end.
@@ -232,90 +250,154 @@ def _groups(batches, columns: int):
         yield held
 
 
-def _in_blocks(df: DataFrame, group: str, member: str, sizes: DataFrame) -> DataFrame:
-    """Adds ``task`` and ``side``: groups of up to BLOCK members are one task; of larger ones, each two blocks meet in a task of their own."""
-    df = df.join(sizes, group)
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    df = df.withColumn("blocks", n).withColumn("side", F.pmod(F.xxhash64(member, F.lit("block")), F.col("blocks")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    return df.withColumn("task", F.when(F.col("blocks") == 1, F.col(group)).otherwise(F.xxhash64(group, low, high))).withColumn("cross", F.col("blocks") > 1).drop("blocks", "n", "other")
+def _bits(payload: list[bytes], matches: int):
+    """``agrees`` of coordinate bytes.
+
+    A coordinate's lowest byte stands for it: agreement is never missed, and chance adds a quarter of one match.
+    """
+    sig = np.frombuffer(b"".join(payload), np.uint8).reshape(len(payload), -1)
+    return lambda x: (sig == sig[x]).sum(1) >= matches
+
+
+def _full_sets(payload: list[str], shingles: Shingles, percent: int):
+    """``agrees`` of whole texts, by inverted lists of their shingles."""
+    n = len(payload)
+    sets = [shingles(x) for x in payload]
+    size = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
 
+    def agrees(x):
+        lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+        count = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+        both = np.bincount(owner[at], minlength=n)
+        return 100 * both >= percent * (size + size[x] - both)
 
-def _allowed(t):
-    """In a task of two blocks, only pairs across them; a block with itself is a task of one side."""
-    side = t.column("side").to_numpy()
-    if not t.column("cross")[0].as_py() or (side == side[0]).all():
-        return None
-    return lambda x: side != side[x]
+    return agrees
 
 
-def _candidates(multi: DataFrame, matches: int) -> DataFrame:
-    """Spanning forests of the classes of each posting list that agree in ``matches`` coordinates or more: ``a, b``."""
+def _compare(tasks: DataFrame, likeness) -> DataFrame:
+    """``a, b``: a spanning forest of the links inside each task of ``task, rep, payload, side, cross, joined``.
+
+    Where ``cross`` holds, only rows of different sides are compared; ``joined`` rows are connected already.
+    """
 
     def run(batches):
-        for t in _groups(batches, 5):
+        make = likeness()
+        for t in _groups(batches, 6):
             n = t.num_rows
             if n < 2:
                 continue
-            rep = t.column("rep").to_numpy()
-            # A coordinate's lowest byte stands for it: agreement is never missed, and chance adds a quarter of one match.
-            sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(n, -1)
-            edges = _Forest(n).connect_all(lambda x, sig=sig: (sig == sig[x]).sum(1) >= matches, _allowed(t))
+            rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
+            across = t.column("cross")[0].as_py() and not (side == side[0]).all()
+            forest = _Forest(n, t.column("joined").to_numpy() if across else None)
+            edges = forest.connect_all(make(t.column("payload").to_pylist()), (lambda x, side=side: side != side[x]) if across else None)
             if edges:
                 e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], names=["a", "b"])
 
-    return multi.select("task", "rep", "bytes", "side", "cross").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return tasks.select("task", "rep", "payload", "side", "cross", "joined").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(grouped: DataFrame, words: int, percent: int) -> DataFrame:
-    """Spanning forests of the links that hold on the full sets, within each candidate component: ``a, b``."""
+def _near_pivots(members: DataFrame, likeness) -> DataFrame:
+    """``grp, rep, near`` (the pivots that the member is like) of every member of a large group."""
+    picked = members.groupBy("grp", "blocks").agg(*[F.min_by(F.struct("rep", "payload"), F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = picked.select("grp", "blocks", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    # A copy of the pivots for every salt: as many rows as the group has blocks.
+    sent = pivots.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("p.rep").alias("rep"), F.col("p.payload").alias("payload"), F.lit(True).alias("pivot"))
+    own = members.select("grp", F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("blocks")).cast("int").alias("salt"), "rep", "payload", F.lit(False).alias("pivot"))
 
     def run(batches):
-        shingles = Shingles(words)
+        make = likeness()
         for t in _groups(batches, 5):
-            n = t.num_rows
-            if n < 2:
-                continue
-            rep = t.column("rep").to_numpy()
-            sets = [shingles(x) for x in t.column("text").to_pylist()]
-            size = np.array([len(s) for s in sets], np.int64)
-            # Inverted lists of the group's shingles.
-            every = np.concatenate(sets)
-            owner = np.repeat(np.arange(n), size)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-
-            def agrees(x, every=every, owner=owner, size=size, sets=sets, n=n):
-                lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
-                count = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-                both = np.bincount(owner[at], minlength=n)
-                return 100 * both >= percent * (size + size[x] - both)
-
-            edges = _Forest(n).connect_all(agrees, _allowed(t))
-            if edges:
-                e = np.array(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], names=["a", "b"])
+            pivot, rep = t.column("pivot").to_numpy(), t.column("rep").to_numpy()
+            agrees = make(t.column("payload").to_pylist())
+            near: list[list[int]] = [[] for _ in rep]
+            for x in np.flatnonzero(pivot).tolist():
+                for k in np.flatnonzero(agrees(x) & ~pivot).tolist():
+                    near[k].append(int(rep[x]))
+            own = np.flatnonzero(~pivot)
+            yield pa.RecordBatch.from_arrays([t.column("grp").take(pa.array(own)).combine_chunks(), pa.array(rep[own]), pa.array([sorted(near[k]) for k in own.tolist()], pa.list_(pa.int64()))], names=["grp", "rep", "near"])
+
+    both = sent.unionByName(own).withColumn("task", F.xxhash64("grp", "salt"))
+    return both.select("task", "grp", "rep", "payload", "pivot").repartition("task").sortWithinPartitions("task").mapInArrow(run, "grp long, rep long, near array<long>")
 
-    return grouped.select("task", "rep", "text", "side", "cross").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+def _main_part(near: DataFrame) -> DataFrame:
+    """``grp, main``: the pivots of the part that holds most members.  At most 2 ** PIVOTS rows a group are gathered."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for seen in b.column(1).to_pylist():
+                parts: list[tuple[set[int], int]] = []
+                for s in seen:
+                    pivots, n = set(s["near"]), s["n"]
+                    for p in [p for p in parts if p[0] & pivots]:
+                        parts.remove(p)
+                        pivots, n = pivots | p[0], n + p[1]
+                    parts.append((pivots, n))
+                out.append(sorted(max(parts, key=lambda p: (p[1], sorted(p[0])))[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["grp", "main"])
+
+    kinds = near.where(F.size("near") > 0).groupBy("grp", "near").agg(F.count("*").alias("n"))
+    return kinds.groupBy("grp").agg(F.collect_list(F.struct("near", "n")).alias("seen")).mapInArrow(run, "grp long, main array<long>")
+
+
+def _forest(members: DataFrame, sizes: DataFrame, likeness, long_payload: bool) -> DataFrame:
+    """``a, b``: spanning forests of the links within each group of ``members(grp, rep, payload)``; ``sizes(grp, blocks)`` names the groups of two or more."""
+    sizes = cut(sizes)
+    known = members.join(sizes, "grp")
+    plain = known.where("blocks = 1").select(F.col("grp").alias("task"), "rep", "payload", F.lit(0).alias("side"), F.lit(False).alias("cross"), F.lit(False).alias("joined"))
+    found = _compare(plain, likeness)
+    if not sizes.where("blocks > 1").head(1):
+        return found
+    large = known.where("blocks > 1")
+    near = cut(_near_pivots(large, likeness))
+    stars = near.select(F.col("rep").alias("a"), F.explode("near").alias("b"))
+    told = near.join(_main_part(near), "grp", "left").select("grp", "rep", F.coalesce(F.arrays_overlap("near", "main"), F.lit(False)).alias("joined"))
+    placed = large.join(told, ["grp", "rep"])
+    rest = placed.where("not joined")
+    count = F.ceil(F.count("*") / BLOCK)
+    if long_payload:
+        count = F.greatest(count, F.ceil(F.sum(F.length("payload")) / BLOCK_BYTES))
+    left = rest.groupBy("grp").agg(count.cast("int").alias("rests"))
+    # Sides 0 .. rests - 1 hold the rest; the blocks of the joined members follow.
+    placed = placed.join(left, "grp")
+    h = F.xxhash64("rep", F.lit("block"))
+    side = F.when(F.col("joined"), F.col("rests") + F.pmod(h, F.col("blocks"))).otherwise(F.pmod(h, F.col("rests"))).cast("int")
+    placed = placed.withColumn("side", side)
+    # Joined members meet the rest only; each block of the rest meets itself, the others and all joined ones.
+    last = F.when(F.col("joined"), F.col("rests") - 1).otherwise(F.col("rests") + F.col("blocks") - 1)
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    met = met.withColumn("task", F.xxhash64("grp", F.least("side", "other"), F.greatest("side", "other"))).withColumn("cross", F.lit(True))
+    return found.unionByName(stars).unionByName(_compare(met, likeness))
 
 
 def links(docs: DataFrame, sigs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes (``digest, rep, n_shingles, sig``) and a spanning forest of the confirmed links between them."""
+    """Classes (``digest, rep, sig, n_bytes``) and a spanning forest of the confirmed links between them."""
     usable = sigs.where("doc_id is not null and n_shingles > 0")
-    reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.min_by("n_bytes", "doc_id").alias("n_bytes")))
     coordinates, matches = matching(percent)
     posted = _postings(reps, _sketch(reps), coordinates - matches + 1)
-    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = posted.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     lowest = F.expr(f"aggregate(sequence(0, {coordinates - 1}), cast('' as binary), (x, k) -> x || substring(sig, 4 * k + 1, 1))")
-    multi = _in_blocks(posted, "key", "rep", sizes).join(reps.select("rep", lowest.alias("bytes")), "rep")
-    forest = components(_candidates(multi, matches))
-    grouped = cut(forest.select("node", "component").union(forest.select("component", "component")).distinct().toDF("rep", "group"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(grouped, "rep")
-    return reps, _confirmed(_in_blocks(texts, "group", "rep", sizes), words, percent)
+    # The coordinates join last, so that lists of one class are gone by then.
+    listed = posted.join(sizes.select("grp"), "grp").join(reps.select("rep", lowest.alias("payload")), "rep")
+    forest = components(_forest(listed, sizes, lambda: lambda payload: _bits(payload, matches), False))
+    grouped = cut(forest.select("node", "component").union(forest.select("component", "component")).distinct().toDF("rep", "grp"))
+    bytes_of = grouped.join(reps.groupBy("rep").agg(F.max("n_bytes").alias("n_bytes")), "rep")
+    sizes = bytes_of.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("payload")).join(grouped, "rep")
+
+    def by_sets():
+        shingles = Shingles(words)
+        return lambda payload: _full_sets(payload, shingles, percent)
+
+    return reps, _forest(texts, sizes, by_sets, True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

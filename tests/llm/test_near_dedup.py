@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from answerscope.llm import near_dedup
 from answerscope.llm._common import components
@@ -66,11 +68,35 @@ def test_equals_brute_force(spark, corpus, words, percent):
     assert near(spark, corpus, words, percent) == brute(corpus, words, percent)
 
 
-def test_large_groups_are_split_into_blocks(spark, corpus, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize(("block", "size"), [(16, 8 << 20), (512, 4000)])
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_large_groups_are_split_into_blocks(spark, corpus, monkeypatch, block, size, pivots):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     assert near(spark, corpus, 3, 85) == brute(corpus, 3, 85)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+@pytest.mark.parametrize("block", [512, 4])
+def test_chains_of_twelve(spark, monkeypatch, words, percent, block):
+    """150 chains whose neighbours are just alike, in a random order of rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        t = [str(rng.randrange(10**6)) for _ in range(120)]
+        for _ in range(12):
+            t = list(t)
+            t[rng.randrange(20, 100)] = str(rng.randrange(10**6))
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows, words, percent)
+    got = near(spark, rows, words, percent)
+    assert got == want and len({c for _, c in want.values()}) == 150
+
+
 def test_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd, 3, 85).collect()
     assert len(got) == odd.count() and near_dedup.near_duplicates(empty, 3, 85).count() == 0
@@ -110,6 +136,21 @@ def test_forest_finds_all_links_in_every_order(links, sides):
         assert all(near[e] for e in edges) and parts_of(n, edges) == parts_of(n, [(order[a], order[b]) for a, b in links]), order
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 14).flatmap(lambda n: st.tuples(st.just(n), st.sets(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=2 * n), st.lists(st.booleans(), min_size=n, max_size=n))))
+def test_forest_equals_union_find(case):
+    """Random graphs in random orders; also with rows that are one part already."""
+    n, links, joined = case
+    near = np.eye(n, dtype=bool)
+    for a, b in links:
+        near[a, b] = near[b, a] = True
+    assert parts_of(n, near_dedup._Forest(n).connect_all(lambda x: near[x])) == parts_of(n, links)
+    one = np.array(joined)
+    known = [(int(one.argmax()), k) for k in np.flatnonzero(one).tolist()]
+    edges = near_dedup._Forest(n, one).connect_all(lambda x: near[x], lambda x: one != one[x])
+    assert parts_of(n, edges + known) == parts_of(n, known + [(a, b) for a, b in links if one[a] != one[b]])
+
+
 @pytest.mark.parametrize("percent", [1, 5, 12, 13, 30, 50, 70, 80, 85, 90, 99, 100])
 def test_matches_keep_the_miss_bound_at_every_threshold(percent):
     coordinates, matches = near_dedup.matching(percent)
