@@ -27,8 +27,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # The rank file holds the vocabulary of byte_bpe_50k.json; tests compare the ids of both.
-    found = packing.pieces(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, 2048)
+    found = packing.pieces(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, 2048)
     return packing.pack(found, 2048)
 
 

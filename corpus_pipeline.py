@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     import public_tokenizers as vocabularies
 
-    found = packing.pieces(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, SEQUENCE_TOKENS)
+    found = packing.pieces(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, SEQUENCE_TOKENS)
     return packing.pack(found, SEQUENCE_TOKENS)
 
 

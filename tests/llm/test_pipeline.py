@@ -23,7 +23,7 @@ def test_pipeline_equals_stagewise_brute_force(spark, small):
     assert {r["doc_id"] for r in got} == stay
     total = sum(r["length"] for r in got)
     assert check_packed(got, 2048) <= int(np.ceil(total / 2048)) + 2
-    enc = packing._tokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    assert total == sum(len(enc.encode_ordinary(t or "")) + 1 for i, t in rows if i in stay)
+    enc = packing.tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert total == sum(len(enc.encode(t or "")) + 1 for i, t in rows if i in stay)
     clean = labels.where("quality = 1 and toxic = 0").join(docs.where(F.length("text") > 1000), "doc_id").select("doc_id").collect()
     assert np.mean([verdicts[r["doc_id"]] for r in clean]) > 0.95
