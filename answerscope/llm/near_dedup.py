@@ -57,7 +57,7 @@ COORDINATES = 64
 #: Greatest probability that a pair exactly at the threshold is no candidate; pairs above it fail more rarely.
 MISS = 1 / 5000
 #: Rows, and bytes of text, that one side of a task holds.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Members of a large group that all others are compared with first.
 PIVOTS = 4
 SKETCH = 1 << 14
@@ -351,9 +351,12 @@ def _forest(members: DataFrame, sizes: DataFrame, likeness, long_payload: bool)
     """``a, b``: spanning forests of the links within each group of ``members(grp, rep, payload)``; ``sizes(grp, blocks)`` names the groups of two or more."""
     sizes = cut(sizes)
     known = members.join(sizes, "grp")
+    split = bool(sizes.where("blocks > 1").head(1))
+    if split:
+        known = cut(known)  # read several times
     plain = known.where("blocks = 1").select(F.col("grp").alias("task"), "rep", "payload", F.lit(0).alias("side"), F.lit(False).alias("cross"), F.lit(False).alias("joined"))
     found = _compare(plain, likeness)
-    if not sizes.where("blocks > 1").head(1):
+    if not split:
         return found
     large = known.where("blocks > 1")
     near = cut(_near_pivots(large, likeness))
