@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,18 +35,35 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert [e[0] for s in slots for e in s] == ["b"]
 
 
-def test_fingerprints_equal_brute_force(odd, empty):
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = []
+def in_next_order(df):
+    return sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+
+
+def edited_rows(rows):
     for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
-        e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
-        c = fingerprints.canonical
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.digest(c(t)), fingerprints.digest(c(e)), float(c(t) == c(e)), float(c(t) == c(u))))
+        yield i, t, u, t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+
+
+def test_fingerprints_equal_brute_force(odd, empty):
+    c = fingerprints.canonical
+    rows = in_next_order(odd)
+    groups = Counter(c(t) for _, t in rows)
+    smallest = {f: min((i for i, t in rows if c(t) == f and i is not None), default=None) for f in groups}
+    want = [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.digest(c(t)), fingerprints.digest(c(e)), float(c(t) == c(e)), float(c(t) == c(u)), smallest[c(t)], groups[c(t)]) for i, t, u, e in edited_rows(rows)]
     for ranges in (1, 3, 9):
         assert sorted(map(tuple, fingerprints.fingerprints(odd, ranges).collect()), key=repr) == sorted(want, key=repr)
     assert fingerprints.fingerprints(empty).count() == 0
     one = fingerprints.fingerprints(odd.where("doc_id = 11")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+    with pytest.raises(TypeError):
+        fingerprints.fingerprints(odd.withColumn("doc_id", F.lit("x")))
+
+
+def test_op9_equals_brute_force_on_the_whole_table(spark, small):
+    c, d = fingerprints.canonical, fingerprints.digest
+    rows = in_next_order(spark.read.parquet(f"{small}/documents.parquet"))
+    want = {i: (len(t), hashlib.sha256(e.encode()).hexdigest(), d(c(t)), d(c(e)), float(c(t) == c(e)), float(c(t) == c(u))) for i, t, u, e in edited_rows(rows)}
+    assert {r[0]: tuple(r)[1:7] for r in QUERIES["op9_fingerprints"](spark, small).collect()} == want
 
 
 def test_canonical_form_and_groups(spark, odd):
@@ -54,15 +72,23 @@ def test_canonical_form_and_groups(spark, odd):
     assert got[1] == got[2] == (1, 2) and got[3] == (3, 1) and got[4] == got[5] == got[6] == (4, 3)
 
 
-def test_equal_digests_are_told_apart(spark, odd, monkeypatch):
-    """Bytes decide inside a bucket: with a digest that always collides, groups are the same."""
+@pytest.mark.parametrize("broadcast_rows", [0, 400_000])
+def test_equal_digests_are_told_apart(odd, monkeypatch, broadcast_rows):
+    """With digests of two values nearly all forms clash, and bytes still decide."""
+    monkeypatch.setattr(fingerprints, "BROADCAST_ROWS", broadcast_rows)
+    colliding = lambda form: str(len(form) % 2)
+    c = fingerprints.canonical
     want = {r["doc_id"]: r["group_id"] for r in fingerprints.group_copies(odd).collect()}
-    monkeypatch.setattr(fingerprints, "digest", lambda form: "same")
-    # cloudpickle sends the module's function by name, so patch what the task closes over by running in this process.
-    forms = {}
-    for r in odd.select("doc_id", "text").collect():
-        forms.setdefault(fingerprints.canonical(r["text"] or ""), []).append(r["doc_id"])
-    assert {i: min((x for x in ids if x is not None), default=None) for ids in forms.values() for i in ids} == want
+    assert {r["doc_id"]: r["group_id"] for r in fingerprints.group_copies(odd, colliding).collect()} == want
+    got = fingerprints.fingerprints(odd, 3, colliding).collect()
+    assert len(got) == odd.count() and {r["doc_id"]: r["group_id"] for r in got} == want
+    form_of, name_of = {}, {}
+    rows = list(edited_rows(in_next_order(odd)))
+    for r in got:
+        i, t, u, e = next(x for x in rows if x[0] == r["doc_id"] and hashlib.sha256(x[3].encode()).hexdigest() == r["edited_sha256"])
+        for name, form in ((r["fingerprint"], c(t)), (r["edited_fingerprint"], c(e))):
+            assert form_of.setdefault(name, form) == form and name_of.setdefault(form, name) == name
+        assert r["near_edited"] == float(r["fingerprint"] == r["edited_fingerprint"]) == float(c(t) == c(e)) and r["near_next"] == float(c(t) == c(u))
 
 
 def test_shard_store(spark, odd, empty, tmp_path):
