@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, toxicity, url_filters
-from ._common import in_fold, shared_dir, table
+from ._common import cut, in_fold, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact()
     store.vacuum()
     born = F.regexp_extract(F.input_file_name(), r"/data/(\d+)-", 1).cast("int")
-    return store.read().select("doc_id", "n_chars", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), born.alias("born"))
+    # Numbers only are kept, so that the store need not stay behind.
+    out = cut(store.read().select("doc_id", "n_chars", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), born.alias("born")))
+    store.drop()
+    return out
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

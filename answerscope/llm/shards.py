@@ -6,16 +6,22 @@ nothing is shuffled).  Compaction looks only at the sizes in the manifest:
 shards smaller than the target are dealt into tiers by the logarithm of their
 size, and when a tier has ``fan_in`` of them or more they are merged into files
 of about the target size, until no tier is full.  A merge reads and rewrites
-its shards without a shuffle.  Each change writes the next manifest to a
-temporary name and renames it to ``v<n>.json``, which fails if another writer
-has already taken that version; readers see the old or the new set of shards,
-never a mix.  Shards that no manifest names are harmless leftovers of writers
-that failed.  The manifest has one entry a file; at the target size that is
-about 8000 entries a terabyte.
+its shards without a shuffle.
+
+A version is one small file ``v<n>.json`` that lists immutable manifest parts
+of up to ``PART`` shards each; a change writes only the parts that it touches.
+The version file is written under a temporary name and then moved to a name
+that must not exist yet, in one step of the file system (a hard link on a local
+one, a rename without overwriting elsewhere).  Of two writers of one version the
+second gets ``Conflict``, reads the newer version and commits its change on top
+of that: an append is never lost, and a merge whose shards are gone by then is
+given up.  Readers see the old or the new set of shards, never a mix.  Shards
+and parts that no version names are harmless leftovers of writers that failed.
 
 Defined cases: an empty arrival commits a version with no new shard; nulls,
-repeated rows and extra columns are stored as they are; a store without any
-version has none to read; the first arrival fixes the schema.
+repeated rows and extra columns (any names) are stored as they are; a store
+without any version has none to read; the first arrival fixes the schema; very
+long texts are part of their row, so a shard holds one row at least.
 """
 
 from __future__ import annotations
@@ -23,12 +29,17 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Shards that one manifest part lists.
+PART = 10_000
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -48,41 +59,87 @@ class ShardStore:
         self.spark, self.root, self.target, self.fan_in, self.base = spark, root.rstrip("/"), target, fan_in, base
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
 
-    # -- manifests ---------------------------------------------------------
+    # -- files -------------------------------------------------------------
     def _list(self, path: str) -> list[tuple[str, int]]:
         p = self._path(path)
         if not self._fs.exists(p):
             return []
         return sorted((s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(p))
 
-    def versions(self) -> list[int]:
-        names = [p.rsplit("/", 1)[1] for p, _ in self._list(f"{self.root}/manifest")]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
-
-    def shards(self, version: int | None = None) -> list[Shard]:
-        have = self.versions()
-        if not have:
-            return []
-        stream = self._fs.open(self._path(f"{self.root}/manifest/v{have[-1] if version is None else version}.json"))
+    def _read(self, path: str):
+        stream = self._fs.open(self._path(path))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, version: int, shards: list[Shard]) -> None:
-        """Atomic: a rename that does not overwrite."""
-        final, temp = self._path(f"{self.root}/manifest/v{version}.json"), self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
-        out = self._fs.create(temp, False)
+    def _put(self, path: str, what) -> None:
+        out = self._fs.create(self._path(path), False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray(json.dumps(what).encode()))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
-            raise Conflict(f"version {version} exists")
+
+    def _claim(self, temp: str, final: str) -> None:
+        """Moves ``temp`` to ``final``, which must not exist; the file system decides between two writers."""
+        try:
+            if self._fs.getScheme() == "file":
+                at = lambda p: self._jvm.java.nio.file.Paths.get(self._path(p).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
+                self._jvm.java.nio.file.Files.createLink(at(final), at(temp))
+                self._fs.delete(self._path(temp), False)
+            else:
+                rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                how = self.spark.sparkContext._gateway.new_array(rename, 1)
+                how[0] = rename.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf).rename(self._path(temp), self._path(final), how)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(temp), False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"{final} exists") from None
+            raise
+
+    # -- manifests ---------------------------------------------------------
+    def versions(self) -> list[int]:
+        names = [p.rsplit("/", 1)[1] for p, _ in self._list(f"{self.root}/manifest")]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+    def latest(self) -> int:
+        """The newest version; 0 where there is none."""
+        return (self.versions() or [0])[-1]
+
+    def parts(self, version: int) -> list[str]:
+        """The manifest parts of a version."""
+        return self._read(f"{self.root}/manifest/v{version}.json")["parts"] if version else []
+
+    def _part(self, name: str) -> list[Shard]:
+        return [Shard(**x) for x in self._read(f"{self.root}/manifest/{name}")]
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [s for p in self.parts(self.latest() if version is None else version) for s in self._part(p)]
+
+    def commit(self, version: int, gone: set[Shard], new: list[Shard]) -> None:
+        """Commits ``version`` as the one before it without the shards ``gone`` and with the ``new`` ones, or raises ``Conflict``.
+
+        Parts without a shard that goes are kept by name; the last one takes new shards while it is not full.
+        """
+        kept: list[str] = []
+        old = self.parts(version - 1)
+        for k, name in enumerate(old):
+            own = self._part(name) if gone or k == len(old) - 1 else None
+            if own is None or (not gone.intersection(own) and (k < len(old) - 1 or len(own) >= PART or not new)):
+                kept.append(name)
+            else:
+                new = [s for s in own if s not in gone] + new
+        for at in range(0, len(new), PART):
+            name = f"p-{uuid.uuid4().hex}.json"
+            self._put(f"{self.root}/manifest/{name}", [asdict(s) for s in new[at : at + PART]])
+            kept.append(name)
+        temp = f"{self.root}/manifest/.{uuid.uuid4().hex}"
+        self._put(temp, {"version": version, "parts": kept})
+        self._claim(temp, f"{self.root}/manifest/v{version}.json")
 
     # -- writing -----------------------------------------------------------
     def tier_of(self, size: int) -> int:
@@ -97,9 +154,15 @@ class ShardStore:
         return [Shard(p, n, self.tier_of(n), version) for p, n in self._list(folder) if p.endswith(".parquet") and "/part-" in p]
 
     def append(self, arrival: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        self.commit(version, self.shards() + self._write(arrival, version))
-        return version
+        """The version that added the arrival."""
+        new = self._write(arrival, self.latest() + 1)
+        while True:
+            version = self.latest() + 1
+            try:
+                self.commit(version, set(), [replace(s, born=version) for s in new])
+                return version
+            except Conflict:
+                continue  # on top of what the other writer committed
 
     def _full_tier(self, shards: list[Shard]) -> list[Shard]:
         """The shards of the lowest tier that has enough to merge."""
@@ -112,16 +175,22 @@ class ShardStore:
     def compact(self) -> list[int]:
         """Merges until no tier below the full one holds ``fan_in`` shards; the versions that this made."""
         made = []
-        while run := self._full_tier(shards := self.shards()):
-            version = self.versions()[-1] + 1
+        while run := self._full_tier(self.shards(base := self.latest())):
             files = max(1, round(sum(s.size for s in run) / self.target))
             if files >= len(run):
                 break  # as large as they can get at this target
-            merged = self._write(self.spark.read.parquet(*[s.path for s in run]).coalesce(files), version)
+            merged = self._write(self.spark.read.parquet(*[s.path for s in run]).coalesce(files), base + 1)
             # What was merged counts as one tier up at least, so that uneven outputs end the loop.
-            up = [Shard(m.path, m.size, max(m.tier, run[0].tier + 1), version) for m in merged]
-            self.commit(version, [s for s in shards if s not in set(run)] + up)
-            made.append(version)
+            up = [replace(m, tier=max(m.tier, run[0].tier + 1)) for m in merged]
+            while True:
+                try:
+                    self.commit(base + 1, set(run), [replace(m, born=base + 1) for m in up])
+                    made.append(base + 1)
+                    break
+                except Conflict:
+                    base = self.latest()
+                    if not set(run) <= set(self.shards(base)):
+                        break  # another compaction has merged them
         return made
 
     def vacuum(self) -> int:
@@ -133,6 +202,10 @@ class ShardStore:
                     gone += bool(self._fs.delete(self._path(path), False))
         return gone
 
+    def drop(self) -> None:
+        """Deletes the store."""
+        self._fs.delete(self._path(self.root), True)
+
     # -- reading -----------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
         paths = [s.path for s in self.shards(version)]
