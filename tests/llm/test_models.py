@@ -24,6 +24,31 @@ def test_toxicity_held_out(spark, tmp_path):
     assert got["score"].between(0, 1).all()
 
 
+def test_kneser_ney_equals_hand_computed_probabilities():
+    """Two units a and b; the ratios are those of the interpolated formula, written out."""
+    size, words = 4, {"a": 2, "b": 3}
+    pair = np.array([1 * size + 2, 2 * size + 3, 3 * size + 2])
+    counts = np.array([[2.0, 1.0], [4.0, 0.0], [1.0, 3.0]])
+    types = np.array([[0, 0], [0, 0], [2, 2], [1, 0]], float)
+    of = np.array([[0, 0], [2, 1], [4, 0], [1, 3]], float)
+    d, low = 0.5, 0.75
+    m = toxicity.Model(words, pair, counts, types, of, np.zeros((4, 2)), d, low)
+    shared = np.array([0.5, 0.5, 4.5, 1.5]) / 7
+
+    def lower(c, w):
+        total = types[:, c].sum()
+        return max(types[w, c] - low, 0) / total + np.minimum(types[:, c], low).sum() / total * shared[w]
+
+    def p(c, n, h, kinds, w):
+        return max(n - d, 0) / of[h, c] + d * kinds / of[h, c] * lower(c, w)
+
+    want = [np.log(p(1, 1, 1, 1, 2) / p(0, 2, 1, 1, 2)), np.log(lower(1, 3) / p(0, 4, 2, 1, 3)), np.log(p(1, 3, 3, 1, 2) / p(0, 1, 3, 1, 2))]
+    assert np.allclose(m.ratio, want, atol=1e-5)
+    for c in (0, 1):  # the lower order is a distribution
+        assert np.isclose(sum(lower(c, w) for w in range(size)), 1)
+    assert np.allclose(toxicity.closed_form(np.array([100, 40, 20, 10])), [0, 1 - 2 * (100 / 180) * 0.4, 2 - 3 * (100 / 180) * 0.5, 3 - 4 * (100 / 180) * 0.5])
+
+
 def test_toxicity_odd_rows(odd, empty, labels):
     model = toxicity.fit(odd, labels, F.lit(True))
     for m in (model, None):
