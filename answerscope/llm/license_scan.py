@@ -1,26 +1,30 @@
 """License scans (native: DataFrame functions only).
 
-A license template is a short text; so is a candidate: each line of a header or
-license file that holds one of the templates' key tokens (``licen``,
-``copyright``, ...).  Candidates and templates are sparse TF-IDF vectors over
-word tokens; a candidate has the license of the template with the greatest
-cosine, if that reaches ``threshold``.  Inverse document frequencies come from
-all candidate lines of the scanned table and the templates together.
+Templates are the short notices by which files state a license, the standard
+headers, and whole license texts.  Candidates of a file are its lines and its
+blocks (paragraphs of several lines, so a wrapped header counts as a whole)
+that hold one of the templates' key words, and the whole text of a license
+file.  Candidates and templates are sparse TF-IDF vectors over word tokens; a
+candidate has the license of the template with the greatest cosine, if that
+reaches ``threshold``.  Inverse document frequencies come from all distinct
+candidates of the scanned table.
 
 A file without a license of its own inherits from the nearest ancestor
 directory that has a license file: directories, not files, are joined with
 their ancestors' paths (equi-joins), and the deepest match wins.
 
-Candidate lines are found inside the row, so the shuffles carry a few words of
-the few lines that matter, never the texts.  Equal lines are scored once, so a
-line that a third of all files repeats costs one row; the token lists meet only
-the templates (a fixed number, broadcast).
-
-Defined cases: a null text or path has no license; a null directory inherits
-nothing; of equal cosines the license of the smaller name wins; a file with
-several licenses gets that of the best line, then the smaller name; repeated rows are
-independent; empty tables give no rows; names starting with ``_l_`` are
-reserved, other extra columns are not read.
+Candidates are found inside the row in one scan, and only rows of ids, paths and
+the few candidates are stored.  Equal lists of candidates are one row, and equal
+candidates are scored once, so a line that a third of all files repeats costs
+one row; tokens meet only the templates (a fixed number, broadcast).
+
+Defined cases: a null text has no license of its own, and a null path inherits
+nothing; a null file id is an id like others; of equal cosines the license of
+the smaller name wins; a file with several licenses gets that of the best
+candidate, but "all rights reserved" decides only where no other license is
+found; repeated rows, also of one id, are judged each by its own text; texts
+without a key word, however long, are not split; empty tables give no rows;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,82 +32,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: License names (SPDX identifiers) and the notices by which files state them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license. Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Released into the public domain under CC0 1.0 Universal",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Proprietary": "Copyright. All rights reserved",
-}
-
-#: What a line must hold to be a candidate; each template holds one of these.
-KEYS = ("licen", "copyright", "permission", "public domain", "redistribution")
+from ._common import cut
+
+PROPRIETARY = "Proprietary"
+
+#: License names (SPDX identifiers) and the notices, headers and texts by which files state them.
+TEMPLATES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (PROPRIETARY, "Copyright. All rights reserved"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+
+#: What a candidate must hold; each template holds one of these.
+KEYS = ("licen", "copyright", "permission", "public domain", "redistribut")
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TOKEN = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
+LINE_END, BLOCK_END = r"\r?\n", r"\r?\n[ \t]*\r?\n"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words and numbers; a number keeps its inner dots."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"), F.lit(0)), lambda t: F.length(t) > 0)
+    """Words (A-Z lower-cased) and numbers; a number keeps its inner dots."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0))
 
 
-def _candidate(line: Column) -> Column:
-    low = F.lower(line)
+def _key(text: Column) -> Column:
+    low = F.translate(text, UPPER, LOWER)
     out = F.lit(False)
     for k in KEYS:
         out = out | F.contains(low, F.lit(k))
     return out
 
 
-def candidate_lines(files: DataFrame) -> DataFrame:
-    """``file, line``: the distinct candidate lines of each file."""
-    has = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), _candidate)
-    return files.select("file", F.explode(F.array_distinct(F.transform(has, lambda x: F.trim(x)))).alias("line"))
+def candidates(files: DataFrame) -> DataFrame:
+    """``file, directory, is_license_file, candidates, same`` (a digest of the candidates) of each row; stored, so texts are scanned once."""
+    text, none = F.col("text"), F.array().cast("array<string>")
+    lines = F.filter(F.split(text, LINE_END), _key)
+    blocks = F.filter(F.split(text, BLOCK_END), lambda b: F.contains(F.trim(b), F.lit("\n")) & _key(b))
+    whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array(text)).otherwise(none)
+    found = F.transform(F.concat(lines, blocks, whole), lambda x: F.trim(x))
+    rows = files.select("file", "directory", "is_license_file", F.when(_key(text), F.array_sort(F.array_distinct(found))).otherwise(none).alias("candidates"))
+    return cut(rows.withColumn("same", F.when(F.size("candidates") > 0, F.sha2(F.concat_ws("\n\n", "candidates"), 256))))
 
 
-def scan_lines(lines: DataFrame, threshold: float = 0.75, templates: dict[str, str] | None = None) -> DataFrame:
-    """``line, license, cosine`` of the distinct lines whose best template reaches ``threshold``."""
-    spark = lines.sparkSession
-    rows = sorted((templates or TEMPLATES).items())
-    known = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("notice")) for a, b in rows])).alias("t")).select("t.*")
-    distinct = lines.select("line").distinct()
+def score(texts: DataFrame, threshold: float = 0.75, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``text, license, cosine`` of the distinct ``texts(text)`` whose best template reaches ``threshold``."""
+    spark = texts.sparkSession
+    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("notice")) for k, (a, b) in enumerate(templates)])
+    known = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
     words = lambda df, text, *keep: df.select(*keep, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-    mine, theirs = words(distinct, "line", "line"), words(known, "notice", "license")
+    distinct = texts.select("text").distinct()
+    mine = cut(words(distinct, "text", "text"))
+    theirs = words(known, "notice", "template", "license")
     # Document frequencies of the templates' tokens only: a bounded number of rows.
-    df = mine.join(F.broadcast(theirs.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df"))
-    total = distinct.agg(F.count("*").alias("lines"))
-    idf = theirs.select("token").distinct().join(df, "token", "left").crossJoin(F.broadcast(total))  # one row of totals
-    idf = idf.select("token", F.log((F.col("lines") + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
-    vectors = theirs.join(idf, "token").select("license", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = vectors.join(norms, "license").select("license", "token", (F.col("w") / F.col("norm")).alias("u"))
-    index = unit.groupBy("token").agg(F.collect_list(F.struct("license", "u")).alias("in_templates")).join(idf, "token")
-    # A token that no template has counts towards the line's norm with a quarter of the greatest weight.
-    weighed = mine.join(F.broadcast(index), "token", "left").crossJoin(F.broadcast(total))
-    norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.log(F.col("lines") + 2.0) / 4), F.lit(2.0)))).alias("norm"))
-    dots = weighed.where("in_templates is not null").select("line", (F.col("tf") * F.col("idf")).alias("w"), F.explode("in_templates").alias("t")).groupBy("line", F.col("t.license").alias("license")).agg(F.sum(F.col("w") * F.col("t.u")).alias("dot"))
-    scored = dots.join(norm, "line").select("line", "license", (F.col("dot") / F.col("norm")).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
-
-
-def own_licenses(files: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """``file, license, cosine`` of the files that state one."""
-    lines = candidate_lines(files)
-    found = lines.join(scan_lines(lines, threshold), "line")
-    best = found.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    asked = theirs.select("token").distinct()
+    df = mine.join(F.broadcast(asked), "token").groupBy("token").agg(F.count("*").alias("df"))
+    n = float(mine.agg(F.count_distinct("text")).first()[0])
+    idf = asked.join(df, "token", "left").select("token", F.log((n + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
+    vectors = theirs.join(idf, "token").select("template", "license", "token", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    unit = vectors.join(norms, "template").select("license", "template", "token", "idf", (F.col("w") / F.col("norm")).alias("u"))
+    index = cut(unit.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "u")).alias("in_templates")))
+    # A token that no template has counts towards the candidate's norm with a quarter of the greatest weight.
+    weighed = mine.join(F.broadcast(index), "token", "left")
+    weighed = weighed.withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(n + 2.0)) / 4))
+    # One grouping gives the norm and, by template, the products.
+    pairs = weighed.select("text", "w", F.explode_outer("in_templates").alias("t")).select("text", F.col("t.template").alias("template"), F.col("t.license").alias("license"), (F.col("w") * F.col("t.u")).alias("p"))
+    dots = pairs.where("template is not null").groupBy("text", "template", "license").agg(F.sum("p").alias("dot"))
+    norm = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    scored = dots.join(norm, "text").select("text", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = scored.groupBy("text").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    return best.select("text", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+
+
+def own_licenses(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """``same, license, cosine`` of the lists of candidates (from ``candidates``) that state one."""
+    lists = rows.where("same is not null").groupBy("same").agg(F.first("candidates").alias("candidates"))
+    texts = lists.select("same", F.explode("candidates").alias("text"))
+    found = texts.join(score(texts, threshold), "text")
+    best = found.groupBy("same").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), (-F.col("cosine")).alias("c"), "license")).alias("b"))
+    return best.select("same", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 def ancestors(directory: Column) -> Column:
-    """``/a/b/c`` -> [``/a/b/c``, ``/a/b``, ``/a``, ``/``] as (path, depth)."""
+    """``/a/b/c`` -> [``/``, ``/a``, ``/a/b``, ``/a/b/c``] as (path, depth)."""
     part = F.filter(F.split(directory, "/"), lambda x: x != "")
     return F.transform(F.sequence(F.lit(0), F.size(part)), lambda k: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(part, 1, k), "/")).alias("path"), k.alias("depth")))
 
@@ -113,12 +146,12 @@ def scan(files: DataFrame, threshold: float = 0.75) -> DataFrame:
 
     ``inherited_from`` is the ancestor directory whose license file decides where the file states none.
     """
-    found = own_licenses(files, threshold)
-    places = files.select("file", "directory", "is_license_file")
-    own = places.join(found, "file", "left")
-    given = own.where("is_license_file and license is not null and directory is not null").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    given = given.select(F.element_at(ancestors(F.col("directory")), -1)["path"].alias("path"), F.col("b.license").alias("given")).groupBy("path").agg(F.min("given").alias("given"))
-    dirs = places.where("directory is not null").select("directory").distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("a"))
+    rows = candidates(files)
+    own = rows.drop("candidates").join(own_licenses(rows, threshold), "same", "left")
+    given = own.where("is_license_file and license is not null and directory is not null").groupBy("directory").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), (-F.col("cosine")).alias("c"), "license")).alias("b"))
+    # Spellings of one directory (/a/, //a) are one path.
+    given = given.select(F.element_at(ancestors(F.col("directory")), -1)["path"].alias("path"), "b").groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.license").alias("given"))
+    dirs = rows.where("directory is not null").select("directory").distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("a"))
     near = dirs.join(given, F.col("a.path") == F.col("path")).groupBy("directory").agg(F.max(F.struct(F.col("a.depth").alias("depth"), "path", "given")).alias("n"))
     out = own.join(near, "directory", "left")
     return out.select("file", "directory", F.coalesce("license", F.col("n.given")).alias("license"), "cosine", F.when(F.col("license").isNull(), F.col("n.path")).alias("inherited_from"))

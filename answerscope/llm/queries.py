@@ -113,5 +113,38 @@ with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(
  m as (select node, min(comp) comp from reach group by 1)
 select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.comp, d.doc_id) component_id, d.doc_id = coalesce(m.comp, d.doc_id) kept from documents d left join n on n.doc_id = d.doc_id left join m on m.node = d.doc_id"""
 
+def _license_oracle() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({k}, {quote(a)}, {quote(b)})" for k, (a, b) in enumerate(license_scan.TEMPLATES))
+    low = lambda c: f"translate({c}, '{license_scan.UPPER}', '{license_scan.LOWER}')"
+    key = lambda c: "(" + " or ".join(f"contains({low(c)}, '{k}')" for k in license_scan.KEYS) + ")"
+    words = lambda c: f"unnest(regexp_extract_all({low(c)}, '{license_scan.TOKEN}')) token"
+    best = f"(license = '{license_scan.PROPRIETARY}'), -cosine, license"
+    return rf"""
+with recursive tree as (select doc_id, doc_id % 10 = 0 lic, text, concat_ws('/', '', coalesce(source, 'none'), coalesce(lang, 'none')) as top, cast(doc_id // 100 as varchar) as leaf from documents),
+ files as (select doc_id, lic, text, case when doc_id % 20 = 0 then top else top || '/' || leaf end directory from tree),
+ cand as (select doc_id, trim(unnest(list_concat(list_filter(string_split_regex(text, '{license_scan.LINE_END}'), lambda x: {key("x")}),
+   list_filter(string_split_regex(text, '{license_scan.BLOCK_END}'), lambda x: contains(trim(x, ' '), chr(10)) and {key("x")}), case when lic then [text] else [] end)), ' ') t from files where {key("text")}),
+ texts as (select distinct t from cand),
+ mine as (select t, token, count(*) tf from (select t, {words("t")} from texts) group by all),
+ tpl(template, license, notice) as (values {known}),
+ theirs as (select template, license, token, count(*) tf from (select template, license, {words("notice")} from tpl) group by all),
+ total as (select count(distinct t) n from mine),
+ idf as (select a.token, ln((n + 2.0) / (coalesce(df, 0) + 1.0)) idf from (select distinct token from theirs) a cross join total left join (select token, count(*) df from mine group by 1) d on d.token = a.token),
+ vec as (select template, license, token, idf, tf * idf w from theirs join idf using (token)),
+ unit as (select template, license, token, w / sqrt(sum(w * w) over (partition by template)) u from vec),
+ weighed as (select t, mine.token, tf * coalesce(idf, ln(n + 2.0) / 4) w from mine cross join total left join idf on idf.token = mine.token),
+ norm as (select t, sqrt(sum(w * w)) norm from weighed group by 1),
+ dots as (select t, template, license, sum(w * u) dot from weighed join unit using (token) group by all),
+ scored as (select t, license, round(dot / norm, 6) cosine from dots join norm using (t) where norm > 0),
+ stated as (select doc_id, license, cosine, row_number() over (partition by doc_id order by {best}) k from cand join scored using (t) where cosine >= 0.75),
+ own as (select files.doc_id, directory, lic, license, cosine from files left join (select * from stated where k = 1) s on s.doc_id = files.doc_id),
+ given as (select directory, license, row_number() over (partition by directory order by {best}) k from own where lic and license is not null),
+ above(directory, path) as (select distinct directory, directory from own union select directory, regexp_replace(path, '/[^/]*$', '') from above where path <> ''),
+ near as (select above.directory, path, license, row_number() over (partition by above.directory order by length(path) desc) k from above join given on given.directory = path and given.k = 1)
+select own.doc_id, own.directory, coalesce(own.license, near.license) license, cosine, case when own.license is null then path end inherited_from
+from own left join near on near.directory = own.directory and near.k = 1"""
+
+
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE, "op8_license_scan": _license_oracle()}

@@ -160,5 +160,25 @@ def test_license_scan(spark):
     ]
     df = spark.createDataFrame(rows, "file string, directory string, is_license_file boolean, text string").withColumn("license", F.lit("clash")).withColumn("line", F.lit(1))
     got = {r["file"]: (r["license"], r["inherited_from"]) for r in license_scan.scan(df).collect()}
-    assert got == {"f1": ("Apache-2.0", None), "f2": ("MIT", "/a"), "LICENSE": ("MIT", None), "f3": ("MIT", "/a"), "f4": (None, None), "f5": (None, None), "f6": ("GPL-3.0", None), "f7": ("GPL-3.0", "/a/g"), None: ("MIT", "/a"), "f8": (None, None)}
+    assert got == {"f1": ("Apache-2.0", None), "f2": ("MIT", "/a"), "LICENSE": ("MIT", None), "f3": ("MIT", "/a"), "f4": (None, None), "f5": (None, None), "f6": ("GPL-3.0", None), "f7": ("GPL-3.0", "/a/g"), None: ("CC-BY-NC-4.0", None), "f8": (None, None)}
     assert license_scan.scan(df.where("false")).count() == 0
+    assert license_scan.scan(df.where("text is null")).select("license").collect() == [(None,)]
+    twice = spark.createDataFrame([("x", "/a", False, "Released under the MIT License."), ("x", "/a", False, "Licensed under CC BY-SA 4.0."), ("x", "/a", False, "Licensed under CC BY-SA 4.0."), ("x", None, None, None)], "file string, directory string, is_license_file boolean, text string")
+    assert sorted(str(r["license"]) for r in license_scan.scan(twice).collect()) == ["CC-BY-SA-4.0", "CC-BY-SA-4.0", "MIT", "None"]
+
+
+def test_headers_and_license_texts(spark):
+    """Wrapped headers in comments, whole license files, and long texts; ties go to the smaller name."""
+    import textwrap
+
+    of = dict(reversed(license_scan.TEMPLATES))
+    whole = {k: max((t for n, t in license_scan.TEMPLATES if n == k), key=len) for k in of}
+    header = lambda k, mark: "\n".join(mark + x for x in textwrap.wrap(whole[k], 70))
+    rows = [
+        ("gpl2.c", "/*\n" + header("GPL-2.0", " * ") + "\n */\n\nint main() {}\n" * 500, "GPL-2.0"), ("gpl3.py", "#!/usr/bin/env python\n#\n" + header("GPL-3.0", "# ") + "\n\nimport os", "GPL-3.0"),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2019 Jane Roe. All rights reserved.\n\n" + header("MIT", ""), "MIT"), ("BSD3", "Copyright (c) 2001, Some Body\nAll rights reserved.\n\n" + header("BSD-3-Clause", ""), "BSD-3-Clause"),
+        ("BSD2", "Copyright (c) 2001, Some Body\nAll rights reserved.\n\n" + header("BSD-2-Clause", ""), "BSD-2-Clause"), ("isc", header("ISC", "// "), "ISC"), ("apache", header("Apache-2.0", "-- "), "Apache-2.0"), ("own", "x\nCopyright 2020. All rights reserved.\ny", "Proprietary"),
+        ("long", "word " * 100_000 + "\nReleased under the MIT License.\n" + "z" * 100_000, "MIT"), ("prose", "A license to sing.\nThe copyright of this song is with its singer, and nobody else may sing it.", None), ("tie", "Licensed under CC BY-SA 4.0.\nReleased under the MIT License.", "CC-BY-SA-4.0"),
+    ]
+    df = spark.createDataFrame([(f, "/" + f, f.isupper(), t) for f, t, _ in rows], "file string, directory string, is_license_file boolean, text string")
+    assert {r["file"]: r["license"] for r in license_scan.scan(df).collect()} == {f: w for f, _, w in rows}
