@@ -50,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_aside(df: DataFrame, names) -> DataFrame:
+    """``df`` with columns that are named like a result renamed to ``<name>_in`` (with more underscores while that is taken)."""
+    for name in names:
+        if name in df.columns:
+            free = f"{name}_in"
+            while free in df.columns or free in names:
+                free += "_"
+            df = df.withColumnRenamed(name, free)
+    return df
+
+
 def in_fold(col, modulus: int, remainder: int):
     """Fold of a row: crc32 of the id written as decimal text, modulo ``modulus``.  A null id is in no fold."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -10,8 +10,11 @@ turns the ordered list into one conditional expression.
 Defined cases: a null text has no words; a null or empty text fails the base
 rule; labels that are null are not learned from; when a document is labelled
 more than once, the lowest quality counts; without usable labels the list is
-empty and only the base rule decides; extra columns are passed through by
-``apply`` and names starting with ``_q_`` are reserved.
+empty and only the base rule decides; repeated rows are judged each; an empty
+table gives no rows; a text of any length is read whole; extra columns pass
+through ``apply``, and one that is named like a result comes back as
+``<name>_in``; ``keep`` returns the columns as they are; names starting with
+``_q_`` are reserved.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import set_aside
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 FEATURES = ("n_words", "mean_word", "symbol_ratio", "upper_ratio", "mark_ratio", "digit_ratio", "dup_line_ratio", "repeat_ratio", "line_words")
 
 
@@ -198,16 +204,24 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000) -> list[
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled rows of 12 bytes: broadcast, so that texts are not shuffled.
     known = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_q_id")), F.col("doc_id") == F.col("_q_id"))
-    got = text_statistics(known).select(F.xxhash64("doc_id").alias("h"), "doc_id", "_q_y", *[f"_q_{f}" for f in FEATURES]).collect()
+    # One row an id, whatever number of documents repeats it.
+    features = F.struct(*[f"_q_{f}" for f in FEATURES])
+    got = text_statistics(known).groupBy(F.xxhash64("doc_id").alias("h"), "doc_id", "_q_y").agg(F.min(features).alias("x")).collect()
     got.sort(key=lambda r: tuple(r))
-    return cover([(tuple(r[3:]), r["_q_y"] == 0) for r in got])
+    return cover([(tuple(r["x"]), r["_q_y"] == 0) for r in got])
 
 
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``kept`` and ``rule`` (the number of the rule that rejects, else null)."""
-    df = text_statistics(docs)
+    df = text_statistics(set_aside(docs, RESULTS))
     hit = F.lit(None).cast("int")
     for k, rule in reversed(list(enumerate(rules))):
         hit = F.when(rule.column(), F.lit(k)).otherwise(hit)
     df = df.withColumn("rule", hit)
     return df.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that ``apply`` keeps, with their columns as they are."""
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"))
+    return apply(packed, rules).where("kept").select("_q_row.*")

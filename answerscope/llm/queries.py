@@ -86,18 +86,16 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, o
 
 
 def _url_oracle() -> str:
-    names = ", ".join(f"'{w}'" for w in [*url_filters.UNWANTED, "farm"])
     fits = "(h = '{0}' or ends_with(h, '.{0}')) and starts_with(p, '{1}')"
     rules = [(r.name, r.verdict, fits.format(*r.name.split("/", 1)[:1], "/" + r.name.split("/", 1)[1])) for r in url_filters.HOST_RULES]
     rules.sort(key=lambda r: -len(r[0]))
     case = lambda k: "case " + " ".join(f"when {r[2]} then '{r[k]}'" for r in rules)
-    hit = f"""list_max(list_filter([{names}], lambda w: regexp_matches(h || p, '^(?:[^/]*[^a-z0-9/])?' || w || '(?:[^a-z0-9]|$)') or (w <> 'farm' and regexp_matches(h || p, '/' || w || '(?:[/._-]|$)'))))"""
+    hits = ", ".join(f"case when regexp_matches(h || p || q, '{r.pattern}') then '{r.name}' end" for r in url_filters.PATTERN_RULES)
     return f"""
 with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end t from pages),
- parts as (select page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), '{url_filters._UPPER}', '{url_filters._LOWER}') h, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) p from cut),
- judged as (select *, {case(0)} end r, {case(1)} end v, {hit} w from parts)
-select page_id, h as host, p as path, r as rule, coalesce(v, case when w is not null then 'block' else 'allow' end) as verdict,
- case when r is null and w is not null then case when w = 'farm' then 'link-farm' else 'unwanted:' || w end end as pattern
+ parts as (select page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), '{url_filters._UPPER}', '{url_filters._LOWER}') h, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) p, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) q from cut),
+ judged as (select *, {case(0)} end r, {case(1)} end v, list_max([{hits}]) w from parts)
+select page_id, h as host, p as path, r as rule, coalesce(v, case when w is not null then 'block' else 'allow' end) as verdict, case when r is null then w end as pattern
 from judged"""
 
 

@@ -1,7 +1,8 @@
 """URL filters (native: DataFrame functions only).
 
-A rule has a pattern (a regular expression over ``host + path + rest``) and
-literal tokens that every URL it matches must hold whole.  The index files each
+A rule has a pattern (a regular expression over ``host + path + rest``, of which
+only the host is lower-cased) and literal tokens that every URL it matches must
+hold whole.  The index files each
 rule under its rarest literal token, rarest by how many rows of the judged
 table hold it, so the rules of a frequent token such as ``com`` are not tried
 on every URL.  The index is a hash table of a fixed number of slots, a literal
@@ -15,8 +16,10 @@ blocks, else the URL is allowed.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and is allowed; hosts are lower-cased over A-Z only; rules of equal length are
-decided block before allow, then by name; extra columns pass through; names
-starting with ``_u_`` are reserved.  At most ``MAX_RULES`` rules are taken, as
+decided block before allow, then by the greater name; a URL of any length is
+looked at whole; repeated rows are judged each; an empty table gives no rows;
+extra columns pass through, and one that is named like a result comes back as
+``<name>_in``; names starting with ``_u_`` are reserved.  At most ``MAX_RULES`` rules are taken, as
 the index is part of the plan; more raise an error.
 """
 
@@ -29,6 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import set_aside
+
 MAX_RULES = 4096
 _TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,8 +56,8 @@ def host_rule(verdict: str, rule: str) -> UrlRule:
     text = f"{host}{slash}{path}"
     cut_off = re.search(r"[a-z0-9]+$", text) if path else None
     whole = text[: cut_off.start()] if cut_off else text
-    tail = re.escape(slash + path) if slash else r"(?:/.*)?$"
-    return UrlRule(rule, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{tail}", tuple(dict.fromkeys(_TOKEN.findall(whole.lower()))), len(text))
+    tail = re.escape(slash + path) if slash else r"(?:[/?#]|$)"
+    return UrlRule(rule, verdict, rf"^(?:[^/?#]*\.)?{re.escape(host)}{tail}", tuple(dict.fromkeys(_TOKEN.findall(whole.lower()))), len(text))
 
 
 def pattern_rule(name: str, pattern: str, *tokens: str) -> UrlRule:
@@ -66,7 +71,24 @@ HOST_RULES = [host_rule("allow", "org/"), host_rule("block", "example.org/es/"),
 #: Tokens of unwanted sites; each stands as a whole label, or label part, of a host or path.
 UNWANTED = ["adult", "ads", "adserver", "banner", "bet", "betting", "casino", "click", "clickbait", "doorway", "gambling", "lottery", "malware", "payday", "phishing", "pills", "poker", "popup", "porn", "replica", "sex", "spam", "torrent", "tracker", "viagra", "warez", "xxx"]
 
-PATTERN_RULES = [pattern_rule(f"unwanted:{w}", rf"^(?:[^/]*[^a-z0-9/])?{w}(?:[^a-z0-9]|$)|/{w}(?:[/._-]|$)", w) for w in UNWANTED] + [pattern_rule("link-farm", r"^(?:[^/]*[^a-z0-9/])?farm(?:[^a-z0-9]|$)", "farm")]
+#: A word stands as a whole label, or part of one, of the host, or as a whole part of the path.
+_PLACE = r"(?i)^(?:(?:[^/?#]*[^a-z0-9/?#])?{0}(?:[^a-z0-9]|$)|[^?#]*/{0}(?:[/._?#-]|$))"
+
+#: Blocking patterns that the tokens alone cannot decide: where they stand, what follows them, how long it is.
+PATTERN_RULES = [pattern_rule(f"unwanted:{w}", _PLACE.format(w), w) for w in UNWANTED] + [
+    pattern_rule("link-farm", r"(?i)^(?:[^/?#]*[^a-z0-9/?#])?farm(?:[^a-z0-9]|$)", "farm"),
+    pattern_rule("calendar", r"(?i)^[^?#]*/calendar/(?:19|20)[0-9]{2}[/-][0-9]{1,2}(?:[/?#-]|$)", "calendar"),
+    pattern_rule("cgi-script", r"(?i)^[^?#]*/cgi-bin/[^?#]*[.](?:cgi|pl)(?:[?#]|$)", "cgi", "bin"),
+    pattern_rule("deep-page", r"(?i)[?&]page=[1-9][0-9]{3,}(?:[&#]|$)", "page"),
+    pattern_rule("doorway-cheap", r"(?i)^(?:[^/?#]*[.])?(?:[a-z0-9]+-)*cheap-[a-z0-9-]+[.]", "cheap"),
+    pattern_rule("free-download", r"(?i)^[^?#]*[/-]free[_-](?:full[_-])?download(?:[/._?#-]|$)", "free", "download"),
+    pattern_rule("login", r"(?i)^[^?#]*/wp-login[.]php(?:[?#]|$)", "wp", "login", "php"),
+    pattern_rule("numeric-host", r"(?i)^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(?::[0-9]+)?/(?:[^?#]*/)?index[.]php[?]id=[0-9]+", "index", "php", "id"),
+    pattern_rule("print-version", r"(?i)[?&](?:[^#]*&)?print=(?:1|yes|true)(?:[&#]|$)", "print"),
+    pattern_rule("reply-link", r"(?i)[?&]replytocom=[0-9]+(?:[&#]|$)", "replytocom"),
+    pattern_rule("session-java", r"(?i);jsessionid=[0-9a-f]{16,}", "jsessionid"),
+    pattern_rule("session-php", r"(?i)[?&]phpsessid=[0-9a-z]{16,}", "phpsessid"),
+]
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -117,7 +139,7 @@ def judge(pages: DataFrame, host_rules: list[UrlRule] = HOST_RULES, pattern_rule
         raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES} at most")
     if any(not r.tokens for r in rules):
         raise ValueError(f"rules without a literal token: {[r.name for r in rules if not r.tokens]}")
-    df = split_url(pages, url)
+    df = split_url(set_aside(pages, [c for c in ("host", "path", "rule", "pattern", "verdict") if c != url]), url)
     n = max(16, 1 << max(0, 2 * len(rules) - 1).bit_length())
     slots = _slots(rules, rarest_tokens(df, rules), n)
     index = F.expr("array(" + ", ".join(f"cast(array({', '.join(_entry(*e) for e in s)}) as {_TYPE})" for s in slots) + ")")
@@ -125,7 +147,7 @@ def judge(pages: DataFrame, host_rules: list[UrlRule] = HOST_RULES, pattern_rule
     # Row-local lookup: slot of each token, then the entries filed under exactly that token.
     found = F.flatten(F.transform("_u_t", lambda t: F.filter(F.get(index, F.pmod(F.xxhash64(t), F.lit(n)).cast("int")), lambda e: e["key"] == t)))
     df = df.withColumn("_u_c", found)
-    df = df.withColumn("_u_s", F.concat("host", "path"))
+    df = df.withColumn("_u_s", F.concat("host", "path", "_u_rest"))
     fits = F.filter("_u_c", lambda e: F.regexp_like(F.col("_u_s"), e["pattern"]))
     best = F.array_max(F.transform(fits, lambda e: F.struct(e["rank"].alias("rank"), e["verdict"].alias("verdict"))))
     df = df.withColumn("_u_b", F.when(F.size("_u_c") > 0, best))

@@ -1,7 +1,21 @@
 """A training-data pipeline: each stage works on all rows that the one before kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents`` as they are, extra ones of any name
+included.
+
+Defined cases, by stage:
+
+- quality_rules: a null or empty text goes (it fails the base rule); repeated
+  rows are judged each; without labels only the base rule decides.
+- language_id: a null text, or one without a letter, goes; where no row has a
+  language to learn from, all stay.
+- near_dedup: of a group the row of the smallest id stays, and of rows that
+  repeat an id one; rows without an id, and texts without a word, all stay.
+- packing: returns a row a piece; a null or empty text is its end token;
+  repeated rows are packed once each.
+
+Very long texts are read whole everywhere, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +32,7 @@ SEQUENCE_TOKENS = 2048
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the base rule or the learned decision list rejects."""
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply(docs, rules).where("kept").select(docs.columns)
+    return quality_rules.keep(docs, rules)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def brute_counts(text):
 
 def test_quality_counts_equal_brute_force(spark, small, odd, empty, labels):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(300)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     for df in (docs, odd):
         for r in quality_rules.text_statistics(df).collect():
             assert tuple(r[n] for n in names) == brute_counts(r["text"])
@@ -109,10 +109,25 @@ def test_quality_counts_equal_brute_force(spark, small, odd, empty, labels):
     assert quality_rules.learn(empty, labels) == [] and quality_rules.learn(odd, labels.where("false")) == []
 
 
+def test_extra_columns_are_kept(odd):
+    extra = odd.withColumn("n_words", F.lit(9))
+    got = quality_rules.apply(extra, [])
+    assert {(r["rule_in"], r["kept_in"], r["n_words_in"]) for r in got.collect()} == {("x", "x", 9)}
+    kept = quality_rules.keep(extra, [])
+    assert kept.columns == extra.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, extra.where("doc_id = 10 and false").collect()))
+    long = extra.withColumn("text", F.expr("array_join(transform(sequence(1, 60), k -> concat('w', k)), ' ')"))
+    assert sorted(map(repr, quality_rules.keep(long, []).collect())) == sorted(map(repr, long.collect()))
+
+
+def test_a_repeated_id_is_learned_from_once(spark, labels):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "x"), (None, "y"), (7, None)], "doc_id long, text string")
+    assert isinstance(quality_rules.learn(docs, labels), list)
+
+
 def test_filters_do_not_repeat_the_windows(spark, odd):
     """The verdict as a filter must not copy the arrays into it."""
-    plan = quality_rules.apply(odd, []).where("kept")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("split(") <= 4
+    for df in (quality_rules.apply(odd, []).where("kept"), quality_rules.keep(odd, [])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
 
 
 def test_covering_finds_a_conjunction():

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -10,6 +11,26 @@ from .test_near_dedup import brute
 from .test_tokens import check_packed
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, small, odd, empty, name):
+    """Nulls, empty and very long texts, repeated rows, clashing names and empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    extra = odd.withColumns({c: F.lit("x") for c in ("n_words", "lang_pred", "digest", "sequence_id", "length", "offset", "piece")})
+    got = stage(spark, extra, small).collect()
+    ids = sorted((r["doc_id"] for r in got if r["doc_id"] is not None))
+    assert stage(spark, extra.where("false"), small).count() == 0
+    if name == "packing":
+        assert check_packed(got, 2048) and {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, None} and ids.count(13) == 2
+        return
+    assert set(got) <= set(extra.collect())  # the columns as they are
+    if name == "quality_rules":
+        assert ids == [] or ids == [9]
+    if name == "language_id":
+        assert not {4, 5, 6, 8} & set(ids) and {1, 2, 3, 9} <= set(ids) and ids.count(13) == 2
+    if name == "near_dedup":
+        assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13] and len(got) == 12
+
+
 def test_pipeline_equals_stagewise_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")

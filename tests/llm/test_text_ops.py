@@ -29,6 +29,29 @@ def test_url_rules(spark):
         url_filters.judge(df, pattern_rules=[url_filters.pattern_rule("x", ".*")])
 
 
+def test_patterns_decide_what_tokens_cannot(spark):
+    """Each pair holds the same tokens; only the first fits its rule."""
+    pairs = {
+        "calendar": ("http://a.net/calendar/2021/05", "http://a.net/2021/05/calendar"), "cgi-script": ("http://a.net/cgi-bin/x.pl?y", "http://a.net/cgi-bin/about-pl"), "deep-page": ("http://a.net/l?page=1000", "http://a.net/l?page=999"), "doorway-cheap": ("http://www.cheap-shoes.net/", "http://www.shoes.net/cheap"),
+        "free-download": ("http://a.net/x-free-full-download.zip", "http://a.net/free/of/download"), "login": ("http://a.net/wp-login.php", "http://a.net/wp/login/php"), "numeric-host": ("http://10.2.3.4/index.php?id=7", "http://a10.2.3.net/index.php?id=7"), "print-version": ("http://a.net/x?a=b&print=1", "http://a.net/print?1"),
+        "reply-link": ("http://a.net/p?replytocom=12", "http://a.net/replytocom"), "session-java": ("http://a.net/x;JSESSIONID=0123456789abcdef", "http://a.net/x;jsessionid=none"), "session-php": ("http://a.net/?phpsessid=0123456789abcdef", "http://a.net/?phpsessid=0"), "link-farm": ("http://spam0.best-farm.net/", "http://a.net/farm"), "unwanted:casino": ("http://a.net/casino?x", "http://a.net/?u=/casino/"),
+    }
+    df = spark.createDataFrame([(k, u) for k, pair in pairs.items() for u in pair], "want string, url string")
+    got = {r["url"]: r["pattern"] for r in url_filters.judge(df).collect()}
+    assert got == {u: (k if n == 0 else None) for k, pair in pairs.items() for n, u in enumerate(pair)}
+
+
+def test_url_ties_long_urls_and_clashing_names(spark):
+    rules = [url_filters.host_rule("allow", "aa.net/"), url_filters.host_rule("block", "a.net/x"), url_filters.host_rule("allow", "a.net/y")]
+    urls = ["http://aa.net/", "http://a.net/x", "http://a.net/y", "http://a.net/" + "z/" * 200_000 + "casino/", "http://b.net?x.a.net/y"]
+    df = spark.createDataFrame([(u, "mine", "mine", "mine", "mine", "mine") for u in urls], "url string, host string, path string, rule string, pattern string, verdict string")
+    got = {r["url"]: r for r in url_filters.judge(df, rules).collect()}
+    assert [got[u]["verdict"] for u in urls] == ["allow", "block", "allow", "block", "allow"] and got[urls[3]]["pattern"] == "unwanted:casino" and got[urls[4]]["rule"] is None
+    assert all(r[f"{c}_in"] == "mine" for r in got.values() for c in ("host", "path", "rule", "pattern", "verdict"))
+    both = [url_filters.host_rule("allow", "a.net/"), url_filters.host_rule("block", "a.net/")]
+    assert url_filters.judge(df, both).where("rule is not null").select("verdict").distinct().collect() == [("block",)]
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     rules = [url_filters.pattern_rule("r", "a-b", "a", "b")]
     slots = url_filters._slots(rules, {"a": 5, "b": 2}, 16)
