@@ -97,18 +97,18 @@ def candidates(files: DataFrame) -> DataFrame:
 
 
 def score(texts: DataFrame, threshold: float = 0.75, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``text, license, cosine`` of the distinct ``texts(text)`` whose best template reaches ``threshold``."""
+    """``id, license, cosine`` of the ``texts(id, text)`` whose best template reaches ``threshold``; equal texts have one id."""
     spark = texts.sparkSession
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("notice")) for k, (a, b) in enumerate(templates)])
     known = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
     words = lambda df, text, *keep: df.select(*keep, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-    distinct = texts.select("text").distinct()
-    mine = cut(words(distinct, "text", "text"))
+    # From here on an id stands for a text, however long.
+    mine = cut(words(texts.groupBy("id").agg(F.first("text").alias("text")), "text", "id"))
     theirs = words(known, "notice", "template", "license")
     # Document frequencies of the templates' tokens only: a bounded number of rows.
     asked = theirs.select("token").distinct()
     df = mine.join(F.broadcast(asked), "token").groupBy("token").agg(F.count("*").alias("df"))
-    n = float(mine.agg(F.count_distinct("text")).first()[0])
+    n = float(mine.agg(F.count_distinct("id")).first()[0])
     idf = asked.join(df, "token", "left").select("token", F.log((n + 2.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
     vectors = theirs.join(idf, "token").select("template", "license", "token", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
@@ -117,20 +117,19 @@ def score(texts: DataFrame, threshold: float = 0.75, templates: list[tuple[str,
     # A token that no template has counts towards the candidate's norm with a quarter of the greatest weight.
     weighed = mine.join(F.broadcast(index), "token", "left")
     weighed = weighed.withColumn("w", F.col("tf") * F.coalesce("idf", F.log(F.lit(n + 2.0)) / 4))
-    # One grouping gives the norm and, by template, the products.
-    pairs = weighed.select("text", "w", F.explode_outer("in_templates").alias("t")).select("text", F.col("t.template").alias("template"), F.col("t.license").alias("license"), (F.col("w") * F.col("t.u")).alias("p"))
-    dots = pairs.where("template is not null").groupBy("text", "template", "license").agg(F.sum("p").alias("dot"))
-    norm = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    scored = dots.join(norm, "text").select("text", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("text").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("text", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    pairs = weighed.select("id", "w", F.explode("in_templates").alias("t")).select("id", F.col("t.template").alias("template"), F.col("t.license").alias("license"), (F.col("w") * F.col("t.u")).alias("p"))
+    dots = pairs.groupBy("id", "template", "license").agg(F.sum("p").alias("dot"))
+    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    scored = dots.join(norm, "id").select("id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 def own_licenses(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``same, license, cosine`` of the lists of candidates (from ``candidates``) that state one."""
     lists = rows.where("same is not null").groupBy("same").agg(F.first("candidates").alias("candidates"))
-    texts = lists.select("same", F.explode("candidates").alias("text"))
-    found = texts.join(score(texts, threshold), "text")
+    texts = lists.select("same", F.explode("candidates").alias("text")).withColumn("id", F.md5("text"))
+    found = texts.select("same", "id").join(score(texts.select("id", "text"), threshold), "id")
     best = found.groupBy("same").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), (-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("same", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
