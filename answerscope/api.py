@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,29 +13,37 @@ from pyspark.sql import functions as F
 from .operators import metrics as M
 from .schema import DERIVED, RAW, light
 from .sources.payloads import derive, landing
-from .store import Profile, Profiles, Settings, Table, all_tags, bulk_add, delete_tag, make_prompt, rename_tag, start_run
+from .store import Profile, Profiles, Settings, Table, add_tag, all_tags, bulk_add, delete_tag, filter_prompts, make_prompt, rename_tag, start_run
 
 PROMPTS = "id string, profile_id string, text string, tags array<string>, active boolean, created_at bigint"
 RUNS = "id string, profile_id string, status string, started_at bigint, finished_at bigint, engines array<string>, prompt_ids array<string>, expected bigint, captured bigint, failed bigint, reasons map<string,bigint>"
 PROJECTS = "id string, name string, prompts array<string>, created_at bigint, updated_at bigint"
 
 
+#: Buckets of the capture tables: a batch rewrites those that hold its keys.
+BUCKETS = 64
+
+
 class Engine:
     """The tables of one store below ``root`` and the commands over them; large results stay DataFrames."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.settings, self.profiles = spark, Settings(), Profiles()
-        table = lambda name, key, schema: Table(spark, f"{root}/{name}", key, schema)
-        self.raw, self.derived = table("raw", "capture_id", RAW), table("derived", "capture_id", DERIVED)
+        self.spark = spark
+        table = lambda name, key, schema, *how: Table(spark, f"{root}/{name}", key, schema, *how)
+        self.raw, self.derived = table("raw", "capture_id", RAW, BUCKETS, "captured_at"), table("derived", "capture_id", DERIVED, BUCKETS, "captured_at")
+        self.state = table("state", "name", "name string, value string")
+        kept = {r["name"]: r["value"] for r in self.state.read().collect()}  # two rows
+        self.settings = Settings(**json.loads(kept["settings"])) if "settings" in kept else Settings()
+        self.profiles = Profiles.loads(kept["profiles"]) if "profiles" in kept else Profiles()
         self.prompts, self.runs, self.projects = table("prompts", "id", PROMPTS), table("runs", "id", RUNS), table("projects", "id", PROJECTS)
         self.commands: dict[str, Callable] = {
             "raw-conversation": self.capture, "get-records": lambda: light(self.derived.read()).orderBy(F.desc("captured_at")), "get-record": self.derived.get, "get-raw": self.raw.get,
             "stats": lambda: {"raw": self.raw.stats(), "derived": self.derived.stats()}, "reprocess-all": self.reprocess, "delete-record": self.delete, "clear-all": self.clear,
             "settings-get": lambda: self.settings, "settings-set": self.patch, "project-save": self.projects.upsert, "project-list": lambda: self.projects.read().orderBy(F.desc("updated_at")), "project-delete": self.projects.delete,
-            "profile-list": self.list_profiles, "profile-save": lambda **p: self.profiles.save(Profile(**p)), "profile-trash": self.profiles.trash, "profile-restore": self.profiles.restore, "profile-delete": self.delete_profile,
+            "profile-list": self.list_profiles, "profile-save": lambda override=False, **p: self.keep_profiles(self.profiles.save(Profile(**p), override)), "profile-trash": lambda **a: self.keep_profiles(self.profiles.trash(**a)), "profile-restore": lambda **a: self.keep_profiles(self.profiles.restore(**a)), "profile-delete": self.delete_profile,
             "prompt-list": lambda profile_id: self.prompts.read().where(F.col("profile_id") == profile_id).orderBy("created_at"), "prompt-save": lambda rows: self.prompts.upsert(make_prompt(rows)), "prompt-bulk-add": self.add_prompts, "prompt-delete": self.prompts.delete,
-            "tag-list": lambda: all_tags(self.prompts.read()), "tag-delete": lambda tag: self.prompts.replace(delete_tag(self.prompts.read(), tag)), "tag-rename": lambda old, new: self.prompts.replace(rename_tag(self.prompts.read(), old, new)),
-            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
+            "tag-add": lambda prompt_id, tag: self.prompts.change(lambda old: old.where(F.col("id") != prompt_id).unionByName(add_tag(old.where(F.col("id") == prompt_id), tag))), "prompt-filter": lambda profile_id, **by: filter_prompts(self.prompts.read().where(F.col("profile_id") == profile_id), **by), "tag-list": lambda: all_tags(self.prompts.read()), "tag-delete": lambda tag: self.prompts.change(lambda old: delete_tag(old, tag)), "tag-rename": lambda old, new: self.prompts.change(lambda rows: rename_tag(rows, old, new)),
+            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
             "url-detail": lambda url, brands, **scope: M.url_detail(self.scoped(**scope), url, brands, self.prompts.read().select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"))),
         }
 
@@ -52,46 +63,93 @@ class Engine:
         return own + [{"name": c, "relation": "competitor"} for c in self.settings.competitors if c]
 
     def capture(self, rows: DataFrame) -> None:
+        """Raw rows first, then their records; the oldest beyond the retention limit go."""
         usable, _ = landing(rows, self.settings.max_capture_mb)
-        self.raw.upsert(usable.select(*self.raw.read().columns))
+        self.raw.upsert(usable.select(*self.raw.columns))
         self.derived.upsert(derive(usable, self.tracked()).where("error is null").drop("error"))
+        self.enforce_retention()
+
+    def enforce_retention(self) -> int:
+        """How many captures went, from both tables."""
+        over = self.derived.stats() - max(50, self.settings.retention_max)
+        if over <= 0:
+            return 0
+        # Runs after every capture, so what is over is what one batch brought.
+        oldest = self.derived.read().orderBy(F.asc_nulls_first("captured_at"), "capture_id").limit(over).select("capture_id").persist()
+        self.raw.delete(oldest)
+        self.derived.delete(oldest)
+        oldest.unpersist()
+        return over
 
     def reprocess(self) -> None:
         """All raw rows again; provenance comes from the raw row, bad payloads are skipped."""
-        self.derived.replace(derive(self.raw.read(), self.tracked()).where("error is null").drop("error"))
+        self.derived.change(lambda _: derive(self.raw.read(), self.tracked()).where("error is null").drop("error"))
 
     def delete(self, keys: DataFrame) -> None:
         self.raw.delete(keys)
         self.derived.delete(keys)
 
     def clear(self) -> None:
-        self.raw.clear()
-        self.derived.clear()
+        """Captures, records and runs; profiles, prompts and settings stay."""
+        for table in (self.raw, self.derived, self.runs):
+            table.clear()
+
+    def _keep(self, name: str, value: str) -> None:
+        self.state.upsert(self.spark.createDataFrame([(name, value)], "name string, value string"))
+
+    def keep_profiles(self, result=None):
+        """Stores the profiles after a change."""
+        self._keep("profiles", self.profiles.dumps())
+        return result
 
     def patch(self, **changes) -> Settings:
         self.settings = self.settings.patch(**changes)
+        self._keep("settings", json.dumps(asdict(self.settings)))
         return self.settings
 
     def list_profiles(self, now_ms: int, with_deleted: bool = False) -> list[Profile]:
         gone = self.profiles.purge(now_ms)
         if gone:
-            self.prompts.replace(self.prompts.read().where(~F.col("profile_id").isin(gone)))
+            self.prompts.change(lambda old: old.where(~F.col("profile_id").isin(gone)))
+            self.keep_profiles()
         return sorted(self.profiles.rows.values(), key=lambda p: p.created_at) if with_deleted else self.profiles.live()
 
     def delete_profile(self, key: str) -> None:
         """Its prompts go with it, what was captured stays."""
         del self.profiles.rows[key]
-        self.prompts.replace(self.prompts.read().where(F.col("profile_id") != key))
+        self.keep_profiles()
+        self.prompts.change(lambda old: old.where(F.col("profile_id") != key))
 
     def add_prompts(self, rows: DataFrame) -> dict[str, int]:
         df = bulk_add(self.prompts.read(), make_prompt(rows), "id")
         self.prompts.upsert(df.where("status = 'added'").drop("status"))
         return {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
 
-    def start(self, profile_id: str) -> dict:
-        active = self.prompts.read().where((F.col("profile_id") == profile_id) & F.coalesce("active", F.lit(True))).count()
+    def start(self, profile_id: str, now_ms: int = 0) -> dict:
+        """Stores the row of a new run; one run at a time."""
+        active = [r["id"] for r in self.prompts.read().where((F.col("profile_id") == profile_id) & F.coalesce("active", F.lit(True))).orderBy("created_at", "id").select("id").collect()]  # one campaign's prompts
         running = bool(self.runs.read().where("status = 'running'").head(1))
-        return start_run(self.profiles.rows[profile_id], active, running)
+        profile = self.profiles.rows[profile_id]
+        row = {"id": f"{profile_id}-{now_ms}-{uuid.uuid4().hex[:8]}", "started_at": now_ms, "finished_at": None, "prompt_ids": active, **start_run(profile, len(active), running)}
+        self.runs.upsert(self.spark.createDataFrame([tuple(row[c] for c in self.runs.columns)], RUNS))
+        profile.last_run_at = now_ms
+        self.keep_profiles()
+        return row
+
+    def sync(self, run_id: str, captured: int, failed: int, reason: str | None = None, count: int = 1, status: str | None = None, now_ms: int | None = None) -> None:
+        """Counts, a reason for failures and a final status onto a run's row; of several writers none is lost, as each change starts from the newest version."""
+
+        def onto(old: DataFrame) -> DataFrame:
+            own = F.col("id") == run_id
+            keep = lambda c, v: F.when(own, v).otherwise(F.col(c))
+            had = F.coalesce("reasons", F.create_map().cast("map<string,bigint>"))
+            more = F.map_zip_with(had, F.create_map(F.lit(reason), F.lit(count).cast("bigint")), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if reason else had
+            new = {"captured": F.lit(captured).cast("bigint"), "failed": F.lit(failed).cast("bigint"), "reasons": more}
+            if status:
+                new |= {"status": F.lit(status), "finished_at": F.lit(now_ms).cast("bigint")}
+            return old.withColumns({c: keep(c, v) for c, v in new.items()})
+
+        self.runs.change(onto)
 
     def scoped(self, **scope) -> DataFrame:
         return M.select_tracked(self.derived.read().withColumn("prompt_id", F.col("geo.prompt_id")), **scope)

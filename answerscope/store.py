@@ -1,17 +1,25 @@
 """Tables, lifecycle operations and settings.
 
-Each table is a folder of Parquet files below ``root``; a change writes the
-new rows of the table to a new version folder and then moves a pointer.
+A table is cut into buckets by a hash of its key.  A change rewrites only the
+buckets that hold touched keys, into a folder of its own, and then claims the
+next version: a small file that names the folder of every bucket.  A write that
+is killed before the claim leaves a folder that nothing names; a writer that
+finds its version taken does its change again on top of the newer one, so no
+update is lost.  The last ``KEPT`` versions stay readable, older folders go.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .files import Conflict, Files
 from .functions.text import duplicate_key
 
 MAX_PROFILES, TRASH_DAYS = 3, 7
@@ -31,35 +39,89 @@ class Settings:
 
 
 class Table:
-    """A keyed table in versions; readers of an older version are not disturbed."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
-        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
-        self._jvm = spark.sparkContext._jvm
-        p = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        p = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self._fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v") and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    """A keyed table in versions; readers of a recent version are not disturbed."""
+
+    KEPT, TRIES = 3, 20
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, buckets: int = 1, newest: str | None = None):
+        """newest: of rows of one batch with equal keys, that with the greatest value of this column stays."""
+        self.spark, self.path, self.key, self.schema, self.buckets, self.newest = spark, path.rstrip("/"), key, schema, buckets, newest
+        self.columns = [f.name for f in StructType.fromDDL(schema)]
+        self._files = Files(spark, self.path)
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n in self._files.names("versions") if n.startswith("v") and n.endswith(".json"))
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """The newest version and the folder of each bucket that has rows."""
+        have = self.versions()
+        return (have[-1], self._files.read(f"versions/v{have[-1]}.json")) if have else (0, {})
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in sorted(folders)])
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
 
     def read(self) -> DataFrame:
-        have = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{have[-1]}") if have else self.spark.createDataFrame([], self.schema)
+        return self._rows(list(self._state()[1].values()))
+
+    def change(self, f: Callable[[DataFrame], DataFrame], touched: list[int] | None = None) -> int:
+        """Rewrites the touched buckets (None: all) as ``f`` of their rows; the new version.  ``f`` may run again after a conflict."""
+        for _ in range(self.TRIES):
+            version, state = self._state()
+            own = {b: x for b, x in state.items() if touched is None or int(b) in touched}
+            folder = f"data/{uuid.uuid4().hex}"
+            f(self._rows(list(own.values()))).select(self.columns).withColumn("_b", self._bucket()).write.partitionBy("_b").parquet(f"{self.path}/{folder}")
+            new = {n[3:]: f"{folder}/{n}" for n in self._files.names(folder) if n.startswith("_b=")}
+            try:
+                self._files.claim(f"versions/v{version + 1}.json", {**{b: x for b, x in state.items() if b not in own}, **new})
+            except Conflict:
+                self._files.delete(folder)
+                continue
+            self._forget(version + 1)
+            return version + 1
+        raise Conflict(f"{self.path}: {self.TRIES} writers were faster")
+
+    def _forget(self, version: int) -> None:
+        """Deletes versions older than the last ``KEPT`` and the folders that only they name."""
+        old = [v for v in self.versions() if v <= version - self.KEPT]
+        if not old:
+            return
+        named = lambda vs: {x.split("/_b=")[0] for v in vs for x in self._files.read(f"versions/v{v}.json").values()}
+        gone = named(old) - named([v for v in self.versions() if v not in old])
+        for x in gone:
+            self._files.delete(x)
+        for v in old:
+            self._files.delete(f"versions/v{v}.json")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # a number a bucket at most
 
     def replace(self, df: DataFrame) -> None:
-        have = self._versions()
-        df.write.parquet(f"{self.path}/v{have[-1] + 1 if have else 1}")
+        self.change(lambda _: df)
 
     def upsert(self, rows: DataFrame) -> None:
-        self.replace(self.read().join(rows.select(self.key), self.key, "left_anti").unionByName(rows, allowMissingColumns=True).select(*self.read().columns))
+        """New rows replace those of equal keys; of equal keys in the batch one row stays."""
+        have = set(rows.columns)
+        rows = rows.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in self.columns]).to(StructType.fromDDL(self.schema))
+        order = ([F.desc_nulls_last(self.newest)] if self.newest else []) + [F.xxhash64(*[F.to_json(F.struct(c)) for c in self.columns])]
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(self.key).orderBy(*order))).where("_r = 1").drop("_r").persist()
+        try:
+            if touched := self._touched(rows):
+                self.change(lambda old: old.join(rows.select(self.key), self.key, "left_anti").unionByName(rows), touched)
+        finally:
+            rows.unpersist()
 
     def delete(self, keys: DataFrame) -> None:
-        self.replace(self.read().join(keys.select(self.key), self.key, "left_anti"))
+        keys = keys.select(self.key).distinct().persist()
+        try:
+            if touched := self._touched(keys):
+                self.change(lambda old: old.join(keys, self.key, "left_anti"), touched)
+        finally:
+            keys.unpersist()
 
     def clear(self) -> None:
         self.replace(self.spark.createDataFrame([], self.schema))
@@ -102,6 +164,43 @@ def all_tags(df: DataFrame) -> DataFrame:
     return df.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
 
 
+def add_tag(df: DataFrame, tag: str) -> DataFrame:
+    """The union of a prompt's tags and one more, trimmed; an empty one adds nothing."""
+    tag = F.trim(F.lit(tag))
+    return df.withColumn("tags", F.when(tag == "", F.col("tags")).otherwise(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(tag))))
+
+
+def filter_prompts(df: DataFrame, search: str = "", untagged: bool = False, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Prompts whose text holds ``search`` in any case, without a tag if asked for, and with any of ``tags``."""
+    own = F.coalesce("tags", F.array().cast("array<string>"))
+    if search:
+        df = df.where(F.contains(F.lower("text"), F.lit(search.lower())))
+    if untagged:
+        df = df.where(F.size(own) == 0)
+    if tags:
+        df = df.where(F.arrays_overlap(own, F.array(*map(F.lit, tags))))
+    return df
+
+
+def stamp(captures: DataFrame, positions: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Provenance of captures from where their run stood.
+
+    ``positions(platform, run_id, profile_id, ordinal, since, until)`` holds the spans in which a platform was at a prompt of a
+    run; ``prompts(run_id, ordinal, prompt_id, tags)`` the run's list.  A capture outside every span has none.
+    """
+    span = positions.select(F.col("platform").alias("_p"), "run_id", "profile_id", "ordinal", "since", "until")
+    at = (F.col("platform") == F.col("_p")) & (F.col("captured_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("captured_at") < F.col("until")))
+    df = captures.join(span, at, "left").join(prompts, ["run_id", "ordinal"], "left")
+    geo = F.struct("profile_id", "run_id", "prompt_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return df.select(*[c for c in captures.columns if c != "geo"], F.when(F.col("run_id").isNotNull(), geo).alias("geo"))
+
+
+def run_prompts(runs: DataFrame) -> DataFrame:
+    """``run_id, ordinal, prompt_id, tags`` from the index-aligned lists of ``runs(run_id, prompt_ids, prompt_tags)``; a list that is shorter ends in nulls."""
+    pairs = F.arrays_zip(F.col("prompt_ids").alias("prompt_id"), F.col("prompt_tags").alias("tags"))
+    return runs.select("run_id", F.posexplode(pairs).alias("ordinal", "x")).select("run_id", "ordinal", "x.prompt_id", "x.tags")
+
+
 def reason_histogram(df: DataFrame, run: str, reason: str) -> DataFrame:
     per = df.groupBy(run, reason).agg(F.count("*").alias("n"))
     return per.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(reason), F.col("n"))))).alias("reasons"), F.sum("n").alias("failed"))
@@ -161,6 +260,10 @@ class Profiles:
     def dumps(self) -> str:
         return json.dumps([asdict(p) for p in self.rows.values()])
 
+    @classmethod
+    def loads(cls, text: str) -> "Profiles":
+        return cls([Profile(**p) for p in json.loads(text)])
+
 
 def start_run(profile: Profile, prompts: int, running: bool = False) -> dict:
     """Checks that a run can start; the run row with its expected count."""
