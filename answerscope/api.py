@@ -156,4 +156,4 @@ class Engine:
 
     def metrics(self, brands: list[M.Brand], bucket: str = "day", **scope) -> dict[str, DataFrame]:
         df = self.scoped(**scope)
-        return {"brands": M.ordered(M.brand_metrics(df, brands)), "series": M.brand_series(df, brands, bucket), "overview": M.overview(df)}
+        return {"brands": M.ordered(M.brand_metrics(df, brands)), "series": M.ordered_series(M.brand_series(df, brands, bucket)), "overview": M.overview(df)}

@@ -30,7 +30,7 @@ def duplicate_key(c: Column) -> Column:
 
 def timeline_key(c: Column) -> Column:
     """Also without closing marks: repeated runs of one prompt."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"{SPACE}+", " "), r"[.?!, ]+$", ""))
+    return js_trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"{SPACE}+", " "), r"[.?!,]+$", ""))
 
 
 def frequency_key(c: Column) -> Column:
@@ -152,3 +152,21 @@ def table_cells(line: Column) -> Column:
 def duration_hms(seconds: Column) -> Column:
     s = seconds.cast("long")
     return F.concat_ws(":", F.floor(s / 3600).cast("string"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+def plain_snippet(c: Column) -> Column:
+    """A snippet without markdown: links by their text, no images, marks of headings, lists, code, emphasis and rules; one line."""
+    for pattern, by in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}(?:#{1,6}|[-*+>]|\d+[.)])\s+", ""), (r"(?m)^\s*(?:[-*_]\s*){3,}$", " "), (r"[*_`~|]+", "")):
+        c = F.regexp_replace(c, pattern, by)
+    return js_trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def is_noise_label(c: Column) -> Column:
+    """Of a heading or list label: too short or long, several parts, or the wording of a list article rather than a name."""
+    n = F.length(js_trim(c))
+    return F.coalesce((n < 3) | (n > 60) | c.rlike(r"[:|/•]|\s[-–—]\s") | c.rlike(r"(?i)^(?:the\s+)?(?:best|top|why|how|what|which|when|key|quick|final|other|more|our|my)\b|\b(?:overview|summary|comparison|recommendations?|conclusion|verdict|tips?)$"), F.lit(True))
+
+
+def json_path(c: Column, path: str, kind: str = "string") -> Column:
+    """A value in a JSON text; null where the text is no JSON, the path leads nowhere or the value is of another kind."""
+    return F.try_variant_get(F.try_parse_json(c), path, kind)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compressed, frequency_key
+from ..functions.text import compressed, frequency_key, timeline_key
+from .metrics import has_signal
 
 
 def filter_records(records: DataFrame, search: str = "", platform: str = "", since=None, until=None) -> DataFrame:
@@ -59,6 +60,16 @@ def capture_brands(records: DataFrame) -> DataFrame:
     return df.groupBy("prompt_key", "capture_id", "captured_at", F.col("m.brand").alias("name")).agg(F.sum("m.count").alias("value"))
 
 
+def with_prompt_key(records: DataFrame, project: str = "", platform: str = "") -> DataFrame:
+    """Records with a prompt, of a project and a platform if given, keyed by the prompt as timelines compare it."""
+    df = records.withColumn("prompt_key", timeline_key(F.col("user_prompt"))).where("prompt_key <> ''")
+    if project:
+        df = df.where(F.col("project_id") == project)
+    if platform:
+        df = df.where(F.col("platform") == platform)
+    return df
+
+
 def timelines(records: DataFrame) -> DataFrame:
     """``records`` of prompts run more than once, with the capture's ordinal within its prompt and their number."""
     w = Window.partitionBy("prompt_key")
@@ -66,6 +77,18 @@ def timelines(records: DataFrame) -> DataFrame:
     return df.where("points > 1")
 
 
+def repeat_prompts(records: DataFrame) -> DataFrame:
+    """Prompts captured more than once, the most captured first, as the first capture words them."""
+    df = records.groupBy("prompt_key").agg(F.count("*").alias("captures"), F.min(F.struct("captured_at", "capture_id", "user_prompt"))["user_prompt"].alias("label"))
+    return df.where("captures > 1").orderBy(F.desc("captures"), "prompt_key")
+
+
+def most_moved(moved: DataFrame, top: int | None = None) -> DataFrame:
+    """Names by how far they moved, then by their last value."""
+    out = moved.orderBy(F.desc(F.abs("delta")), F.desc("last"), "prompt_key", "name")
+    return out.limit(top) if top else out
+
+
 def movement(points: DataFrame, values: DataFrame) -> DataFrame:
     """First against last capture of each prompt by name; a missing name counts 0."""
     ends = points.where("ordinal = 1 or ordinal = points").select("prompt_key", "capture_id", (F.col("ordinal") == 1).alias("is_first"), (F.col("ordinal") == F.col("points")).alias("is_last"))
@@ -104,18 +127,26 @@ def prompt_frequency(records: DataFrame) -> DataFrame:
 
 def session_summary(records: DataFrame) -> DataFrame:
     """One row of totals; the leading domains win ties by first name."""
-    base = records.agg(F.count("*").alias("captures"), F.countDistinct(frequency_key(F.col("user_prompt"))).alias("unique_prompts"), F.count_if(F.size("sources") > 0).alias("searched"), F.sum(F.size("sources")).cast("long").alias("sources"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"))
+    base = records.agg(F.count("*").alias("captures"), F.countDistinct(frequency_key(F.col("user_prompt"))).alias("unique_prompts"), F.count_if(F.coalesce("searched", F.lit(False))).alias("searched"), F.sum(F.size("sources")).cast("long").alias("sources"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"))
     per = source_rows(records).groupBy("domain").agg(F.count_if(F.col("outcome") == "cited").alias("c"), F.count_if(F.col("outcome") != "cited").alias("f"))
     top = per.agg(F.min(F.struct((-F.col("c")).alias("c"), "domain"))["domain"].alias("top_cited"), F.min(F.struct((-F.col("f")).alias("f"), "domain"))["domain"].alias("top_not_cited"))
     return base.crossJoin(F.broadcast(top))  # one row each
 
 
 def source_analysis(records: DataFrame) -> DataFrame:
-    """Domains with their share of citations and of all appearances, ranked."""
+    """Domains with their share of citations and of all appearances, ranked.
+
+    Ranks come in two steps, so that no task orders all domains: groups of equal counts and two first characters are put in
+    order with how many domains they hold, then each group numbers its own.
+    """
     per = source_rows(records).groupBy("domain").agg(F.count_if(F.col("outcome") == "cited").alias("cited"), F.count("*").alias("total"))
+    per = per.withColumn("_g", F.substring("domain", 1, 2))
     sums = per.agg(F.sum("cited").alias("all_cited"), F.sum("total").alias("all_total"))
-    w = Window.orderBy(F.desc("cited"), F.desc("total"), "domain")  # a row a domain; only the ranking needs one order
-    return per.crossJoin(F.broadcast(sums)).select("domain", "cited", "total", (100.0 * F.col("cited") / F.col("all_cited")).alias("cited_share"), (100.0 * F.col("total") / F.col("all_total")).alias("total_share"), F.row_number().over(w).alias("rank"))
+    group = ["cited", "total", "_g"]
+    before = Window.orderBy(F.desc("cited"), F.desc("total"), "_g").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
+    offsets = per.groupBy(*group).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    out = per.join(offsets, group).withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy(*group).orderBy("domain")))
+    return out.crossJoin(F.broadcast(sums)).select("domain", "cited", "total", (100.0 * F.col("cited") / F.col("all_cited")).alias("cited_share"), (100.0 * F.col("total") / F.col("all_total")).alias("total_share"), "rank")
 
 
 def audit_log(records: DataFrame) -> DataFrame:
@@ -154,10 +185,12 @@ def summary_by_type(records: DataFrame) -> DataFrame:
     return df.unionByName(df.agg(F.lit("TOTAL").alias("outcome"), F.sum("n").alias("n"))).where("n > 0")
 
 
-def source_list(records: DataFrame) -> DataFrame:
-    """Sources of each capture, cited before fetched before mentioned."""
+def source_list(records: DataFrame, show: str = "all") -> DataFrame:
+    """Sources of each capture, cited before fetched before mentioned; ``show`` one of all, cited, fetched (outcomes) and news (a type)."""
     order = F.when(F.col("outcome") == "cited", 0).when(F.col("outcome") == "fetched", 1).when(F.col("outcome") == "mentioned", 2).otherwise(3)
     df = source_rows(records)
+    if show != "all":
+        df = df.where(F.col("type") == show if show == "news" else F.col("outcome") == show)
     return df.withColumn("position", F.row_number().over(Window.partitionBy("capture_id").orderBy(order, "ord"))).select("capture_id", "position", "domain", "outcome", "url")
 
 
@@ -166,11 +199,23 @@ def search_terms(queries: DataFrame, column: str, top: int = 50) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
-def alias_rollup(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Counts under canonical names; ``aliases(alias, canonical)`` is an input, not built in."""
+#: Words that the detector could take for a brand.
+NOISE_WORDS = (
+    "battery", "software", "camera", "cameras", "display", "performance", "design", "overall", "budget", "value", "rating", "phone", "phones", "mobile", "mobiles", "recommendation", "recommendations",
+    "processor", "chipset", "storage", "memory", "charging", "screen", "gaming", "price", "pros", "cons", "specs", "life", "option", "options", "pick", "picks", "android", "ios", "best",
+)
+
+
+def alias_rollup(mentions: DataFrame, aliases: DataFrame, noise: tuple[str, ...] = NOISE_WORDS) -> DataFrame:
+    """Counts under canonical names; ``aliases(alias, canonical)`` is an input, not built in.  Noise words are no brands.
+
+    A name keeps the spelling that is least of those in use.
+    """
+    df = mentions.where(~F.trim(F.lower("brand")).isin(*noise))
     key = compressed(F.col("brand"))
-    df = mentions.join(F.broadcast(aliases.select(compressed(F.col("alias")).alias("k"), "canonical")), key == F.col("k"), "left")
-    return df.groupBy(F.coalesce("canonical", "brand").alias("brand")).agg(F.sum("count").alias("count"))
+    df = df.join(F.broadcast(aliases.select(compressed(F.col("alias")).alias("k"), "canonical")), key == F.col("k"), "left")
+    name = F.coalesce("canonical", "brand")
+    return df.groupBy(F.lower(name).alias("_k")).agg(F.min(name).alias("brand"), F.sum("count").alias("count")).drop("_k")
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -184,8 +229,25 @@ def latest_wins(old: DataFrame, new: DataFrame, key: str, version: str) -> DataF
 
 
 def retention(df: DataFrame, keep: int, order: str, tie: str, floor: int = 50) -> DataFrame:
-    """The newest ``max(floor, keep)`` rows, by a bounded top-k."""
-    return df.orderBy(F.desc(order), F.desc(tie)).limit(max(floor, keep))
+    """The newest ``max(floor, keep)`` rows; null times are the oldest.
+
+    Two approximate quantiles bracket the time of the last row that stays: what is newer than the bracket stays, what is older
+    goes, and only the narrow band between them is put in order.
+    """
+    keep = max(floor, keep)
+    t = F.unix_micros(F.col(order).cast("timestamp"))
+    known = df.where(t.isNotNull())
+    n = known.count()
+    if n <= keep:
+        rest = df.where(t.isNull()).orderBy(F.desc(tie)).limit(keep - n)
+        return known.unionByName(rest)
+    error = 1e-3
+    at = 1 - keep / n
+    low, high = known.select(t.cast("double").alias("t")).approxQuantile("t", [max(0.0, at - 2 * error), min(1.0, at + 2 * error)], error)
+    newer = known.where(t > F.lit(high))
+    band = known.where((t >= F.lit(low)) & (t <= F.lit(high)))
+    # Ranks are off by ``error`` at most, so fewer than ``keep`` rows are newer than the band.
+    return newer.unionByName(band.orderBy(F.desc(order), F.desc(tie)).limit(keep - newer.count()))
 
 
 def rolling_eta(events: DataFrame, key: str, ts: str, tie: str, window: int = 10) -> DataFrame:
@@ -208,8 +270,8 @@ def debounced(events: DataFrame, key: str, ts: str, tie: str, millis: int = 2500
 
 
 def saved_clusters(records: DataFrame, newest: int = 100) -> DataFrame:
-    """The newest captures grouped by day and prompt, with the platforms that answered."""
-    df = records.orderBy(F.desc("captured_at"), F.desc("capture_id")).limit(newest)
+    """The newest captures with a signal grouped by day and prompt, with the platforms that answered."""
+    df = records.where(has_signal(records)).orderBy(F.desc("captured_at"), F.desc("capture_id")).limit(newest)
     key = frequency_key(F.col("user_prompt"))
     return df.groupBy(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), key.alias("key")).agg(F.count("*").alias("captures"), F.array_join(F.array_sort(F.collect_set("platform")), ", ").alias("platforms"))
 
@@ -231,3 +293,35 @@ def entities_by_category(rows: DataFrame) -> DataFrame:
 
 def run_volume(prompts: DataFrame, engines: int, warn_above: int = 60) -> DataFrame:
     return prompts.agg((F.count("*") * engines).alias("submissions")).withColumn("warn", F.col("submissions") > warn_above)
+
+
+def first_last(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """The first and the last value of each key; both combine before the shuffle."""
+    at = F.struct(*order)
+    return df.groupBy(key).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
+
+
+def store_stats(**tables: DataFrame) -> DataFrame:
+    """One row: how many rows each table has."""
+    counts = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.crossJoin(F.broadcast(c))  # one row each
+    return out
+
+
+def only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` whose key ``right`` lacks."""
+    return left.join(right.select(key), key, "left_anti")
+
+
+def prompt_answer_pairs(messages: DataFrame) -> DataFrame:
+    """``messages(conv_id, turn, role, text)``: each user message that an answer follows, with that answer."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    df = messages.withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
+    return df.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "answer")
+
+
+def ring(log: DataFrame, order: str, tie: str, keep: int = 200, show: int = 120) -> DataFrame:
+    """The newest ``show`` entries of a log that keeps ``keep``."""
+    return log.orderBy(F.desc(order), F.desc(tie)).limit(min(keep, show))

@@ -54,9 +54,19 @@ def select_tracked(records: DataFrame, profile_id=None, run_id=None, engines=(),
     return df
 
 
-def has_signal() -> Column:
+def has_signal(records: DataFrame) -> Column:
+    """Anything worth showing: a prompt, fan-out, sources, products, places or an answer, as far as the records have such columns."""
+    have = set(records.columns)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    return (F.coalesce(F.length("user_prompt"), F.lit(0)) > 0) | size("fanout.search") | size("fanout.shopping") | size("fanout.image") | size("sources") | size("products") | size("places") | (F.coalesce(F.col("answer_chars"), F.lit(0)) > 0)
+    out = F.lit(False)
+    if "user_prompt" in have:
+        out = out | (F.coalesce(F.length("user_prompt"), F.lit(0)) > 0)
+    if "fanout" in have:
+        out = out | size("fanout.search") | size("fanout.shopping") | size("fanout.image")
+    for c in ("sources", "products", "places"):
+        if c in have:
+            out = out | size(c)
+    return out | (F.coalesce("answer_chars", F.lit(0)) > 0) if "answer_chars" in have else out
 
 
 def once(col: Column) -> Column:
@@ -117,6 +127,11 @@ def brand_series(records: DataFrame, brands: list[Brand], bucket: str = "day") -
     return brand_metrics(records, brands, {"bucket": (week_key if bucket == "week" else day_key)(F.col("captured_at"))})
 
 
+def ordered_series(series: DataFrame) -> DataFrame:
+    """A series by bucket, then in list order."""
+    return series.orderBy("bucket", "brand_ord")
+
+
 def ordered(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.desc("is_own"), F.desc("visibility"), "brand_ord")
 
@@ -126,26 +141,57 @@ def _n(array: str, test) -> Column:
 
 
 def overview(records: DataFrame) -> DataFrame:
-    """One row: responses, searched ones, sources by outcome, distinct domains."""
-    each = records.agg(F.count("*").alias("captures"), F.count_if(F.size("sources") > 0).alias("searched"), F.coalesce(F.sum(_n("sources", lambda s: s["outcome"] == "cited")), F.lit(0)).cast("long").alias("cited"), F.coalesce(F.sum(_n("sources", lambda s: s["outcome"] == "fetched")), F.lit(0)).cast("long").alias("fetched"))
-    domains = records.select(F.explode("sources.domain").alias("d")).where("d <> ''").agg(F.countDistinct("d").alias("unique_domains"))
-    return each.crossJoin(F.broadcast(domains))  # one row each
+    """One row: responses, those whose flag says they searched, fan-out queries, sources by outcome, distinct domains.
+
+    One pass: each record gives its numbers once, and its distinct domains beside them.
+    """
+    queries = sum((F.coalesce(F.size(f"fanout.{b}"), F.lit(0)) for b in ("search", "shopping", "image")), F.lit(0))
+    domains = F.filter(F.array_distinct(F.coalesce("sources.domain", F.array().cast("array<string>"))), lambda d: d != "")
+    # The first row of a record carries its numbers; further rows only a domain each.
+    each = records.select(F.coalesce("searched", F.lit(False)).alias("searched"), queries.alias("fan"), _n("sources", lambda s: s["outcome"] == "cited").alias("cited"), _n("sources", lambda s: s["outcome"] == "fetched").alias("fetched"), F.posexplode_outer(domains).alias("k", "d"))
+    first = F.coalesce(F.col("k"), F.lit(0)) == 0
+    total = lambda c: F.coalesce(F.sum(F.when(first, F.col(c))), F.lit(0)).cast("long")
+    return each.agg(F.count_if(first).alias("captures"), F.count_if(first & F.col("searched")).alias("searched"), total("fan").alias("fanout"), total("cited").alias("cited"), total("fetched").alias("fetched"), F.countDistinct("d").alias("unique_domains"))
 
 
 def prompt_performance(records: DataFrame, brands: list[Brand]) -> DataFrame:
-    """The own brand in the latest response of each prompt and engine."""
+    """Every response to a tracked prompt, newest first within a prompt (``run`` counts from 1): the own brand's presence, place and citation, and the sources.
+
+    Without an own brand it is not mentioned anywhere.
+    """
+    df = presence(records.where(F.coalesce(F.col("prompt_id").cast("string") != "", F.lit(False))), brands)
+    own = F.get(F.filter("brands", lambda b: b["is_own"]), F.lit(0))
+    newest = Window.partitionBy("prompt_id").orderBy(F.desc("captured_at"), F.desc("capture_id"))
+    sources = F.transform("sources", lambda s: F.struct(s["domain"].alias("domain"), s["url"].alias("url"), s["outcome"].alias("outcome")))
+    return df.select("prompt_id", F.row_number().over(newest).alias("run"), "capture_id", "captured_at", "platform", F.coalesce(own["present"], F.lit(False)).alias("mentioned"), own["rank"].alias("position"), F.coalesce(own["cited"], F.lit(False)).alias("cited"), sources.alias("sources"))
+
+
+def latest_performance(records: DataFrame, brands: list[Brand]) -> DataFrame:
+    """The own brand in the latest response of each prompt and engine; combines before the shuffle."""
     df = presence(records, brands).withColumn("own", F.get("brands", F.lit(0)))
     latest = df.groupBy("prompt_id", "platform").agg(F.max(F.struct("captured_at", "capture_id", F.col("own.present").alias("present"), F.col("own.rank").alias("rank"), F.col("own.cited").alias("cited"), F.size("sources").alias("n_sources"))).alias("x"), F.count("*").alias("runs"))
     return latest.select("prompt_id", "platform", "runs", "x.captured_at", "x.capture_id", "x.present", "x.rank", "x.cited", "x.n_sources")
 
 
 def url_detail(records: DataFrame, url: str, brands: list[Brand], prompts: DataFrame) -> DataFrame:
-    """Which responses used a URL, their prompt's text (or a default), and the tracked brands present."""
+    """Which responses used a URL, newest first: their prompt's text (or a default), whether the own brand is mentioned (null without one), and the tracked brands present."""
     df = presence(records.where(F.exists("sources", lambda s: s["url"] == url)), brands)
     names = F.array_join(F.transform(F.filter("brands", lambda b: b["present"]), lambda b: b["name"]), ", ")
-    return df.join(prompts, "prompt_id", "left").select("capture_id", "platform", F.coalesce("prompt_text", F.lit("(deleted prompt)")).alias("prompt_text"), names.alias("brands_present"))
+    own = F.get(F.filter("brands", lambda b: b["is_own"]), F.lit(0))
+    df = df.join(prompts, "prompt_id", "left").select("capture_id", "captured_at", "platform", F.coalesce("prompt_text", F.lit("(prompt no longer tracked)")).alias("prompt_text"), own["present"].alias("mentioned"), names.alias("brands_present"))
+    return df.orderBy(F.desc("captured_at"), F.desc("capture_id"))
+
+
+def percent_text(c: Column) -> Column:
+    """A share as it is shown: one decimal and a percent sign, a dash for none."""
+    return F.when(c.isNull(), "–").otherwise(F.format_string("%.1f%%", c.cast("double")))
+
+
+def position_text(c: Column) -> Column:
+    """An average place as it is shown: ``#`` and one decimal, a dash for none."""
+    return F.when(c.isNull(), "–").otherwise(F.format_string("#%.1f", c.cast("double")))
 
 
 def completed(records: DataFrame) -> DataFrame:
     """Turns with a signal by run and platform."""
-    return records.where(has_signal() & F.col("geo.run_id").isNotNull()).groupBy(F.col("geo.run_id").alias("run_id"), "platform").agg(F.count("*").alias("completed"))
+    return records.where(has_signal(records) & F.col("geo.run_id").isNotNull()).groupBy(F.col("geo.run_id").alias("run_id"), "platform").agg(F.count("*").alias("completed"))

@@ -18,14 +18,16 @@ ORACLES: dict[str, str] = {}
 _BASE = """
 lines as (select l_orderkey id, l_linenumber ord, l_partkey part, l_suppkey supp, l_extendedprice price, s_name as "domain", case l_returnflag when 'R' then 'cited' when 'A' then 'fetched' else 'mentioned' end outcome, p_brand brand, case when l_returnflag = 'N' then 0 else cast(l_quantity as bigint) end cnt
  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey),
-resp as (select o_orderkey id, o_orderdate ts, o_orderpriority platform, o_custkey prompt_id, c_name prompt, o_orderstatus status, c_mktsegment seg from orders left join customer on o_custkey = c_custkey),
+resp as (select o_orderkey id, o_orderdate ts, o_orderpriority platform, o_custkey prompt_id, c_name prompt, o_orderstatus status, c_mktsegment seg,
+ 'See ' || o_orderpriority || ': ' || ['Brand', 'BRAND', 'brand'][o_orderkey % 3 + 1] || '#' || (o_orderkey % 25) || ' and others.' answer from orders left join customer on o_custkey = c_custkey),
 ment as (select id, brand, min(ord) fi, cast(sum(cnt) as bigint) cnt from lines group by all),
 brands(ord, name, is_own, dom) as (values """ + ", ".join(f"({k}, '{b.name}', {str(b.is_own).lower()}, '{b.domain}')" for k, b in enumerate(BRANDS)) + ")"
 
 _PRESENCE = _BASE + """,
 src as (select id, "domain" dom, bool_or(outcome = 'cited') cited from lines group by all),
-pres as (select r.id, r.ts, r.platform, r.prompt_id, b.ord, b.name, b.is_own, m.fi, coalesce(m.cnt, 0) cnt, m.id is not null present, s.id is not null any_src, coalesce(s.cited, false) cited
- from resp r cross join brands b left join ment m on m.id = r.id and m.brand = b.name left join src s on s.id = r.id and s.dom = b.dom where r.status = 'F'),
+told as (select id, name, case when regexp_matches(answer, '\\b(?:Brand|BRAND)#' || substr(name, 7) || '\\b') then length(regexp_extract(answer, '^(.*?)\\b(?:Brand|BRAND)#[0-9]+\\b', 1)) end idx from resp cross join brands),
+pres as (select r.id, r.ts, r.platform, r.prompt_id, b.ord, b.name, b.is_own, coalesce(m.fi, t.idx) fi, coalesce(m.cnt, 0) cnt, m.id is not null or t.idx is not null present, s.id is not null any_src, coalesce(s.cited, false) cited
+ from resp r cross join brands b join told t on t.id = r.id and t.name = b.name left join ment m on m.id = r.id and m.brand = b.name left join src s on s.id = r.id and s.dom = b.dom where r.status = 'F'),
 rk as (select *, case when fi is not null then row_number() over (partition by id, fi is null order by fi, ord) end rnk from pres)"""
 
 
@@ -58,7 +60,7 @@ def query(sql: str | None = None):
 
 
 def _tracked(spark, d):
-    return M.select_tracked(responses(spark, d), profile_id="p1")
+    return M.select_tracked(responses(spark, d, "F"), profile_id="p1")
 
 
 # -- campaign metrics --------------------------------------------------------
@@ -80,27 +82,37 @@ def brand_metrics_weekly(spark, d):
 
 
 @query(f"""with {_BASE}, t as (select * from resp where status = 'F'), l as (select l.* from lines l join t on t.id = l.id)
-select (select count(*) from t) captures, (select count(distinct id) from l) searched, (select count_if(outcome = 'cited') from l) cited, (select count_if(outcome = 'fetched') from l) fetched, (select count(distinct "domain") from l) unique_domains""")
+select (select count(*) from t) captures, (select count(distinct id) from l where outcome <> 'mentioned') searched, (select count_if(outcome <> 'mentioned') from l) fanout, (select count_if(outcome = 'cited') from l) cited, (select count_if(outcome = 'fetched') from l) fetched, (select count(distinct "domain") from l) unique_domains""")
 def overview(spark, d):
     """QRY-03, AGG-08."""
     return M.overview(_tracked(spark, d))
 
 
+@query(f"""with {_PRESENCE}, own as (select * from rk where is_own), s as (select id, string_agg("domain" || ' ' || part || ' ' || outcome, ', ' order by ord, part, supp, price, "domain") sources from lines group by 1)
+select prompt_id, row_number() over (partition by prompt_id order by ts desc, own.id desc) as run, own.id capture_id, platform, present mentioned, rnk as position, cited, coalesce(sources, '') sources from own left join s using (id) where prompt_id is not null""")
+def prompt_performance(spark, d):
+    """QRY-04: every run of every prompt, with its sources."""
+    df = M.prompt_performance(_tracked(spark, d), BRANDS)
+    text = F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["domain"], s["url"], s["outcome"])), ", ")
+    return df.select("prompt_id", F.col("run").cast("long").alias("run"), "capture_id", "platform", "mentioned", F.col("position").cast("long").alias("position"), "cited", text.alias("sources"))
+
+
 @query(f"""with {_PRESENCE}, own as (select * from rk where ord = 0), n as (select id, count(*) n from lines group by 1)
 select prompt_id, platform, runs, id as capture_id, present, rnk as rank, cited, coalesce(n, 0) n_sources from
  (select *, count(*) over (partition by prompt_id, platform) runs, row_number() over (partition by prompt_id, platform order by ts desc, own.id desc) k from own left join n using (id)) where k = 1""")
 def prompt_performance_latest(spark, d):
-    """QRY-04, WIN-04."""
-    df = M.prompt_performance(_tracked(spark, d), BRANDS).drop("captured_at")
+    """WIN-04: the latest run of a prompt on a platform."""
+    df = M.latest_performance(_tracked(spark, d), BRANDS).drop("captured_at")
     return df.select("prompt_id", "platform", "runs", "capture_id", "present", F.col("rank").cast("long").alias("rank"), "cited", F.col("n_sources").cast("long").alias("n_sources"))
 
 
 @query(f"""with {_PRESENCE}, hit as (select distinct id from lines where part = 7)
-select rk.id capture_id, any_value(platform) platform, any_value(coalesce(c_name, '(deleted prompt)')) prompt_text, coalesce(string_agg(case when present then name end, ', ' order by ord), '') brands_present
-from rk join hit on hit.id = rk.id left join customer on c_custkey = prompt_id group by 1""")
+select rk.id capture_id, strftime(any_value(ts), '%Y-%m-%d') as day, any_value(platform) platform, any_value(coalesce(c_name, '(prompt no longer tracked)')) prompt_text, bool_or(present) filter (is_own) mentioned, coalesce(string_agg(case when present then name end, ', ' order by ord), '') brands_present
+from rk join hit on hit.id = rk.id left join customer on c_custkey = prompt_id and c_custkey % 3 <> 0 group by 1""")
 def url_detail(spark, d):
-    """QRY-05, FLT-09, JON-04, AGG-32."""
-    return M.url_detail(_tracked(spark, d), "7", BRANDS, prompts(spark, d))
+    """QRY-05, FLT-09, JON-04, AGG-32: a third of the prompts is no longer tracked."""
+    df = M.url_detail(_tracked(spark, d), "7", BRANDS, prompts(spark, d).where("prompt_id % 3 <> 0"))
+    return df.select("capture_id", T.day_key(F.col("captured_at")).alias("day"), "platform", "prompt_text", "mentioned", "brands_present")
 
 
 @query(f"with {_BASE} select id capture_id, platform, prompt_id from resp where status = 'F' and platform in ('1-URGENT', '2-HIGH') and seg in ('BUILDING', 'MACHINERY') and ts >= timestamp '1996-01-01' and ts <= timestamp '1998-12-31'")
@@ -120,29 +132,30 @@ def tracked_partition(spark, d):
 @query(f"with {_BASE} select status run_id, platform, count(*) completed from resp where prompt <> '' group by all")
 def completed_turns(spark, d):
     """AGG-25, FLT-04."""
-    df = responses(spark, d).withColumns({"fanout": F.lit(None).cast("struct<search:array<int>,shopping:array<int>,image:array<int>>"), "products": F.array(), "places": F.array(), "answer_chars": F.lit(0)})
+    df = responses(spark, d).withColumns({"fanout": F.lit(None).cast("struct<search:array<int>,shopping:array<int>,image:array<int>>"), "answer_chars": F.lit(0)})
+    df = df.withColumn("sources", F.filter("sources", lambda s: F.lit(False)))
     return M.completed(df)
 
 
 # -- dashboards --------------------------------------------------------------
 def _drill_sql(where: str) -> str:
-    return f"""with {_BASE} select "domain", count_if(outcome = 'cited') cited, count_if(outcome <> 'cited') not_cited, count(*) total, count(distinct prompt_id) prompts from lines join resp using (id) where {where} group by 1"""
+    return f"""with {_BASE} select "domain", count_if(outcome = 'cited') cited, count_if(outcome <> 'cited') not_cited, count(*) total, count(distinct prompt_id) prompts, arg_min(cast(part as varchar), row(ts, id, ord, part, supp, price)) first_url from lines join resp using (id) where {where} group by 1"""
 
 
 @query(_drill_sql("true"))
 def drill_domains(spark, d):
     """QRY-09, AGG-09."""
-    return D.drill_domains(responses(spark, d)).drop("first_url")
+    return D.drill_domains(responses(spark, d))
 
 
 @query(_drill_sql("outcome = 'cited'"))
 def drill_cited(spark, d):
-    return D.drill_domains(responses(spark, d), "cited").drop("first_url")
+    return D.drill_domains(responses(spark, d), "cited")
 
 
 @query(_drill_sql("outcome = 'fetched'"))
 def drill_fetched(spark, d):
-    return D.drill_domains(responses(spark, d), "fetched").drop("first_url")
+    return D.drill_domains(responses(spark, d), "fetched")
 
 
 _LEADERS = """with {base} select cast({key} as varchar) as key, count_if(outcome = 'cited') citations, count_if(outcome = 'fetched') fetched from lines join resp using (id) where status = 'F' and outcome <> 'mentioned' group by 1 order by 2 desc, 3 desc, 1 limit 50"""
@@ -179,19 +192,22 @@ def dashboard_filter(spark, d):
     return D.filter_records(responses(spark, d), "00012", "1-URGENT", since="1996-06-01").select("capture_id", "platform")
 
 
-def _timeline(spark, d, values):
-    df = responses(spark, d).where("prompt_key < 200")
+def _timeline(spark, d, values, **by):
+    df = D.with_prompt_key(responses(spark, d), **by)
     return D.timelines(df), values(df)
 
 
-_POINTS = _BASE + """, pts as (select *, row_number() over (partition by prompt_id order by ts, id) k, count(*) over (partition by prompt_id) n from resp where prompt_id < 200 qualify n > 1)"""
-_BRAND_MOVE = _POINTS + """, names as (select distinct prompt_id, brand from pts join ment using (id)),
-mv as (select x.prompt_id prompt_key, x.brand as name, cast(coalesce(sum(case when k = 1 then cnt end), 0) as bigint) as first, cast(coalesce(sum(case when k = n then cnt end), 0) as bigint) as last from names x left join (select pts.prompt_id, k, n, brand, cnt from pts join ment using (id)) y on x.prompt_id = y.prompt_id and x.brand = y.brand group by all)"""
+_KEYED = _BASE + """, keyed as (select *, trim(regexp_replace(regexp_replace(lower(prompt), '\\s+', ' ', 'g'), '[.?!,]+$', '')) prompt_key from resp where prompt <> '')"""
+_POINTS = _KEYED + """, pts as (select *, row_number() over (partition by prompt_key order by ts, id) k, count(*) over (partition by prompt_key) n from keyed qualify n > 1)"""
+_BRAND_MOVE = _POINTS + """, names as (select distinct prompt_key, brand from pts join ment using (id)),
+mv as (select x.prompt_key, x.brand as name, cast(coalesce(sum(case when k = 1 then cnt end), 0) as bigint) as first, cast(coalesce(sum(case when k = n then cnt end), 0) as bigint) as last from names x left join (select pts.prompt_key, k, n, brand, cnt from pts join ment using (id)) y on x.prompt_key = y.prompt_key and x.brand = y.brand group by all)"""
+_DOMAIN_MOVE = _POINTS + """, v as (select id, "domain" as name, count(*) v from lines group by all),
+mv as (select prompt_key, name, cast(coalesce(sum(v) filter (k = 1), 0) as bigint) as first, cast(coalesce(sum(v) filter (k = n), 0) as bigint) as last from pts join v using (id) group by 1, 2)"""
 
 
 @query(f"with {_BRAND_MOVE} select *, last - first as delta from mv")
 def timeline_delta(spark, d):
-    """QRY-13, WIN-02, WIN-03, JON-12."""
+    """QRY-13, WIN-02, WIN-03, JON-12: prompts of any key and any number of captures."""
     return D.movement(*_timeline(spark, d, D.capture_brands))
 
 
@@ -201,68 +217,41 @@ def gained_lost_brands(spark, d):
     return D.gained_lost(D.movement(*_timeline(spark, d, D.capture_brands)))
 
 
-@query(f"""with {_POINTS}, v as (select id, "domain" as name, count(*) v from lines group by all), names as (select distinct prompt_id, name from pts join v using (id)),
-mv as (select x.prompt_id prompt_key, x.name, cast(coalesce(sum(case when k = 1 then v end), 0) as bigint) as first, cast(coalesce(sum(case when k = n then v end), 0) as bigint) as last from names x left join (select * from pts join v using (id)) y on x.prompt_id = y.prompt_id and x.name = y.name group by all)
-select *, last - first as delta from mv""")
+@query(f"with {_DOMAIN_MOVE} select *, last - first as delta from mv")
 def timeline_domains(spark, d):
     """QRY-14, AGG-16."""
     return D.movement(*_timeline(spark, d, D.capture_domains))
 
 
-@query(f"""with {_POINTS} select prompt_id prompt_key, brand as name, cast(coalesce(sum(case when k = 1 then cnt end), 0) as bigint) c1, cast(coalesce(sum(case when k = 2 then cnt end), 0) as bigint) c2, cast(coalesce(sum(case when k = 3 then cnt end), 0) as bigint) c3, cast(coalesce(sum(case when k = 3 then cnt end), 0) - coalesce(sum(case when k = 1 then cnt end), 0) as bigint) as delta
-from pts join ment using (id) where n = 3 group by all""")
-def timeline_matrix(spark, d):
-    """QRY-13, SNK-11: the pivot, for prompts of three captures."""
-    points, values = _timeline(spark, d, D.capture_brands)
-    return D.matrix(points.where("points = 3"), values, 3)
-
-
-# The four above look at prompts with a key under 200, and the matrix at those of three captures; these look at all.
-def _timeline_all(spark, d, values):
-    df = responses(spark, d)
-    return D.timelines(df), values(df)
-
-
-_POINTS_ALL = _POINTS.replace(" where prompt_id < 200", "")
-_BRAND_MOVE_ALL = _BRAND_MOVE.replace(" where prompt_id < 200", "")
+@query(f"with {_DOMAIN_MOVE} select *, last - first as delta from mv order by abs(last - first) desc, last desc, prompt_key, name limit 60")
+def most_moved_domains(spark, d):
+    """SRT-08: the 60 that moved most."""
+    return D.most_moved(D.movement(*_timeline(spark, d, D.capture_domains)), 60)
 
 
-@query(f"with {_BRAND_MOVE_ALL} select *, last - first as delta from mv")
-def timeline_delta_all(spark, d):
-    """QRY-13, WIN-02, WIN-03, JON-12."""
-    return D.movement(*_timeline_all(spark, d, D.capture_brands))
+@query(f"""with {_POINTS.replace("where prompt <> ''", "where prompt <> '' and platform = '1-URGENT'")} select prompt_key, id capture_id, k as ordinal, n as points from pts""")
+def timeline_of_platform(spark, d):
+    """FLT-08: the captures of one platform only."""
+    points, _ = _timeline(spark, d, D.capture_brands, platform="1-URGENT")
+    return points.select("prompt_key", "capture_id", F.col("ordinal").cast("long").alias("ordinal"), "points")
 
 
-@query(f"with {_BRAND_MOVE_ALL} select prompt_key, name, case when first = 0 then 'gained' else 'lost' end change from mv where (first = 0) <> (last = 0)")
-def gained_lost_brands_all(spark, d):
-    """QRY-15, SET-01."""
-    return D.gained_lost(D.movement(*_timeline_all(spark, d, D.capture_brands)))
-
-
-@query(f"""with {_POINTS_ALL}, v as (select id, "domain" as name, count(*) v from lines group by all)
-select prompt_id prompt_key, name, cast(coalesce(sum(v) filter (k = 1), 0) as bigint) as first, cast(coalesce(sum(v) filter (k = n), 0) as bigint) as last,
- cast(coalesce(sum(v) filter (k = n), 0) - coalesce(sum(v) filter (k = 1), 0) as bigint) as delta from pts join v using (id) where prompt_id is not null group by 1, 2""")
-def timeline_domains_all(spark, d):
-    """QRY-14, AGG-16."""
-    return D.movement(*_timeline_all(spark, d, D.capture_domains))
-
-
-@query(f"""with {_POINTS_ALL}, names as (select distinct prompt_id, brand from pts join ment using (id)),
-cells as (select p.prompt_id, x.brand, p.k, p.n, coalesce(m.cnt, 0) cnt from pts p join names x on p.prompt_id = x.prompt_id left join ment m on m.id = p.id and m.brand = x.brand)
-select prompt_id prompt_key, brand as name, k as ordinal, n as points, cast(cnt as bigint) as value, cast(sum(case when k = n then cnt else 0 end) over w - sum(case when k = 1 then cnt else 0 end) over w as bigint) as delta from cells window w as (partition by prompt_id, brand)""")
-def timeline_matrix_all(spark, d):
+@query(f"""with {_POINTS}, names as (select distinct prompt_key, brand from pts join ment using (id)),
+cells as (select p.prompt_key, x.brand, p.k, p.n, coalesce(m.cnt, 0) cnt from pts p join names x on p.prompt_key = x.prompt_key left join ment m on m.id = p.id and m.brand = x.brand)
+select prompt_key, brand as name, k as ordinal, n as points, cast(cnt as bigint) as value, cast(sum(case when k = n then cnt else 0 end) over w - sum(case when k = 1 then cnt else 0 end) over w as bigint) as delta from cells window w as (partition by prompt_key, brand)""")
+def timeline_matrix(spark, d):
     """QRY-13, SNK-11: the matrix in long form, for prompts of any number of captures."""
-    return D.matrix_rows(*_timeline_all(spark, d, D.capture_brands))
+    return D.matrix_rows(*_timeline(spark, d, D.capture_brands))
 
 
-@query("select o_custkey prompt_key, count(*) captures from orders group by 1 having count(*) > 1")
+@query(f"with {_KEYED} select prompt_key, count(*) captures, arg_min(prompt, row(ts, id)) as label from keyed group by 1 having count(*) > 1")
 def repeat_prompts(spark, d):
-    """QRY-16, AGG-31."""
-    return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("prompt_key")).agg(F.count("*").alias("captures")).where("captures > 1")
+    """QRY-16, AGG-31, STR-03, SRT-07."""
+    return D.repeat_prompts(D.with_prompt_key(responses(spark, d)))
 
 
 @query(f"""with {_BASE}, per as (select "domain", count_if(outcome = 'cited') c, count_if(outcome <> 'cited') f from lines group by 1)
-select (select count(*) from resp) captures, (select count(distinct lower(prompt)) from resp) unique_prompts, (select count(distinct id) from lines) searched, (select count(*) from lines) sources, (select strftime(min(ts), '%Y-%m-%d') from resp) first_day, (select strftime(max(ts), '%Y-%m-%d') from resp) last_day,
+select (select count(*) from resp) captures, (select count(distinct lower(prompt)) from resp) unique_prompts, (select count(distinct id) from lines where outcome <> 'mentioned') searched, (select count(*) from lines) sources, (select strftime(min(ts), '%Y-%m-%d') from resp) first_day, (select strftime(max(ts), '%Y-%m-%d') from resp) last_day,
  (select "domain" from per order by c desc, 1 limit 1) top_cited, (select "domain" from per order by f desc, 1 limit 1) top_not_cited""")
 def session_summary(spark, d):
     """QRY-20, AGG-12."""
@@ -271,10 +260,10 @@ def session_summary(spark, d):
 
 
 @query(f"""with {_BASE}, n as (select id, count(*) n, count_if(outcome = 'cited') c from lines group by 1)
-select lower(prompt) as key, count(*) runs, cast(coalesce(sum(c), 0) as bigint) cited, cast(coalesce(sum(n), 0) as bigint) sources, coalesce(sum(c), 0)::double / count(*) avg_cited, coalesce(sum(n), 0)::double / count(*) avg_sources from resp left join n using (id) group by 1""")
+select lower(prompt) as key, count(*) runs, arg_min(prompt, row(ts, id)) as prompt, cast(coalesce(sum(c), 0) as bigint) cited, cast(coalesce(sum(n), 0) as bigint) sources, coalesce(sum(c), 0)::double / count(*) avg_cited, coalesce(sum(n), 0)::double / count(*) avg_sources from resp left join n using (id) group by 1""")
 def prompt_frequency(spark, d):
     """AGG-13, STR-04."""
-    return D.prompt_frequency(responses(spark, d)).drop("prompt")
+    return D.prompt_frequency(responses(spark, d))
 
 
 @query(f"""with {_BASE}, per as (select "domain", count_if(outcome = 'cited') cited, count(*) total from lines group by 1)
@@ -380,24 +369,18 @@ def mention_first_index(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.first_index(F.col("text"), "the").alias("idx"))
 
 
-@query("""select doc_id, '"' || replace(case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else text end, '"', '""') || '"' cell from documents where length(text) < 400""")
-def csv_escape(spark, d):
-    """SNK-03."""
-    return read(spark, d, "documents").where(F.length("text") < 400).select("doc_id", T.csv_cell(F.col("text")).alias("cell"))
-
-
 @query("""select doc_id, '"' || replace(case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else text end, '"', '""') || '"' cell from documents""")
-def csv_escape_all(spark, d):
+def csv_escape(spark, d):
     """SNK-03: texts of any length."""
     return read(spark, d, "documents").select("doc_id", T.csv_cell(F.col("text")).alias("cell"))
 
 
-@query("""with t as (select p_partkey, '| ' || p_name || ' | ' || p_brand || ' \\| ' || p_type || ' |' as line from part) select p_partkey, p_name as first_cell, 2 as n_cells from part""")
+@query("""with t as (select p_partkey, list_transform(string_split(trim(replace('| ' || p_name || ' | ' || p_brand || ' \\| ' || p_type || ' |', '\\|', chr(1)), '|'), '|'), lambda c: trim(replace(c, chr(1), '|'))) a from part) select p_partkey, array_to_string(a, ';') cells from t""")
 def markdown_tables(spark, d):
     """TXT-04: an escaped pipe does not split a row."""
     line = F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" \\| "), "p_type", F.lit(" |"))
     cells = T.table_cells(line)
-    return read(spark, d, "part").select("p_partkey", F.get(cells, F.lit(0)).alias("first_cell"), F.size(cells).alias("n_cells"))
+    return read(spark, d, "part").select("p_partkey", F.array_join(cells, ";").alias("cells"))
 
 
 @query("select conv_id, turn, case when trim(text) = '' then 0 else len(regexp_split_to_array(trim(text), '\\s+')) end words from conversations")
@@ -421,19 +404,9 @@ def upsert_latest(spark, d):
     return D.latest_wins(old, read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("b")), "k", "v")
 
 
-@query("""with x as (select p_partkey, lower(p_name) k from part where p_partkey >= 100), old as (select distinct lower(p_name) k from part where p_partkey < 3)
-select p_partkey, case when k in (select k from old) or row_number() over (partition by k order by p_partkey) > 1 then 'duplicate' else 'added' end as status from x""")
-def bulk_add_dupes(spark, d):
-    """JON-07, DML-04."""
-    from .store import bulk_add
-
-    part = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
-    return bulk_add(part.where("p_partkey < 3"), part.where("p_partkey >= 100"), "p_partkey").select("p_partkey", "status")
-
-
 @query("""with x as (select p_partkey, lower(p_name) k from part where p_partkey % 2 = 1), old as (select distinct lower(p_name) k from part where p_partkey % 2 = 0)
 select p_partkey, case when k in (select k from old) or row_number() over (partition by k order by p_partkey) > 1 then 'duplicate' else 'added' end as status from x""")
-def bulk_add_dupes_all(spark, d):
+def bulk_add_dupes(spark, d):
     """JON-07, DML-04: parts of even keys are the store, all others are new."""
     from .store import bulk_add
 
@@ -467,11 +440,8 @@ def reason_histogram(spark, d):
 @query("""select conv_id, turn, length(text) prompt_chars, next_len answer_chars from (select *, lead(role) over w nr, length(lead(text) over w) next_len from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant'""")
 def prompt_answer_pairs(spark, d):
     """JSN-05: the last user message before an answer."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    df = read(spark, d, "conversations").withColumn("nr", F.lead("role").over(w)).withColumn("a", F.length(F.lead("text").over(w)))
-    return df.where("role = 'user' and nr = 'assistant'").select("conv_id", "turn", F.length("text").cast("long").alias("prompt_chars"), F.col("a").cast("long").alias("answer_chars"))
+    df = D.prompt_answer_pairs(read(spark, d, "conversations"))
+    return df.select("conv_id", "turn", F.length("prompt").cast("long").alias("prompt_chars"), F.length("answer").cast("long").alias("answer_chars"))
 
 
 @query("select distinct c_mktsegment tag from customer")
@@ -491,11 +461,16 @@ def tag_rename(spark, d):
     return rename_tag(df, "BUILDING", "HOUSEHOLD").select("c_custkey", F.array_join("tags", ",").alias("tags"))
 
 
-@query("""with c as (select user_id, count_if(event_type <> 'error') done, count(*) n from events group by 1) select user_id, greatest(10, least(done, n)) as position, n - done failed from c""")
+@query("""with c as (select user_id, count_if(event_type <> 'error') done, count(*) n, epoch_ms(max(ts)) - epoch_ms(min(ts)) ms from events group by 1)
+select user_id, greatest(10, least(done, n)) as position, case when greatest(10, least(done, n)) >= n then 'done' when ms > 90000 then 'failed' else 'running' end status from c""")
 def run_reconcile(spark, d):
     """AGG-25, STM-07: the larger of the snapshot and the true count."""
-    df = read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("done"), F.count("*").alias("n"))
-    return df.select("user_id", F.greatest(F.lit(10).cast("long"), F.least("done", "n")).alias("position"), (F.col("n") - F.col("done")).alias("failed"))
+    from .streaming.ingest import reconcile
+
+    ms = lambda f: F.unix_millis(f("ts").cast("timestamp"))
+    df = read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("done"), F.count("*").alias("n"), (ms(F.max) - ms(F.min)).alias("ms"))
+    at, status = reconcile(F.lit(10).cast("long"), F.col("done"), F.col("n"), F.col("ms"))
+    return df.select("user_id", at.alias("position"), status.alias("status"))
 
 
 @query("""with recursive e as (select user_id, event_id, epoch_ms(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events),
@@ -510,11 +485,9 @@ def debounced(spark, d):
 @query("select user_id, event_id, ts_gap > 3600 as timed_out from (select user_id, event_id, (epoch_us(lead(ts) over w) - epoch_us(ts)) / 1e6 ts_gap from events window w as (partition by user_id order by ts, event_id)) where ts_gap is not null")
 def watchdog(spark, d):
     """STM-05: silence after a turn beyond the limit."""
-    from pyspark.sql import Window
+    from .streaming.ingest import silences
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
-    return read(spark, d, "events").select("user_id", "event_id", (gap > 3600).alias("timed_out")).where("timed_out is not null")
+    return silences(read(spark, d, "events"), "user_id", "ts", "event_id", 3_600_000).select("user_id", "event_id", "timed_out")
 
 
 # -- further dashboard and lifecycle queries ----------------------------------
@@ -562,28 +535,26 @@ def due_prompts(spark, d):
 @query("select event_type, cast(props ->> '$.k' as bigint) % 10 as kind, count(*) n from events group by all")
 def debug_counts(spark, d):
     """AGG-29, JSN-04: a path of a JSON bag."""
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    k = T.json_path(F.col("props"), "$.k", "bigint")
     return read(spark, d, "events").groupBy("event_type", (k % 10).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("select user_id, arg_min(event_type, row(ts, event_id)) as first, arg_max(event_type, row(ts, event_id)) as last from events group by 1")
 def first_last_of(spark, d):
     """AGG-34."""
-    at = F.struct("ts", "event_id")
-    return read(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first"), F.max_by("event_type", at).alias("last"))
+    return D.first_last(read(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
 
 
 @query("select (select count(*) from orders) raw, (select count(distinct l_orderkey) from lineitem) derived")
 def store_stats(spark, d):
     """AGG-30, SRC-13."""
-    a = read(spark, d, "orders").agg(F.count("*").alias("raw"))
-    return a.crossJoin(F.broadcast(read(spark, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("derived"))))  # one row each
+    return D.store_stats(raw=read(spark, d, "orders"), derived=read(spark, d, "lineitem").select("l_orderkey").distinct())
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def unfootnoted(spark, d):
     """SET-04: what is in one set only."""
-    return read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return D.only_in(read(spark, d, "orders").select("o_orderkey"), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("select conv_id, turn, trim(regexp_replace(text[greatest(strpos(text, 'a') - 110, 1):strpos(text, 'a') + 109], '\\s+', ' ', 'g')) passage from conversations where strpos(text, 'a') > 0")
@@ -602,6 +573,110 @@ def name_forms(spark, d):
 @query(f"""with {_BASE} select id capture_id, 'search' bucket, "domain" query from lines where outcome = 'cited' union all select id, 'shopping', "domain" from lines where outcome = 'fetched'""")
 def fanout_rows(spark, d):
     """QRY-08, QRY-25, SET-03."""
-    of = lambda o: F.transform(F.filter("sources", lambda s: s["outcome"] == o), lambda s: F.struct(s["domain"].alias("query")))
-    none = F.filter(of("cited"), lambda x: F.lit(False))
-    return D.fanout_rows(responses(spark, d).withColumn("fanout", F.struct(of("cited").alias("search"), of("fetched").alias("shopping"), none.alias("image"))))
+    return D.fanout_rows(responses(spark, d))
+
+
+# -- small forms and filters -----------------------------------------------------
+@query("select page_id, coalesce(regexp_matches(url, '(?i)^https?://'), false) as http from pages")
+def http_urls(spark, d):
+    """URL-01."""
+    return read(spark, d, "pages").select("page_id", T.is_http(F.col("url")).alias("http"))
+
+
+@query("""select conv_id, turn, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') html from conversations""")
+def escaped_html(spark, d):
+    """TXT-21."""
+    return read(spark, d, "conversations").select("conv_id", "turn", T.html_escape(F.col("text")).alias("html"))
+
+
+@query("""with x as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}(?:#{1,6}|[-*+>]|\\d+[.)])\\s+', '', 'g'), '(?m)^\\s*(?:[-*_]\\s*){3,}$', ' ', 'g'), '[*_`~|]+', '', 'g') t from pages) select page_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) snippet from x""")
+def plain_snippets(spark, d):
+    """TXT-22."""
+    return read(spark, d, "pages").select("page_id", T.plain_snippet(F.col("html")).alias("snippet"))
+
+
+@query("""select p_partkey, length(p_name) < 3 or length(p_name) > 60 or regexp_matches(p_name, '[:|/•]') or regexp_matches(lower(p_name), '^(?:the )?(?:best|top|why|how|what|which|when|key|quick|final|other|more|our|my)\\b|\\b(?:overview|summary|comparison|recommendations?|conclusion|verdict|tips?)$') noise from part
+union all select -1 - p_partkey, true from part""")
+def noise_labels(spark, d):
+    """STR-10: names, and the same names as headings of a list article."""
+    part = read(spark, d, "part")
+    return part.select("p_partkey", T.is_noise_label(F.col("p_name")).alias("noise")).union(part.select(-1 - F.col("p_partkey"), T.is_noise_label(F.concat(F.lit("Top 10: "), "p_name"))))
+
+
+@query("with s as (select user_id, epoch_ms(max(ts)) // 1000 - epoch_ms(min(ts)) // 1000 s from events group by 1) select user_id, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) took from s")
+def run_durations(spark, d):
+    """DAT-05."""
+    at = lambda f: F.unix_seconds(f("ts").cast("timestamp"))
+    s = read(spark, d, "events").groupBy("user_id").agg((at(F.max) - at(F.min)).alias("s"))
+    return s.select("user_id", T.duration_hms(F.col("s")).alias("took"))
+
+
+@query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as at from events")
+def unix_times(spark, d):
+    """DAT-06: events whose time came in seconds or in milliseconds."""
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    mixed = F.when(F.col("event_id") % 2 == 0, t).otherwise(t * 1000)
+    return read(spark, d, "events").select("event_id", F.date_format(T.seconds_or_millis(mixed), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("select c_custkey id, c_name text from customer where contains(lower(c_name), '0001') and c_mktsegment in ('BUILDING', 'MACHINERY')")
+def filtered_prompts(spark, d):
+    """FLT-06."""
+    from .store import filter_prompts
+
+    df = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.array("c_mktsegment").alias("tags"))
+    return filter_prompts(df, "0001", tags=("BUILDING", "MACHINERY")).select("id", "text")
+
+
+@query("select c_custkey, case when c_mktsegment = 'BUILDING' then 'BUILDING' else c_mktsegment || ',BUILDING' end tags from customer")
+def tag_union(spark, d):
+    """SET-06."""
+    from .store import add_tag
+
+    return add_tag(read(spark, d, "customer").select("c_custkey", F.array("c_mktsegment").alias("tags")), " BUILDING ").select("c_custkey", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""with {_BASE} select id capture_id, row_number() over (partition by id order by ord, part, supp, price) as position, "domain", outcome, cast(part as varchar) url from lines where outcome = 'fetched'""")
+def source_list_fetched(spark, d):
+    """FLT-07."""
+    return D.source_list(responses(spark, d), "fetched").withColumn("position", F.col("position").cast("long"))
+
+
+@query("select event_id, event_type from events order by ts desc, event_id desc limit 120")
+def debug_log(spark, d):
+    """STM-12: the newest 120 of the 200 that are kept."""
+    return D.ring(read(spark, d, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
+@query("""select '"' || n_nationkey || '","' || n_name || '","' || n_regionkey || '"' as value from nation""")
+def csv_rows(spark, d):
+    """SNK-10, SNK-12."""
+    from .sources.exports import csv_lines
+
+    return csv_lines(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("""select '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' as value from region""")
+def json_dump(spark, d):
+    """SNK-06."""
+    from .sources.exports import json_lines
+
+    return json_lines(read(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query(f"""with {_BASE} select id capture_id, 2 as schema_version, platform, prompt user_prompt, length(answer) answer_chars, answer answer_text, 0 as n_products from resp""")
+def made_records(spark, d):
+    """PRJ-01: missing columns are there, unknown ones are not."""
+    from .schema import make_record
+
+    df = make_record(responses(spark, d).drop("sources", "brand_mentions", "fanout", "geo"))
+    return df.select(F.col("capture_id").cast("long").alias("capture_id"), "schema_version", "platform", "user_prompt", "answer_chars", "answer_text", F.size("products").alias("n_products"))
+
+
+@query("select l_orderkey, l_linenumber, case l_returnflag when 'R' then 'cited' else 'fetched' end outcome, case when l_linenumber % 2 = 0 then 'news' else 'unknown' end as \"type\" from lineitem")
+def made_sources(spark, d):
+    """PRJ-02: values that are not known fall back."""
+    from .schema import make_source
+
+    s = F.struct(F.when(F.col("l_returnflag") == "R", "cited").otherwise(F.col("l_returnflag")).alias("outcome"), F.when(F.col("l_linenumber") % 2 == 0, "news").otherwise("odd").alias("type"))
+    return read(spark, d, "lineitem").withColumn("s", s).withColumn("s", make_source(F.col("s"))).select("l_orderkey", "l_linenumber", "s.outcome", "s.type")

@@ -24,6 +24,16 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in df.columns]).alias("value"))
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """Column ``value``: each row as one JSON object; null fields are left out."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_json(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A folder of compressed JSON lines, which Spark reads back as they are."""
+    df.write.json(path, compression=compression)
+
+
 def write_csv(df: DataFrame, path: str, title: list[str] = ()) -> None:
     """A folder of CSV parts, each with the header; ``title`` lines go to a file of their own."""
     safe = df.select(*[F.when(F.col(f"`{c}`").cast("string").rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(f"`{c}`").cast("string"))).otherwise(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])

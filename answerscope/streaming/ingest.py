@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import NOT_LOCATED  # noqa: F401  re-exported for readers of derived rows
@@ -24,14 +24,15 @@ STATE = "last bigint, done bigint, failed bigint"
 OUT = "run_id string, platform string, done bigint, failed bigint, last bigint"
 
 
-def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_derived: Callable[[DataFrame], None], checkpoint: str, max_mb: int = 8):
-    """A started query: raw rows first, then their records; a replayed batch upserts the same keys."""
+def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_derived: Callable[[DataFrame], None], checkpoint: str, max_mb: int = 8, after: Callable[[], object] | None = None):
+    """A started query: raw rows first, then their records, then ``after`` (retention); a replayed batch upserts the same keys."""
 
     def batch(df: DataFrame, _: int) -> None:
         usable, _skipped = landing(df, max_mb)
-        latest = usable.dropDuplicates(["capture_id"])
-        upsert_raw(latest)
-        upsert_derived(derive(latest).where("error is null").drop("error"))
+        upsert_raw(usable)
+        upsert_derived(derive(usable).where("error is null").drop("error"))
+        if after:
+            after()
 
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -80,10 +81,17 @@ def eta(durations: dict[str, list[float]], remaining: dict[str, int]) -> dict[st
     return out
 
 
-def reconcile(snapshot: int, completed: int, prompts: int, elapsed_ms: int, timeout: int = TIMEOUT_MS) -> tuple[int, str]:
-    """After a restart: the position is the larger of the snapshot and the true count; a turn silent for too long has failed."""
-    at = max(snapshot, min(completed, prompts))
-    return at, "done" if at >= prompts else "failed" if elapsed_ms > timeout else "running"
+def reconcile(snapshot: Column, completed: Column, prompts: Column, elapsed_ms: Column, timeout: int = TIMEOUT_MS) -> tuple[Column, Column]:
+    """Position and status after a restart: the position is the larger of the snapshot and the true count; a turn silent for too long has failed."""
+    at = F.greatest(snapshot, F.least(completed, prompts))
+    return at, F.when(at >= prompts, "done").when(elapsed_ms > timeout, "failed").otherwise("running")
+
+
+def silences(events: DataFrame, key: str, ts: str, tie: str, limit_ms: int = TIMEOUT_MS) -> DataFrame:
+    """The batch form of the watchdog: of each event that another follows, whether the silence after it went beyond the limit."""
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    gap = F.unix_micros(F.lead(ts).over(w).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.withColumn("timed_out", gap > limit_ms * 1000).where("timed_out is not null")
 
 
 def weekly_windows(events: DataFrame, ts: str = "captured_at", late: str = "1 day") -> DataFrame:
