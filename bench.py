@@ -1,7 +1,12 @@
-"""Times the headline queries at $BENCH_SF_DIR and prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR and prints one JSON line.
+
+The nested records are stored once, as the engine stores its derived table; that
+is timed as ``derive`` and counted.  The queries then read them.
+"""
 
 import json
 import os
+import tempfile
 import time
 
 from answerscope.session import session
@@ -10,6 +15,7 @@ HEADLINE = ["brand_metrics", "brand_metrics_daily", "overview", "prompt_performa
 
 
 def main() -> None:
+    from answerscope.plans import tpch
     from answerscope.queries import QUERIES
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
@@ -18,10 +24,14 @@ def main() -> None:
     run = lambda n: QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
     run("drill_domains")  # starts the JVM's compilers; not counted
     took = {}
-    for name in HEADLINE:
+    with tempfile.TemporaryDirectory() as folder:
         began = time.perf_counter()
-        run(name)
-        took[name] = round(time.perf_counter() - began, 3)
+        tpch.store_responses(spark, sf_dir, f"{folder}/records")
+        took["derive"] = round(time.perf_counter() - began, 3)
+        for name in HEADLINE:
+            began = time.perf_counter()
+            run(name)
+            took[name] = round(time.perf_counter() - began, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 

@@ -31,3 +31,19 @@ def test_ingest_is_idempotent(spark, tmp_path):
         assert [t.stats() for t in tables] == [2, 2]
     tables[1].delete(tables[1].get("a"))
     assert tables[1].keys("captured_at", 5).collect()[0][0] == "b"
+
+
+def test_weekly_windows_and_silences(spark):
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    df = spark.createDataFrame([("a", at(1)), ("a", at(7, 23)), ("a", at(8)), ("b", at(2))], "platform string, captured_at timestamp")
+    got = {(r["window"]["start"].day, r["platform"]): r["captures"] for r in ingest.weekly_windows(df).collect()}
+    assert got == {(1, "a"): 2, (8, "a"): 1, (1, "b"): 1}
+    assert [r["timed_out"] for r in ingest.silences(df, "platform", "captured_at", "platform", 86_400_000).orderBy("captured_at").collect()] == [True, False]
+
+
+def test_position_after_a_restart(spark):
+    df = spark.createDataFrame([(1, 5, 3, 0), (1, 1, 3, 99_999), (2, 1, 3, 5)], "snapshot int, completed int, prompts int, elapsed int")
+    from pyspark.sql import functions as F
+
+    got = df.select(*[c.alias(n) for c, n in zip(ingest.reconcile(*map(F.col, df.columns)), ("at", "status"))]).collect()
+    assert [tuple(r) for r in got] == [(3, "done"), (1, "failed"), (2, "running")]
