@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._common import small_batches
-from .pretokens import Cache, Splitter
+from .pretokens import PIECEWISE, Cache, Splitter
 
 _BITS = 256
 
@@ -86,7 +86,7 @@ class Encoder:
         self.decimal = [str(k) for k in range(len(self.bytes_of))]
         self.n = len(self.bytes_of)
         self.pretokens = Cache(lambda t: self.merge(t.encode()), cache)
-        self.splitter = Splitter(self._pieces, cache)
+        self.splitter = Splitter(self._pieces, cache, pattern in PIECEWISE)
         self.byte_id = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
         # Every pair of tokens that makes a token, as left * n + right, in order; and the rank of what it makes.
         found = [(ranks[t[:k]] * self.n + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]

@@ -8,6 +8,11 @@ likelihood: of the sets of the 1, 2, ... strongest languages, each fitted anew,
 the one with the least Bayesian information criterion is taken.  The prediction
 is its strongest language, the score that language's proportion.
 
+Expectation-maximisation stops when no proportion of a document moves by more
+than ``TOLERANCE``, at the latest after ``ROUNDS`` rounds: proportions of texts in
+two close languages may then still be some hundredths off, which changes neither
+their order nor, as the tests compare, the selected sets.
+
 Fit: trigram counts over at most about ``max_labelled`` labelled rows of each
 language (a documented bound; a hash of the id chooses), kept in ``BUCKETS``
 slots a language, so the model's size is fixed.
@@ -29,6 +34,7 @@ from .pretokens import Cache
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+ROUNDS, TOLERANCE = 12, 1e-3
 
 
 def _slots(data: np.ndarray) -> np.ndarray:
@@ -85,7 +91,7 @@ class Words:
         return x, n
 
 
-def _expect(p: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, theta: np.ndarray, rounds: int, tol: float = 1e-3) -> np.ndarray:
+def _expect(p: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, theta: np.ndarray, rounds: int, tol: float = TOLERANCE) -> np.ndarray:
     """Proportions by expectation-maximisation; documents that have settled take no part in later rounds."""
     theta = theta.copy()
     live = np.arange(len(n))
@@ -106,7 +112,7 @@ def _expect(p: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, t
     return theta
 
 
-def infer(like: np.ndarray, n: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def infer(like: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Of documents of ``n`` > 0 words with log-likelihoods ``like``: the selected proportions, and the number of selected languages."""
     starts = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(n)), n)

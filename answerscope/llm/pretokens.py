@@ -1,11 +1,12 @@
 """Splitting a text into pieces whose encodings are independent, with a bounded cache.
 
-The pre-token patterns used here attach one space to the front of the word that
+The patterns in ``PIECEWISE`` attach one space to the front of the word that
 follows it.  In a text whose white space is single spaces and single line
 breaks only, every such place is a pre-token boundary, so the text may be cut
 there and each piece encoded on its own; encodings of frequent pieces are then
 looked up.  Any other text (runs of white space, tabs, white space at an end)
-is encoded as one piece.  Either way the result is the plain encoding.
+is encoded as one piece, and so is every text under any other pattern.  Either
+way the result is the plain encoding.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
+#: Pre-token patterns under which a text may be cut before single spaces and line breaks.
+PIECEWISE = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+
+
 class Cache(dict):
     """piece -> encoding, computed on first use.  ``trim`` empties it when it has grown past ``limit`` entries."""
 
@@ -32,8 +37,8 @@ class Cache(dict):
 class Splitter:
     """``split(text)``: the encodings of the pieces of ``text``, in order.  ``encode``: of any string on its own."""
 
-    def __init__(self, encode: Callable, limit: int = 300_000):
-        self.encode = encode
+    def __init__(self, encode: Callable, limit: int = 300_000, piecewise: bool = True):
+        self.encode, self.piecewise = encode, piecewise
         self.cache = Cache(lambda c: encode(self.whole(c)), limit)
 
     @staticmethod
@@ -41,9 +46,8 @@ class Splitter:
         """A piece stands for itself after a line break, and for itself with a space in front otherwise."""
         return piece if piece[0] == "\n" else " " + piece
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        return bool(text) and " ".join(text.split()) == text.replace("\n", " ")
+    def _plain(self, text: str) -> bool:
+        return self.piecewise and bool(text) and " ".join(text.split()) == text.replace("\n", " ")
 
     def missing(self, texts: list[str]) -> tuple[list[str], list[str]]:
         """What ``split`` of ``texts`` would have to encode: pieces to put into the cache, and strings that stand for themselves."""

@@ -84,6 +84,51 @@ def test_language_mixture_and_odd_rows(spark, small, odd, empty):
     assert language_id.fit(empty, F.lit(True)) is None
 
 
+def plain_em(like, langs, rounds=2000):
+    """Proportions of the given languages by plain expectation-maximisation, and the log-likelihood."""
+    p = np.exp(like[:, langs] - like.max(1, keepdims=True))
+    theta = np.full(len(langs), 1 / len(langs))
+    for _ in range(rounds):
+        w = theta * p
+        theta = (w / w.sum(1, keepdims=True)).mean(0)
+    return theta, np.log((theta * p).sum(1)).sum() + like.max(1).sum()
+
+
+def test_mixtures_equal_plain_em_over_all_sets():
+    """The selected set has the least criterion of all sets of languages, and its proportions are those of plain EM."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    same, off = 0, []
+    for case in range(60):
+        k, n = 4, int(rng.integers(20, 200))
+        true = rng.permutation([0.7, 0.3, 0, 0] if case % 3 else [1.0, 0, 0, 0])
+        lang = rng.choice(k, n, p=true)
+        like = rng.normal(-12, 1.0, (n, k)).astype(np.float32)
+        like[np.arange(n), lang] += 5
+        theta, size = language_id.infer(like, np.array([n]))
+        fits = {s: plain_em(like.astype(float), list(s)) for m in range(1, k + 1) for s in combinations(range(k), m)}
+        best = min(fits, key=lambda s: -2 * fits[s][1] + (len(s) - 1) * np.log(n))
+        same += set(np.flatnonzero(theta[0] > 0)) == set(best)
+        want = np.zeros(k)
+        want[list(best)] = fits[best][0]
+        off.append(np.abs(theta[0] - want).max())
+        assert theta[0].argmax() == want.argmax() and size[0] == (theta[0] > 0).sum()
+    assert same >= 57 and np.median(off) < 0.01 and max(off) < 0.1
+
+
+def test_op1_tells_held_out_documents_apart(spark):
+    small = "/root/testdata/sf0.1"  # sf0.01 has 40 toxic rows to learn from, too few
+    got = QUERIES["op1_toxicity"](spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).toPandas()
+    assert len(got) == docs.count() and got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.5)).all()
+    known = got.merge(labels, on="doc_id")
+    known = known[known["held_out"]].sort_values("score")
+    rank, toxic = np.arange(len(known)), known["toxic"].to_numpy() == 1
+    assert (rank[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() > 0.9  # area under the curve
+
+
 def brute_counts(text):
     import re
     from collections import Counter

@@ -34,6 +34,18 @@ def test_encoding_equals_the_library(reference):
         assert enc.decode(want) == t.encode()
 
 
+def test_any_other_pattern_is_encoded_whole():
+    """Under a pattern that joins words across spaces, nothing is cut at them."""
+    import tiktoken
+
+    pattern = r"\p{L}+(?: \p{L}+)*|\s+|[^\s\p{L}]+"
+    ranks = bpe.read_ranks(MULTI)
+    enc, library = bpe.Encoder(ranks, pattern), tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three", "in the end\nit is", "a 1 b"]
+    enc.prepare(texts)
+    assert [enc.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 999), st.integers(0, 99)), max_size=60))
 def test_rank_queue_is_a_priority_queue(items):
