@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import metrics as M
 from .schema import DERIVED, RAW, light
+from .sources.exports import diagnostics
 from .sources.payloads import derive, landing
 from .store import Profile, Profiles, Settings, Table, add_tag, all_tags, bulk_add, delete_tag, filter_prompts, make_prompt, rename_tag, start_run
 
@@ -43,7 +44,7 @@ class Engine:
             "profile-list": self.list_profiles, "profile-save": lambda override=False, **p: self.keep_profiles(self.profiles.save(Profile(**p), override)), "profile-trash": lambda **a: self.keep_profiles(self.profiles.trash(**a)), "profile-restore": lambda **a: self.keep_profiles(self.profiles.restore(**a)), "profile-delete": self.delete_profile,
             "prompt-list": lambda profile_id: self.prompts.read().where(F.col("profile_id") == profile_id).orderBy("created_at"), "prompt-save": lambda rows: self.prompts.upsert(make_prompt(rows)), "prompt-bulk-add": self.add_prompts, "prompt-delete": self.prompts.delete,
             "tag-add": lambda prompt_id, tag: self.prompts.change(lambda old: old.where(F.col("id") != prompt_id).unionByName(add_tag(old.where(F.col("id") == prompt_id), tag))), "prompt-filter": lambda profile_id, **by: filter_prompts(self.prompts.read().where(F.col("profile_id") == profile_id), **by), "tag-list": lambda: all_tags(self.prompts.read()), "tag-delete": lambda tag: self.prompts.change(lambda old: delete_tag(old, tag)), "tag-rename": lambda old, new: self.prompts.change(lambda rows: rename_tag(rows, old, new)),
-            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
+            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "diagnostics": lambda: diagnostics(self.raw.read(), self.derived.read(), self.runs.read()), "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
             "url-detail": lambda url, brands, **scope: M.url_detail(self.scoped(**scope), url, brands, self.prompts.read().select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"))),
         }
 

@@ -170,3 +170,8 @@ def is_noise_label(c: Column) -> Column:
 def json_path(c: Column, path: str, kind: str = "string") -> Column:
     """A value in a JSON text; null where the text is no JSON, the path leads nowhere or the value is of another kind."""
     return F.try_variant_get(F.try_parse_json(c), path, kind)
+
+
+def text_fragment(url: Column, text: Column, most: int = 120) -> Column:
+    """A link that jumps to a text on its page; null without a page."""
+    return F.when(url != "", F.concat(url, F.lit("#:~:text="), F.replace(F.url_encode(js_trim(F.substring(text, 1, most))), F.lit("+"), F.lit("%20"))))

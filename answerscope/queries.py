@@ -680,3 +680,23 @@ def made_sources(spark, d):
 
     s = F.struct(F.when(F.col("l_returnflag") == "R", "cited").otherwise(F.col("l_returnflag")).alias("outcome"), F.when(F.col("l_linenumber") % 2 == 0, "news").otherwise("odd").alias("type"))
     return read(spark, d, "lineitem").withColumn("s", s).withColumn("s", make_source(F.col("s"))).select("l_orderkey", "l_linenumber", "s.outcome", "s.type")
+
+
+@query(f"""with {_PRESENCE}, g as (select ord, name, is_own, count(*) total, count_if(present) p, cast(sum(cnt) as bigint) mentions, sum(rnk) ranks, count(rnk) ranked, count_if(cited) citations, count_if(any_src) s from rk group by all),
+ m as (select *, 100.0 * p / total::double vis, case when sum(mentions) over () > 0 then 100.0 * mentions / (sum(mentions) over ())::double else 0 end sov, case when ranked > 0 then ranks::double / ranked end pos, 100.0 * s / total::double sv from g)
+select name as "Brand", case when is_own then 'yes' else 'no' end as "Is own", printf('%.2f', vis) as "Visibility %", printf('%.2f', sov) as "Share of Voice %", mentions as "Mentions", case when pos is null then '' else printf('%.2f', pos) end as "Avg position", citations as "Citations", printf('%.2f', sv) as "Source visibility %", p as "Responses present", total as "Total responses" from m""")
+def metric_sheet(spark, d):
+    """SNK-10: two decimals, an unknown place empty."""
+    from .sources.exports import metric_rows
+
+    return metric_rows(M.brand_metrics(_tracked(spark, d), BRANDS))
+
+
+@query(f"""with {_POINTS}, names as (select distinct prompt_key, brand from pts join ment using (id)),
+cells as (select p.prompt_key, x.brand, p.k, p.n, coalesce(m.cnt, 0) cnt from pts p join names x on p.prompt_key = x.prompt_key left join ment m on m.id = p.id and m.brand = x.brand)
+select prompt_key prompt, 'brand' as "type", brand as name, string_agg(cast(cnt as bigint)::varchar, ',' order by k) as "values", cast(sum(case when k = n then cnt else 0 end) - sum(case when k = 1 then cnt else 0 end) as bigint) as delta from cells group by prompt_key, brand""")
+def timeline_sheet(spark, d):
+    """SNK-11: a row a prompt and name, its values in the order of the captures."""
+    from .sources.exports import timeline_rows
+
+    return timeline_rows(D.matrix_rows(*_timeline(spark, d, D.capture_brands)), "brand")

@@ -6,6 +6,7 @@ import re
 from decimal import ROUND_HALF_UP, Decimal
 from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,27 @@ def to_fixed(x: float | None, digits: int) -> str:
     return "" if x is None else str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
+def metric_rows(metrics: DataFrame) -> DataFrame:
+    """The sheet of campaign metrics: a row a brand, shares and places with two decimals, an unknown place empty."""
+
+    @F.pandas_udf("string")
+    def digits(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "" if pd.isna(v) else to_fixed(float(v), 2))
+
+    two = lambda c: digits(F.col(c).cast("double"))
+    return metrics.select(
+        F.col("name").alias("Brand"), F.when(F.col("is_own"), "yes").otherwise("no").alias("Is own"), two("visibility").alias("Visibility %"), two("share_of_voice").alias("Share of Voice %"), F.col("mentions").alias("Mentions"),
+        two("avg_position").alias("Avg position"), F.col("citations").alias("Citations"), two("source_visibility").alias("Source visibility %"), F.col("responses_present").alias("Responses present"), F.col("total").alias("Total responses"),
+    )
+
+
+def timeline_rows(matrix: DataFrame, kind: str) -> DataFrame:
+    """The sheet of timelines from ``matrix_rows``: a row a prompt and name with its values in order of the captures, and the change."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"].cast("string"))
+    df = matrix.groupBy("prompt_key", "name").agg(values.alias("v"), F.first("delta").alias("delta"))
+    return df.select(F.col("prompt_key").alias("prompt"), F.lit(kind).alias("type"), "name", F.array_join("v", ",").alias("values"), "delta")
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """Column ``value``: each row as a line of quoted, formula-safe cells."""
     return df.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in df.columns]).alias("value"))
@@ -120,6 +142,14 @@ def markdown_html(text: str) -> str:
     return "".join(out)
 
 
+def bound_documents(records: list[dict]) -> str:
+    """A few conversations as one document with a table of contents; for many, ``documents`` makes one each where they are."""
+    title = lambda r: escape(r.get("generated_title") or r.get("user_prompt") or "Conversation")
+    contents = "".join(f"<li><a href='#c{k}'>{title(r)}</a></li>" for k, r in enumerate(records))
+    bodies = "".join(f"<article id='c{k}'>{document(r).split('<body>')[1].split('</body>')[0]}</article>" for k, r in enumerate(records))
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'></head><body><nav><ol>{contents}</ol></nav>{bodies}</body></html>"
+
+
 def document(record: dict) -> str:
     """One conversation as a standalone HTML document."""
     model = footnotes(record.get("answer_text") or "", record.get("sources") or [])
@@ -142,7 +172,13 @@ def documents(records: DataFrame) -> DataFrame:
 
 
 def diagnostics(raw: DataFrame, derived: DataFrame, runs: DataFrame) -> str:
-    """Counts only, nothing of what was captured; the newest 20 runs."""
-    n = {k: df.count() for k, df in (("raw", raw), ("derived", derived))}
-    rows = runs.orderBy(F.desc("started_at")).limit(20).collect()
-    return "\n".join([f"raw {n['raw']}", f"derived {n['derived']}", *[f"run {r['id']} {r['status']} {r['captured']}/{r['expected']}" for r in rows]])
+    """Counts, times and failure labels only, nothing of what was captured; the newest 20 runs."""
+    out = ["Storage", f"  raw captures: {raw.count()}", f"  derived captures: {derived.count()}", "Runs (newest 20)"]
+    rows = runs.orderBy(F.desc(F.coalesce("started_at", F.lit(0)))).limit(20).collect()
+    for r in rows:
+        took = f"took {(r['finished_at'] - r['started_at']) // 1000} s" if r["finished_at"] and r["started_at"] else "not finished"
+        failed = f", {r['failed']} failed" if r["failed"] else ""
+        out.append(f"  {r['status']} · {'+'.join(r['engines'] or []) or '-'} · {r['captured'] or 0}/{r['expected'] or 0} captured{failed} · {took}")
+        if r["reasons"]:
+            out.append("    reasons: " + ", ".join(f"{k}: {n}" for k, n in sorted(r["reasons"].items())))
+    return "\n".join(out if rows else [*out, "  none"])

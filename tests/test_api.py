@@ -60,6 +60,7 @@ def test_record_analysis():
     text = "1. **Acme** Nord 5G is best for daily use. Its price is fair.\n2. Globex leads"
     assert analysis.models("Acme", [{"name": "Acme Zed 9"}], text) == ["Zed 9", "Nord 5G"]
     assert analysis.list_rank("Globex", text) == 2 and analysis.list_rank("Nobody", text) is None
+    assert analysis.list_place("Acme", "## 2. **Acme Zed** (Best for travel)\n") == (2, "Best for travel") and analysis.list_place("Bolt", "3) Bolt – small: cheap") == (3, "small: cheap") and analysis.list_place("Acme", text)[0] == 1
     assert analysis.aspects([text]) == ["Daily use", "Price & Value"]
     assert analysis.aspects(["It is known for its camera quality and it stands out for long trips. Great for you."]) == ["Camera quality", "Long trips", "Quality"] and analysis.aspects([]) == []
     assert analysis.models("Acme", [], "Acme The One. Acme Nord 5G, Acme is. Acme Pro (max)!") == ["Nord 5G", "Pro"]

@@ -55,6 +55,11 @@ def test_text_forms(spark, function, cases):
     assert {r[0]: r[1] for r in df.select("c", function(c)).collect()} == cases
 
 
+def test_links_to_a_text(spark):
+    df = spark.createDataFrame([("https://a/x", " it's 5 % "), (None, "x")], "u string, t string")
+    assert [r[0] for r in df.select(T.text_fragment(F.col("u"), F.col("t"))).collect()] == ["https://a/x#:~:text=it%27s%205%20%25", None]
+
+
 def test_json_sink_is_read_back(spark, tmp_path):
     df = spark.createDataFrame([("a", [1, 2], None), ("b\n\"", [], "x")], "k string, v array<int>, w string")
     exports.write_json(df, str(tmp_path / "out"))
@@ -68,3 +73,8 @@ def test_performance_without_an_own_brand(spark):
     df = spark.createDataFrame([("a", at, "x", "q", [("R", 1, 0)], []), ("b", at, "x", None, [], []), ("c", at + dt.timedelta(1), "x", "q", [], [])], schema)
     got = M.prompt_performance(df, [M.Brand("R")]).orderBy("run").collect()
     assert [(r["capture_id"], r["run"], r["mentioned"], r["position"]) for r in got] == [("c", 1, False, None), ("a", 2, False, None)]
+
+
+def test_bound_documents_have_contents():
+    html = exports.bound_documents([{"user_prompt": "One <b>"}, {"generated_title": "Two", "answer_text": "# Head"}])
+    assert html.count("<article") == 2 and "<a href='#c0'>One &lt;b&gt;</a>" in html and "<h2>Head</h2>" in html

@@ -52,6 +52,10 @@ def test_derive_keeps_bad_rows(spark):
     assert got["a"]["reference_types"] == {"search": 1} and "Acme" in exports.documents(payloads.derive(usable).where("capture_id = 'a'")).first()["html"]
 
 
+def test_model_labels():
+    assert payloads.rpc_model([None] * 42 + ["3 Pro"]) == "Gemini 3 Pro" and payloads.rpc_model([["x", "3.5 Flash"]]) == "Gemini 3.5 Flash" and payloads.rpc_model([]) == "gemini"
+
+
 def test_lines_end_with_line_feeds_only():
     """Other separators are legal inside JSON; indented data lines count."""
     node = {"v": "a\u2028b\u0085c\x0bd"}

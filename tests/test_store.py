@@ -82,6 +82,8 @@ def test_state_survives_a_restart(spark, tmp_path):
     again.handle("run-sync", run_id=run["id"], captured=1, failed=4, reason="closed", count=2, status="finished", now_ms=9)
     got = again.handle("run-list")["result"].collect()
     assert len(got) == 1 and got[0]["reasons"] == {"timeout": 3, "closed": 2} and (got[0]["status"], got[0]["failed"], got[0]["finished_at"]) == ("finished", 4, 9)
+    report = again.handle("diagnostics")["result"]
+    assert "finished · chatgpt+gemini · 1/2 captured, 4 failed · took 0 s" in report and "reasons: closed: 2, timeout: 3" in report and "one" not in report
     assert again.handle("run-start", profile_id="p1", now_ms=10)["ok"]
     again.handle("tag-add", prompt_id="1", tag=" new ")
     assert [r["tags"] for r in again.handle("prompt-filter", profile_id="p1", search="ONE", tags=("new",))["result"].collect()] == [["new"]]
