@@ -146,7 +146,9 @@ def scan(files: DataFrame, threshold: float = 0.75) -> DataFrame:
     ``inherited_from`` is the ancestor directory whose license file decides where the file states none.
     """
     rows = candidates(files)
-    own = rows.drop("candidates").join(own_licenses(rows, threshold), "same", "left")
+    # Most rows have no candidate: they take no part in the join, where their null keys would meet in one task.
+    bare = rows.drop("candidates").where("same is null").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    own = rows.drop("candidates").where("same is not null").join(own_licenses(rows, threshold), "same", "left").unionByName(bare)
     given = own.where("is_license_file and license is not null and directory is not null").groupBy("directory").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), (-F.col("cosine")).alias("c"), "license")).alias("b"))
     # Spellings of one directory (/a/, //a) are one path.
     given = given.select(F.element_at(ancestors(F.col("directory")), -1)["path"].alias("path"), "b").groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.license").alias("given"))

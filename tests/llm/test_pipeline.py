@@ -7,6 +7,7 @@ import corpus_pipeline
 from answerscope.llm import language_id, packing, quality_rules
 from answerscope.llm._common import in_fold
 
+from .test_models import brute_counts
 from .test_near_dedup import brute
 from .test_tokens import check_packed
 
@@ -31,10 +32,22 @@ def test_stages_on_odd_rows(spark, small, odd, empty, name):
         assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13] and len(got) == 12
 
 
+def plain_verdict(text, rules):
+    """The base rule and the learned list, from counts by plain Python."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = brute_counts(text)
+    lines = max(1, sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n")))
+    share = lambda test: sum(map(test, text))
+    w, c = max(n, 1), max(chars, 1)
+    row = (n, chars / w, symbols / w, share(lambda x: "A" <= x <= "Z") / c, share(lambda x: x in "!?") / w, share(lambda x: "0" <= x <= "9") / c, dup / lines, repeat / w, n / lines)
+    return not (n < 50 or 100 * repeat > 50 * n or any(r.holds(row) for r in rules))
+
+
 def test_pipeline_equals_stagewise_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
-    verdicts = {r["doc_id"]: r["kept"] for r in quality_rules.apply(docs, quality_rules.learn(docs, labels)).select("doc_id", "kept").collect()}
+    rules = quality_rules.learn(docs, labels)
+    verdicts = {r["doc_id"]: plain_verdict(r["text"], rules) for r in docs.select("doc_id", "text").collect()}
     kept = docs.where(F.col("doc_id").isin([k for k, v in verdicts.items() if v]))
     pred = language_id.predict(kept, language_id.fit(kept, ~in_fold(F.col("doc_id"), 4, 2))).collect()
     known = {r["doc_id"] for r in pred if r["lang_pred"] != "und" and r["score"] >= 0.34}
