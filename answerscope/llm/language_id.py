@@ -13,6 +13,14 @@ than ``TOLERANCE``, at the latest after ``ROUNDS`` rounds: proportions of texts
 two close languages may then still be some hundredths off, which changes neither
 their order nor, as the tests compare, the selected sets.
 
+``keep_known`` also asks whether a text is in any learned language at all.
+Proportions cannot tell, as they are shared out among the learned languages;
+the mean log-likelihood of a text's trigrams can.  A language's own texts have
+about the mean of its counts, a text of unseen trigrams the log-probability of
+an unseen one, and the floor is three quarters of the way to the latter.  Only
+words of letters count (numbers, keys and addresses are in no language); a text
+without any is not judged by this.
+
 Fit: trigram counts over at most about ``max_labelled`` labelled rows of each
 language (a documented bound; a hash of the id chooses), kept in ``BUCKETS``
 slots a language, so the model's size is fixed.
@@ -49,7 +57,11 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, smooth: float = 0.5):
         self.langs = langs
         seen = max(1, int((counts.sum(0) > 0).sum()))
-        self.log = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * 2 * seen)).T.astype(np.float32)  # slot, language
+        total = counts.sum(1, keepdims=True)
+        log = np.log((counts + smooth) / (total + smooth * 2 * seen))
+        self.log = log.T.astype(np.float32)  # slot, language
+        #: Of each language: the least mean log-likelihood of a trigram in a text that may be in it.
+        self.floor = 0.25 * (counts * log).sum(1) / np.maximum(total[:, 0], 1) + 0.75 * np.log(smooth / (total[:, 0] + smooth * 2 * seen))
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word, spaces around it included, by language."""
@@ -63,6 +75,12 @@ class Model:
         return np.add.reduceat(self.log[slots[keep]], own, axis=0)
 
 
+def of_letters(word: str) -> bool:
+    """Four of five characters or more, marks at the ends aside."""
+    inner = word.strip(".,;:!?\"'()")
+    return bool(inner) and 5 * sum(map(str.isalpha, inner)) >= 4 * len(inner)
+
+
 class Words:
     """word -> row of a growing table of log-likelihoods; emptied past ``limit`` words."""
 
@@ -73,6 +91,7 @@ class Words:
     def clear(self) -> None:
         self.new: list[str] = []
         self.table = np.zeros((0, len(self.model.langs)), np.float32)
+        self.trigrams = np.zeros(0, np.int64)  # of each word of the table; 0 of one that is not of letters
         self.ids = Cache(self._add, 1 << 62)
 
     def _add(self, word: str) -> int:
@@ -87,6 +106,7 @@ class Words:
         x = np.fromiter((i for t in texts for i in map(self.ids.__getitem__, t)), np.int64, int(n.sum()))
         if self.new:
             self.table = np.concatenate((self.table, self.model.of_words(self.new)))
+            self.trigrams = np.concatenate((self.trigrams, [len(w.encode()) * of_letters(w) for w in self.new]))
             self.new = []
         return x, n
 
@@ -182,11 +202,18 @@ def fit(docs: DataFrame, learn_from: Column, max_labelled: int = 3000) -> Model
     return Model(list(langs), counts)
 
 
+def in_some_language(words: Words, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the mean log-likelihood of the trigrams reaches a language's floor, for documents of ``n`` > 0 words with the table rows ``x``."""
+    starts = np.cumsum(n) - n
+    trigrams = words.trigrams[x]
+    like = np.add.reduceat(words.table[x] * (trigrams > 0)[:, None].astype(np.float64), starts, axis=0)
+    total = np.add.reduceat(trigrams, starts)
+    return (like >= words.model.floor * total[:, None]).any(1)  # holds where nothing counts
+
+
 def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.34) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and its proportion at least ``min_score``.  No shuffle.
+    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und``, likely enough in one of them, and that one's proportion at least ``min_score``.  No shuffle.
 
-    Proportions are shared out among the learned languages, so a text in a language that was not learned mostly stays, while one in
-    three or more learned languages of near equal parts goes; there is no likelihood floor.
     Without a model nothing is known of any language, and every row stays.
     """
     if model is None:
@@ -202,7 +229,7 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.34) ->
             has = n > 0
             good = np.zeros(len(n), bool)
             if has.any():
-                good[has] = infer(words.table[x], n[has])[0].max(1) >= min_score
+                good[has] = (infer(words.table[x], n[has])[0].max(1) >= min_score) & in_some_language(words, x, n[has])
             yield b.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

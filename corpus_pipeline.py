@@ -8,8 +8,9 @@ Defined cases, by stage:
 
 - quality_rules: a null or empty text goes (it fails the base rule); repeated
   rows are judged each; without labels only the base rule decides.
-- language_id: a null text, or one without a letter, goes; where no row has a
-  language to learn from, all stay.
+- language_id: a null text, one without a letter, or one whose trigrams are
+  unlikely in every learned language goes; where no row has a language to learn
+  from, all stay.
 - near_dedup: of a group the row of the smallest id stays, and of rows that
   repeat an id one; rows without an id, and texts without a word, all stay.
 - packing: returns a row a piece; a null or empty text is its end token;
@@ -36,10 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those of which no learned language has 0.34 or more.
-
-    Proportions are shared out among the learned languages, so a text in another language gets the nearest ones and mostly stays.
-    """
+    """Rejects documents without a letter, in no learned language, or of which no learned language has 0.34 or more."""
     return language_id.keep_known(docs, language_id.fit(docs, ~in_fold(F.col("doc_id"), 4, 2)))
 
 

