@@ -29,6 +29,11 @@ class Files:
         p = self.path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def sizes(self, folder: str) -> list[tuple[str, int]]:
+        """Full paths and lengths of what is in a folder."""
+        p = self.path(folder)
+        return sorted((s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
     def read(self, name: str):
         """The JSON value in a file."""
         stream = self._fs.open(self.path(name))
@@ -68,5 +73,5 @@ class Files:
         finally:
             self._fs.delete(self.path(temp), False)
 
-    def delete(self, name: str) -> None:
-        self._fs.delete(self.path(name), True)
+    def delete(self, name: str = "") -> bool:
+        return self._fs.delete(self.path(name), True)
