@@ -26,15 +26,14 @@ long texts are part of their row, so a shard holds one row at least.
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from dataclasses import asdict, dataclass, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import Conflict, Files
 
 #: Shards that one manifest part lists.
 PART = 10_000
@@ -48,63 +47,16 @@ class Shard:
     born: int  # the version that added it
 
 
-class Conflict(RuntimeError):
-    """Another writer committed the version first."""
-
-
 class ShardStore:
     full = 8
 
     def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, fan_in: int = 4, base: int = 4):
         self.spark, self.root, self.target, self.fan_in, self.base = spark, root.rstrip("/"), target, fan_in, base
-        self._jvm = spark.sparkContext._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    # -- files -------------------------------------------------------------
-    def _list(self, path: str) -> list[tuple[str, int]]:
-        p = self._path(path)
-        if not self._fs.exists(p):
-            return []
-        return sorted((s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(p))
-
-    def _read(self, path: str):
-        stream = self._fs.open(self._path(path))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _put(self, path: str, what) -> None:
-        out = self._fs.create(self._path(path), False)
-        try:
-            out.write(bytearray(json.dumps(what).encode()))
-        finally:
-            out.close()
-
-    def _claim(self, temp: str, final: str) -> None:
-        """Moves ``temp`` to ``final``, which must not exist; the file system decides between two writers."""
-        try:
-            if self._fs.getScheme() == "file":
-                at = lambda p: self._jvm.java.nio.file.Paths.get(self._path(p).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
-                self._jvm.java.nio.file.Files.createLink(at(final), at(temp))
-                self._fs.delete(self._path(temp), False)
-            else:
-                rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-                how = self.spark.sparkContext._gateway.new_array(rename, 1)
-                how[0] = rename.NONE
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf).rename(self._path(temp), self._path(final), how)
-        except Py4JJavaError as e:
-            self._fs.delete(self._path(temp), False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(f"{final} exists") from None
-            raise
+        self._files = Files(spark, self.root)
 
     # -- manifests ---------------------------------------------------------
     def versions(self) -> list[int]:
-        names = [p.rsplit("/", 1)[1] for p, _ in self._list(f"{self.root}/manifest")]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in self._files.names("manifest") if n.startswith("v") and n.endswith(".json"))
 
     def latest(self) -> int:
         """The newest version; 0 where there is none."""
@@ -112,10 +64,10 @@ class ShardStore:
 
     def parts(self, version: int) -> list[str]:
         """The manifest parts of a version."""
-        return self._read(f"{self.root}/manifest/v{version}.json")["parts"] if version else []
+        return self._files.read(f"manifest/v{version}.json")["parts"] if version else []
 
     def _part(self, name: str) -> list[Shard]:
-        return [Shard(**x) for x in self._read(f"{self.root}/manifest/{name}")]
+        return [Shard(**x) for x in self._files.read(f"manifest/{name}")]
 
     def shards(self, version: int | None = None) -> list[Shard]:
         return [s for p in self.parts(self.latest() if version is None else version) for s in self._part(p)]
@@ -135,11 +87,9 @@ class ShardStore:
                 new = [s for s in own if s not in gone] + new
         for at in range(0, len(new), PART):
             name = f"p-{uuid.uuid4().hex}.json"
-            self._put(f"{self.root}/manifest/{name}", [asdict(s) for s in new[at : at + PART]])
+            self._files.write(f"manifest/{name}", [asdict(s) for s in new[at : at + PART]])
             kept.append(name)
-        temp = f"{self.root}/manifest/.{uuid.uuid4().hex}"
-        self._put(temp, {"version": version, "parts": kept})
-        self._claim(temp, f"{self.root}/manifest/v{version}.json")
+        self._files.claim(f"manifest/v{version}.json", {"version": version, "parts": kept})
 
     # -- writing -----------------------------------------------------------
     def tier_of(self, size: int) -> int:
@@ -149,9 +99,9 @@ class ShardStore:
         return max(0, self.full - 1 - int(math.log(self.target / max(size, 1), self.base)))
 
     def _write(self, df: DataFrame, version: int) -> list[Shard]:
-        folder = f"{self.root}/data/{version}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        return [Shard(p, n, self.tier_of(n), version) for p, n in self._list(folder) if p.endswith(".parquet") and "/part-" in p]
+        folder = f"data/{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return [Shard(p, n, self.tier_of(n), version) for p, n in self._files.sizes(folder) if p.endswith(".parquet") and "/part-" in p]
 
     def append(self, arrival: DataFrame) -> int:
         """The version that added the arrival."""
@@ -196,15 +146,15 @@ class ShardStore:
     def vacuum(self) -> int:
         """Deletes data files that the latest manifest does not name; not while older versions are being read or written."""
         live, gone = {s.path for s in self.shards()}, 0
-        for folder, _ in self._list(f"{self.root}/data"):
-            for path, _ in self._list(folder):
+        for folder in self._files.names("data"):
+            for path, _ in self._files.sizes(f"data/{folder}"):
                 if path.endswith(".parquet") and path not in live:
-                    gone += bool(self._fs.delete(self._path(path), False))
+                    gone += self._files.delete(f"data/{folder}/{path.rsplit('/', 1)[1]}")
         return gone
 
     def drop(self) -> None:
         """Deletes the store."""
-        self._fs.delete(self._path(self.root), True)
+        self._files.delete()
 
     # -- reading -----------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
