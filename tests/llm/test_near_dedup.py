@@ -68,8 +68,7 @@ def test_equals_brute_force(spark, corpus, words, percent):
     assert near(spark, corpus, words, percent) == brute(corpus, words, percent)
 
 
-@pytest.mark.parametrize(("block", "size"), [(16, 16 << 20), (4096, 4000)])
-@pytest.mark.parametrize("pivots", [1, 4])
+@pytest.mark.parametrize(("block", "size", "pivots"), [(16, 16 << 20, 4), (4096, 4000, 1)])
 def test_large_groups_are_split_into_blocks(spark, corpus, monkeypatch, block, size, pivots):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
@@ -77,8 +76,7 @@ def test_large_groups_are_split_into_blocks(spark, corpus, monkeypatch, block, s
     assert near(spark, corpus, 3, 85) == brute(corpus, 3, 85)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-@pytest.mark.parametrize("block", [4096, 4])
+@pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, 4096), (5, 80, 4)])
 def test_chains_of_twelve(spark, monkeypatch, words, percent, block):
     """150 chains whose neighbours are just alike, in a random order of rows."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)

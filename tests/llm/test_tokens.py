@@ -133,6 +133,30 @@ def test_plan_uses_each_piece_and_search_never_adds_bins(histogram):
         assert best.total() <= first.total() and packing.plan(histogram, 30).total() <= best.total()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3000), max_size=12))
+def test_levels_use_each_piece(histogram):
+    level, packing.LEVEL = packing.LEVEL, 16
+    try:
+        bins = packing.plan(histogram, 30)
+    finally:
+        packing.LEVEL = level
+    used = Counter()
+    for content, n in bins.items():
+        assert content and sum(content) <= 30
+        for x in content:
+            used[x] += n
+    assert used == Counter(histogram)
+
+
+def test_levels_save_bins_of_large_histograms():
+    """30,000 lengths without small fillers: fewer bins than longest first, near the least number, in bounded searches."""
+    rng = random.Random(3)
+    histogram = Counter(rng.randint(300, 900) for _ in range(30_000))
+    least = -(-sum(x * n for x, n in histogram.items()) // 2048)
+    assert packing.in_levels(histogram, 2048).total() <= 1.005 * least < packing.longest_first(histogram, 2048).total()
+
+
 def test_search_exchanges_empty_a_bin():
     assert packing.local_search(Counter({(6, 4): 1, (5, 3): 1, (2,): 1}), 10).total() == 2
     assert packing.local_search(Counter({(5, 3): 1, (4, 4): 1, (4,): 1}), 10).total() <= 3
