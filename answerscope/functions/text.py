@@ -99,8 +99,11 @@ def mention_count(text: Column, name: str) -> Column:
 
 def first_index(text: Column, name: str) -> Column:
     """0-based place of the first mention; null without one."""
+    # The expression runs only where the name is there at all, in whatever case of A-Z.
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    there = F.contains(F.translate(text, upper, lower), F.lit(name.translate(str.maketrans(upper, lower))))
     at = F.regexp_instr(text, F.lit(located(name)))
-    return F.when(at > 0, (at - 1).cast("long"))
+    return F.when(there, F.when(at > 0, (at - 1).cast("long")))
 
 
 def passage(text: Column, index: Column, around: int = 110) -> Column:
