@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, toxicity, url_filters
+from . import bpe, filter_audit, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, toxicity, url_filters
 from ._common import cut, in_fold, shared_dir, table
 
 
@@ -82,7 +82,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules, op13_filter_audit)}
 
 
 def _url_oracle() -> str:
@@ -144,5 +149,21 @@ select own.doc_id, own.directory, coalesce(own.license, near.license) license, c
 from own left join near on near.directory = own.directory and near.k = 1"""
 
 
+#: Every document against every order and step, without the lookup table.
+_AUDIT_ORACLE = r"""
+with t as (select doc_id, coalesce(source, '') part, coalesce(text, '') text from documents),
+ w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') a, min(doc_id) over (partition by text) first from t),
+ f as (select doc_id, part, map {'A': len(a) < 200, 'B': 100 * len(list_distinct(a)) < 50 * len(a), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+   'D': regexp_matches(text, '[#$%&*|]'), 'E': doc_id > first} fails from w),
+ letters as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+ orders as (select a.x || b.x || c.x || d.x || e.x filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ steps as (select filter_order, step, substr(filter_order, step, 1) letter, list_transform(range(1, step), lambda k: substr(filter_order, k, 1)) earlier from orders, range(1, 6) r(step)),
+ kinds as (select part, fails, count(*) n, count(*) filter (quality = 1) good, count(*) filter (toxic = 1) toxic from f left join labels using (doc_id) group by all),
+ hits as (select *, len(list_filter(earlier, lambda x: fails[x])) before, len(list_filter(map_values(fails), lambda x: x)) number, fails[letter] here from kinds, steps),
+ found as (select part, filter_order, step, letter, coalesce(sum(n) filter (before = 0 and not here), 0) kept, coalesce(sum(n) filter (before = 0 and here), 0) removed, coalesce(sum(n) filter (before > 0 and here), 0) redundant,
+   coalesce(sum(n) filter (number = 1 and here), 0) unique_fails, coalesce(sum(good) filter (before = 0 and here), 0) good_lost, coalesce(sum(toxic) filter (before = 0 and here), 0) toxic_lost from hits group by all)
+select part, filter_order, cast(step as int) step, letter as "filter", kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, letter) shapley from found"""
+
+
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE, "op8_license_scan": _license_oracle()}
+ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE, "op8_license_scan": _license_oracle(), "op13_filter_audit": _AUDIT_ORACLE}
