@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, toxicity, url_filters
+from . import bpe, filter_audit, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, simhash, toxicity, url_filters
 from ._common import cut, in_fold, shared_dir, table
 
 
@@ -82,12 +82,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules, op12_simhash, op13_filter_audit)}
 
 
 def _url_oracle() -> str:
