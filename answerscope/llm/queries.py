@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, fingerprints, language_id, license_scan, near_dedup, packing, quality_rules, shards, simhash, toxicity, url_filters
+from . import bpe, filter_audit, fingerprints, language_id, lexical, license_scan, near_dedup, packing, quality_rules, shards, simhash, toxicity, url_filters
 from ._common import cut, in_fold, shared_dir, table
 
 
@@ -82,6 +82,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
 
@@ -91,7 +95,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules, op12_simhash, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_packing, op4_bpe, op5_language_id, op6_sharding, op7_near_dedup, op8_license_scan, op9_fingerprints, op10_quality_rules, op11_lexical_search, op12_simhash, op13_filter_audit)}
 
 
 def _url_oracle() -> str:
@@ -169,5 +173,18 @@ with t as (select doc_id, coalesce(source, '') part, coalesce(text, '') text fro
 select part, filter_order, cast(step as int) step, letter as "filter", kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, letter) shapley from found"""
 
 
+_SEARCH_ORACLE = r"""
+with d as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents),
+ q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+ n as (select doc_id, count(*) n from d group by 1),
+ total as (select count(*) docs, sum(n)::bigint len from n),
+ m as (select doc_id, 10 + (90 * n * docs) // len m from n, total),
+ tf as (select doc_id, term, count(*) tf from d group by all),
+ w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint w from tf, total group by term, docs),
+ s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from q join tf using (term) join w using (term) join m using (doc_id) group by all),
+ r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) k, doc_id, score from s where score > 0)
+select item_id, k::int as rank, doc_id, score from r where k <= 10"""
+
+
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE, "op8_license_scan": _license_oracle(), "op13_filter_audit": _AUDIT_ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": _url_oracle(), "op7_near_dedup": _NEAR_ORACLE, "op8_license_scan": _license_oracle(), "op11_lexical_search": _SEARCH_ORACLE, "op13_filter_audit": _AUDIT_ORACLE}
