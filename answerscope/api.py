@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from collections.abc import Callable
@@ -14,10 +15,11 @@ from .operators import metrics as M
 from .schema import DERIVED, RAW, light
 from .sources.exports import diagnostics
 from .sources.payloads import derive, landing
-from .store import Profile, Profiles, Settings, Table, add_tag, all_tags, bulk_add, delete_tag, filter_prompts, make_prompt, rename_tag, start_run
+from .store import Profile, Profiles, Settings, Table, add_tag, all_tags, bulk_add, delete_tag, filter_prompts, make_prompt, move, rename_tag, run_prompts, stamp, start_run
 
 PROMPTS = "id string, profile_id string, text string, tags array<string>, active boolean, created_at bigint"
-RUNS = "id string, profile_id string, status string, started_at bigint, finished_at bigint, engines array<string>, prompt_ids array<string>, expected bigint, captured bigint, failed bigint, reasons map<string,bigint>"
+RUNS = "id string, profile_id string, status string, started_at bigint, finished_at bigint, engines array<string>, prompt_ids array<string>, expected bigint, captured bigint, failed bigint, reasons map<string,bigint>, prompt_tags array<array<string>>"
+POSITIONS = "id string, platform string, run_id string, profile_id string, ordinal int, since timestamp, until timestamp"
 PROJECTS = "id string, name string, prompts array<string>, created_at bigint, updated_at bigint"
 
 
@@ -37,6 +39,7 @@ class Engine:
         self.settings = Settings(**json.loads(kept["settings"])) if "settings" in kept else Settings()
         self.profiles = Profiles.loads(kept["profiles"]) if "profiles" in kept else Profiles()
         self.prompts, self.runs, self.projects = table("prompts", "id", PROMPTS), table("runs", "id", RUNS), table("projects", "id", PROJECTS)
+        self.positions = table("positions", "platform", POSITIONS)
         self.commands: dict[str, Callable] = {
             "raw-conversation": self.capture, "get-records": lambda: light(self.derived.read()).orderBy(F.desc("captured_at")), "get-record": self.derived.get, "get-raw": self.raw.get,
             "stats": lambda: {"raw": self.raw.stats(), "derived": self.derived.stats()}, "reprocess-all": self.reprocess, "delete-record": self.delete, "clear-all": self.clear,
@@ -44,7 +47,7 @@ class Engine:
             "profile-list": self.list_profiles, "profile-save": lambda override=False, **p: self.keep_profiles(self.profiles.save(Profile(**p), override)), "profile-trash": lambda **a: self.keep_profiles(self.profiles.trash(**a)), "profile-restore": lambda **a: self.keep_profiles(self.profiles.restore(**a)), "profile-delete": self.delete_profile,
             "prompt-list": lambda profile_id: self.prompts.read().where(F.col("profile_id") == profile_id).orderBy("created_at"), "prompt-save": lambda rows: self.prompts.upsert(make_prompt(rows)), "prompt-bulk-add": self.add_prompts, "prompt-delete": self.prompts.delete,
             "tag-add": lambda prompt_id, tag: self.prompts.change(lambda old: old.where(F.col("id") != prompt_id).unionByName(add_tag(old.where(F.col("id") == prompt_id), tag))), "prompt-filter": lambda profile_id, **by: filter_prompts(self.prompts.read().where(F.col("profile_id") == profile_id), **by), "tag-list": lambda: all_tags(self.prompts.read()), "tag-delete": lambda tag: self.prompts.change(lambda old: delete_tag(old, tag)), "tag-rename": lambda old, new: self.prompts.change(lambda rows: rename_tag(rows, old, new)),
-            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "diagnostics": lambda: diagnostics(self.raw.read(), self.derived.read(), self.runs.read()), "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
+            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "run-position": self.position, "diagnostics": lambda: diagnostics(self.raw.read(), self.derived.read(), self.runs.read()), "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
             "url-detail": lambda url, brands, **scope: M.url_detail(self.scoped(**scope), url, brands, self.prompts.read().select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"))),
         }
 
@@ -64,8 +67,9 @@ class Engine:
         return own + [{"name": c, "relation": "competitor"} for c in self.settings.competitors if c]
 
     def capture(self, rows: DataFrame) -> None:
-        """Raw rows first, then their records; the oldest beyond the retention limit go."""
+        """Raw rows first, stamped with where their run stands, then their records; the oldest beyond the retention limit go."""
         usable, _ = landing(rows, self.settings.max_capture_mb)
+        usable = stamp(usable, self.positions.read(), run_prompts(self.runs.read().withColumnRenamed("id", "run_id")))
         self.raw.upsert(usable.select(*self.raw.columns))
         self.derived.upsert(derive(usable, self.tracked()).where("error is null").drop("error"))
         self.enforce_retention()
@@ -92,7 +96,7 @@ class Engine:
 
     def clear(self) -> None:
         """Captures, records and runs; profiles, prompts and settings stay."""
-        for table in (self.raw, self.derived, self.runs):
+        for table in (self.raw, self.derived, self.runs, self.positions):
             table.clear()
 
     def _keep(self, name: str, value: str) -> None:
@@ -128,10 +132,10 @@ class Engine:
 
     def start(self, profile_id: str, now_ms: int = 0) -> dict:
         """Stores the row of a new run; one run at a time."""
-        active = [r["id"] for r in self.prompts.read().where((F.col("profile_id") == profile_id) & F.coalesce("active", F.lit(True))).orderBy("created_at", "id").select("id").collect()]  # one campaign's prompts
+        active = [r for r in self.prompts.read().where((F.col("profile_id") == profile_id) & F.coalesce("active", F.lit(True))).orderBy("created_at", "id").select("id", "tags").collect()]  # one campaign's prompts
         running = bool(self.runs.read().where("status = 'running'").head(1))
         profile = self.profiles.rows[profile_id]
-        row = {"id": f"{profile_id}-{now_ms}-{uuid.uuid4().hex[:8]}", "started_at": now_ms, "finished_at": None, "prompt_ids": active, **start_run(profile, len(active), running)}
+        row = {"id": f"{profile_id}-{now_ms}-{uuid.uuid4().hex[:8]}", "started_at": now_ms, "finished_at": None, "prompt_ids": [r["id"] for r in active], "prompt_tags": [r["tags"] for r in active], **start_run(profile, len(active), running)}
         self.runs.upsert(self.spark.createDataFrame([tuple(row[c] for c in self.runs.columns)], RUNS))
         profile.last_run_at = now_ms
         self.keep_profiles()
@@ -151,6 +155,18 @@ class Engine:
             return old.withColumns({c: keep(c, v) for c, v in new.items()})
 
         self.runs.change(onto)
+        if status and status != "running":
+            now = F.timestamp_millis(F.lit(now_ms)) if now_ms is not None else F.current_timestamp()
+            self.positions.change(lambda old: old.withColumn("until", F.when(F.col("run_id") == run_id, F.coalesce("until", now)).otherwise(F.col("until"))))
+
+    def position(self, run_id: str, platform: str, ordinal: int, now_ms: int) -> None:
+        """A platform of a run is at the prompt of this ordinal from now on; beyond the last one it is nowhere."""
+        run = self.runs.get(run_id).select("profile_id", F.size("prompt_ids").alias("n")).head()
+        if run is None:
+            raise ValueError("no such run")
+        at = dt.datetime.fromtimestamp(now_ms / 1000, dt.timezone.utc)
+        row = self.spark.createDataFrame([(f"{run_id}-{platform}-{ordinal}-{now_ms}", platform, run_id, run["profile_id"], ordinal, at, None)], POSITIONS)
+        self.positions.change(lambda old: move(old, platform, now_ms, row if ordinal < run["n"] else None))
 
     def scoped(self, **scope) -> DataFrame:
         return M.select_tracked(self.derived.read().withColumn("prompt_id", F.col("geo.prompt_id")), **scope)

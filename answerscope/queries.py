@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import record_queries  # noqa: F401  registers its queries
 from .functions import text as T
 from .operators import dashboards as D
 from .operators import metrics as M
 from .plans.tpch import BRANDS, prompts, read, responses
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 _BASE = """
 lines as (select l_orderkey id, l_linenumber ord, l_partkey part, l_suppkey supp, l_extendedprice price, s_name as "domain", case l_returnflag when 'R' then 'cited' when 'A' then 'fetched' else 'mentioned' end outcome, p_brand brand, case when l_returnflag = 'N' then 0 else cast(l_quantity as bigint) end cnt
@@ -38,27 +34,6 @@ select {'bucket, ' if bucket else ''}brand_ord, name, is_own, total, responses_p
  case when ranked > 0 then ranks::double / ranked end avg_position, citations, source_responses, 100.0 * source_responses / total::double source_visibility from g"""
 
 
-def _counted(sql: str) -> str:
-    """``count_if(x)`` as a count of 64 bits, as Spark's is."""
-    while (a := sql.find("count_if(")) >= 0:
-        b, depth = a + 9, 1
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[b], 0)
-            b += 1
-        sql = f"{sql[:a]}count(case when {sql[a + 9 : b - 1]} then 1 end){sql[b:]}"
-    return sql
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = _counted(sql)
-        return f
-
-    return add
-
-
 def _tracked(spark, d):
     return M.select_tracked(responses(spark, d, "F"), profile_id="p1")
 

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from .files import Conflict, Files
 from .functions.text import duplicate_key
+from .operators.intervals import interval_join
 
 MAX_PROFILES, TRASH_DAYS = 3, 7
 
@@ -127,7 +128,10 @@ class Table:
         self.replace(self.spark.createDataFrame([], self.schema))
 
     def get(self, key) -> DataFrame:
-        return self.read().where(F.col(self.key) == key)
+        """The row of a key; only its bucket is read."""
+        bucket = self.spark.range(1).select(F.lit(key).alias(self.key)).select(self._bucket()).head()[0]
+        folder = self._state()[1].get(str(bucket))
+        return self._rows([folder] if folder else []).where(F.col(self.key) == key)
 
     def keys(self, order: str | None = None, limit: int | None = None) -> DataFrame:
         df = self.read()
@@ -183,16 +187,27 @@ def filter_prompts(df: DataFrame, search: str = "", untagged: bool = False, tags
 
 
 def stamp(captures: DataFrame, positions: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Provenance of captures from where their run stood.
+    """Provenance of captures (one row an id) from where their run stood.
 
     ``positions(platform, run_id, profile_id, ordinal, since, until)`` holds the spans in which a platform was at a prompt of a
-    run; ``prompts(run_id, ordinal, prompt_id, tags)`` the run's list.  A capture outside every span has none.
+    run; ``prompts(run_id, ordinal, prompt_id, tags)`` the run's list.  Of several spans the one that began last counts.  A
+    capture outside every span has none, and one that has its provenance keeps it.
     """
-    span = positions.select(F.col("platform").alias("_p"), "run_id", "profile_id", "ordinal", "since", "until")
-    at = (F.col("platform") == F.col("_p")) & (F.col("captured_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("captured_at") < F.col("until")))
-    df = captures.join(span, at, "left").join(prompts, ["run_id", "ordinal"], "left")
+    found = interval_join(captures.select("capture_id", "platform", "captured_at"), positions, ["platform"], "captured_at", "since", "until")
+    last = found.groupBy("capture_id").agg(F.max_by("span", F.struct("span.since", "span.run_id", "span.ordinal")).alias("s"))
+    at = last.select("capture_id", "s.run_id", "s.profile_id", "s.ordinal").join(prompts, ["run_id", "ordinal"], "left")
     geo = F.struct("profile_id", "run_id", "prompt_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    return df.select(*[c for c in captures.columns if c != "geo"], F.when(F.col("run_id").isNotNull(), geo).alias("geo"))
+    df = captures.join(at.select("capture_id", geo.alias("_geo")), "capture_id", "left")
+    own = [F.col("geo")] if "geo" in captures.columns else []
+    return df.select(*[c for c in captures.columns if c != "geo"], F.coalesce(*own, "_geo").alias("geo"))
+
+
+def move(positions: DataFrame, platform: str, now_ms: int, to: DataFrame | None = None) -> DataFrame:
+    """``positions`` after a platform has left where it was, for ``to`` (one row) if it goes on."""
+    now = F.timestamp_millis(F.lit(now_ms))
+    left = (F.col("platform") == platform) & F.col("until").isNull() & (F.col("since") <= now)
+    out = positions.withColumn("until", F.when(left, now).otherwise(F.col("until")))
+    return out if to is None else out.unionByName(to)
 
 
 def run_prompts(runs: DataFrame) -> DataFrame:
