@@ -11,16 +11,24 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files, scratch
 from .operators import metrics as M
 from .schema import DERIVED, RAW, light
 from .sources.exports import diagnostics
 from .sources.payloads import derive, landing
 from .store import Profile, Profiles, Settings, Table, add_tag, all_tags, bulk_add, delete_tag, filter_prompts, make_prompt, move, rename_tag, run_prompts, stamp, start_run
+from .streaming import ingest, turns
+from .streaming.turns import OUTCOME
 
 PROMPTS = "id string, profile_id string, text string, tags array<string>, active boolean, created_at bigint"
 RUNS = "id string, profile_id string, status string, started_at bigint, finished_at bigint, engines array<string>, prompt_ids array<string>, expected bigint, captured bigint, failed bigint, reasons map<string,bigint>, prompt_tags array<array<string>>"
 POSITIONS = "id string, platform string, run_id string, profile_id string, ordinal int, since timestamp, until timestamp"
 PROJECTS = "id string, name string, prompts array<string>, created_at bigint, updated_at bigint"
+OUTCOMES = f"id string, {OUTCOME}"
+ERRORS = "capture_id string, error string"
+DEBUG = "id string, at bigint, event string"
+#: Entries that the debug log keeps and shows.
+LOGGED, SHOWN = 200, 120
 
 
 #: Buckets of the capture tables: a batch rewrites those that hold its keys.
@@ -39,15 +47,16 @@ class Engine:
         self.settings = Settings(**json.loads(kept["settings"])) if "settings" in kept else Settings()
         self.profiles = Profiles.loads(kept["profiles"]) if "profiles" in kept else Profiles()
         self.prompts, self.runs, self.projects = table("prompts", "id", PROMPTS), table("runs", "id", RUNS), table("projects", "id", PROJECTS)
-        self.positions = table("positions", "platform", POSITIONS)
+        self.positions, self.outcomes = table("positions", "platform", POSITIONS), table("outcomes", "id", OUTCOMES)
+        self.errors, self.log = table("errors", "capture_id", ERRORS), table("debug", "id", DEBUG)
         self.commands: dict[str, Callable] = {
             "raw-conversation": self.capture, "get-records": lambda: light(self.derived.read()).orderBy(F.desc("captured_at")), "get-record": self.derived.get, "get-raw": self.raw.get,
             "stats": lambda: {"raw": self.raw.stats(), "derived": self.derived.stats()}, "reprocess-all": self.reprocess, "delete-record": self.delete, "clear-all": self.clear,
             "settings-get": lambda: self.settings, "settings-set": self.patch, "project-save": self.projects.upsert, "project-list": lambda: self.projects.read().orderBy(F.desc("updated_at")), "project-delete": self.projects.delete,
-            "profile-list": self.list_profiles, "profile-save": lambda override=False, **p: self.keep_profiles(self.profiles.save(Profile(**p), override)), "profile-trash": lambda **a: self.keep_profiles(self.profiles.trash(**a)), "profile-restore": lambda **a: self.keep_profiles(self.profiles.restore(**a)), "profile-delete": self.delete_profile,
+            "profile-list": self.list_profiles, "profile-save": lambda override=False, **p: self.keep_profiles(self.profiles.merge(p, override)), "profile-trash": lambda **a: self.keep_profiles(self.profiles.trash(**a)), "profile-restore": lambda **a: self.keep_profiles(self.profiles.restore(**a)), "profile-delete": self.delete_profile,
             "prompt-list": lambda profile_id: self.prompts.read().where(F.col("profile_id") == profile_id).orderBy("created_at"), "prompt-save": lambda rows: self.prompts.upsert(make_prompt(rows)), "prompt-bulk-add": self.add_prompts, "prompt-delete": self.prompts.delete,
             "tag-add": lambda prompt_id, tag: self.prompts.change(lambda old: old.where(F.col("id") != prompt_id).unionByName(add_tag(old.where(F.col("id") == prompt_id), tag))), "prompt-filter": lambda profile_id, **by: filter_prompts(self.prompts.read().where(F.col("profile_id") == profile_id), **by), "tag-list": lambda: all_tags(self.prompts.read()), "tag-delete": lambda tag: self.prompts.change(lambda old: delete_tag(old, tag)), "tag-rename": lambda old, new: self.prompts.change(lambda rows: rename_tag(rows, old, new)),
-            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "run-position": self.position, "diagnostics": lambda: diagnostics(self.raw.read(), self.derived.read(), self.runs.read()), "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
+            "run-list": lambda: self.runs.read().orderBy(F.desc(F.coalesce("started_at", F.lit(0)))), "run-start": self.start, "run-sync": self.sync, "run-position": self.position, "run-track": lambda events, checkpoint: ingest.track(events, self.outcomes.upsert, checkpoint).awaitTermination(), "run-status": lambda: turns.run_status(self.outcomes.read(), self.platforms()), "run-progress": self.progress, "get-errors": self.errors.read, "debug": self.debug, "get-debug": self.debug, "clear-debug": self.log.clear, "diagnostics": lambda: diagnostics(self.raw.read(), self.derived.read(), self.runs.read()), "metrics": self.metrics, "prompt-performance": lambda brands, **scope: M.prompt_performance(self.scoped(**scope), brands),
             "url-detail": lambda url, brands, **scope: M.url_detail(self.scoped(**scope), url, brands, self.prompts.read().select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"))),
         }
 
@@ -71,7 +80,7 @@ class Engine:
         usable, _ = landing(rows, self.settings.max_capture_mb)
         usable = stamp(usable, self.positions.read(), run_prompts(self.runs.read().withColumnRenamed("id", "run_id")))
         self.raw.upsert(usable.select(*self.raw.columns))
-        self.derived.upsert(derive(usable, self.tracked()).where("error is null").drop("error"))
+        self._derived(usable, lambda good, _: self.derived.upsert(good))
         self.enforce_retention()
 
     def enforce_retention(self) -> int:
@@ -86,17 +95,41 @@ class Engine:
         oldest.unpersist()
         return over
 
-    def reprocess(self) -> None:
-        """All raw rows again; provenance comes from the raw row, bad payloads are skipped."""
-        self.derived.change(lambda _: derive(self.raw.read(), self.tracked()).where("error is null").drop("error"))
+    def _derived(self, raw: DataFrame, store: Callable[[DataFrame, DataFrame], object]) -> tuple[int, int]:
+        """Gives ``store`` the records of raw rows and the ids of those that can't be read; how many there are of each.
+
+        Payloads are decoded once, into the shared folder.  An error stays in a table of its own until its capture can be read.
+        """
+        folder = f"{scratch(self.spark)}/derived-{uuid.uuid4().hex}"
+        derive(raw, self.tracked()).write.parquet(folder)
+        done = self.spark.read.parquet(folder)
+        good, bad = done.where("error is null").drop("error"), done.where("error is not null").select("capture_id", "error")
+        store(good, bad.select("capture_id"))
+        self.errors.change(lambda old: old.join(done.select("capture_id"), "capture_id", "left_anti").unionByName(bad))
+        counts = good.count(), bad.count()
+        Files(self.spark, folder).delete()
+        return counts
+
+    def reprocess(self) -> dict[str, int]:
+        """All raw rows again; provenance comes from the raw row.  A capture that can't be read keeps its old record, and its error is kept aside."""
+        good, bad = self._derived(self.raw.read(), lambda good, bad: self.derived.change(lambda old: old.join(bad, "capture_id", "left_semi").select(good.columns).unionByName(good)))
+        return {"total": good + bad, "reprocessed": good}
+
+    def debug(self, rows: DataFrame | None = None) -> DataFrame | None:
+        """Adds ``rows(id, at, event)`` to the debug log, which keeps its newest entries; without rows, the newest that are shown, oldest first."""
+        newest = [F.desc("at"), F.desc("id")]
+        if rows is None:
+            return self.log.read().orderBy(*newest).limit(SHOWN).orderBy("at", "id")
+        self.log.change(lambda old: old.unionByName(rows.select(old.columns)).orderBy(*newest).limit(LOGGED))
+        return None
 
     def delete(self, keys: DataFrame) -> None:
-        self.raw.delete(keys)
-        self.derived.delete(keys)
+        for table in (self.raw, self.derived, self.errors):
+            table.delete(keys)
 
     def clear(self) -> None:
         """Captures, records and runs; profiles, prompts and settings stay."""
-        for table in (self.raw, self.derived, self.runs, self.positions):
+        for table in (self.raw, self.derived, self.runs, self.positions, self.outcomes, self.errors):
             table.clear()
 
     def _keep(self, name: str, value: str) -> None:
@@ -168,6 +201,16 @@ class Engine:
         row = self.spark.createDataFrame([(f"{run_id}-{platform}-{ordinal}-{now_ms}", platform, run_id, run["profile_id"], ordinal, at, None)], POSITIONS)
         self.positions.change(lambda old: move(old, platform, now_ms, row if ordinal < run["n"] else None))
 
+    def platforms(self) -> DataFrame:
+        """A row a run and platform, with the number of its prompts."""
+        return self.runs.read().select(F.col("id").alias("run_id"), F.explode("engines").alias("platform"), F.size("prompt_ids").cast("bigint").alias("total"))
+
+    def progress(self, run_id: str) -> DataFrame:
+        """What became of each prompt of a run on each of its platforms."""
+        own = self.runs.get(run_id).select(F.col("id").alias("run_id"), F.explode("engines").alias("platform"), "prompt_ids")
+        prompts = own.select("run_id", "platform", F.posexplode("prompt_ids").alias("ordinal", "prompt_id")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+        return turns.progress(prompts, self.outcomes.read().where(F.col("run_id") == run_id))
+
     def scoped(self, **scope) -> DataFrame:
         return M.select_tracked(self.derived.read().withColumn("prompt_id", F.col("geo.prompt_id")), **scope)
 

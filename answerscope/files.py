@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local session may do without and gets one of this machine."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 class Conflict(RuntimeError):
     """Another writer took the name first."""
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from . import store
 from .plans.tpch import read
 from .registry import query
+from .streaming import turns
+from .streaming.replay import replay
 
 
 # -- provenance ----------------------------------------------------------------
@@ -33,3 +37,73 @@ def provenance(spark, d):
     captures = events.select(F.col("event_id").alias("capture_id"), F.col("event_type").alias("platform"), F.col("ts").cast("timestamp").alias("captured_at"))
     df = store.stamp(captures, _positions(events), store.run_prompts(runs))
     return df.select(F.col("capture_id").alias("event_id"), "geo.run_id", "geo.prompt_id", F.array_join("geo.tags", ",").alias("tags"))
+
+
+# -- streams: each runs as a stream over the whole table, to its end ---------------
+def _day_after(events):
+    return events.agg(F.date_add(F.to_date(F.max("ts")), 1).cast("timestamp")).head()[0]
+
+
+@query("""with recursive e as (select user_id, event_id, epoch_ms(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events),
+f as (select user_id, event_id, t, k, t as last, true as ok from e where k = 1 union all
+ select e.user_id, e.event_id, e.t, e.k, case when e.t - f.last >= 7200000 then e.t else f.last end, e.t - f.last >= 7200000 from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+select user_id, event_id from f where ok""")
+def debounced_stream(spark, d):
+    """STM-04: the rows of ``debounced``, from a value state of each user."""
+    events = read(spark, d, "events").select("user_id", "event_id", "ts")
+    late = dt.timedelta(hours=1)
+    out = replay(events, "ts", lambda s: turns.debounce(s, "user_id", "ts", "event_id", 7_200_000, "1 hour"), _day_after(events) + late)
+    return out.where("key is not null").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"))
+
+
+@query("select user_id, event_id, coalesce(ts_gap > 3600, true) as timed_out from (select user_id, event_id, (epoch_us(lead(ts) over w) - epoch_us(ts)) / 1e6 ts_gap from events window w as (partition by user_id order by ts, event_id))")
+def watchdog_stream(spark, d):
+    """STM-05: the rows of ``watchdog``, and the last event of each user, whose silence a timer ends."""
+    events = read(spark, d, "events").select("user_id", "event_id", "ts")
+    close = _day_after(events) + dt.timedelta(days=1)
+    out = replay(events, "ts", lambda s: turns.watchdog(s, "user_id", "ts", "event_id", 3_600_000, "1 hour"), close)
+    return out.where("key is not null").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "timed_out")
+
+
+#: A run a user with twelve prompts on each platform; every eleventh event is a failure, a capture of a small value has no signal.
+_DEBOUNCE, _TIMEOUT, _PROMPTS = 6 * 3_600_000, 72 * 3_600_000, 12
+
+
+def _outcomes(spark, d):
+    events = read(spark, d, "events")
+    key = [F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("platform")]
+    started = events.groupBy("user_id", "event_type").agg(F.min("ts").alias("at")).select(*key, "at", F.lit(-1).cast("long").alias("tie"), F.lit("start").alias("kind"), F.lit(False).alias("signal"), F.lit(_PROMPTS).cast("long").alias("total"), F.lit(None).cast("string").alias("reason"))
+    failed = F.col("event_id") % 11 == 0
+    told = events.select(*key, F.col("ts").alias("at"), F.col("event_id").alias("tie"), F.when(failed, "failure").otherwise("capture").alias("kind"), (F.col("value") > 20).alias("signal"), F.lit(None).cast("long").alias("total"), F.when(failed, "tab closed").alias("reason"))
+    out = replay(started.unionByName(told), "at", lambda s: turns.turns(s, _DEBOUNCE, _TIMEOUT, "1 hour"), _day_after(events) + dt.timedelta(hours=1))
+    return started.select("run_id", "platform", "total"), out
+
+
+_TURNS = f"""with recursive w as (select epoch_ms(date_trunc('day', max(ts)) + interval 1 day) closed from events),
+e as (select user_id, event_type, epoch_us(ts) // 1000 ms, event_id % 11 = 0 fails, value > 20 signal, row_number() over (partition by user_id, event_type order by ts, event_id) k, min(epoch_us(ts) // 1000) over (partition by user_id, event_type) started from events),
+s as (select user_id, event_type, k, ms, fails, signal, 0 as ordinal, started as began, null::bigint as last, []::bigint[] took, []::varchar[] told from e where k = 1 union all
+ select t.user_id, t.event_type, n.k, n.ms, n.fails, n.signal, t.ordinal2, t.began2, t.last2, t.took2, t.told2 from ({{step}}) t left join e n on n.user_id = t.user_id and n.event_type = t.event_type and n.k = t.k + 1 where t.k is not null),
+fin as (select *, least({_PROMPTS} - ordinal, greatest(0, (closed - began - 1) // {_TIMEOUT})) late from s, w where k is null),
+stand as (select user_id::varchar run_id, event_type platform, ordinal + late as ordinal, took, told || list_transform(range(0, late), lambda x: 'failed timeout') told, case when len(took) > 0 then list_avg(took[-10:]) end avg_ms from fin)"""
+_STEP = f"""select *, case when counts then o + 1 else o end ordinal2, case when counts then ms else b end began2, case when counts then ms else l end last2, case when counts and not fails then took || [ms - b] else took end took2,
+  told || list_transform(range(0, late), lambda x: 'failed timeout') || (case when not counts then [] when fails then ['failed tab closed'] else ['done '] end) told2 from (
+ select *, o < {_PROMPTS} and (fails or signal and (l is null or ms - l >= {_DEBOUNCE})) counts from (
+  select *, ordinal + late as o, began + late * {_TIMEOUT} as b, case when late > 0 then began + late * {_TIMEOUT} else last end l from (
+   select *, least({_PROMPTS} - ordinal, greatest(0, (ms - began - 1) // {_TIMEOUT})) late from s)))"""
+_TURNS = _TURNS.format(step=_STEP)
+
+
+@query(_TURNS + f""" select run_id, platform, k::bigint as ordinal, case when k < len(told) then split_part(told[k + 1], ' ', 1) when k = len(told) then 'running' else 'pending' end status, case when k < len(told) and told[k + 1] like 'failed%' then substr(told[k + 1], 8) end reason from stand, range(0, {_PROMPTS}) r(k)""")
+def run_progress(spark, d):
+    """STM-03, STM-06, STM-08: what became of each prompt of each run, from the outcomes of a stream."""
+    platforms, out = _outcomes(spark, d)
+    prompts = platforms.select("run_id", "platform", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PROMPTS - 1).cast("long"))).alias("ordinal"))
+    return turns.progress(prompts, out)
+
+
+@query(_TURNS + f""" select run_id, {_PROMPTS} * count(*) as total, cast(sum(len(list_filter(told, lambda x: x = 'done '))) as bigint) done, cast(sum(len(list_filter(told, lambda x: x <> 'done '))) as bigint) failed, cast(sum(len(told)) as bigint) as position,
+ case when not bool_or(ordinal < {_PROMPTS} and avg_ms is null) then coalesce(max(case when ordinal < {_PROMPTS} then avg_ms * ({_PROMPTS} - ordinal) end), 0) end eta_ms from stand group by 1""")
+def run_status(spark, d):
+    """QRY-38, STM-08: a run's counts and the estimate of its slowest platform, from the state of a stream."""
+    platforms, out = _outcomes(spark, d)
+    return turns.run_status(out, platforms)

@@ -257,6 +257,11 @@ class Profiles:
         self.rows[profile.id] = profile
         return profile
 
+    def merge(self, fields: dict, override: bool = False) -> Profile:
+        """``save`` with these fields over those of the profile of the same id."""
+        old = self.rows.get(fields.get("id"))
+        return self.save(Profile(**({**asdict(old), **fields} if old else fields)), override)
+
     def trash(self, key: str, now_ms: int) -> None:
         self.rows[key].deleted_at = now_ms
 

@@ -1,27 +1,19 @@
-"""Streaming ingest and run tracking on Structured Streaming.
-
-``ingest`` lands captures and derives their records batch by batch;
-``advances`` keeps one small state a (run, platform) with
-``applyInPandasWithState``: a completion counts when it has a signal and comes
-2.5 s or more after the last advance or failure, and 90 s of silence fail the
-turn.  Event time and a watermark drive the timeouts, so a replay gives the
-same result as the live run.
+"""Streaming ingest: lands captures and derives their records batch by batch, and stores what became of the turns of a run.
+
+The state of the turns is in ``turns``; here are what a batch writes, and the batch forms of its rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import NOT_LOCATED  # noqa: F401  re-exported for readers of derived rows
 from ..sources.payloads import derive, landing
+from .turns import TIMEOUT_MS, state_store, turns
 
-DEBOUNCE_MS, TIMEOUT_MS = 2500, 90_000
-STATE = "last bigint, done bigint, failed bigint"
-OUT = "run_id string, platform string, done bigint, failed bigint, last bigint"
 
 
 def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_derived: Callable[[DataFrame], None], checkpoint: str, max_mb: int = 8, after: Callable[[], object] | None = None):
@@ -37,48 +29,12 @@ def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold(times: list[int], last: int | None, done: int, failed: int, debounce: int = DEBOUNCE_MS, timeout: int = TIMEOUT_MS) -> tuple[int | None, int, int]:
-    """Sorted completion times onto a state; the batch form of the stream's step."""
-    for t in times:
-        while last is not None and t - last > timeout:
-            failed, last = failed + 1, last + timeout
-        if last is None or t - last >= debounce:
-            done, last = done + 1, t
-    return last, done, failed
-
-
-def advances(events: DataFrame, debounce: int = DEBOUNCE_MS, timeout: int = TIMEOUT_MS, late: str = "1 minute") -> DataFrame:
-    """``events(run_id, platform, captured_at, has_signal)`` as a stream -> the state of each run and platform as it changes."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames, state: GroupState):
-        last, done, failed = state.get if state.exists else (None, 0, 0)
-        if state.hasTimedOut:
-            failed, last = failed + 1, last + timeout
-        else:
-            times = sorted(int(t.value // 1_000_000) for f in frames for t in f["captured_at"])
-            last, done, failed = fold(times, last, done, failed, debounce, timeout)
-        if not state.hasTimedOut and last is not None:
-            state.update((last, done, failed))
-            state.setTimeoutTimestamp(max(last + timeout, state.getCurrentWatermarkMs() + 1))
-        elif state.hasTimedOut:
-            state.update((last, done, failed))  # kept without a further timeout until the next event
-        yield pd.DataFrame([[*key, done, failed, last]], columns=["run_id", "platform", "done", "failed", "last"])
-
-    live = events.where("has_signal").withColumn("captured_at", F.col("captured_at").cast("timestamp")).withWatermark("captured_at", late)
-    return live.groupBy("run_id", "platform").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def progress(prompts: int, index: int, outcomes: dict[int, str], in_flight: bool) -> list[str]:
-    """Status of each prompt of a platform: its outcome if recorded, else by its place."""
-    return [outcomes.get(i) or ("running" if i == index and in_flight else "done" if i < index else "pending") for i in range(prompts)]
-
-
-def eta(durations: dict[str, list[float]], remaining: dict[str, int]) -> dict[str, float | None]:
-    """Seconds left by platform (mean of the last ten) and overall: the largest, unknown if one is."""
-    out = {p: (sum(durations[p][-10:]) / len(durations[p][-10:]) * n if durations.get(p) else None) for p, n in remaining.items() if n}
-    out["overall"] = None if any(v is None for v in out.values()) else max(out.values(), default=0.0)
-    return out
+def track(events: DataFrame, keep: Callable[[DataFrame], None], checkpoint: str, **how):
+    """A started query that gives each batch's outcomes of turns to ``keep``, which upserts them: a replayed batch has the same keys."""
+    key = F.concat_ws("|", "run_id", "platform", "ordinal")
+    with state_store(events.sparkSession):
+        out = turns(events, **how).withColumn("id", key)
+        return out.writeStream.foreachBatch(lambda df, _: keep(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def reconcile(snapshot: Column, completed: Column, prompts: Column, elapsed_ms: Column, timeout: int = TIMEOUT_MS) -> tuple[Column, Column]:

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 
 from answerscope.functions import brands as B
 from answerscope.sources import exports, imports, payloads
-from answerscope.streaming import ingest
 
 
 def event(x):
@@ -128,8 +127,5 @@ def test_capture_file_round_trip():
     assert got["url"] == "u" and got["req_body"] == "{}" and payloads.sse_nodes(got["raw"]) == [1]
 
 
-def test_run_state():
-    assert ingest.fold([0, 1000, 2500, 200_000], None, 0, 0) == (200_000, 3, 2)
-    assert ingest.progress(3, 1, {0: "failed"}, True) == ["failed", "running", "pending"]
-    assert ingest.eta({"a": [1, 3]}, {"a": 2, "b": 1}) == {"a": 4.0, "b": None, "overall": None}
+def test_fixed_decimals():
     assert exports.to_fixed(1.005, 2) == "1.00" and exports.to_fixed(2.5, 0) == "3"

@@ -2,6 +2,7 @@ import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from answerscope import store
 from answerscope.api import PROMPTS, RUNS, Engine
@@ -91,6 +92,49 @@ def test_state_survives_a_restart(spark, tmp_path):
     assert again.handle("clear-all")["ok"] and again.runs.stats() == 0 and again.prompts.stats() == 1
 
 
+def test_saving_a_profile_merges_over_the_old_one(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.handle("profile-save", id="a", name="A", brand={"name": "B"}, competitors=[{"name": "C"}], created_at=7)
+    assert e.handle("profile-save", id="a", name="New")["ok"]
+    p = Engine(spark, str(tmp_path)).profiles.rows["a"]
+    assert (p.name, p.brand, p.competitors, p.created_at) == ("New", {"name": "B"}, [{"name": "C"}], 7)
+
+
+def test_the_debug_log_keeps_its_newest(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    for k in range(3):
+        e.handle("debug", rows=spark.range(k * 90, k * 90 + 90).selectExpr("cast(id as string) id", "id at", "'x' event"))
+    assert e.log.stats() == 200 and [r["at"] for r in e.handle("get-debug")["result"].collect()] == list(range(150, 270))
+    assert e.handle("clear-debug")["ok"] and e.log.stats() == 0
+
+
+def test_what_cannot_be_read_is_kept_aside(spark, tmp_path, monkeypatch):
+    from answerscope.schema import RAW
+    from answerscope.sources import payloads
+
+    from .test_payloads import sample
+
+    e = Engine(spark, str(tmp_path))
+    raw, body = sample()
+    row = lambda k, r: (k, None, "https://chatgpt.com/backend-api/conversation", body, None, None, dt.datetime(2024, 1, 1), r, None, 1)
+    e.handle("raw-conversation", rows=spark.createDataFrame([row("a", raw), row("b", raw)], RAW))
+    real = payloads.ADAPTERS["chatgpt"]
+
+    def failing(text, *rest):
+        if text.endswith("broken"):
+            raise ValueError("no payload")
+        return real(text, *rest)
+
+    monkeypatch.setitem(payloads.ADAPTERS, "chatgpt", failing)
+    e.raw.upsert(spark.createDataFrame([row("a", raw + "broken")], RAW).withColumn("platform", F.lit("chatgpt")))
+    e.raw.upsert(e.raw.get("b").withColumn("page_url", F.lit("new")))
+    assert e.handle("reprocess-all")["result"] == {"total": 2, "reprocessed": 1}
+    assert [tuple(r) for r in e.handle("get-errors")["result"].collect()] == [("a", "ValueError: no payload")]
+    assert {r["capture_id"]: r["page_url"] for r in e.derived.read().collect()} == {"a": None, "b": "new"}
+    monkeypatch.undo()
+    assert e.handle("reprocess-all")["result"] == {"total": 2, "reprocessed": 2} and e.errors.stats() == 0
+
+
 def test_retention_runs_after_a_capture(spark, tmp_path):
     from answerscope.schema import RAW
 
