@@ -164,10 +164,16 @@ def plain_snippet(c: Column) -> Column:
     return js_trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+#: What an "in ..." label of a list article opens with.
+LISTICLE_OPENINGS = (r"you can buy", r"right now", r"approx\.?", r"approximately", r"overall", r"today", r"in [0-9]{4}")
+
+
 def is_noise_label(c: Column) -> Column:
-    """Of a heading or list label: too short or long, several parts, or the wording of a list article rather than a name."""
-    n = F.length(js_trim(c))
-    return F.coalesce((n < 3) | (n > 60) | c.rlike(r"[:|/•]|\s[-–—]\s") | c.rlike(r"(?i)^(?:the\s+)?(?:best|top|why|how|what|which|when|key|quick|final|other|more|our|my)\b|\b(?:overview|summary|comparison|recommendations?|conclusion|verdict|tips?)$"), F.lit(True))
+    """Of a category label: too short or long, made of separators or the rules of a table, or one that opens like the frame of a list article."""
+    s = js_trim(c)
+    n = F.length(s)
+    frame = s.rlike(rf"^(?i:{'|'.join(LISTICLE_OPENINGS)}){EDGE}")
+    return F.coalesce((n < 3) | (n > 60) | s.rlike(rf"^(?:{SPACE}|[-—–|:.])+$") | s.rlike(r"-{4,}|\|{2,}") | frame, F.lit(True))
 
 
 def json_path(c: Column, path: str, kind: str = "string") -> Column:

@@ -570,12 +570,14 @@ def plain_snippets(spark, d):
     return read(spark, d, "pages").select("page_id", T.plain_snippet(F.col("html")).alias("snippet"))
 
 
-@query("""select p_partkey, length(p_name) < 3 or length(p_name) > 60 or regexp_matches(p_name, '[:|/•]') or regexp_matches(lower(p_name), '^(?:the )?(?:best|top|why|how|what|which|when|key|quick|final|other|more|our|my)\\b|\\b(?:overview|summary|comparison|recommendations?|conclusion|verdict|tips?)$') noise from part
-union all select -1 - p_partkey, true from part""")
+@query("""with x as (select doc_id, doc_id % 3 as form, split_part(text, chr(10), 1) line from documents),
+l as (select doc_id, regexp_replace(case form when 0 then line when 1 then 'Overall ' || line[:30] else line[:20] || ' ' || repeat('-', doc_id % 6) end, '^\\s+|\\s+$', '', 'g') s from x)
+select doc_id, coalesce(length(s) < 3 or length(s) > 60 or regexp_full_match(s, '[\\s—–|:.-]+') or contains(s, '----') or contains(s, '||') or regexp_matches(lower(s), '^(you can buy|right now|approx\\.?|approximately|overall|today|in [0-9]{4})\\b'), true) noise from l""")
 def noise_labels(spark, d):
-    """STR-10: names, and the same names as headings of a list article."""
-    part = read(spark, d, "part")
-    return part.select("p_partkey", T.is_noise_label(F.col("p_name")).alias("noise")).union(part.select(-1 - F.col("p_partkey"), T.is_noise_label(F.concat(F.lit("Top 10: "), "p_name"))))
+    """STR-10: first lines of documents, as they are, as a heading of a list article, and with the rule of a table."""
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    form = F.when(F.col("doc_id") % 3 == 0, line).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Overall "), F.substring(line, 1, 30))).otherwise(F.concat(F.substring(line, 1, 20), F.lit(" "), F.repeat(F.lit("-"), (F.col("doc_id") % 6).cast("int"))))
+    return read(spark, d, "documents").select("doc_id", T.is_noise_label(form).alias("noise"))
 
 
 @query("with s as (select user_id, epoch_ms(max(ts)) // 1000 - epoch_ms(min(ts)) // 1000 s from events group by 1) select user_id, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) took from s")

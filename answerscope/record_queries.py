@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import store
+from .functions import spans
+from .operators import evidence, segments
 from .plans.tpch import read
 from .registry import query
 from .streaming import turns
@@ -107,3 +110,88 @@ def run_status(spark, d):
     """QRY-38, STM-08: a run's counts and the estimate of its slowest platform, from the state of a stream."""
     platforms, out = _outcomes(spark, d)
     return turns.run_status(out, platforms)
+
+
+# -- names in texts --------------------------------------------------------------
+@query("""with recursive t as (select conv_id, turn, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from conversations),
+w as (select conv_id, turn, x, regexp_extract_all(x, '[a-z0-9]+')[:8] a from t),
+u as (select conv_id, turn, name, min(k) k from (select conv_id, turn, unnest(l) as name, generate_subscripts(l, 1) k from (select conv_id, turn, a || list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) l from w)) where length(name) > 0 group by all),
+n as (select conv_id, turn, name, row_number() over (partition by conv_id, turn order by length(name) desc, k) k from u),
+p as (select conv_id, turn, x, unnest(range(1, length(x) + 1)) i from t),
+h as (select conv_id, turn, n.k, n.name, i from n join p using (conv_id, turn) where substr(x, i, length(name)) = name
+  and (i = 1 or not regexp_matches(substr(x, i - 1, 1), '[a-z0-9_]')) and not regexp_matches(substr(x, i + length(name), 1), '[a-z0-9_]')),
+g as (select conv_id, turn, k, name, list(i order by i) hits from h group by all),
+f as (select conv_id, turn, 0::bigint as k, ''::varchar as name, []::struct(a bigint, z bigint)[] taken, []::struct(a bigint, z bigint)[] hits from t union all
+ select f.conv_id, f.turn, f.k + 1, n.name, taken || new, new from f join n on n.conv_id = f.conv_id and n.turn = f.turn and n.k = f.k + 1 left join g on g.conv_id = n.conv_id and g.turn = n.turn and g.k = n.k,
+  lateral (select coalesce(list_filter(list_transform(g.hits, lambda i: {'a': i::bigint, 'z': (i + length(n.name))::bigint}), lambda s: len(list_filter(f.taken, lambda c: c.a <= s.a and s.z <= c.z)) = 0), []) new))
+select conv_id, turn, name, len(hits) as count, hits[1].a - 1 as first_index from f where len(hits) > 0""")
+def claimed_mentions(spark, d):
+    """WIN-10, SRT-12: names that are the first words of a message, and pairs of them; a word inside a pair is not counted again."""
+    df = read(spark, d, "conversations")
+    words = F.slice(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w)), 1, 8)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 8), lambda a, b: F.concat_ws(" ", a, b))
+    names = F.transform(F.array_distinct(F.concat(words, pairs)), lambda n: F.struct(n.alias("name"), F.lit(False).alias("label")))
+    found = df.select("conv_id", "turn", F.explode(spans.claims(F.col("text"), names)).alias("c")).where(F.size("c.hits") > 0)
+    return found.select("conv_id", "turn", "c.name", F.size("c.hits").cast("long").alias("count"), F.col("c.hits")[0]["start"].cast("long").alias("first_index"))
+
+
+#: Words of messages with their places; every fifth and every seventh one begin spans of three and two words.
+@query("""with recursive w as (select conv_id, turn, text, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) k from conversations),
+p as (select *, coalesce(sum(length(word) + 1) over (partition by conv_id, turn order by k rows between unbounded preceding and 1 preceding), 0) pos, max(k) over (partition by conv_id, turn) n from w),
+ends as (select a.conv_id, a.turn, a.pos::bigint a, (b.pos + length(b.word))::bigint z, m, row_number() over (partition by a.conv_id, a.turn order by a.pos, b.pos + length(b.word), m) k
+  from p a, (values ('cite', 5, 2), ('entity', 7, 1)) t(m, every, more) join p b on b.conv_id = a.conv_id and b.turn = a.turn and b.k = least(a.n, a.k + more) where a.k % every = 0 and b.pos + length(b.word) > a.pos),
+g as (select conv_id, turn, 0::bigint as k, 0::bigint as cur, 0::bigint a, 0::bigint z, '' m, false as ok from (select distinct conv_id, turn from conversations) union all
+ select g.conv_id, g.turn, e.k, case when e.a >= g.cur then e.z else g.cur end, e.a, e.z, e.m, e.a >= g.cur from g join ends e on e.conv_id = g.conv_id and e.turn = g.turn and e.k = g.k + 1),
+kept as (select conv_id, turn, a, z, m, coalesce(lag(z) over (partition by conv_id, turn order by a), 0) before from g where ok),
+every as (select conv_id, turn, a, z, m from kept union all select conv_id, turn, before, a, 'text' from kept where a > before
+ union all select conv_id, turn, s, length(text), 'text' from (select c.conv_id, c.turn, c.text, coalesce(max(z), 0) s from conversations c left join kept using (conv_id, turn) group by all) where s < length(text))
+select conv_id, turn, a as start, z as "end", m as "type", substr(text, a + 1, z - a) as value from every join conversations using (conv_id, turn)""")
+def segment_cover(spark, d):
+    """WIN-09: overlapping spans over the words of each message, and what lies between them."""
+    df = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    w = Window.partitionBy("conv_id", "turn").orderBy("k")
+    words = df.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    words = words.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("end", F.col("start") + F.length("word"))
+    last = w.rowsBetween(0, Window.unboundedFollowing)
+    upto = lambda more: F.coalesce(F.lead("end", more).over(w), F.last("end").over(last))
+    ends = words.select("conv_id", "turn", "start", upto(2).alias("cite"), upto(1).alias("entity"), (F.col("k") + 1).alias("n"))
+    found = ends.where("n % 5 = 0").select("conv_id", "turn", "start", F.col("cite").alias("end"), F.lit("cite").alias("type")).union(ends.where("n % 7 = 0").select("conv_id", "turn", "start", F.col("entity").alias("end"), F.lit("entity").alias("type")))
+    return segments.cover(df, found.where("end > start"), ["conv_id", "turn"]).select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "value")
+
+
+#: Lines of an order by their place: what they are to its record.  A source writes its brand as it is, in words, or squashed, or not at all.
+_ROLES = """l as (select l_orderkey id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) k, p_brand brand, p_name name, p_size size, p_partkey % 4 as form, l_returnflag <> 'N' narrated, substr(p_brand, 7) num from lineitem join part on l_partkey = p_partkey)"""
+_SEVENTH = {"brand#7": "Seventh", "brand 7": "Seventh", "brand7": "Seventh"}
+
+
+@query(f"""with {_ROLES},
+names as (select id, k, 1 as role, brand as n from l where k <= 2 union all select id, k, 2, 'Brand' || num from l where k = 3 union all select id, k, 3, brand from l where k = 4 union all select id, k, 4, 'Brand ' || num from l where k = 5),
+voc as (select id, n, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') as key, row_number() over (partition by id order by role, k) place from names qualify row_number() over (partition by id, key order by role, k) = 1),
+src as (select id, k - 1 as s, name || ' ' || case form when 0 then brand when 1 then 'brand ' || num when 2 then 'BRAND' || num else 'the ' || num || ' brand' end || ' ' || name || case size % 3 when 0 then ', new' when 1 then ' is here' else '; ok' end t from l),
+hit as (select id, n, place, s, t from voc join src using (id) where regexp_matches(lower(t), '(^|[^a-z0-9&])' || array_to_string(string_split(key, ''), '[^a-z0-9&]*') || '($|[^a-z0-9&])')),
+m as (select *, case when lower(n) in ('brand#7', 'brand 7', 'brand7') then 'Seventh' else n end canon, trim(regexp_extract(t, '(?i)\\b' || n || '\\s+([a-z0-9][a-z0-9\\-.\\s]{{1,20}})', 1)) raw from hit),
+told as (select distinct id, lower(case when lower(brand) = 'brand#7' then 'Seventh' else brand end) as key from l where k <= 2 and narrated),
+answers as (select id, 'About ' || name answer from l where k = 1),
+x as (select m.id, lower(canon) as key, canon, s, place, case when length(raw) between 2 and 24 and not regexp_matches(raw, '\\b(is)\\b') then raw end model, told.key is not null narrated, answer from m join answers using (id) left join told on told.id = m.id and told.key = lower(canon)),
+y as (select *, case when model is not null and not (narrated and contains(lower(answer), lower(model))) then model end kept, row_number() over (partition by id, key, lower(model) order by s, place) d from x),
+g as (select id, key, arg_max(canon, row(s, place)) brand, bool_or(narrated) narrated, array_to_string(list_sort(list_distinct(list(s))), ',') sources, coalesce(string_agg(case when d = 1 then kept end, '; ' order by s, place), '') models from y group by all)
+select id capture_id, brand, case when narrated then 'ignored models' else 'omitted' end kind, case when narrated then '' else sources end sources, models from g where not narrated or models <> ''""")
+def omitted_brands(spark, d):
+    """QRY-33, JON-09, TXT-08: brands that sources speak of and the answer leaves out, and models of narrated ones."""
+    part = read(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    lines = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    num, form = F.substring("p_brand", 7, 9), F.col("p_partkey") % 4
+    written = F.when(form == 0, F.col("p_brand")).when(form == 1, F.concat(F.lit("brand "), num)).when(form == 2, F.concat(F.lit("BRAND"), num)).otherwise(F.concat(F.lit("the "), num, F.lit(" brand")))
+    size = F.col("p_size") % 3
+    snippet = F.concat_ws(" ", written, F.concat("p_name", F.when(size == 0, ", new").when(size == 1, " is here").otherwise("; ok")))
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), num.alias("num"), F.when(F.col("l_returnflag") != "N", 1).otherwise(0).alias("count"), snippet.alias("snippet"))
+    df = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("capture_id")).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    at = lambda a, n, f: F.transform(F.slice("l", a, n), f)
+    records = df.select(
+        "capture_id", at(1, 2, lambda x: F.struct(x["brand"].alias("brand"), x["count"].alias("count"))).alias("brand_mentions"),
+        at(3, 1, lambda x: F.struct(F.lit("").alias("brand"), F.concat(F.lit('"'), x["brand"], F.lit('" '), x["name"]).alias("name"))).alias("products"), at(4, 1, lambda x: F.struct(x["brand"].alias("name"))).alias("places"),
+        F.concat(at(5, 1, lambda x: F.struct(F.concat(F.lit("Brand "), x["num"]).alias("text"), F.lit("Brand").alias("category"))), at(6, 1, lambda x: F.struct(x["brand"].alias("text"), F.lit("Color").alias("category")))).alias("entities"),
+        F.transform("l", lambda x: F.struct(x["name"].alias("title"), x["snippet"].alias("snippet"))).alias("sources"), F.concat(F.lit("About "), F.col("l")[0]["name"]).alias("answer_text"),
+    )
+    out = evidence.evaluated(records, _SEVENTH)
+    return out.select("capture_id", "brand", "kind", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.array_join("models", "; ").alias("models"))
