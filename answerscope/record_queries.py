@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import store
 from .functions import spans
-from .operators import evidence, segments
+from .operators import evidence, merge, segments
 from .plans.tpch import read
 from .registry import query
+from .sources import decode
 from .streaming import turns
 from .streaming.replay import replay
 
@@ -195,3 +196,97 @@ def omitted_brands(spark, d):
     )
     out = evidence.evaluated(records, _SEVENTH)
     return out.select("capture_id", "brand", "kind", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.array_join("models", "; ").alias("models"))
+
+
+# -- payloads --------------------------------------------------------------------
+_BIT = 40
+
+
+def _payloads(spark, d):
+    """Conversations as recorded event streams: each message is announced with its first characters and then grows by operations of three forms, between
+    lines of other kinds and broken ones; at the end the first message is announced once more, and grows."""
+    df = read(spark, d, "conversations").select("conv_id", "turn", "text", "role")
+    name = F.concat_ws("-", "conv_id", "turn")
+    data = lambda x: F.concat(F.lit("data: "), F.to_json(x))
+    opening = lambda text: F.struct(F.struct(F.struct(name.alias("id"), F.struct("role", F.struct(F.when(F.col("turn") % 3 == 0, "tool:web").alias("real_author")).alias("metadata")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content")).alias("message")).alias("v"), F.when(F.col("turn") % 4 == 1, "final").alias("channel"))
+    rest = F.expr(f"substr(text, {_BIT + 1})")
+    starts = F.when(F.length(rest) > 0, F.sequence(F.lit(1), F.length(rest), F.lit(_BIT))).otherwise(F.array().cast("array<int>"))
+    append = lambda x: F.struct(F.lit("/message/content/parts/0").alias("p"), F.lit("append").alias("o"), x.alias("v"))
+    other = F.struct(F.lit("/message/status").alias("p"), F.lit("replace").alias("o"), F.lit("going on").alias("v"))
+    grown = lambda s: F.when(s % 3 == 0, data(append(rest.substr(s, F.lit(_BIT))))).when(s % 3 == 1, data(F.struct(rest.substr(s, F.lit(_BIT)).alias("v")))).otherwise(data(F.struct(F.array(other, append(rest.substr(s, F.lit(_BIT)))).alias("v"))))
+    told = F.concat(F.array(F.lit("event: delta"), data(opening(F.expr(f"substr(text, 1, {_BIT})")))), F.transform(starts, grown), F.when(F.col("turn") % 5 == 0, F.array(F.lit('data: {"v": '), F.lit("data:"))).otherwise(F.array(F.lit(": idle"))))
+    again = F.when(F.col("turn") == 0, F.concat_ws("\n", data(opening(F.lit("not again"))), F.lit('data: {"v":" (end)"}'), F.lit("data: [DONE]")))
+    parts = df.groupBy(F.col("conv_id").alias("capture_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.array_join(told, "\n").alias("x")))).alias("l"), F.max(again).alias("again"))
+    return parts.select("capture_id", F.concat_ws("\r\n", F.array_join(F.transform("l", lambda x: x["x"]), "\r\n"), "again").alias("raw"))
+
+
+@query("""with m as (select conv_id, turn, case when turn = 0 then text || ' (end)' else text end t, turn % 3 = 0 or turn % 4 = 1 fin from conversations)
+select conv_id capture_id, count(*) messages, arg_min(t, row(case when fin and length(t) > 0 then 0 else 1 end, -length(t), turn)) answer from m group by 1""")
+def rebuilt_answers(spark, d):
+    """JSN-01, JSN-07, SRC-05: conversations sent as delta streams and folded again; every operation and every broken line is found in its place."""
+    nodes, _ = decode.sse_nodes(_payloads(spark, d))
+    n = decode.messages(nodes).groupBy("capture_id").agg(F.count("*").alias("messages"))
+    return decode.answers(nodes).join(n, "capture_id").select("capture_id", "messages", F.col("text").alias("answer"))
+
+
+@query(f"""with m as (select conv_id, turn, 1 + (greatest(length(text) - {_BIT}, 0) + {_BIT - 1}) // {_BIT} n from conversations)
+select conv_id capture_id, cast(sum(n) + max(case when turn = 0 then 2 else 0 end) as bigint) nodes, cast(sum(case when turn % 5 = 0 then 1 else 0 end) as bigint) broken from m group by 1""")
+def decoded_lines(spark, d):
+    """SRC-05, JSN-04: lines of streams that are nodes, and those kept aside as broken."""
+    nodes, broken = decode.sse_nodes(_payloads(spark, d))
+    both = nodes.select("capture_id", F.lit(1).alias("nodes"), F.lit(0).alias("broken")).union(broken.select("capture_id", F.lit(0), F.lit(1)))
+    return both.groupBy("capture_id").agg(F.sum("nodes").alias("nodes"), F.sum("broken").alias("broken"))
+
+
+@query("""select page_id, 2 - page_id % 2 as frames, case when page_id % 3 = 0 then 2 else 1 end as broken, url, length(html) chars from pages""")
+def rpc_frames(spark, d):
+    """SRC-06: pages sent as RPC streams, whose frames hold their payloads as JSON texts."""
+    df = read(spark, d, "pages").select("page_id", "url", "html")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.to_json(c).alias("x"))), '(?s)^\\{"x":(.*)\\}$', 1)
+    frame = lambda c: F.concat(F.lit('["wrb.fr",null,'), quoted(c), F.lit("]"))
+    first = frame(F.array("url", "html"))
+    more = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(","), frame(F.array(F.lit("second"))))).otherwise("")
+    chunk = F.concat(F.lit("["), first, more, F.lit(',["di",12],["wrb.fr",null,"{broken"],["wrb.fr",null,null]]'))
+    raw = F.concat(F.lit(")]}'\n\n123\n"), chunk, F.lit("\n25\n"), F.when(F.col("page_id") % 3 == 0, '[["wrb.fr",null').otherwise('["e",4]'), F.lit("\n"))
+    payloads, broken = decode.rpc_payloads(df.select(F.col("page_id").alias("capture_id"), raw.alias("raw")))
+    of = payloads.groupBy("capture_id").agg(F.count("*").alias("frames"), F.max(F.when(F.col("frame") == 0, F.struct(decode.at(F.col("node"), "[0]").alias("url"), F.length(decode.at(F.col("node"), "[1]")).alias("chars")))).alias("x"))
+    bad = broken.groupBy("capture_id").agg(F.count("*").alias("broken"))
+    return of.join(bad, "capture_id").select(F.col("capture_id").alias("page_id"), "frames", "broken", "x.url", F.col("x.chars").cast("long").alias("chars"))
+
+
+def _found(spark, d):
+    """Every value in the streams of orders, whose lines came as search results, as citations deeper down, and some as product cards, too."""
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    url = F.concat(F.lit("HTTPS://Site"), supp % 10, F.lit(".Example/p"), part % 3, F.when(n % 3 == 0, "?utm_source=x&q=1").when(n % 3 == 1, "?q=1").otherwise(""))
+    title = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("T"), part))
+    date = F.when(n % 5 == 0, n + 1_700_000_000)
+    ref = F.struct(F.lit(0).alias("turn_index"), F.lit("search").alias("ref_type"), n.alias("ref_index"))
+    result = F.to_json(F.struct(F.array(F.struct(F.lit("search_result").alias("type"), url.alias("url"), title.alias("title"), F.concat(F.lit("S"), supp).alias("snippet"), date.alias("pub_date"), ref.alias("ref_id"))).alias("r")))
+    cited = F.to_json(F.struct(F.struct(F.array(F.array(F.struct(url.alias("link"), F.concat(F.lit("Site "), supp % 10).alias("attribution"), title.alias("title"), date.alias("pub_date")))).alias("list")).alias("deep")))
+    card = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("p"), part % 5).alias("id"), title.alias("title"), F.when(n % 2 == 1, F.concat(F.lit("$"), supp)).alias("price"), F.when(n % 6 == 0, 4.5).alias("rating")).alias("product"))).alias("cards")))
+    told = F.concat_ws("\n", F.concat(F.lit("data: "), F.when(n % 2 == 0, result).otherwise(cited)), F.when(n % 3 == 0, F.concat(F.lit("data: "), card)))
+    lines = read(spark, d, "lineitem").select("l_orderkey", one.alias("o"), told.alias("x"))
+    raw = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("capture_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda s: s["x"]), "\n").alias("raw"))
+    return decode.walk(decode.sse_nodes(raw)[0])
+
+
+_SHOWN = """l as (select l_orderkey id, l_linenumber n, l_partkey part, l_suppkey supp, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) k from lineitem),
+s as (select *, 'https://site' || supp % 10 || '.example/p' || part % 3 || case when n % 3 = 2 then '' else '?q=1' end url, case when n % 4 = 0 then '' else 'T' || part end title, case when n % 5 = 0 then n + 1700000000 end as dated from l)"""
+
+
+@query(f"""with {_SHOWN}, g as (select id, url, bool_or(n % 2 = 1) cited, arg_max(case when dated is not null then 'news' when n % 2 = 0 then 'other' else 'citation' end, k) as "type", arg_max(title, k) filter (title <> '') title, arg_max('S' || supp, k) filter (n % 2 = 0) snippet,
+ arg_max('Site ' || supp % 10, k) filter (n % 2 = 1) attribution, arg_max(dated, k) pub_date, coalesce(string_agg(distinct case when n % 2 = 0 then 'turn0search' || n end, ',' order by case when n % 2 = 0 then 'turn0search' || n end), '') marks, min(k) first from s group by all)
+select id capture_id, row_number() over (partition by id order by first) as position, url, case when cited then 'cited' else 'fetched' end outcome, "type", title, snippet, attribution, pub_date::bigint pub_date, marks from g""")
+def merged_sources(spark, d):
+    """AGG-22, JSN-02, JSN-03, SET-05: sources found anywhere in the nodes, as one row an address: the outcome rises, texts keep the newest that is not empty."""
+    rows = decode.search_results(_found(spark, d))
+    df = merge.merge_sources(rows, ["capture_id"], ["line", "path"])
+    return df.withColumn("position", F.col("position").cast("long")).withColumn("marks", F.array_join(F.array_sort("marker_ids"), ",")).drop("marker_ids")
+
+
+@query(f"""with {_SHOWN} select id capture_id, 'p' || part % 5 as id, arg_max(title, k) filter (title <> '') as "name", arg_max('$' || supp, k) filter (n % 2 = 1) price, max(case when n % 6 = 0 then 4.5 end)::double rating from s where n % 3 = 0 group by 1, 2""")
+def merged_products(spark, d):
+    """AGG-23, AGG-24: product cards found anywhere in the nodes, as one row a product."""
+    rows = decode.product_cards(_found(spark, d))
+    return merge.merge_fields(rows, ["capture_id"], F.coalesce("id", "name"), ["line", "path"]).select("capture_id", "id", "name", "price", "rating")
