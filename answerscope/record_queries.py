@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import store
 from .functions import spans
-from .operators import evidence, merge, segments
+from .functions.brands import CLOSE, MID, OPEN
+from .operators import evidence, footnotes, merge, segments, structure
 from .plans.tpch import read
 from .registry import query
 from .sources import decode
@@ -290,3 +291,44 @@ def merged_products(spark, d):
     """AGG-23, AGG-24: product cards found anywhere in the nodes, as one row a product."""
     rows = decode.product_cards(_found(spark, d))
     return merge.merge_fields(rows, ["capture_id"], F.coalesce("id", "name"), ["line", "path"]).select("capture_id", "id", "name", "price", "rating")
+
+
+# -- structure and footnotes --------------------------------------------------------
+@query("""with l as (select l_suppkey supp, p_name name, p_brand brand, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) k from lineitem join part on l_partkey = p_partkey)
+select supp, case when k % 8 in (2, 3) then 'table' when k % 8 = 5 then 'heading' else 'bold' end kind, name candidate, count(*) n from l where k % 8 in (2, 3, 5, 6) group by all""")
+def structural_candidates(spark, d):
+    """TXT-05, TXT-06, TXT-07: the lines of each supplier as one markdown text of tables, rows without a rule, headings, bold leads and prose."""
+    part = read(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    one = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "p_name", "p_brand")
+    lines = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", one.alias("x"))
+
+    def written(x, k):
+        name, brand, at = x["p_name"], x["p_brand"], (k + 1) % 8
+        return (
+            F.when(at == 1, "| Product | Brand |\n|:---|---:|").when(at == 2, F.concat(F.lit("| **"), name, F.lit("** | "), brand, F.lit(" |"))).when(at == 3, F.concat(name, F.lit(" \\| x | "), brand)).when(at == 4, F.concat(F.lit("The "), name, F.lit(" is **good**.")))
+            .when(at == 5, F.concat(F.lit("## "), (k + 1).cast("string"), F.lit(". "), name, F.lit(" — best"))).when(at == 6, F.concat(F.lit("- **"), brand, F.lit(": "), name, F.lit("** it is"))).when(at == 7, F.concat(name, F.lit(" | "), brand)).otherwise("| x | y |\n| --- |")
+        )
+
+    texts = lines.repartition("l_suppkey").groupBy(F.col("l_suppkey").alias("supp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), written), "\n").alias("text"))
+    return structure.candidates(texts, ["supp"]).groupBy("supp", "kind", "candidate").agg(F.count("*").alias("n"))
+
+
+@query("""with l as (select l_orderkey id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) k, p_name name, 'https://s' || l_suppkey % 4 || '.com/' url from lineitem join part on l_partkey = p_partkey),
+m as (select id, k % 3 as m, arg_max(url, k) url from l where k % 5 <> 0 group by 1, 2),
+c as (select l.id, l.k, name, m.url, 'turn0search' || l.k % 3 as marker, l.k % 2 = 0 as twice from l left join m on m.id = l.id and m.m = l.k % 3),
+n as (select id, url, row_number() over (partition by id order by min(k)) num from c where url is not null group by 1, 2)
+select c.id capture_id, string_agg(name || ' ' || case when num is null then '' else '[' || num || ']' end || '; ', '' order by k) as "text", coalesce((select string_agg(url, ' ' order by num) from n where n.id = c.id), '') notes,
+ coalesce(string_agg(case when twice then case when num is null then marker || ' turn1news9' else 'turn1news9' end when num is null then marker end, ' ' order by k), '') unresolved,
+ coalesce((select string_agg(url, ' ' order by f) from (select url, min(k) f from l where l.id = c.id and url not in (select url from n where n.id = c.id) group by 1)), '') others
+from c left join n on n.id = c.id and n.url = c.url group by c.id""")
+def footnoted_answers(spark, d):
+    """JON-06, QRY-41, SET-04: answers that cite after each of an order's lines; several sources have a marker, some markers have no source."""
+    part = read(spark, d, "part").select("p_partkey", "p_name")
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name")
+    lines = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", one.alias("x"))
+    marker = lambda k: F.concat(F.lit("turn0search"), ((k + 1) % 3).cast("string"))
+    cited = lambda x, k: F.concat(x["p_name"], F.lit(f" {OPEN}cite{MID}"), marker(k), F.when((k + 1) % 2 == 0, f"{MID}turn1news9").otherwise(""), F.lit(f"{CLOSE}; "))
+    source = lambda x, k: F.struct(F.concat(F.lit("https://s"), (x["l_suppkey"] % 4).cast("string"), F.lit(".com/")).alias("url"), F.when((k + 1) % 5 != 0, F.array(marker(k))).otherwise(F.array().cast("array<string>")).alias("marker_ids"))
+    df = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("capture_id")).agg(F.array_sort(F.collect_list("x")).alias("l"))
+    out = footnotes.footnoted(df.select("capture_id", F.array_join(F.transform("l", cited), "").alias("answer_text"), F.transform("l", source).alias("sources")))
+    return out.select("capture_id", "text", *[F.array_join(c, " ").alias(c) for c in ("notes", "unresolved", "others")])

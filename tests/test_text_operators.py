@@ -98,3 +98,39 @@ def test_segments_cover_the_text(spark):
                 at = s[1]
         want += [(at, len(t or ""), "text")] * (at < len(t or ""))
         assert [x[:3] for x in got.get(k, [])] == want and "".join(x[3] for x in got.get(k, [])) == (t or "")
+
+
+def test_tables_bold_leads_and_headings(spark):
+    from answerscope.operators import structure
+
+    rng = random.Random(12)
+    line = lambda: rng.choice(["| a | b |", "|---|:-:|", "| x \\| y | z |", "|---|", "", "  ", "plain", "| **Acme** X | 2 |", "c | d", "--- | ---", "|", "## Zed — Best", "### 3. Kreo: Harpy", "# Top", "- **Foo: Bar** is", "1. **Baz**", "x **no**", "🥇 **Q**", "## " + "long " * 12, "### For A → Bolt", "**:**"])
+    texts = [(k, "\n".join(line() for _ in range(rng.randrange(14)))) for k in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    rows = structure.table_rows(structure.text_lines(df, ["id"]), ["id"]).orderBy("id", "line").collect()
+    got = structure.candidates(df, ["id"]).orderBy("id", "line").collect()
+    for k, t in texts:
+        assert [r["cells"][0] for r in rows if r["id"] == k and r["cells"][0]] == brands.table_cells(t or ""), t
+        assert [r["candidate"] for r in got if r["id"] == k and r["kind"] == "table"] == [c for c in map(brands.clean_candidate, brands.table_cells(t or "")) if c], t
+    kinds = lambda t: [(r["kind"], r["candidate"]) for r in structure.candidates(spark.createDataFrame([(1, t)], "id int, text string"), ["id"]).orderBy("line", "kind").collect()]
+    assert kinds("## Zed — Best\n### 3. Kreo: Harpy\n- **Foo: Bar** is\n1. **Baz**\n# Top\nx **no**\n### For A → Bolt\n### **V70**") == [("heading", "Zed"), ("heading", "Harpy"), ("bold", "Bar"), ("bold", "Baz"), ("heading", "Bolt"), ("bold", "V70")]
+
+
+def test_footnotes(spark):
+    from answerscope.operators import footnotes
+    from answerscope.sources import exports
+
+    o, m, c = brands.OPEN, brands.MID, brands.CLOSE
+    cite = lambda *ids: f"{o}cite{m}{m.join(ids)}{c}"
+    rng = random.Random(3)
+    ids = [f"turn0search{k}" for k in range(5)] + ["turn1news0"]
+    rows = []
+    for k in range(60):
+        sources = [(f"https://s{rng.randrange(4)}.com/", rng.sample(ids[:4], rng.randrange(3))) for _ in range(rng.randrange(5))]
+        text = "".join(rng.choice(["é words ", "", "x", cite(*rng.sample(ids, rng.randrange(1, 4)))]) for _ in range(rng.randrange(9)))
+        rows.append((k, text or "none", list({u: (u, i) for u, i in sources}.values())))
+    df = spark.createDataFrame(rows, "capture_id int, answer_text string, sources array<struct<url:string,marker_ids:array<string>>>")
+    got = {r["capture_id"]: r for r in footnotes.footnoted(df).collect()}
+    for k, text, sources in rows:
+        want = exports.footnotes(text, [{"url": u, "marker_ids": i} for u, i in sources])
+        assert (got[k]["text"], got[k]["notes"], got[k]["unresolved"], got[k]["others"]) == (want["text"], want["notes"], want["unresolved"], want["others"]), text
