@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import store
+from .files import scratch
 from .functions import spans
 from .functions.brands import CLOSE, MID, OPEN
 from .operators import evidence, footnotes, merge, segments, structure
 from .plans.tpch import read
 from .registry import query
-from .sources import decode
+from .sources import decode, workbook
 from .streaming import turns
 from .streaming.replay import replay
 
@@ -332,3 +334,19 @@ def footnoted_answers(spark, d):
     df = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("capture_id")).agg(F.array_sort(F.collect_list("x")).alias("l"))
     out = footnotes.footnoted(df.select("capture_id", F.array_join(F.transform("l", cited), "").alias("answer_text"), F.transform("l", source).alias("sources")))
     return out.select("capture_id", "text", *[F.array_join(c, " ").alias(c) for c in ("notes", "unresolved", "others")])
+
+
+@query("""with c as (select 'Customers' sheet, c_custkey::varchar a, c_name b, c_mktsegment c from customer), n as (select 'Nations', n_nationkey::varchar, n_name, n_regionkey::varchar from nation), p as (select 'Parts', p_partkey::varchar, case when p_partkey % 3 = 0 then '''=' else '' end || p_name || ' <&> "é"', '["' || p_brand || '","' || p_type || '"]' from part)
+select sheet, a || '|' || b || '|' || c as cells, count(*) n from (select * from c union all select * from n union all select * from p union all select 'Customers', 'id', 'name', 'extra' union all select 'Nations', 'id', 'name', 'extra' union all select 'Parts', 'id', 'name', 'extra') group by all""")
+def workbook_round_trip(spark, d):
+    """SRC-09, SRC-10, SNK-05: three tables as the sheets of one workbook, written by tasks and read back a sheet a partition."""
+    named = lambda df, *c: df.select(*[x.alias(n) for x, n in zip(c, ("id", "name", "extra"), strict=True)])
+    col = F.col
+    name = F.concat(F.when(col("p_partkey") % 3 == 0, "=").otherwise(""), "p_name", F.lit(' <&> "é"'))
+    sheets = {
+        "Customers": named(read(spark, d, "customer"), col("c_custkey"), col("c_name"), col("c_mktsegment")), "Nations": named(read(spark, d, "nation"), col("n_nationkey"), col("n_name"), col("n_regionkey")),
+        "Parts": named(read(spark, d, "part").repartition(3), col("p_partkey"), name, F.array("p_brand", "p_type")),
+    }
+    path = f"{scratch(spark)}/book-{uuid.uuid4().hex}.xlsx"
+    workbook.write_workbook(sheets, path)
+    return workbook.read_workbook(spark, path).groupBy("sheet", F.array_join("cells", "|").alias("cells")).agg(F.count("*").alias("n"))

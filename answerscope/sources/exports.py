@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.brands import segments
 from ..functions.text import csv_cell
 from ..operators import dashboards as D
+from . import workbook
 
 
 def to_fixed(x: float | None, digits: int) -> str:
@@ -79,12 +80,10 @@ def sheets(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_workbook(records: DataFrame, path: str) -> list[str]:
-    names = []
-    for name, df in sheets(records).items():
-        flat = df.select(*[(F.to_json(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`")).alias(c) for c, t in df.dtypes])
-        write_csv(flat, f"{path}/{name.replace(' ', '_')}")
-        names.append(name)
-    return names
+    """The sheets of the records as one workbook file; their names."""
+    found = sheets(records)
+    workbook.write_workbook(found, path)
+    return list(found)
 
 
 def footnotes(answer: str, sources: list[dict]) -> dict:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .workbook import rows_of, sheets_of
+
 #: Headers of the prompt column, and of the tag column in order of preference.
 PROMPT_HEADERS = ("prompt", "prompts", "query", "queries")
 TAG_HEADERS = ("tags", "tag", "industry", "category", "industry category", "label", "labels", "topic", "segment")
@@ -55,43 +56,15 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True).na.drop("all")
 
 
-def _text(node) -> str:
-    """All text runs of a node, phonetic ones aside."""
-    return "".join(t.text or "" for t in node.iter() if t.tag.rsplit("}", 1)[-1] == "t")
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]*", (ref or "").upper())[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
 def parse_workbook(data: bytes) -> list[list[str]]:
-    """Cells of the first worksheet: shared, rich and inline strings, numbers; ragged rows are padded.
-
-    Stored and deflated entries are read; other methods raise.
-    """
+    """Cells of the first worksheet; ragged rows are padded, blank ones go."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for i in z.infolist():
-            if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                raise ValueError(f"compression method {i.compress_type} of {i.filename}")
-        sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
+        sheets = sheets_of(z)
         if not sheets:
             raise ValueError("no worksheet")
-        local = lambda e: e.tag.rsplit("}", 1)[-1]
-        shared = [_text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
-        rows = []
-        for r in (e for e in ElementTree.fromstring(z.read(sheets[0])).iter() if local(e) == "row"):
-            cells: dict[int, str] = {}
-            for k, c in enumerate(e for e in r if local(e) == "c"):
-                kind = (c.get("t") or "").lower()
-                value = next((e.text or "" for e in c if local(e) == "v"), "")
-                at = _column(c.get("r")) if c.get("r") else k
-                cells[at] = _text(c) if kind == "inlinestr" else shared[int(value)] if kind == "s" and value else value
-            rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
+        rows = [r for r in rows_of(z, sheets[0][1]) if any(c.strip() for c in r)]
     width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows if any(c.strip() for c in r)]
+    return [r + [""] * (width - len(r)) for r in rows]
 
 
 def rows_to_prompts(rows: list[list[str]]) -> list[dict]:
