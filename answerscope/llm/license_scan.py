@@ -1,12 +1,13 @@
 """License scans (native: DataFrame functions only).
 
 Templates are the short notices by which files state a license, the standard
-headers, and whole license texts.  Candidates of a file are its lines and its
-blocks (paragraphs of several lines, so a wrapped header counts as a whole)
-that hold one of the templates' key words, and the whole text of a license
-file.  Candidates and templates are sparse TF-IDF vectors over word tokens; a
+headers, titles of license texts, and short texts as a whole.  Candidates of a file are its lines that
+hold one of the templates' key words, its headers (consecutive
+paragraphs that each hold one, and runs of comment lines, of any number of lines), and of a license file the whole text and its
+first two paragraphs, where a title stands.  A line or header that says what it is *not* licensed under is none.  Candidates and templates are sparse TF-IDF vectors over word tokens; a
 candidate has the license of the template with the greatest cosine, if that
-reaches ``threshold``.  Inverse document frequencies come from all distinct
+reaches ``threshold``.  Where templates of two licenses are equally near (a paragraph that
+several versions share), the candidate decides only if no other does.  Inverse document frequencies come from all distinct
 candidates of the scanned table.
 
 A file without a license of its own inherits from the nearest ancestor
@@ -64,12 +65,40 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
+#: Names and versions in the headers of one family (SPDX identifier, name, version, the mark before the version).
+GNU = [
+    ("AGPL-3.0", "GNU Affero General Public License", "3"), ("GPL-1.0", "GNU General Public License", "1"), ("LGPL-2.0", "GNU Library General Public License", "2"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+]
+GNU_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."
+#: The titles under which license texts stand.
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("Artistic-1.0", "The Artistic License Preamble"), ("Artistic-2.0", "The Artistic License 2.0 Copyright The Perl Foundation"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"), ("EPL-2.0", "Eclipse Public License - v 2.0"), ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"), ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: A clause that stands below the titles of one family.
+GNU_CLAUSE = " Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+TEMPLATES += [(i, GNU_HEADER.format(n, v)) for i, n, v in GNU] + TITLES + [(i, t + GNU_CLAUSE) for i, t in TITLES if t.startswith("GNU")]
+TEMPLATES += [("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/')]
+TEMPLATES += [(i, f"SPDX-License-Identifier: {i}") for i in sorted({i for i, _ in TEMPLATES} - {PROPRIETARY})]
+
 #: What a candidate must hold; each template holds one of these.
 KEYS = ("licen", "copyright", "permission", "public domain", "redistribut")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
 LINE_END, BLOCK_END = r"\r?\n", r"\r?\n[ \t]*\r?\n"
+#: Lines of a comment that follow each other.
+COMMENT_RUN = r"(?:(?:^|\n)[ \t]*(?://|#|\*|/\*|--|;|%)[^\n]*)+"
+#: Words by which a text says that a license does not hold.
+NEGATED = r"(?i)(?:\bnot|\bnever|n't)\s+(?:[a-z]+\s+){0,2}(?:released|licensed|available|covered|governed)\b"
+#: Stands for paragraphs without a key word while the others are strung together.
+_GAP = "\ue000"
+#: Cosines that differ by less are equal.
+EQUAL = 0.001
 
 
 def tokens(text: Column) -> Column:
@@ -88,16 +117,21 @@ def _key(text: Column) -> Column:
 def candidates(files: DataFrame) -> DataFrame:
     """``file, directory, is_license_file, candidates, same`` (a digest of the candidates) of each row; stored, so texts are scanned once."""
     text, none = F.col("text"), F.array().cast("array<string>")
-    lines = F.filter(F.split(text, LINE_END), _key)
-    blocks = F.filter(F.split(text, BLOCK_END), lambda b: F.contains(F.trim(b), F.lit("\n")) & _key(b))
-    whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array(text)).otherwise(none)
-    found = F.transform(F.concat(lines, blocks, whole), lambda x: F.trim(x))
+    usable = lambda x: _key(x) & ~x.rlike(NEGATED)
+    several = lambda x: F.contains(F.trim(F.translate(x, "\r", " ")), F.lit("\n")) & usable(x)
+    lines = F.filter(F.split(text, LINE_END), usable)
+    paragraphs = F.split(text, BLOCK_END)
+    runs = F.split(F.array_join(F.transform(paragraphs, lambda p: F.when(_key(p), p).otherwise(_GAP)), "\n"), _GAP)
+    headers = F.filter(F.transform(F.concat(runs, F.regexp_extract_all(text, F.lit(COMMENT_RUN), F.lit(0))), lambda x: F.trim(F.regexp_replace(x, r"^\n+|\n+\z", ""))), several)
+    title = F.array_join(F.slice(F.filter(paragraphs, lambda p: F.trim(p) != ""), 1, 2), "\n")
+    whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array(text, title)).otherwise(none)
+    found = F.transform(F.concat(lines, headers, whole), lambda x: F.trim(x))
     rows = files.select("file", "directory", "is_license_file", F.when(_key(text), F.array_sort(F.array_distinct(found))).otherwise(none).alias("candidates"))
     return cut(rows.withColumn("same", F.when(F.size("candidates") > 0, F.sha2(F.concat_ws("\n\n", "candidates"), 256))))
 
 
 def score(texts: DataFrame, threshold: float = 0.75, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``id, license, cosine`` of the ``texts(id, text)`` whose best template reaches ``threshold``; equal texts have one id."""
+    """``id, license, cosine, equal`` (whether another license is as near) of the ``texts(id, text)`` whose best template reaches ``threshold``; equal texts have one id."""
     spark = texts.sparkSession
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("notice")) for k, (a, b) in enumerate(templates)])
     known = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
@@ -121,8 +155,10 @@ def score(texts: DataFrame, threshold: float = 0.75, templates: list[tuple[str,
     dots = pairs.groupBy("id", "template", "license").agg(F.sum("p").alias("dot"))
     norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
     scored = dots.join(norm, "id").select("id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    near = scored.groupBy("id", "license").agg(F.max("cosine").alias("cosine"))  # a row a license
+    best = near.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.collect_list("cosine").alias("all"))
+    equal = F.size(F.filter("all", lambda c: c > -F.col("b.c") - EQUAL)) > 1
+    return best.select("id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), equal.alias("equal"))
 
 
 def own_licenses(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -130,7 +166,7 @@ def own_licenses(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     lists = rows.where("same is not null").groupBy("same").agg(F.first("candidates").alias("candidates"))
     texts = lists.select("same", F.explode("candidates").alias("text")).withColumn("id", F.md5("text"))
     found = texts.select("same", "id").join(score(texts.select("id", "text"), threshold), "id")
-    best = found.groupBy("same").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), (-F.col("cosine")).alias("c"), "license")).alias("b"))
+    best = found.groupBy("same").agg(F.min(F.struct((F.col("license") == PROPRIETARY).alias("p"), "equal", (-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("same", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 

@@ -129,13 +129,17 @@ def _license_oracle() -> str:
     known = ", ".join(f"({k}, {quote(a)}, {quote(b)})" for k, (a, b) in enumerate(license_scan.TEMPLATES))
     low = lambda c: f"translate({c}, '{license_scan.UPPER}', '{license_scan.LOWER}')"
     key = lambda c: "(" + " or ".join(f"contains({low(c)}, '{k}')" for k in license_scan.KEYS) + ")"
+    usable = lambda c: f"({key(c)} and not regexp_matches({c}, {quote(license_scan.NEGATED)}))"
     words = lambda c: f"unnest(regexp_extract_all({low(c)}, '{license_scan.TOKEN}')) token"
-    best = f"(license = '{license_scan.PROPRIETARY}'), -cosine, license"
+    best = f"(license = '{license_scan.PROPRIETARY}'), equal, -cosine, license"
     return rf"""
 with recursive tree as (select doc_id, doc_id % 10 = 0 lic, text, concat_ws('/', '', coalesce(source, 'none'), coalesce(lang, 'none')) as top, cast(doc_id // 100 as varchar) as leaf from documents),
  files as (select doc_id, lic, text, case when doc_id % 20 = 0 then top else top || '/' || leaf end directory from tree),
- cand as (select doc_id, trim(unnest(list_concat(list_filter(string_split_regex(text, '{license_scan.LINE_END}'), lambda x: {key("x")}),
-   list_filter(string_split_regex(text, '{license_scan.BLOCK_END}'), lambda x: contains(trim(x, ' '), chr(10)) and {key("x")}), case when lic then [text] else [] end)), ' ') t from files where {key("text")}),
+ paras as (select doc_id, lic, text, string_split_regex(text, '{license_scan.BLOCK_END}') ps from files where {key("text")}),
+ headers as (select doc_id, lic, text, ps, list_transform(list_concat(string_split(array_to_string(list_transform(ps, lambda p: case when {key("p")} then p else '{license_scan._GAP}' end), chr(10)), '{license_scan._GAP}'),
+   regexp_extract_all(text, '{license_scan.COMMENT_RUN}')), lambda x: trim(regexp_replace(x, '^\n+|\n+\z', '', 'g'), ' ')) hs from paras),
+ cand as (select doc_id, trim(unnest(list_concat(list_filter(string_split_regex(text, '{license_scan.LINE_END}'), lambda x: {usable("x")}),
+   list_filter(hs, lambda x: contains(trim(translate(x, chr(13), ' '), ' '), chr(10)) and {usable("x")}), case when lic then [text, array_to_string(list_filter(ps, lambda p: trim(p, ' ') <> '')[:2], chr(10))] else [] end)), ' ') t from headers),
  texts as (select distinct t from cand),
  mine as (select t, token, count(*) tf from (select t, {words("t")} from texts) group by all),
  tpl(template, license, notice) as (values {known}),
@@ -147,14 +151,15 @@ with recursive tree as (select doc_id, doc_id % 10 = 0 lic, text, concat_ws('/',
  weighed as (select t, mine.token, tf * coalesce(idf, ln(n + 2.0) / 4) w from mine cross join total left join idf on idf.token = mine.token),
  norm as (select t, sqrt(sum(w * w)) norm from weighed group by 1),
  dots as (select t, template, license, sum(w * u) dot from weighed join unit using (token) group by all),
- scored as (select t, license, round(dot / norm, 6) cosine from dots join norm using (t) where norm > 0),
- stated as (select doc_id, license, cosine, row_number() over (partition by doc_id order by {best}) k from cand join scored using (t) where cosine >= 0.75),
+ near as (select t, license, max(round(dot / norm, 6)) cosine from dots join norm using (t) where norm > 0 and round(dot / norm, 6) >= 0.75 group by all),
+ scored as (select t, license, cosine, count(*) filter (cosine > top - {license_scan.EQUAL}) over (partition by t) > 1 as equal from (select *, max(cosine) over (partition by t) top from near) qualify row_number() over (partition by t order by -cosine, license) = 1),
+ stated as (select doc_id, license, cosine, row_number() over (partition by doc_id order by {best}) k from cand join scored using (t) ),
  own as (select files.doc_id, directory, lic, license, cosine from files left join (select * from stated where k = 1) s on s.doc_id = files.doc_id),
- given as (select directory, license, row_number() over (partition by directory order by {best}) k from own where lic and license is not null),
+ given as (select directory, license, row_number() over (partition by directory order by {best.replace(' equal,', '')}) k from own where lic and license is not null),
  above(directory, path) as (select distinct directory, directory from own union select directory, regexp_replace(path, '/[^/]*$', '') from above where path <> ''),
- near as (select above.directory, path, license, row_number() over (partition by above.directory order by length(path) desc) k from above join given on given.directory = path and given.k = 1)
-select own.doc_id, own.directory, coalesce(own.license, near.license) license, cosine, case when own.license is null then path end inherited_from
-from own left join near on near.directory = own.directory and near.k = 1"""
+ inherited as (select above.directory, path, license, row_number() over (partition by above.directory order by length(path) desc) k from above join given on given.directory = path and given.k = 1)
+select own.doc_id, own.directory, coalesce(own.license, inherited.license) license, cosine, case when own.license is null then path end inherited_from
+from own left join inherited on inherited.directory = own.directory and inherited.k = 1"""
 
 
 #: Every document against every order and step, without the lookup table.

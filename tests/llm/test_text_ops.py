@@ -205,3 +205,45 @@ def test_headers_and_license_texts(spark):
     ]
     df = spark.createDataFrame([(f, "/" + f, f.isupper(), t) for f, t, _ in rows], "file string, directory string, is_license_file boolean, text string")
     assert {r["file"]: r["license"] for r in license_scan.scan(df).collect()} == {f: w for f, _, w in rows}
+
+
+GNU_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the {0} as published by
+the Free Software Foundation, either version {1} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{0} for more details.
+
+You should have received a copy of the {0}
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_versions_of_one_family_are_told_apart(spark):
+    """Headers of three paragraphs as they are used, in comments of several kinds and as plain text, identifiers, and denials."""
+    rows = []
+    for name, version, want in (("GNU General Public License", "3", "GPL-3.0"), ("GNU General Public License", "2", "GPL-2.0"), ("GNU Affero General Public License", "3", "AGPL-3.0"), ("GNU Lesser General Public License", "2.1", "LGPL-2.1"), ("GNU Lesser General Public License", "3", "LGPL-3.0")):
+        text = GNU_TEXT.format(name, version)
+        marked = lambda mark, text=text: "".join(f"{mark}{x}\n" for x in text.split("\n"))
+        rows += [(f"{want} plain", "Some program.\nCopyright (C) 2020 A. Person\n\n" + text + "\nint main() {}\n", want), (f"{want} #", marked("# ") + "import os\n", want), (f"{want} *", "/*\n" + marked(" * ") + " */\nint x;\n", want), (f"{want} crlf", marked("; ").replace("\n", "\r\n"), want)]
+    rows += [("spdx", f"// SPDX-License-Identifier: {x}\nint x;", x) for x in ("MIT", "ISC", "AGPL-3.0", "MPL-1.1", "CC0-1.0")]
+    rows = [(f"{k} {f}", t, w) for k, (f, t, w) in enumerate(rows)]
+    rows += [("or later", "# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("denied", "This is not released under the MIT License.", None), ("never", "It was never licensed under the Apache License, Version 2.0", None), ("shared only", GNU_TEXT.split("\n\n")[1].format("GNU General Public License"), "GPL-1.0")]
+    df = spark.createDataFrame([(f, "/" + str(k), False, t) for k, (f, t, _) in enumerate(rows)], "file string, directory string, is_license_file boolean, text string")
+    assert {r["file"]: r["license"] for r in license_scan.scan(df).collect()} == {f: w for f, _, w in rows}
+
+
+def test_whole_license_texts_of_this_machine(spark):
+    """Texts that no template repeats, where the system has them."""
+    import os
+
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    folder = "/usr/share/common-licenses"
+    have = {n: open(f"{folder}/{n}", errors="replace").read() for n in want if os.path.exists(f"{folder}/{n}")}
+    if not have:
+        pytest.skip("no license texts here")
+    df = spark.createDataFrame([(n, "/" + n, True, t) for n, t in have.items()], "file string, directory string, is_license_file boolean, text string")
+    assert {r["file"]: r["license"] for r in license_scan.scan(df).collect()} == {n: want[n] for n in have}
