@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compressed, frequency_key, timeline_key
+from ..files import scratch
+from ..functions.text import compressed, duration_hms, frequency_key, timeline_key
 from .metrics import has_signal
 
 
@@ -89,6 +90,46 @@ def most_moved(moved: DataFrame, top: int | None = None) -> DataFrame:
     return out.limit(top) if top else out
 
 
+def brand_values(records: DataFrame) -> Column:
+    """``name, value`` of each brand of a record: how often the answer names it; one that is only shown has 0."""
+    return F.transform("brand_mentions", lambda m: F.struct(m["brand"].alias("name"), m["count"].cast("long").alias("value"), F.lit(False).alias("cited")))
+
+
+def domain_values(records: DataFrame) -> Column:
+    """``name, value`` of each appearance of a domain among a record's sources."""
+    own = F.filter("sources", lambda s: s["domain"] != "")
+    return F.transform(own, lambda s: F.struct(s["domain"].alias("name"), F.lit(1).cast("long").alias("value"), (s["outcome"] == "cited").alias("cited")))
+
+
+def moved(records: DataFrame, values: Column) -> DataFrame:
+    """First against last capture of each prompt by name, absent as 0, in one pass.
+
+    ``records`` have a ``prompt_key``; ``values`` is one of ``brand_values`` and ``domain_values``.  Captures are shuffled once, by prompt: the places of the captures, the
+    explosion and the sums stay on that key.  ``in_first`` and ``in_last`` tell whether the capture has the name at all.
+    """
+    df = timelines(records.select("prompt_key", "capture_id", "captured_at", values.alias("v"))).select("prompt_key", "ordinal", "points", F.explode("v").alias("x"))
+    ends = {"first": F.col("ordinal") == 1, "last": F.col("ordinal") == F.col("points")}
+    sums = [F.coalesce(F.sum(F.when(c, F.col("x.value"))), F.lit(0)).alias(n) for n, c in ends.items()]
+    out = df.groupBy("prompt_key", F.col("x.name").alias("name")).agg(*sums, *[F.max(c).alias(f"in_{n}") for n, c in ends.items()])
+    return out.withColumn("delta", F.col("last") - F.col("first"))
+
+
+def timeline_cells(records: DataFrame, values: Column) -> DataFrame:
+    """``prompt_key, name, ordinal, value, label`` of each capture that has a name; the label marks a domain that was cited with "(c)"."""
+    df = timelines(records.select("prompt_key", "capture_id", "captured_at", values.alias("v"))).select("prompt_key", "ordinal", F.explode("v").alias("x"))
+    of = df.groupBy("prompt_key", F.col("x.name").alias("name"), "ordinal").agg(F.sum("x.value").alias("value"), F.max("x.cited").alias("cited"))
+    return of.select("prompt_key", "name", "ordinal", "value", F.concat(F.col("value").cast("string"), F.when(F.col("cited"), " (c)").otherwise("")).alias("label"))
+
+
+def timeline_headline(records: DataFrame) -> DataFrame:
+    """A row a prompt of several captures: ``captures``, brands and domains gained and lost from its first to its latest one, and ``domains_now``."""
+    count = timelines(records.select("prompt_key", "capture_id", "captured_at")).groupBy("prompt_key").agg(F.count("*").alias("captures"))
+    gained, lost = F.count_if(F.col("in_last") & ~F.col("in_first")), F.count_if(F.col("in_first") & ~F.col("in_last"))
+    of = lambda values, kind, *more: moved(records, values).groupBy("prompt_key").agg(gained.alias(f"{kind}_gained"), lost.alias(f"{kind}_lost"), *more)
+    df = count.join(of(brand_values(records), "brands"), "prompt_key", "left").join(of(domain_values(records), "domains", F.count_if("in_last").alias("domains_now")), "prompt_key", "left")
+    return df.na.fill(0, ["brands_gained", "brands_lost", "domains_gained", "domains_lost", "domains_now"])
+
+
 def movement(points: DataFrame, values: DataFrame) -> DataFrame:
     """First against last capture of each prompt by name; a missing name counts 0."""
     ends = points.where("ordinal = 1 or ordinal = points").select("prompt_key", "capture_id", (F.col("ordinal") == 1).alias("is_first"), (F.col("ordinal") == F.col("points")).alias("is_last"))
@@ -133,6 +174,19 @@ def session_summary(records: DataFrame) -> DataFrame:
     return base.crossJoin(F.broadcast(top))  # one row each
 
 
+def session_details(records: DataFrame) -> DataFrame:
+    """Averages a capture with one decimal, the share of captures that searched, distinct domains, and the time from the first to the last capture."""
+    cited = F.size(F.filter("sources", lambda s: s["outcome"] == "cited"))
+    t = F.unix_seconds(F.col("captured_at"))
+    base = records.agg(
+        F.count("*").alias("captures"), F.count_if(F.coalesce("searched", F.lit(False))).alias("_s"), F.coalesce(F.sum(cited), F.lit(0)).alias("cited"), F.coalesce(F.sum(F.size("sources") - cited), F.lit(0)).alias("fetched"), (F.max(t) - F.min(t)).alias("_t"),
+    )
+    domains = source_rows(records).agg(F.count_distinct("domain").alias("unique_domains"))
+    each = lambda x: F.when(F.col("captures") > 0, F.round(x / F.col("captures"), 1)).otherwise(0.0)
+    df = base.crossJoin(F.broadcast(domains))  # one row each
+    return df.select("captures", "cited", "fetched", "unique_domains", each(F.col("cited")).alias("avg_cited"), each(F.col("fetched")).alias("avg_fetched"), each(F.col("cited") + F.col("fetched")).alias("avg_sources"), each(100.0 * F.col("_s")).alias("search_rate"), duration_hms(F.coalesce("_t", F.lit(0))).alias("duration"))
+
+
 def source_analysis(records: DataFrame) -> DataFrame:
     """Domains with their share of citations and of all appearances, ranked.
 
@@ -154,6 +208,39 @@ def audit_log(records: DataFrame) -> DataFrame:
     return records.select("capture_id", "platform", "user_prompt", F.size(cited).alias("n_cited"), F.size("sources").alias("n_sources"), F.concat_ws("; ", F.array_sort(F.array_distinct(F.transform(cited, lambda s: s["domain"])))).alias("cited_domains"))
 
 
+#: Columns of the audit log.
+AUDIT = ("#", "Date", "Time", "Platform", "User Prompt", "Search Used", "Cited Sources", "Cited Count", "Fetched Sources", "Fetched Count", "Total Sources", "Fan-Out Query")
+
+
+def audit_sheet(records: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The audit log in full: a row a capture in order of time, dates and times as of ``zone``; sources in the order of the record."""
+    of = lambda *kinds: F.filter("sources", lambda s: s["outcome"].isin(*kinds))
+    domains = lambda a: F.array_join(F.transform(a, lambda s: s["domain"]), "; ")
+    asked = F.concat(*[F.coalesce(F.transform(F.col(f"fanout.{b}"), lambda q: q["query"]), F.array().cast("array<string>")) for b in ("search", "shopping", "image")])
+    at = F.from_utc_timestamp("captured_at", zone)
+    cells = [
+        F.date_format(at, "dd-MMM-yyyy"), F.date_format(at, "HH:mm:ss"), F.coalesce("platform", F.lit("chatgpt")), F.coalesce("user_prompt", F.lit("")), F.when(F.col("searched"), "Yes").otherwise("No"), domains(of("cited")), F.size(of("cited")),
+        domains(of("fetched", "news")), F.size(of("fetched", "news")), F.size("sources"), F.array_join(asked, " | "),
+    ]
+    df = numbered(records.select("captured_at", "capture_id", *[c.alias(n) for c, n in zip(cells, AUDIT[1:], strict=True)]), "#", "captured_at", "capture_id")
+    return df.select("capture_id", *[f"`{n}`" for n in AUDIT])
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with a column that numbers its rows from 1 in an order over all of them.
+
+    Rows are sorted in ranges and stored, each range is counted, and a row's number is that of the rows in the ranges before it and its place in its own: no task sees all rows.
+    """
+    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    scratch(df.sparkSession)
+    placed = placed.checkpoint()
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft(F.col("_part"), 33) + 1).drop("_id", "_part", "_before")
+
+
 def mention_rows(records: DataFrame) -> DataFrame:
     """Workbook sheet: a brand named in the answer, or only shown."""
     return records.select("capture_id", F.explode("brand_mentions").alias("m")).select("capture_id", "m.brand", "m.count", F.when(F.col("m.count") > 0, "Named").otherwise("Shown").alias("status"))
@@ -213,7 +300,8 @@ def alias_rollup(mentions: DataFrame, aliases: DataFrame, noise: tuple[str, ...]
     """
     df = mentions.where(~F.trim(F.lower("brand")).isin(*noise))
     key = compressed(F.col("brand"))
-    df = df.join(F.broadcast(aliases.select(compressed(F.col("alias")).alias("k"), "canonical")), key == F.col("k"), "left")
+    # Of any size: Spark broadcasts a small table of aliases by its own measure, and joins a large one by a shuffle.
+    df = df.join(aliases.groupBy(compressed(F.col("alias")).alias("k")).agg(F.min("canonical").alias("canonical")), key == F.col("k"), "left")
     name = F.coalesce("canonical", "brand")
     return df.groupBy(F.lower(name).alias("_k")).agg(F.min(name).alias("brand"), F.sum("count").alias("count")).drop("_k")
 
@@ -276,6 +364,14 @@ def saved_clusters(records: DataFrame, newest: int = 100) -> DataFrame:
     return df.groupBy(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), key.alias("key")).agg(F.count("*").alias("captures"), F.array_join(F.array_sort(F.collect_set("platform")), ", ").alias("platforms"))
 
 
+def cluster_platforms(records: DataFrame, newest: int = 100, zone: str = "UTC") -> DataFrame:
+    """The newest captures grouped by the day of ``zone`` and prompt, and within that by platform: ``day, key, platform, captures, first_id, last_id``."""
+    df = records.orderBy(F.desc("captured_at"), F.desc("capture_id")).limit(newest)
+    day = F.date_format(F.from_utc_timestamp("captured_at", zone), "yyyy-MM-dd")
+    at = F.struct("captured_at", "capture_id")
+    return df.groupBy(day.alias("day"), frequency_key(F.col("user_prompt")).alias("key"), "platform").agg(F.count("*").alias("captures"), F.min_by("capture_id", at).alias("first_id"), F.max_by("capture_id", at).alias("last_id"))
+
+
 def run_history(runs: DataFrame, newest: int = 10) -> DataFrame:
     """The newest runs with what they captured and how long they took."""
     return runs.orderBy(F.desc("started_at"), "id").limit(newest).withColumn("seconds", F.unix_seconds("finished_at") - F.unix_seconds("started_at"))

@@ -172,6 +172,11 @@ def _timeline(spark, d, values, **by):
     return D.timelines(df), values(df)
 
 
+def _moved(spark, d, values):
+    df = D.with_prompt_key(responses(spark, d))
+    return D.moved(df, values(df)).drop("in_first", "in_last")
+
+
 _KEYED = _BASE + """, keyed as (select *, trim(regexp_replace(regexp_replace(lower(prompt), '\\s+', ' ', 'g'), '[.?!,]+$', '')) prompt_key from resp where prompt <> '')"""
 _POINTS = _KEYED + """, pts as (select *, row_number() over (partition by prompt_key order by ts, id) k, count(*) over (partition by prompt_key) n from keyed qualify n > 1)"""
 _BRAND_MOVE = _POINTS + """, names as (select distinct prompt_key, brand from pts join ment using (id)),
@@ -183,25 +188,40 @@ mv as (select prompt_key, name, cast(coalesce(sum(v) filter (k = 1), 0) as bigin
 @query(f"with {_BRAND_MOVE} select *, last - first as delta from mv")
 def timeline_delta(spark, d):
     """QRY-13, WIN-02, WIN-03, JON-12: prompts of any key and any number of captures."""
-    return D.movement(*_timeline(spark, d, D.capture_brands))
+    return _moved(spark, d, D.brand_values)
 
 
 @query(f"with {_BRAND_MOVE} select prompt_key, name, case when first = 0 then 'gained' else 'lost' end change from mv where (first = 0) <> (last = 0)")
 def gained_lost_brands(spark, d):
     """QRY-15, SET-01."""
-    return D.gained_lost(D.movement(*_timeline(spark, d, D.capture_brands)))
+    return D.gained_lost(_moved(spark, d, D.brand_values))
 
 
 @query(f"with {_DOMAIN_MOVE} select *, last - first as delta from mv")
 def timeline_domains(spark, d):
     """QRY-14, AGG-16."""
-    return D.movement(*_timeline(spark, d, D.capture_domains))
+    return _moved(spark, d, D.domain_values)
+
+
+@query(f"""with {_POINTS}, v as (select prompt_key, "domain" as name, k as ordinal, count(*) n, bool_or(outcome = 'cited') c from pts join lines using (id) group by all) select prompt_key, name, ordinal, n as value, n || case when c then ' (c)' else '' end as label from v""")
+def timeline_domain_cells(spark, d):
+    """QRY-14, AGG-16: how often each capture of a prompt has a domain; "(c)" marks one that was cited."""
+    df = D.with_prompt_key(responses(spark, d))
+    return D.timeline_cells(df, D.domain_values(df)).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(f"""with {_POINTS}, b as (select prompt_key, brand x, bool_or(k = 1) f, bool_or(k = n) l from pts join ment using (id) group by all), d as (select prompt_key, "domain" x, bool_or(k = 1) f, bool_or(k = n) l from pts join lines using (id) group by all),
+bs as (select prompt_key, count_if(l and not f) g, count_if(f and not l) t from b group by 1), ds as (select prompt_key, count_if(l and not f) g, count_if(f and not l) t, count_if(l) n from d group by 1)
+select p.prompt_key, p.n as captures, coalesce(bs.g, 0) brands_gained, coalesce(bs.t, 0) brands_lost, coalesce(ds.g, 0) domains_gained, coalesce(ds.t, 0) domains_lost, coalesce(ds.n, 0) domains_now from (select distinct prompt_key, n from pts) p left join bs using (prompt_key) left join ds using (prompt_key)""")
+def timeline_headline(spark, d):
+    """QRY-15: what changed from the first to the latest capture of each prompt, in numbers."""
+    return D.timeline_headline(D.with_prompt_key(responses(spark, d)))
 
 
 @query(f"with {_DOMAIN_MOVE} select *, last - first as delta from mv order by abs(last - first) desc, last desc, prompt_key, name limit 60")
 def most_moved_domains(spark, d):
     """SRT-08: the 60 that moved most."""
-    return D.most_moved(D.movement(*_timeline(spark, d, D.capture_domains)), 60)
+    return D.most_moved(_moved(spark, d, D.domain_values), 60)
 
 
 @query(f"""with {_POINTS.replace("where prompt <> ''", "where prompt <> '' and platform = '1-URGENT'")} select prompt_key, id capture_id, k as ordinal, n as points from pts""")
@@ -241,6 +261,13 @@ def prompt_frequency(spark, d):
     return D.prompt_frequency(responses(spark, d))
 
 
+@query(f"""with {_BASE}, n as (select count(*) total, count_if(outcome = 'cited') cited, count(distinct "domain") unique_domains, count(distinct case when outcome <> 'mentioned' then id end) s from lines), r as (select count(*) captures, epoch(max(ts))::bigint - epoch(min(ts))::bigint t from resp)
+select captures, cited, total - cited as fetched, unique_domains, round(cited / captures::double, 1) avg_cited, round((total - cited) / captures::double, 1) avg_fetched, round(total / captures::double, 1) avg_sources, round(100.0::double * s / captures, 1) search_rate, printf('%d:%02d:%02d', t // 3600, t // 60 % 60, t % 60) duration from n, r""")
+def session_details(spark, d):
+    """QRY-20, AGG-12: averages, search rate and duration of the summary sheet."""
+    return D.session_details(responses(spark, d))
+
+
 @query(f"""with {_BASE}, per as (select "domain", count_if(outcome = 'cited') cited, count(*) total from lines group by 1)
 select *, 100.0 * cited / (sum(cited) over ())::double cited_share, 100.0 * total / (sum(total) over ())::double total_share, row_number() over (order by cited desc, total desc, "domain") as rank from per""")
 def source_analysis(spark, d):
@@ -256,6 +283,16 @@ def audit_log(spark, d):
     return df.withColumn("n_cited", F.col("n_cited").cast("long")).withColumn("n_sources", F.col("n_sources").cast("long"))
 
 
+@query(f"""with {_BASE}, o as (select *, row_number() over (partition by id order by ord, part, supp, price, "domain", outcome, brand, cnt) k from lines),
+g as (select id, string_agg(case when outcome = 'cited' then "domain" end, '; ' order by k) c, count_if(outcome = 'cited') cn, string_agg(case when outcome = 'fetched' then "domain" end, '; ' order by k) f, count_if(outcome = 'fetched') fn, count(*) n from o group by 1)
+select resp.id capture_id, row_number() over (order by ts, resp.id) as "#", strftime(ts, '%d-%b-%Y') as "Date", strftime(ts, '%H:%M:%S') as "Time", platform as "Platform", coalesce(prompt, '') as "User Prompt", case when coalesce(cn, 0) + coalesce(fn, 0) > 0 then 'Yes' else 'No' end as "Search Used",
+ coalesce(c, '') as "Cited Sources", coalesce(cn, 0) as "Cited Count", coalesce(f, '') as "Fetched Sources", coalesce(fn, 0) as "Fetched Count", coalesce(n, 0) as "Total Sources", concat_ws(' | ', replace(c, '; ', ' | '), replace(f, '; ', ' | ')) as "Fan-Out Query" from resp left join g on g.id = resp.id""")
+def audit_sheet(spark, d):
+    """QRY-21, SNK-04: the log of all captures with its twelve columns."""
+    df = D.audit_sheet(responses(spark, d))
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for c in ("Cited Count", "Fetched Count", "Total Sources")})
+
+
 @query(f"""with {_BASE} select id capture_id, "domain", outcome, cast(part as varchar) url from lines""")
 def domain_data(spark, d):
     """QRY-23, QRY-24: a row an appearance."""
@@ -472,6 +509,12 @@ def saved_clusters(spark, d):
     return D.saved_clusters(responses(spark, d))
 
 
+@query(f"with {_BASE}, n as (select * from resp order by ts desc, id desc limit 100) select strftime(ts + interval 330 minutes, '%Y-%m-%d') as day, lower(prompt) as key, platform, count(*) captures, arg_min(id, row(ts, id)) first_id, arg_max(id, row(ts, id)) last_id from n group by all")
+def cluster_platforms(spark, d):
+    """QRY-17: the newest captures by the day of a time zone and prompt, and by platform within that."""
+    return D.cluster_platforms(responses(spark, d), zone="Asia/Kolkata")
+
+
 @query("""select user_id id, count(*) captured, strftime(min(ts), '%Y-%m-%d') as day, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as "seconds" from events group by 1 order by min(ts) desc, 1 limit 10""")
 def run_history(spark, d):
     """QRY-37, SRT-10, DAT-05."""

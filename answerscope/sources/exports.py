@@ -47,6 +47,19 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in df.columns]).alias("value"))
 
 
+#: What stands above the audit log.
+AUDIT_PREAMBLE = ("Audit log", "Searches, cited and fetched sources and queries of every capture", "")
+
+
+def audit_lines(records: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``line, value``: the audit log as CSV, with its preamble and its header; a row's line is its number and four."""
+    log = D.audit_sheet(records, zone)
+    head = [*AUDIT_PREAMBLE, ",".join('"' + c + '"' for c in D.AUDIT)]
+    first = records.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, head))).alias("line", "value")).select((F.col("line") + 1).cast("long").alias("line"), "value")
+    rows = log.select((F.col("#") + len(head)).alias("line"), F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in D.AUDIT]).alias("value"))
+    return first.unionByName(rows)
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """Column ``value``: each row as one JSON object; null fields are left out."""
     return df.select(F.to_json(F.struct("*")).alias("value"))

@@ -46,7 +46,7 @@ def test_clusters_skip_records_without_a_signal(spark):
 
 
 @pytest.mark.parametrize(("function", "cases"), [
-    (T.timeline_key, {"What  is it?!": "what is it", " a ? ": "a ?", "x.,": "x"}), (T.is_noise_label, {"Acme": False, "ab": True, "Best phones of 2024": True, "Top: x": True, "Final Verdict": True, None: True}),
+    (T.timeline_key, {"What  is it?!": "what is it", " a ? ": "a ?", "x.,": "x"}), (T.is_noise_label, {"Acme": False, "ab": True, None: True, "x" * 61: True, "Final Verdict": False, "Top: x": False, "Best phones of 2024": False, "Overall winner": True, "overalls": False, "In 2024 only": True, "approx. 5": True, "—–| :.": True, "a ---- b": True, "a||b c": True}),
     (T.plain_snippet, {"# Head\n- **a** [b](http://c) ![i](j)\n---\n1. `d`": "Head a b d"}), (M.percent_text, {"12.34": "12.3%", None: "–"}), (M.position_text, {"2": "#2.0", None: "–"}),
 ])
 def test_text_forms(spark, function, cases):
@@ -78,3 +78,29 @@ def test_performance_without_an_own_brand(spark):
 def test_bound_documents_have_contents():
     html = exports.bound_documents([{"user_prompt": "One <b>"}, {"generated_title": "Two", "answer_text": "# Head"}])
     assert html.count("<article") == 2 and "<a href='#c0'>One &lt;b&gt;</a>" in html and "<h2>Head</h2>" in html
+
+
+def test_audit_log_with_its_preamble(spark):
+    from answerscope.plans.tpch import responses
+    from answerscope.sources.exports import AUDIT_PREAMBLE, audit_lines
+
+    df = responses(spark, "/root/testdata/sf0.001")
+    lines = [r["value"] for r in audit_lines(df).orderBy("line").collect()]
+    assert tuple(lines[:3]) == AUDIT_PREAMBLE and lines[3].count(",") == 11 and lines[3].startswith('"#","Date"')
+    assert len(lines) == df.count() + 4 and [x.split(",")[0] for x in lines[4:8]] == ['"1"', '"2"', '"3"', '"4"']
+
+
+def test_best_for_lines_name_a_category():
+    from answerscope.functions.analysis import callout, list_category
+
+    assert callout("x\n  **Best for:** Gaming, travel\n") == "Gaming" and callout("Best for: today only") is None and callout("Best for: ---") is None and callout("best for you") is None
+    assert list_category("Acme", "1. Acme (Best value)\nBest for: travel") == (1, "Best value") and list_category("Acme", "1. Acme\nBest for: travel.") == (1, "travel")
+
+
+def test_rows_are_numbered_over_all_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from answerscope.operators.dashboards import numbered
+
+    got = numbered(spark.range(1000).repartition(7).withColumn("k", F.col("id") % 10), "n", "k", "id").collect()
+    assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] == sorted((i % 10, i) for i in range(1000)) and sorted(r["n"] for r in got) == list(range(1, 1001))

@@ -129,3 +129,22 @@ def test_capture_file_round_trip():
 
 def test_fixed_decimals():
     assert exports.to_fixed(1.005, 2) == "1.00" and exports.to_fixed(2.5, 0) == "3"
+
+
+def test_places_of_an_rpc_payload():
+    v = [None] * 40
+    v[0], v[13], v[30], v[31] = "places/abc", 4.5, ["Cafe One"], ["Coffee shop"]
+    v[1], v[2], v[3], v[4], v[5], v[6], v[7] = "+91 98765 43210", "12th Main Road, Indiranagar", "https://cafe.example/", "https://maps.google.com/?q=x", [12.5, 77.25], " · ₹200-₹400", ["Monday: 10 AM", "Tuesday: 10 AM", "Wednesday: x", "Thursday: x", "Friday: x"]
+    v[2] = "Main Road, Indiranagar, Bengaluru"
+    got = payloads.rpc_places([1, [v, v], ["places/no"]])
+    assert got == [{"place_id": "abc", "name": "Cafe One", "category": "Coffee shop", "rating": 4.5, "phone": "+91 98765 43210", "address": "Main Road, Indiranagar, Bengaluru", "website": "https://cafe.example/", "maps_url": "https://maps.google.com/?q=x", "lat": 12.5, "lng": 77.25, "price_range": "₹200-₹400", "hours": "Monday: 10 AM, Tuesday: 10 AM, Wednesday: x, Thursday: x, Friday: x"}]
+    raw = json.dumps([["wrb.fr", None, json.dumps([v, "x"])]])
+    r = payloads.derive_rpc(raw, None)
+    assert r["turn_use_case"] == "local" and r["carousels"]["map"] and r["places"] == got and r["brand_mentions"] == [] or r["brand_mentions"][0]["brand"] == "Cafe One"
+
+
+def test_product_markers_and_vendors():
+    o, m, c = B.OPEN, B.MID, B.CLOSE
+    text = f'{o}products{m}{{"selections":[["turn0product1","Sony WH-1000"],["turn0product2",7],"no",["turn0product3","\\"Bose\\" QC"]]}}{c} and {o}product{m}["turn0product4","[Acme] Zed",{{}}]{c}'
+    assert [(b["brand"], b["count"]) for b in B.detect(text).brands] == [("Sony", 0), ("Bose", 0), ("Acme", 0)]
+    assert B.vendor("(JBL) Flip") == "JBL" and B.vendor("3M tape") is None and B.clean_candidate("x" * 41) == "" and B.clean_candidate("🥇 Best: iQOO — 10") == "Best: iQOO"
