@@ -3,7 +3,7 @@
 Only lengths matter for packing, and there are at most ``capacity`` of them, so
 the plan is made over the histogram of lengths: a *class* is a bin content (a
 multiset of lengths) and how many bins have it.  ``best_fit`` puts the copies of
-each length, one length after the other in a fixed mixed order, into the fullest
+each length, the longest first, into the fullest
 contents that take them.  Local search then works on underfull classes: between
 two bins it tries to move a piece, to exchange one for one, or two for one, and
 applies the exchange that most increases the sum of squared fills (all bins of
@@ -12,14 +12,13 @@ two bins or the number of bins is the least that the total length allows.  The
 partners of a bin are found by sets of the lengths that each can give and take,
 held as bits.
 
-The time of a search grows with the number of pieces, so the histogram is packed
-in levels: all counts are divided by a scale that leaves about ``LEVEL`` pieces,
-these are packed and searched, every bin is used as often as the scale says, and
+The search over the best fit of all lengths has as many contents as there are
+lengths, about, whatever the number of pieces, and moves all bins of a content together.  Where it ends
+above the least number of bins, a finer search follows, and the packing of fewer bins is
+taken: all counts are divided by a scale that leaves about ``LEVEL`` pieces,
+these are packed by best fit in both orders and searched, every bin is used as often as the scale says, and
 what the division left over is the next level, down to a scale of one.  That is
-a logarithmic number of searches of a fixed size.  On each level the search
-starts from the plain best fit and from ``longest_first``.  Where it ends above
-the least number of bins, ``longest_first`` over the whole histogram is
-compared, and the packing of fewer bins is taken.
+a logarithmic number of searches of a fixed size.
 
 Pieces then take their places: within a length they are numbered by salted
 groups of about ``ROWS_PER_SALT`` rows (no length, however frequent, is numbered
@@ -123,10 +122,10 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Content]:
+def best_fit(histogram: dict[int, int], capacity: int, mixed: bool = False) -> Counter[Content]:
     """Contents and how many bins have them: copies of each length go to the fullest contents with room for one more.
 
-    The lengths come in a mixed but fixed order (by the fractional parts of multiples of the golden ratio).
+    The longest come first, or if ``mixed`` the lengths come in a mixed but fixed order (by the fractional parts of multiples of the golden ratio).
     """
     bins: Counter[Content] = Counter()
     by_room: dict[int, dict[Content, None]] = {}
@@ -141,7 +140,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Content]:
             by_room[room][c] = None
         bins[c] += n
 
-    for x in sorted(histogram, key=lambda x: (x * 0x9E3779B1 % (1 << 32), x)):
+    for x in sorted(histogram, key=lambda x: (x * 0x9E3779B1 % (1 << 32) if mixed else -x, x)):
         left = histogram[x]
         while left and (k := bisect.bisect_left(rooms, x)) < len(rooms):
             room = rooms[k]
@@ -161,29 +160,6 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Content]:
     return +bins
 
 
-def longest_first(histogram: dict[int, int], capacity: int) -> Counter[Content]:
-    """Fills one content after the other, always with the longest piece left that fits; it is used until a length runs out."""
-    left = dict(histogram)
-    lengths = sorted(left)
-    out: Counter[Content] = Counter()
-    while lengths:
-        room, taken = capacity, Counter()
-        k = len(lengths)
-        while room and (k := min(k, bisect.bisect_right(lengths, room)) - 1) >= 0:
-            x = lengths[k]
-            n = min(left[x], room // x)
-            taken[x] += n
-            room -= n * x
-        times = min(left[x] // n for x, n in taken.items())
-        out[tuple(x for x, n in taken.items() for _ in range(n))] += times
-        for x, n in taken.items():
-            left[x] -= n * times
-            if not left[x]:
-                del left[x]
-                del lengths[bisect.bisect_left(lengths, x)]
-    return out
-
-
 def _sums(b: Content) -> dict[int, Content]:
     """The sums of one or two pieces of a bin, and pieces that make them."""
     n = Counter(b)
@@ -302,7 +278,7 @@ def in_levels(histogram: dict[int, int], capacity: int) -> Counter[Content]:
     while left:
         scale = min(max(1, sum(left.values()) // LEVEL), max(left.values()))
         level = {x: n // scale for x, n in left.items() if n >= scale}
-        found = min((local_search(start(level, capacity), capacity) for start in (best_fit, longest_first)), key=Counter.total)
+        found = min((local_search(best_fit(level, capacity, mixed), capacity) for mixed in (True, False)), key=Counter.total)
         for content, n in found.items():
             out[content] += n * scale
         left = {x: n - scale * level.get(x, 0) for x, n in left.items() if n > scale * level.get(x, 0)}
@@ -312,9 +288,9 @@ def in_levels(histogram: dict[int, int], capacity: int) -> Counter[Content]:
 def plan(histogram: dict[int, int], capacity: int) -> Counter[Content]:
     if any(not 0 < x <= capacity for x in histogram):
         raise ValueError("lengths must be from 1 to the capacity")
-    best = in_levels(histogram, capacity)
+    best = local_search(best_fit(histogram, capacity), capacity)
     if best.total() > -(-sum(x * n for x, n in histogram.items()) // capacity):
-        best = min(best, longest_first(histogram, capacity), key=Counter.total)
+        best = min(best, in_levels(histogram, capacity), key=Counter.total)
     return best
 
 

@@ -120,8 +120,8 @@ def test_packing_places_every_piece_once(odd, empty):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan_uses_each_piece_and_search_never_adds_bins(histogram):
-    for start in (packing.best_fit, packing.longest_first):
-        first = start(histogram, 30)
+    for mixed in (True, False):
+        first = packing.best_fit(histogram, 30, mixed)
         best = packing.local_search(first, 30)
         for bins in (first, best):
             used = Counter()
@@ -150,11 +150,12 @@ def test_levels_use_each_piece(histogram):
 
 
 def test_levels_save_bins_of_large_histograms():
-    """30,000 lengths without small fillers: fewer bins than longest first, near the least number, in bounded searches."""
+    """30,000 lengths without small fillers: fewer bins than best fit with the longest first, near the least number, in bounded searches."""
     rng = random.Random(3)
     histogram = Counter(rng.randint(300, 900) for _ in range(30_000))
     least = -(-sum(x * n for x, n in histogram.items()) // 2048)
-    assert packing.in_levels(histogram, 2048).total() <= 1.005 * least < packing.longest_first(histogram, 2048).total()
+    assert packing.in_levels(histogram, 2048).total() <= 1.005 * least < packing.best_fit(histogram, 2048).total()
+    assert packing.plan(histogram, 2048).total() <= 1.005 * least
 
 
 def test_search_exchanges_empty_a_bin():
@@ -190,11 +191,21 @@ def test_the_search_saves_bins():
     """From the plain start, on lengths with and without small fillers: at least a twentieth, and nearly all that can be saved."""
     rng = random.Random(2)
     for histogram in (Counter(rng.randint(500, 1000) for _ in range(1500)), Counter(min(2048, max(1, int(rng.lognormvariate(6.5, 1)))) for _ in range(3000))):
-        first, least = packing.best_fit(histogram, 2048).total(), -(-sum(x * n for x, n in histogram.items()) // 2048)
-        best = packing.local_search(packing.best_fit(histogram, 2048), 2048).total()
+        first, least = packing.best_fit(histogram, 2048, mixed=True).total(), -(-sum(x * n for x, n in histogram.items()) // 2048)
+        best = packing.local_search(packing.best_fit(histogram, 2048, mixed=True), 2048).total()
         assert first > best >= least and first - best >= (first - least) / 2
 
 
+def test_the_search_improves_the_best_fit_of_all_lengths():
+    """200,000 pieces distributed like texts: the plan is the search's own, a few bins from the least number and below its start."""
+    rng = random.Random(1)
+    histogram = Counter(min(2048, max(1, int(rng.lognormvariate(6, 0.8)))) for _ in range(200_000))
+    first, least = packing.best_fit(histogram, 2048), -(-sum(x * n for x, n in histogram.items()) // 2048)
+    best = packing.local_search(first, 2048)
+    assert best.total() < first.total() and best.total() - least <= (first.total() - least) / 2
+    assert packing.plan(histogram, 2048).total() <= best.total()
+
+
 def test_hot_lengths_are_numbered_in_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
     rows = [(k, 0, 0, 7 if k % 3 else 5 + k % 11, k) for k in range(2000)] + [(1, 0, 0, 7, 1)] * 3
