@@ -188,19 +188,12 @@ def session_details(records: DataFrame) -> DataFrame:
 
 
 def source_analysis(records: DataFrame) -> DataFrame:
-    """Domains with their share of citations and of all appearances, ranked.
-
-    Ranks come in two steps, so that no task orders all domains: groups of equal counts and two first characters are put in
-    order with how many domains they hold, then each group numbers its own.
-    """
+    """Domains with their share of citations and of all appearances, ranked; no task orders all domains."""
     per = source_rows(records).groupBy("domain").agg(F.count_if(F.col("outcome") == "cited").alias("cited"), F.count("*").alias("total"))
-    per = per.withColumn("_g", F.substring("domain", 1, 2))
-    sums = per.agg(F.sum("cited").alias("all_cited"), F.sum("total").alias("all_total"))
-    group = ["cited", "total", "_g"]
-    before = Window.orderBy(F.desc("cited"), F.desc("total"), "_g").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
-    offsets = per.groupBy(*group).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    out = per.join(offsets, group).withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy(*group).orderBy("domain")))
-    return out.crossJoin(F.broadcast(sums)).select("domain", "cited", "total", (100.0 * F.col("cited") / F.col("all_cited")).alias("cited_share"), (100.0 * F.col("total") / F.col("all_total")).alias("total_share"), "rank")
+    ranked = numbered(per, "rank", F.desc("cited"), F.desc("total"), "domain")
+    sums = ranked.agg(F.sum("cited").alias("all_cited"), F.sum("total").alias("all_total"))
+    out = ranked.crossJoin(F.broadcast(sums))  # one row
+    return out.select("domain", "cited", "total", (100.0 * F.col("cited") / F.col("all_cited")).alias("cited_share"), (100.0 * F.col("total") / F.col("all_total")).alias("total_share"), "rank")
 
 
 def audit_log(records: DataFrame) -> DataFrame:
@@ -226,7 +219,7 @@ def audit_sheet(records: DataFrame, zone: str = "UTC") -> DataFrame:
     return df.select("capture_id", *[f"`{n}`" for n in AUDIT])
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with a column that numbers its rows from 1 in an order over all of them.
 
     Rows are sorted in ranges and stored, each range is counted, and a row's number is that of the rows in the ranges before it and its place in its own: no task sees all rows.

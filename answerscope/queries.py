@@ -112,6 +112,20 @@ def completed_turns(spark, d):
     return M.completed(df)
 
 
+@query(f"""with {_BASE}, n as (select id, count_if(outcome = 'cited') c, count_if(outcome = 'fetched') f, count(*) n from lines group by 1),
+x as (select *, coalesce(n, 0) n_, coalesce(c, 0) c_, coalesce(f, 0) f_ from resp left join n using (id))
+select status run_id, platform, count(*) completed from x where id % 6 = 0 and prompt <> '' or id % 6 = 1 and n_ > 0 or id % 6 = 2 and c_ > 0 or id % 6 = 3 and f_ > 0 or id % 6 = 4 and length(answer) > 0 group by all""")
+def completed_signals(spark, d):
+    """AGG-25, FLT-04: a sixth of the records each has only a prompt, sources, one of two fan-outs, an answer, or nothing."""
+    df = responses(spark, d)
+    k = F.col("capture_id") % 6
+    only = lambda n, c, other: F.when(k == n, c).otherwise(other)
+    none = F.array().cast("array<struct<query:string>>")
+    fanout = F.struct(only(2, F.col("fanout.search"), none).alias("search"), only(3, F.col("fanout.shopping"), none).alias("shopping"), none.alias("image"))
+    df = df.withColumns({"user_prompt": only(0, F.col("user_prompt"), F.lit(None)), "sources": only(1, F.col("sources"), F.filter("sources", lambda s: F.lit(False))), "fanout": fanout, "answer_chars": only(4, F.col("answer_chars"), F.lit(0))})
+    return M.completed(df)
+
+
 # -- dashboards --------------------------------------------------------------
 def _drill_sql(where: str) -> str:
     return f"""with {_BASE} select "domain", count_if(outcome = 'cited') cited, count_if(outcome <> 'cited') not_cited, count(*) total, count(distinct prompt_id) prompts, arg_min(cast(part as varchar), row(ts, id, ord, part, supp, price)) first_url from lines join resp using (id) where {where} group by 1"""
@@ -676,6 +690,23 @@ def csv_rows(spark, d):
     return csv_lines(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
+@query("""select '"' || conv_id || '","' || turn || '","' || replace(case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else text end, '"', '""') || '"' as value from conversations""")
+def csv_rows_all(spark, d):
+    """SNK-12: whole messages as lines of cells."""
+    from .sources.exports import csv_lines
+
+    return csv_lines(read(spark, d, "conversations").select("conv_id", "turn", "text"))
+
+
+@query("""select '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"part":"' || p_name || '"' || case when l_returnflag = 'N' then '' else ',"flag":"' || l_returnflag || '"' end || '}' as value from lineitem join part on l_partkey = p_partkey""")
+def json_dump_all(spark, d):
+    """SNK-06: lines of orders as JSON objects; null fields are left out."""
+    from .sources.exports import json_lines
+
+    df = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return json_lines(df.select("l_orderkey", "l_linenumber", F.col("p_name").alias("part"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag")))
+
+
 @query("""select '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' as value from region""")
 def json_dump(spark, d):
     """SNK-06."""

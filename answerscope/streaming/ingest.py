@@ -16,13 +16,16 @@ from .turns import TIMEOUT_MS, state_store, turns
 
 
 
-def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_derived: Callable[[DataFrame], None], checkpoint: str, max_mb: int = 8, after: Callable[[], object] | None = None):
-    """A started query: raw rows first, then their records, then ``after`` (retention); a replayed batch upserts the same keys."""
+def ingest(captures: DataFrame, upsert_raw: Callable[[DataFrame], None], upsert_derived: Callable[[DataFrame], None], checkpoint: str, max_mb: int = 8, after: Callable[[], object] | None = None, upsert_errors: Callable[[DataFrame], None] | None = None):
+    """A started query: raw rows first, then their records, those that can't be read to ``upsert_errors``, then ``after`` (retention); a replayed batch upserts the same keys."""
 
     def batch(df: DataFrame, _: int) -> None:
         usable, _skipped = landing(df, max_mb)
         upsert_raw(usable)
-        upsert_derived(derive(usable).where("error is null").drop("error"))
+        derived = derive(usable)
+        upsert_derived(derived.where("error is null").drop("error"))
+        if upsert_errors:
+            upsert_errors(derived.where("error is not null").select("capture_id", "error"))
         if after:
             after()
 
