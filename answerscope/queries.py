@@ -499,12 +499,12 @@ def run_reconcile(spark, d):
     return df.select("user_id", at.alias("position"), status.alias("status"))
 
 
-@query("""with recursive e as (select user_id, event_id, epoch_ms(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events),
+@query("""with recursive e as (select user_id, event_id, epoch_us(ts) // 1000 t, row_number() over (partition by user_id order by ts, event_id) k from events),
 f as (select user_id, event_id, t, k, t as last, true as ok from e where k = 1 union all
  select e.user_id, e.event_id, e.t, e.k, case when e.t - f.last >= 7200000 then e.t else f.last end, e.t - f.last >= 7200000 from f join e on e.user_id = f.user_id and e.k = f.k + 1)
 select user_id, event_id from f where ok""")
 def debounced(spark, d):
-    """STM-04: compared with the last one that counted, not the last one."""
+    """STM-04: compared with the last one that counted, not the last one; in whole milliseconds that have passed."""
     return D.debounced(read(spark, d, "events"), "user_id", "ts", "event_id", 7_200_000)
 
 
