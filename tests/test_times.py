@@ -22,3 +22,8 @@ def test_debounced(spark, tmp_path):
     df = QUERIES["debounced"](spark, str(tmp_path))
     assert oracle.compare(df, con, ORACLES["debounced"]) == 2
     assert {r["event_id"] for r in df.collect()} == {0, 2}
+
+
+def test_debounced_stream(spark, tmp_path):
+    con = events(spark, tmp_path, 0, 7199.9996, 7200)
+    assert oracle.compare(QUERIES["debounced_stream"](spark, str(tmp_path)), con, ORACLES["debounced_stream"]) == 2
