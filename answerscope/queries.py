@@ -637,7 +637,7 @@ def noise_labels(spark, d):
     return read(spark, d, "documents").select("doc_id", T.is_noise_label(form).alias("noise"))
 
 
-@query("with s as (select user_id, epoch_ms(max(ts)) // 1000 - epoch_ms(min(ts)) // 1000 s from events group by 1) select user_id, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) took from s")
+@query("with s as (select user_id, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 s from events group by 1) select user_id, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) took from s")
 def run_durations(spark, d):
     """DAT-05."""
     at = lambda f: F.unix_seconds(f("ts").cast("timestamp"))

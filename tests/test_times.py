@@ -27,3 +27,10 @@ def test_debounced(spark, tmp_path):
 def test_debounced_stream(spark, tmp_path):
     con = events(spark, tmp_path, 0, 7199.9996, 7200)
     assert oracle.compare(QUERIES["debounced_stream"](spark, str(tmp_path)), con, ORACLES["debounced_stream"]) == 2
+
+
+def test_run_durations(spark, tmp_path):
+    con = events(spark, tmp_path, 0.2, 61.9997)
+    df = QUERIES["run_durations"](spark, str(tmp_path))
+    assert oracle.compare(df, con, ORACLES["run_durations"]) == 1
+    assert [r["took"] for r in df.collect()] == ["0:01:01"]
