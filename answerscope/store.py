@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from .files import Conflict, Files
 from .functions.text import duplicate_key
-from .operators.intervals import interval_join
+from .operators.intervals import last_span
 
 MAX_PROFILES, TRASH_DAYS = 3, 7
 
@@ -193,9 +193,8 @@ def stamp(captures: DataFrame, positions: DataFrame, prompts: DataFrame) -> Data
     run; ``prompts(run_id, ordinal, prompt_id, tags)`` the run's list.  Of several spans the one that began last counts.  A
     capture outside every span has none, and one that has its provenance keeps it.
     """
-    found = interval_join(captures.select("capture_id", "platform", "captured_at"), positions, ["platform"], "captured_at", "since", "until")
-    last = found.groupBy("capture_id").agg(F.max_by("span", F.struct("span.since", "span.run_id", "span.ordinal")).alias("s"))
-    at = last.select("capture_id", "s.run_id", "s.profile_id", "s.ordinal").join(prompts, ["run_id", "ordinal"], "left")
+    last = last_span(captures, positions, "capture_id", ["platform"], "captured_at", "since", "until", ["run_id", "ordinal", "profile_id"])
+    at = last.select("capture_id", "last.run_id", "last.profile_id", "last.ordinal").join(prompts, ["run_id", "ordinal"], "left")
     geo = F.struct("profile_id", "run_id", "prompt_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     df = captures.join(at.select("capture_id", geo.alias("_geo")), "capture_id", "left")
     own = [F.col("geo")] if "geo" in captures.columns else []

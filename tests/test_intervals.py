@@ -73,3 +73,45 @@ def test_captures_are_stamped_from_the_position_of_the_run(spark, tmp_path):
     assert again["ok"] and e.handle("run-sync", run_id=run, captured=2, failed=0, status="done", now_ms=ms(300))["ok"]
     assert {r["until"] for r in e.positions.read().where("since >= '2024-01-01 00:03:00'").collect()} == {start + dt.timedelta(seconds=300)}
     assert e.handle("clear-all")["ok"] and e.positions.stats() == 0
+
+
+def test_the_last_span_of_many_open_ones(spark):
+    """As comparing all; a point meets a fixed number of rows, not every span around it."""
+    from pyspark.sql import functions as F
+
+    from answerscope.operators.intervals import last_span
+
+    rng = random.Random(5)
+    at = lambda: EPOCH + dt.timedelta(microseconds=rng.choice([-1, 1]) * rng.choice([30, 10**4, 10**9, 10**12, 10**15]) * rng.randrange(100) // 7)
+    spans = []
+    for n in range(500):
+        since = at()
+        spans.append((n, rng.choice("abc"), since, rng.choice([None] + 9 * [since + dt.timedelta(microseconds=rng.choice([-5, 0, 1, 2, 63, 64, 65, 4096, 10**7, 10**10, 10**13, 10**16]))])))
+    spans += [(900, None, EPOCH, None), (901, "a", None, None), (902, "b", spans[0][2], None), (903, "b", spans[0][2], None)]
+    edges = [t + dt.timedelta(microseconds=d) for _, _, a, z in spans for t in (a, z) if t for d in (-1, 0)]
+    points = [(i, rng.choice("abcd"), rng.choice([at(), rng.choice(edges)])) for i in range(700)] + [(900, None, EPOCH), (901, "a", None)]
+    want = {}
+    begins = {n: a for n, _, a, _ in spans}
+    for i, n in brute(points, spans):
+        want[i] = max(want.get(i, (EPOCH.min, -1)), (begins[n], n))
+    p, s = spark.createDataFrame(points, POINTS), spark.createDataFrame(spans, SPANS).where("k is not null")
+    got = {r["id"]: (r["last"]["since"], r["last"]["n"]) for r in last_span(p, s, "id", ["k"], "at", "since", "until", ["n"]).collect()}
+    assert got == want and len(got) > 300
+    assert last_span(p, s.where("false"), "id", ["k"], "at", "since", "until", ["n"]).count() == last_span(p.where("false"), s, "id", ["k"], "at", "since", "until", ["n"]).count() == 0
+
+
+def test_stamps_pair_no_capture_with_every_open_run(spark, tmp_path):
+    """A thousand runs that are all open: the plan has no join of captures with spans."""
+    from pyspark.sql import functions as F
+
+    from answerscope import store
+
+    ids = spark.range(1000)
+    at = F.timestamp_micros(F.col("id"))
+    captures = ids.select(F.col("id").alias("capture_id"), F.lit("x").alias("platform"), at.alias("captured_at"))
+    positions = ids.select(F.lit("x").alias("platform"), F.col("id").cast("string").alias("run_id"), F.lit("p").alias("profile_id"), F.lit(0).alias("ordinal"), at.alias("since"), F.lit(None).cast("timestamp").alias("until"))
+    prompts = ids.select(F.col("id").cast("string").alias("run_id"), F.lit(0).alias("ordinal"), F.lit("q").alias("prompt_id"), F.array(F.lit("t")).alias("tags"))
+    df = store.stamp(captures, positions, prompts)
+    assert df.where("geo.run_id = cast(capture_id as string) and geo.prompt_id = 'q'").count() == 1000
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "_level" in x]
+    assert not joins
