@@ -2,7 +2,8 @@
 
 Rows are ``path, sheet, row, cells``.  Reading has a partition a sheet, parsed as a stream.  Writing takes ``sheet, row, cells``: every task writes its
 rows as fragments beside the target, the commit strings them together by row and gives the file its name in one step, and an
-abort leaves neither file nor fragments.  Rows beyond what a sheet can hold go on in a further sheet.
+abort leaves neither file nor fragments.  Rows beyond what a sheet can hold go on in a further sheet, "name (2)", which has
+no head of its own; ``continued`` gives such sheets the name of the one that they continue.
 
 Files are opened with Arrow's file systems (local, HDFS, object stores).
 """
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 SCHEMA = "path string, sheet string, row bigint, cells array<string>"
 #: Rows that a sheet can hold.
 SHEET_ROWS = 1_048_576
+#: Rows of a fragment at most.
+FRAGMENT_ROWS = 65_536
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
@@ -134,7 +137,7 @@ class Writer(DataSourceWriter):
         out: list[tuple[str, int, str, int]] = []
         file, last = None, None
         for r in iterator:
-            if last is None or r["sheet"] != last[0] or r["row"] < last[1]:  # a fragment holds ascending rows of one sheet
+            if last is None or r["sheet"] != last[0] or r["row"] < last[1] or out[-1][3] == FRAGMENT_ROWS:  # a fragment holds ascending rows of one sheet
                 if file:
                     file.close()
                 name = f"{folder}/{uuid.uuid4().hex}"
@@ -233,3 +236,12 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
         both = both.unionByName(p)
     both.sparkSession.dataSource.register(Workbook)
     both.sortWithinPartitions("_k", "row").select("sheet", "row", "cells").write.format("workbook").option("sheets", "\n".join(sheets)).mode("overwrite").save(path)
+
+
+def continued(df: DataFrame, sheets: list[str]) -> DataFrame:
+    """Rows of a workbook that ``write_workbook`` wrote of these sheets: what went on in a further sheet is of the sheet that it continues."""
+    own = F.lit(None).cast("string")
+    for name in sheets:
+        further = F.startswith(F.col("sheet"), F.lit(f"{name[:25]} (")) & F.substring("sheet", len(name[:25]) + 2, 31).rlike(r"^\([0-9]+\)$")
+        own = F.coalesce(own, F.when(further & ~F.col("sheet").isin(*sheets), name))
+    return df.withColumn("sheet", F.coalesce(own, "sheet"))

@@ -68,3 +68,21 @@ def test_records_as_a_workbook(spark, tmp_path):
     names = exports.write_workbook(responses(spark, "/root/testdata/sf0.001", "F").drop("geo"), path)
     per = {r["sheet"]: r["n"] for r in workbook.read_workbook(spark, path).groupBy("sheet").agg(F.count("*").alias("n")).collect()}
     assert set(per) == set(names) and per["Summary"] == 2 and per["Audit Log"] > 100
+
+
+def test_a_task_of_many_rows_fills_several_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 5)
+    monkeypatch.setattr(workbook, "FRAGMENT_ROWS", 2)
+    w = workbook.Writer(str(tmp_path / "book.xlsx"), ["A"], True)
+    rows = lambda sheet, n: [{"sheet": sheet, "row": k, "cells": [f"{k}"]} for k in range(n)]
+    w.commit([w.write(iter([*rows("A", 12), *rows("Own", 1)]))])
+    df = workbook.read_workbook(spark, str(tmp_path / "book.xlsx"))
+    assert {r["sheet"]: r["count"] for r in df.groupBy("sheet").count().collect()} == {"A": 4, "A (2)": 4, "A (3)": 4, "Own": 1}
+    got = {r["sheet"]: r["count"] for r in workbook.continued(df, ["A", "Own"]).groupBy("sheet").count().collect()}
+    assert got == {"A": 12, "Own": 1}
+
+
+def test_continued_sheets_are_told_from_others(spark):
+    names = ["A", "A (2)", "A (3)", "B (2)", "A (x)", "A (2) (2)"]
+    df = spark.createDataFrame([(n,) for n in names], "sheet string")
+    assert [r["sheet"] for r in workbook.continued(df, ["A", "A (2)"]).collect()] == ["A", "A (2)", "A", "B (2)", "A (x)", "A (2)"]
