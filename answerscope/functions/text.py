@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 #: White space as browsers know it.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same as characters to trim: no pattern walks over the text between its ends.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: An ASCII word boundary; Java's own is Unicode-aware.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Labels that registries put between a name and the country code.
 SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gob", "gc")
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: inside ``f`` it is the variable of a lambda over an array of one element.
+
+    A Column that is used several times, above all inside a lambda, is an expression that is computed each time.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def norm_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def duplicate_key(c: Column) -> Column:

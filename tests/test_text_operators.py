@@ -78,6 +78,24 @@ def test_evaluated_against_omitted(spark):
     }
 
 
+def test_words_of_a_source_are_found_once_for_all_names(spark):
+    """Inside the lambda over the vocabulary nothing that depends on the text alone is computed again."""
+    plan = str(evidence.spoken_of(F.col("text"), F.col("known")))
+    assert plan.count("translate(text") == 1 and "sequence(" not in plan
+    df = spark.createDataFrame([("xa b ab ab y", ["abab"]), ("a b c d e f", ["abcde", "abcd", "ab", "bcde", "cdef"]), ("a&b cd", ["bcd", "abcd", "acd"]), ("KELVIN sign, glo-bex", ["kelvinsign", "signglo", "globex", "lobex"])], "text string, keys array<string>")
+    got = df.select("text", evidence.spoken_of(F.col("text"), F.transform("keys", lambda k: F.struct(k.alias("key"), k.alias("name")))).alias("k")).collect()
+    assert [[v["key"] for v in r["k"]] for r in got] == [["abab"], ["abcd", "ab", "bcde", "cdef"], [], ["kelvinsign", "signglo", "globex"]]
+
+
+def test_trim_takes_every_blank(spark):
+    from answerscope.functions import text as T
+
+    blanks = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (c in " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" or 0x2000 <= ord(c) <= 0x200A))
+    df = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}",), (blanks,), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(T.js_trim(F.col("x"))).collect()] == [f"a{blanks}b", "", "", None]
+    assert "regexp" not in str(T.js_trim(F.col("x")))
+
+
 def test_segments_cover_the_text(spark):
     rng = random.Random(8)
     texts = [(k, "".join(rng.choice("abc é") for _ in range(rng.choice([0, 1, 30, 90])))) for k in range(25)] + [(98, None), (99, "whole")]
