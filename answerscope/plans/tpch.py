@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import spread
 from ..operators.metrics import Brand
 
 #: The tracked list of the flagship campaign; the last is in no table.
@@ -59,7 +60,7 @@ def _build(spark: SparkSession, sf_dir: str, status: str | None) -> DataFrame:
     count = F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_quantity").cast("bigint"))
     line = F.struct(F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), F.col("s_name").alias("domain"), outcome(F.col("l_returnflag")).alias("outcome"), F.col("p_brand").alias("brand"), count.alias("count"))
     # Lists do not shrink by combining before the shuffle, so the lines are shuffled first and gathered once.
-    nested = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    nested = spread(lines, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     df = orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     lines_ = F.coalesce(F.col("lines"), F.array().cast(nested.schema["lines"].dataType))

@@ -104,3 +104,18 @@ def test_rows_are_numbered_over_all_ranges(spark):
 
     got = numbered(spark.range(1000).repartition(7).withColumn("k", F.col("id") % 10), "n", "k", "id").collect()
     assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] == sorted((i % 10, i) for i in range(1000)) and sorted(r["n"] for r in got) == list(range(1, 1001))
+
+
+def test_timelines_spread_with_the_input(spark, tmp_path, monkeypatch):
+    """The number of tasks over prompts follows the size of the input, so that what one holds does not grow with it."""
+    from answerscope import files
+    from answerscope.operators import dashboards as D
+
+    path = f"{tmp_path}/r"
+    spark.range(1000).selectExpr("cast(id % 300 as string) prompt_key", "id capture_id", "timestamp_seconds(id) captured_at").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(files, "PIECE", 500)
+    tasks = D.timelines(df).rdd.getNumPartitions()
+    assert tasks > 8 and D.timelines(df).count() == 1000
+    monkeypatch.setattr(files, "PIECE", 250)
+    assert D.timelines(df).rdd.getNumPartitions() > 1.5 * tasks
