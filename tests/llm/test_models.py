@@ -24,6 +24,34 @@ def test_toxicity_held_out(spark, tmp_path):
     assert got["score"].between(0, 1).all()
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """A word of ordinary texts only is known, though few of as many texts as are toxic would have it."""
+    rows = [(k, f"plain words here {'scum idiot' if k % 11 == 0 else 'good day'} {'seldom' if k % 7 == 1 else 'often'} said", int(k % 11 == 0)) for k in range(440)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    own = toxicity.labelled(labels.union(labels), F.col("doc_id") != 3)
+    assert own.count() == 439 and own.where("toxic = 1").count() == 40
+    model = toxicity.fit(df.select("doc_id", "text"), labels, F.lit(True))
+    assert "seldom" in model.words and "scum" in model.words
+
+
+def test_calibration_is_the_maximum_of_the_penalised_likelihood(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(5, 60, 500)
+    total, telling = rng.normal(0, 3, 500), rng.normal(0, 1, 500)
+    toxic = (total + rng.normal(0, 2, 500) > 1).astype(int)
+    rows = [(m, int(toxic[k]), float(total[k] * (m + 1)), float(telling[k]), float(n[k])) for m in (0, 1) for k in range(500)]
+    models = [toxicity.Model.__new__(toxicity.Model) for _ in (0, 1)]
+    for m in models:
+        m.weights = np.zeros(5)
+    losses = toxicity.calibrate(spark.createDataFrame(rows, "model int, toxic int, total double, telling double, n double").repartition(5), models)
+    for k, m in enumerate(models):
+        sums = np.stack([total * (k + 1), telling, n], 1)
+        p = m.score(sums)
+        assert np.allclose(m.features(sums).T @ (toxic - p), 1e-2 * m.weights, atol=1e-5)
+        assert np.isclose(losses[k], -np.where(toxic == 1, np.log(p), np.log(1 - p)).mean())
+
+
 def test_kneser_ney_equals_hand_computed_probabilities():
     """Two units a and b; the ratios are those of the interpolated formula, written out."""
     size, words = 4, {"a": 2, "b": 3}
