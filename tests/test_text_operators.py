@@ -152,3 +152,13 @@ def test_footnotes(spark):
     for k, text, sources in rows:
         want = exports.footnotes(text, [{"url": u, "marker_ids": i} for u, i in sources])
         assert (got[k]["text"], got[k]["notes"], got[k]["unresolved"], got[k]["others"]) == (want["text"], want["notes"], want["unresolved"], want["others"]), text
+
+
+def test_candidates_read_the_texts_once(spark):
+    """Tables, bold leads and headings come from one pass over the lines; texts were written and split once a kind before."""
+    from answerscope.operators import structure
+
+    df = spark.createDataFrame([(1, "| A | B |\n|--|--|\n| **x** | y |\n## Z — q\nplain\n| c | d |")], "id int, text string").repartition(3, "id")
+    out = structure.candidates(df, ["id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    assert sorted((r["kind"], r["line"], r["candidate"]) for r in out.collect()) == [("heading", 3, "Z"), ("table", 2, "x")]
