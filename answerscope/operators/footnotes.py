@@ -2,48 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import DataFrame
 
 from ..functions.brands import CLOSE, MID, OPEN
-from ..functions.spans import matches
-from .segments import cover
 
 #: A citation in an answer: one or more reference ids between its marks.
 ID = r"turn\d+[a-z]+\d+"
 CITE = f"{OPEN}cite(?:{MID}{ID})+{CLOSE}?"
+_ID, _CITE = re.compile(ID, re.A), re.compile(CITE, re.A)
 
 
-def citations(records: DataFrame) -> DataFrame:
-    """``capture_id, start, end, k, marker``: a row a reference id of each citation, k its place in the citation."""
-    text = F.col("answer_text")
-    found = records.select("capture_id", text, F.explode(matches(text, F.lit(CITE))).alias("s"))
-    ids = F.regexp_extract_all(text.substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), F.lit(ID), F.lit(0))
-    return found.select("capture_id", "s.start", "s.end", F.posexplode(ids).alias("k", "marker"))
+def cited(answer: str, sources: list[dict]) -> tuple[str, list[str], list[str], list[str | None]]:
+    """Text, notes, unresolved and others of one record: a marker names the last source that has it, an address is numbered by its first citation."""
+    of = {m: s["url"] for s in sources for m in s["marker_ids"] or []}
+    numbers: dict[str, int] = {}
+    unresolved: list[str] = []
 
+    def mark(found: re.Match) -> str:
+        out = []
+        for m in _ID.findall(found[0]):
+            url = of.get(m)
+            if url is None:
+                unresolved.append(m)
+            else:
+                out.append(f"[{numbers.setdefault(url, len(numbers) + 1)}]")
+        return "".join(out)
 
-def numbered(records: DataFrame) -> DataFrame:
-    """``citations`` with ``url`` and ``number``: the source that has the marker (the last of several), and one number an address by its first citation; both are null where no source has it."""
-    own = records.select("capture_id", F.posexplode("sources").alias("position", "s")).select("capture_id", "position", "s.url", F.explode("s.marker_ids").alias("marker"))
-    of = own.groupBy("capture_id", "marker").agg(F.max_by("url", "position").alias("url"))
-    df = citations(records).join(of, ["capture_id", "marker"], "left")
-    first = df.where("url is not null").groupBy("capture_id", "url").agg(F.min(F.struct("start", "k")).alias("first"))
-    numbers = first.withColumn("number", F.row_number().over(Window.partitionBy("capture_id").orderBy("first"))).drop("first")
-    return df.join(numbers, ["capture_id", "url"], "left").select("capture_id", "start", "end", "k", "marker", "url", "number")
+    text = _CITE.sub(mark, answer)
+    return text, list(numbers), unresolved, [u for u in dict.fromkeys(s["url"] for s in sources) if u not in numbers]
 
 
 def footnoted(records: DataFrame) -> DataFrame:
     """A row a record with an answer: ``capture_id, text`` (the answer with ``[number]`` for its citations), ``notes`` (addresses by number), ``unresolved`` (markers without a source, in order) and ``others`` (sources that no note names, in their order).
 
-    What a footnote does not replace is left as it is; a marker without a source leaves nothing.
+    What a footnote does not replace is left as it is; a marker without a source leaves nothing.  Everything is inside the record: one Arrow pass, no shuffle.
     """
-    notes = numbered(records)
-    told = notes.groupBy("capture_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("k", "number"))).alias("n"))
-    mark = F.array_join(F.transform(F.filter("n", lambda x: x["number"].isNotNull()), lambda x: F.concat(F.lit("["), x["number"].cast("string"), F.lit("]"))), "")
-    parts = cover(records.select("capture_id", F.col("answer_text").alias("text")), told.select("capture_id", "start", "end", F.lit("cite").alias("type"), mark.alias("mark")), ["capture_id"])
-    text = parts.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("type") == "cite", F.col("mark")).otherwise(F.col("value")).alias("v")))).alias("p"))
-    per = notes.groupBy("capture_id").agg(F.array_sort(F.collect_set(F.when(F.col("number").isNotNull(), F.struct("number", "url")))).alias("n"), F.array_sort(F.collect_list(F.when(F.col("url").isNull(), F.struct("start", "k", "marker")))).alias("u"))
-    df = records.select("capture_id", F.transform(F.coalesce("sources", F.array().cast(records.schema["sources"].dataType)), lambda s: s["url"]).alias("urls")).join(text, "capture_id").join(per, "capture_id", "left")
-    none = F.array().cast("array<string>")
-    urls = F.coalesce(F.transform("n", lambda x: x["url"]), none)
-    return df.select("capture_id", F.array_join(F.transform("p", lambda x: x["v"]), "").alias("text"), urls.alias("notes"), F.coalesce(F.transform("u", lambda x: x["marker"]), none).alias("unresolved"), F.array_except("urls", urls).alias("others"))
+    import pyarrow as pa
+
+    many = pa.list_(pa.string())
+
+    def run(batches):
+        for b in batches:
+            texts, sources = b.column(1).to_pylist(), b.column(2).to_pylist()
+            keep = [k for k, t in enumerate(texts) if t]
+            rows = [cited(texts[k], [s for s in sources[k] or [] if s is not None]) for k in keep]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(columns[0], pa.string()), *[pa.array(c, many) for c in columns[1:]]], names=["capture_id", "text", "notes", "unresolved", "others"])
+
+    kind = records.schema["capture_id"].dataType.simpleString()
+    own = "transform(sources, s -> struct(s.url as url, s.marker_ids as marker_ids)) as sources"
+    return records.selectExpr("capture_id", "answer_text", own).mapInArrow(run, f"capture_id {kind}, text string, notes array<string>, unresolved array<string>, others array<string>")

@@ -162,3 +162,16 @@ def test_candidates_read_the_texts_once(spark):
     out = structure.candidates(df, ["id"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
     assert sorted((r["kind"], r["line"], r["candidate"]) for r in out.collect()) == [("heading", 3, "Z"), ("table", 2, "x")]
+
+
+def test_footnotes_need_no_shuffle(spark):
+    from answerscope.functions.brands import CLOSE, MID, OPEN
+    from answerscope.operators import footnotes
+
+    cite = lambda *m: f"{OPEN}cite{''.join(MID + x for x in m)}{CLOSE}"
+    rows = [(1, f"a{cite('turn0search1', 'turn9x9')} b{cite('turn0search2')}{cite('turn0search1')}", [("u1", ["turn0search1"]), ("u2", ["turn0search1", "turn0search2"]), ("u3", None), ("u1", [])]), (2, "", []), (3, None, None), (4, "x", None)]
+    df = spark.createDataFrame(rows, "capture_id long, answer_text string, sources array<struct<url:string,marker_ids:array<string>>>")
+    out = footnotes.footnoted(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r["capture_id"]: tuple(r)[1:] for r in out.collect()} == {1: ("a[1] b[1][1]", ["u2"], ["turn9x9"], ["u1", "u3"]), 4: ("x", [], [], [])}
