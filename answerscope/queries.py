@@ -186,6 +186,11 @@ def _timeline(spark, d, values, **by):
     return D.timelines(df), values(df)
 
 
+def _matrix(spark, d):
+    df = D.with_prompt_key(responses(spark, d))
+    return D.matrix_rows(df, D.brand_values(df))
+
+
 def _moved(spark, d, values):
     df = D.with_prompt_key(responses(spark, d))
     return D.moved(df, values(df)).drop("in_first", "in_last")
@@ -250,7 +255,7 @@ cells as (select p.prompt_key, x.brand, p.k, p.n, coalesce(m.cnt, 0) cnt from pt
 select prompt_key, brand as name, k as ordinal, n as points, cast(cnt as bigint) as value, cast(sum(case when k = n then cnt else 0 end) over w - sum(case when k = 1 then cnt else 0 end) over w as bigint) as delta from cells window w as (partition by prompt_key, brand)""")
 def timeline_matrix(spark, d):
     """QRY-13, SNK-11: the matrix in long form, for prompts of any number of captures."""
-    return D.matrix_rows(*_timeline(spark, d, D.capture_brands))
+    return _matrix(spark, d)
 
 
 @query(f"with {_KEYED} select prompt_key, count(*) captures, arg_min(prompt, row(ts, id)) as label from keyed group by 1 having count(*) > 1")
@@ -750,4 +755,4 @@ def timeline_sheet(spark, d):
     """SNK-11: a row a prompt and name, its values in the order of the captures."""
     from .sources.exports import timeline_rows
 
-    return timeline_rows(D.matrix_rows(*_timeline(spark, d, D.capture_brands)), "brand")
+    return timeline_rows(_matrix(spark, d), "brand")

@@ -119,3 +119,16 @@ def test_timelines_spread_with_the_input(spark, tmp_path, monkeypatch):
     assert tasks > 8 and D.timelines(df).count() == 1000
     monkeypatch.setattr(files, "PIECE", 250)
     assert D.timelines(df).rdd.getNumPartitions() > 1.5 * tasks
+
+
+def test_matrix_shuffles_the_captures_once(spark):
+    """Places, zeros and changes stay on the prompt's key."""
+    from answerscope.operators import dashboards as D
+
+    rows = [("p", k, k, [("a", 2)] if k in (2, 4) else [("b", 1), ("b", 2)] if k == 5 else None) for k in range(1, 6)] + [("q", 9, 1, [("a", 7)])]
+    df = spark.createDataFrame(rows, "prompt_key string, capture_id long, captured_at long, brand_mentions array<struct<brand:string,count:long>>")
+    out = D.matrix_rows(df, D.brand_values(df))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["name"], r["ordinal"]): (r["value"], r["points"], r["delta"]) for r in out.collect()}
+    want = {("a", k): (2 if k in (2, 4) else 0, 5, 0) for k in range(1, 6)} | {("b", k): (3 if k == 5 else 0, 5, 3) for k in range(1, 6)}
+    assert got == want and out.count() == 10
