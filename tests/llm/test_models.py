@@ -52,6 +52,68 @@ def test_calibration_is_the_maximum_of_the_penalised_likelihood(spark):
         assert np.isclose(losses[k], -np.where(toxic == 1, np.log(p), np.log(1 - p)).mean())
 
 
+def test_calibration_takes_few_passes(spark):
+    """Nearly separable sums need large weights: each pass is a Spark job over all held texts, so there must be few."""
+    rng = np.random.default_rng(3)
+    n, toxic = rng.integers(50, 400, 600), rng.random(600) < 0.2
+    total, telling = rng.normal(0, 3, 600), np.where(toxic, 4.0, 0.5) + rng.normal(0, 0.8, 600)
+    rows = [(0, int(toxic[k]), float(total[k]), float(telling[k]), float(n[k])) for k in range(600)]
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.weights = np.zeros(5)
+    sums = spark.createDataFrame(rows, "model int, toxic int, total double, telling double, n double").coalesce(1).cache()
+    sums.count()
+    before, get = [0], type(sums).mapInArrow
+
+    def counted(self, *args, **kwargs):
+        before[0] += 1
+        return get(self, *args, **kwargs)
+
+    type(sums).mapInArrow = counted
+    try:
+        toxicity.calibrate(sums, [model])
+    finally:
+        type(sums).mapInArrow = get
+    x = np.stack([total, telling, n], 1)
+    assert np.allclose(model.features(x).T @ (toxic - model.score(x)), 1e-2 * model.weights, atol=1e-5)
+    assert np.abs(model.weights).max() > 20 and before[0] <= 25
+
+
+def test_models_keep_only_bigrams_with_something_left():
+    """What a discount takes whole is the lower order's, and the sums are those of the formula over all bigrams."""
+    rng = np.random.default_rng(5)
+    words = {f"w{k}": k + 2 for k in range(30)}
+    size = len(words) + 2
+    pair = np.sort(rng.choice(size * size, 300, replace=False))
+    counts = rng.integers(0, 60, (300, 2)).astype(float)
+    of, types = np.zeros((size, 2)), np.zeros((size, 2))
+    np.add.at(of, pair // size, counts)
+    np.add.at(types, pair % size, (counts > 0).astype(float))
+    m = toxicity.Model(words, pair, counts, types, of, np.zeros((4, 2)), 40.0, 2.0)
+    left = np.maximum(counts - 40, 0)
+    assert m.pair.tolist() == pair[left.any(1)].tolist() and len(toxicity.Model(words, pair, counts, types, of, np.zeros((4, 2)), 1000.0, 2.0).pair) == 0
+    weight = [1 - np.bincount(pair // size, weights=left[:, c], minlength=size) / np.maximum(of[:, c], 1) for c in (0, 1)]
+    assert np.allclose(m.left_back, np.log(weight[1]) - np.log(weight[0]), atol=1e-5)
+
+
+def test_the_model_comes_to_the_driver_as_columns(spark, small):
+    """Rows are Python objects: as rows, a model at its bounds took more memory than the driver has."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    kind, rows = type(docs), []
+    get = kind.collect
+
+    def counted(self):
+        out = get(self)
+        rows.append(len(out))
+        return out
+
+    kind.collect = counted
+    try:
+        model = toxicity.fit(docs.select("doc_id", "text"), labels, F.lit(True))
+    finally:
+        kind.collect = get
+    assert len(model.words) > 1000 and max(rows) <= 100
+
+
 def test_kneser_ney_equals_hand_computed_probabilities():
     """Two units a and b; the ratios are those of the interpolated formula, written out."""
     size, words = 4, {"a": 2, "b": 3}
