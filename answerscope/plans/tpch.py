@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..files import spread
+from ..files import spread, spread_for
 from ..operators.metrics import Brand
 
 #: The tracked list of the flagship campaign; the last is in no table.
@@ -50,19 +50,26 @@ def responses(spark: SparkSession, sf_dir: str, status: str | None = None) -> Da
 
 
 def _build(spark: SparkSession, sf_dir: str, status: str | None) -> DataFrame:
-    """One join pass over the lines of the orders asked for, and one grouping by order, on whose key everything stays partitioned."""
-    orders = read(spark, sf_dir, "orders")
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """One join pass over the lines of the orders asked for, and one grouping by order, on whose key everything stays partitioned.
+
+    Each join has partitions by the input's size; customers join the orders before these get their lines, which are many times larger.
+    """
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     if status:
         orders = orders.where(F.col("o_orderstatus") == status)
-        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        # Not a semi join, which the optimizer would push below the partitioning.
+        asked_for = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+        lines = spread_for(lines, asked_for, "l_orderkey").join(spread_for(asked_for, lines, "l_orderkey").distinct(), "l_orderkey")
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    lines = spread_for(lines, parts, "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = spread_for(lines, suppliers, "l_suppkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     count = F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_quantity").cast("bigint"))
     line = F.struct(F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), F.col("s_name").alias("domain"), outcome(F.col("l_returnflag")).alias("outcome"), F.col("p_brand").alias("brand"), count.alias("count"))
     # Lists do not shrink by combining before the shuffle, so the lines are shuffled first and gathered once.
     nested = spread(lines, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    df = orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    df = spread_for(orders, customers, "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     lines_ = F.coalesce(F.col("lines"), F.array().cast(nested.schema["lines"].dataType))
     df = df.withColumn("lines", lines_)
     of = lambda b: F.filter("lines", lambda x: x["brand"] == b)

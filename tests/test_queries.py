@@ -1,5 +1,7 @@
 """Every query with an oracle against DuckDB on the smallest tables."""
 
+import re
+
 import pytest
 
 from answerscope.queries import ORACLES, QUERIES
@@ -24,6 +26,25 @@ def test_timelines_cover_all_prompts(spark, sf_dir, con):
     assert set(sizes) == set(want) and len(set(sizes.values())) > 3
 
 
+@pytest.mark.parametrize("name", ["url_leaderboard", "source_leaderboard", "timeline_headline"])
+def test_joins_follow_the_size_of_the_input(spark, sf_dir, con, name, monkeypatch):
+    """No shuffle of lines or records has the session's number of partitions, so that a task's part does not grow with the input."""
+    from answerscope import files
+
+    monkeypatch.setattr(files, "PIECE", 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"hashpartitioning\(([a-z_]+)#\d+L?, (\d+)\)", plan)
+        assert {k for k, _ in dealt} >= {"l_orderkey", "l_partkey", "l_suppkey", "o_custkey", "c_custkey", "o_orderkey"}
+        # The sums of a leaderboard are already one row a key and task.
+        assert [x for x in dealt if int(x[1]) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and x[0] not in ("key", "domain", "url")] == []
+        oracle.compare(df, con, ORACLES[name])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_cells_and_bulk_add_cover_all_rows(spark, sf_dir, con):
     count = lambda sql: con.execute(sql).fetchone()[0]
     assert QUERIES["csv_escape"](spark, sf_dir).count() == count("select count(*) from documents")
