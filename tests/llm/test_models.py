@@ -95,6 +95,34 @@ def test_models_keep_only_bigrams_with_something_left():
     assert np.allclose(m.left_back, np.log(weight[1]) - np.log(weight[0]), atol=1e-5)
 
 
+def test_every_bigram_and_frequent_word_counts(spark):
+    """Bigrams seen once are in the model, and scores are the same where the bigrams are joined instead of taken along."""
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{i}x" if k % 3 else f"w{i}y" for i in rng.integers(0, 40, 30)), int(k % 3 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3).cache()
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    model, joined = (toxicity.fit(docs, labels, F.lit(True), min_count=5, settings=toxicity.SETTINGS[:1], broadcast=n) for n in (2_000_000, 0))
+    seen = {}
+    held = {r["doc_id"] for r in toxicity.labelled(labels, F.lit(True)).where("held").collect()}
+    for k, text, toxic in rows:
+        if k not in held:
+            x = [toxicity.START, *(toxicity.unit_of(model.words, w) for w in text.split())]
+            for a, b in zip(x, x[1:]):
+                seen.setdefault(a * model.size + b, [0, 0])[toxic] += 1
+    pair = np.array(sorted(seen))
+    counts = np.array([seen[p] for p in pair], float)
+    assert (counts.sum(1) == 1).any() and model.pair.tolist() == pair.tolist()
+    of, types = np.zeros((model.size, 2)), np.zeros((model.size, 2))
+    np.add.at(of, pair // model.size, counts)
+    np.add.at(types, pair % model.size, (counts > 0).astype(float))
+    n = np.array([[(counts[:, c] == k).sum() for c in (0, 1)] for k in (1, 2, 3, 4)], float)
+    want = toxicity.Model(model.words, pair, counts, types, of, n)
+    assert np.allclose(model.ratio, want.ratio, atol=1e-4) and np.allclose(model.left_back, want.left_back, atol=1e-4)
+    assert joined.bigrams and not len(joined.pair)
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score(docs, m).collect()} for m in (model, joined))
+    assert len(a) == len(b) == 200 and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+
+
 def test_the_model_comes_to_the_driver_as_columns(spark, small):
     """Rows are Python objects: as rows, a model at its bounds took more memory than the driver has."""
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
